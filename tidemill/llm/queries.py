@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import exactdedup, simhash
+from tidemill.llm import exactdedup, langid, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    labelled = docs.where(~F.col("held_out")).select(F.col("doc_id").alias("_key"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
+    return langid.identify(docs, F.col("text"), ["doc_id", "held_out"], langid.train(labelled))
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), words=3, radius=2)
 
@@ -22,7 +31,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op7_simhash_neardup, op9_exact_dedup)
+    found = (op2_language_id, op7_simhash_neardup, op9_exact_dedup)
     return {f.__name__: f for f in found}
 
 
