@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exactdedup, langid, pii, simhash
+from tidemill.llm import exactdedup, langid, pii, simhash, spm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,28 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, F.col("text"), ["doc_id", "held_out"], langid.train(labelled))
 
 
+#: The public 32,000-piece model; give another path to use another one.
+PIECES = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def token_digests(docs: DataFrame, model: str = PIECES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the comma-joined ids) and whether decoding gives the text back."""
+    vocabulary = spm.Vocabulary.load(model)
+    encoded = spm.encode_documents(docs.select("doc_id", "text"), vocabulary)
+    held = F.when(F.col("ids").isNotNull(), F.col("ids"))  # keeps the decoder from encoding once more
+    back = spm.decode(held, spm.share(docs.sparkSession, vocabulary))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        back.eqNullSafe(F.translate("text", spm.SPACE, " ")).alias("round_trip"),
+    )
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +58,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_language_id, op5_pii, op7_simhash_neardup, op9_exact_dedup)
+    found = (op2_language_id, op4_sentencepiece, op5_pii, op7_simhash_neardup, op9_exact_dedup)
     return {f.__name__: f for f in found}
 
 
