@@ -73,7 +73,7 @@ def test_columns(spark, bpe):
     shared = spm.share(spark, bpe)
     out = spm.encode_documents(docs, bpe).withColumn("back", spm.decode(F.col("ids"), shared)).collect()
     assert [r["back"] for r in out] == [t for _, t in rows]
-    both = docs.select(spm.encode_checked(F.col("text"), shared).alias("x")).select("x.*").collect()
-    assert [r["ids"] for r in both] == [r["ids"] for r in out] and all(r["round_trip"] for r in both)
+    both = spm.encode_documents(docs, bpe, ids_col="n_tokens", check_col="same").collect()
+    assert [r["n_tokens"] for r in both] == [r["ids"] for r in out] and all(r["same"] for r in both)
     assert out[2]["ids"] == [] and out[3]["ids"] is None
     assert spm.encode_documents(docs.where("false"), bpe).collect() == []

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exactdedup, langid, pii, simhash, spm, suffixdedup
+from tidemill.llm import ann, exactdedup, langid, pii, simhash, spm, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,7 @@ PIECES = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.mo
 
 def token_digests(docs: DataFrame, model: str = PIECES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the comma-joined ids) and whether decoding gives the text back."""
-    shared = spm.share(docs.sparkSession, spm.Vocabulary.load(model))
-    encoded = docs.select("doc_id", spm.encode_checked(F.col("text"), shared).alias("_found")).select("doc_id", "_found.*")
+    encoded = spm.encode_documents(docs.select("doc_id", "text"), spm.Vocabulary.load(model), check_col="round_trip")
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -47,6 +46,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), words=3, radius=2)
 
@@ -61,7 +64,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_language_id, op4_sentencepiece, op5_pii, op7_simhash_neardup, op9_exact_dedup, op10_suffix_dedup)
+    found = (op2_language_id, op4_sentencepiece, op5_pii, op6_ann, op7_simhash_neardup, op9_exact_dedup, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 

@@ -13,19 +13,24 @@ vectorised merges.  See the README for how often the two differ.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Units up to this length merge in lockstep; a longer one has a heap of its own.
 _LOCKSTEP = 40
 _UNKNOWN_PENALTY = 10.0
+#: Units that an encoder remembers before it starts anew.
+_REMEMBERED = 200_000
 
 
 def _hashes(points: np.ndarray) -> np.ndarray:
@@ -98,6 +103,12 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.pattern = _unit_pattern(vocabulary.inner)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no units known."""
+        self.seen: dict[str, int] = {}
+        self.ids, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _probe(self, hashes: np.ndarray, lengths) -> np.ndarray:
         """Row of each substring among the sorted pieces, or -1."""
@@ -237,15 +248,18 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text; null stays null and the empty text has none."""
-        seen: dict[str, int] = {}
-        rows = []
+        if len(self.seen) > _REMEMBERED:
+            self._forget()
+        seen, rows = self.seen, []
         for t in texts:
             if not t:
                 rows.append(None if t is None else [])
                 continue
             t = t.replace(" ", SPACE)
             rows.append([seen.setdefault(u, len(seen)) for u in self.pattern.findall(SPACE + t if self.v.dummy_prefix else t)])
-        ids, counts = self._units(list(seen))
+        ids, counts = self._units(list(itertools.islice(seen, len(self.counts), None)))
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        ids, counts = self.ids, self.counts
         starts = np.cumsum(counts) - counts
         out = []
         for row in rows:
@@ -282,55 +296,11 @@ def _encoder(shared) -> Encoder:
     return _ENCODERS[id(shared.value)]
 
 
-def _runs(texts: pd.Series, most: int = 1 << 20):
-    """Slices of a batch of about a million characters."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
-        if size and size + n > most:
-            yield first, i
-            first, size = i, 0
-        size += n
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def share(spark: SparkSession, vocabulary: Vocabulary):
-    """The vocabulary for :func:`encode` and :func:`decode` on executors; its size is that of the model file."""
+    """The vocabulary for :func:`decode` on executors; its size is that of the model file."""
     return spark.sparkContext.broadcast(vocabulary)
 
 
-def encode(text: Column, shared) -> Column:
-    """Piece ids of a text column as array<int>.  Null gives null, the empty text an empty array."""
-
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        work = _encoder(shared)
-        return pd.Series([x for a, b in _runs(texts) for x in work.encode(texts.iloc[a:b].tolist())], dtype=object)
-
-    return run(text)
-
-
-def encode_checked(text: Column, shared) -> Column:
-    """As :func:`encode`, with the check that decoding gives the text back: a struct of ``ids`` and ``round_trip``.
-
-    The check runs in the worker that encoded, so ids don't travel twice.  A text with the
-    character U+2581 can't come back as it was; its check compares with spaces instead.
-    """
-
-    @F.pandas_udf("ids array<int>, round_trip boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        work, ids, same = _encoder(shared), [], []
-        for a, b in _runs(texts):
-            part = texts.iloc[a:b].tolist()
-            found = work.encode(part)
-            ids += found
-            same += [x == (None if t is None else t.replace(SPACE, " ")) for x, t in zip(work.decode(found), part)]
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=bool)})
-
-    return run(text)
-
-
 def decode(ids: Column, shared) -> Column:
     """Texts of a column of piece ids.  Null gives null, an empty array the empty text."""
 
@@ -341,6 +311,40 @@ def decode(ids: Column, shared) -> Column:
     return run(ids)
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with one more column of piece ids.  Every row and whole text is encoded; repeated rows stay."""
-    return docs.withColumn(ids_col, encode(F.col(text_col), share(docs.sparkSession, vocabulary)))
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
+    """``docs`` with one more column of piece ids, array<int>.
+
+    Every row and whole text is encoded: null gives null, the empty text an empty array, and
+    repeated rows stay.  ``check_col`` names a further column that says whether decoding
+    gives the text back; it is found in the worker that encoded, so that ids don't travel
+    twice.  A text with the character U+2581 can't come back as it was; its check compares
+    with spaces instead.  Columns of ``docs`` with these names are replaced.
+    """
+    shared = share(docs.sparkSession, vocabulary)
+    docs = docs.drop(ids_col, *([check_col] if check_col else []))
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    if check_col:
+        schema.add(check_col, T.BooleanType())
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            place = batch.schema.get_field_index(text_col)
+            lens = np.append(0, np.cumsum(pc.utf8_length(batch.column(place)).fill_null(0).to_numpy(zero_copy_only=False)))
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(lens, lens[first] + (1 << 20), side="right")) - 1)
+                part = batch.slice(first, last - first)
+                texts = part.column(place).to_pylist()
+                work = _encoder(shared)
+                ids = work.encode(texts)
+                columns, names = [*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, ids_col]
+                if check_col:
+                    same = [x == (None if t is None else t.replace(SPACE, " ")) for x, t in zip(work.decode(ids), texts)]
+                    columns.append(pa.array(same, pa.bool_()))
+                    names.append(check_col)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                first = last
+
+    return docs.mapInArrow(run, schema)
