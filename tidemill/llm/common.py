@@ -79,3 +79,38 @@ def contiguous_groups(batches, keys: list[str]):
         held = [pdf.iloc[start:]]
     if held:
         yield pd.concat(held, ignore_index=True)
+
+
+_ARROW_TYPES = {"int": "int32", "long": "int64", "double": "float64", "string": "string", "binary": "binary", "boolean": "bool"}
+
+
+def in_slices(work, schema: str, text_col: str, most_bytes: int = 1 << 22):
+    """A function for ``mapInArrow`` that feeds ``work`` pandas frames of bounded text.
+
+    Arrow batches have a fixed number of rows, so long texts make them large; ``work``
+    iterates over frames of about ``most_bytes`` of text and yields frames with the columns of
+    ``schema`` (names and types, comma-separated).
+    """
+    names = [tuple(c.split()) for c in schema.split(",")]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = pa.schema([(n, pa.type_for_alias(_ARROW_TYPES[t])) for n, t in names])
+
+        def frames():
+            for batch in batches:
+                sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text_col))).fill_null(0)
+                ends = np.append(0, np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)))
+                first = 0
+                while first < batch.num_rows:
+                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + most_bytes, side="right")) - 1)
+                    yield batch.slice(first, last - first).to_pandas()
+                    first = last
+
+        for pdf in work(frames()):
+            yield pa.RecordBatch.from_pandas(pdf, out, preserve_index=False)
+
+    return run

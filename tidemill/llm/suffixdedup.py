@@ -29,12 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, shared_dir
+from tidemill.llm.common import in_slices, materialize, shared_dir
 
 WINDOW = 50
 GRAM = 24
 #: Bytes of text for one bucket or range of grams.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 #: A gram is hot beyond this many occurrences, or beyond all occurrences / HOT_GRAMS if that is more.
 HOT_LEAST = 1024
 HOT_GRAMS = 1_000_000
@@ -42,7 +42,7 @@ _POSITION_BITS = np.uint64(22)
 _POSITIONS = np.uint64((1 << 22) - 1)
 _PIECE = 1 << 20
 _CHUNK = 1 << 17
-_FLUSH_BYTES = 24 << 20
+_FLUSH_BYTES = 8 << 20
 _STEP = 128  # a range of at most 127 bytes packs as start * 128 + length
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -346,7 +346,8 @@ def _shared_grams(docs: DataFrame, parts: int) -> DataFrame:
             hot = total > HOT_LEAST
             yield pd.DataFrame({"kind": 1, "doc": 0, "gram": distinct[hot].astype(np.int64), "n": total[hot]})
 
-    packed = docs.mapInPandas(count, "part int, payload binary")
+    schema = "part int, payload binary"
+    packed = docs.mapInArrow(in_slices(count, schema, "_text"), schema)
     spread = packed.repartition(parts, "part").sortWithinPartitions("part")
     return materialize(spread.mapInPandas(answer, "kind int, doc long, gram long, n long"), "shared-grams")
 
@@ -403,7 +404,8 @@ def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                     payload = _pack(grams[mine], lens, body, (place[where[uses]] - edges[p]).astype(np.uint32), doc[uses], at[uses])
                     yield pd.DataFrame({"part": [p], "payload": [payload], "w1": [0], "w2": [0], "doc": [0], "start": [0]})
 
-    return docs.mapInPandas(collect, "part int, payload binary, w1 long, w2 long, doc long, start long")
+    schema = "part int, payload binary, w1 long, w2 long, doc long, start long"
+    return docs.mapInArrow(in_slices(collect, schema, "_text"), schema)
 
 
 def _cover_contexts(packed: DataFrame, parts: int) -> DataFrame:
