@@ -8,13 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import ann, exactdedup, langid, pii, simhash, spm, suffixdedup
+from tidemill.llm import ann, exactdedup, langid, pii, quality, simhash, spm, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs), score_col="score", label_col="weak_label")
+    return scored.select("doc_id", "score", "weak_label", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -64,7 +70,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_language_id, op4_sentencepiece, op5_pii, op6_ann, op7_simhash_neardup, op9_exact_dedup, op10_suffix_dedup)
+    found = (op1_quality, op2_language_id, op4_sentencepiece, op5_pii, op6_ann, op7_simhash_neardup, op9_exact_dedup, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
