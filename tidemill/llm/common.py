@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -94,7 +95,6 @@ def in_slices(work, schema: str, text_col: str, most_bytes: int = 1 << 22):
     names = [tuple(c.split()) for c in schema.split(",")]
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -114,3 +114,64 @@ def in_slices(work, schema: str, text_col: str, most_bytes: int = 1 << 22):
             yield pa.RecordBatch.from_pandas(pdf, out, preserve_index=False)
 
     return run
+
+
+def bucketed(docs: DataFrame, buckets: int, column: str) -> DataFrame:
+    """``docs`` as a table bucketed by ``column``, so that joins on it don't shuffle the texts."""
+    spark = docs.sparkSession
+    name = f"tidemill_{uuid.uuid4().hex}"
+    writer = docs.write.bucketBy(buckets, column).option("compression", "zstd")
+    writer.option("path", f"{shared_dir(spark)}/tidemill/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def text_bytes(column):
+    """An expression for the total of UTF-8 bytes, for sizing partitions."""
+    from pyspark.sql import functions as F
+
+    return F.sum(F.octet_length(column).cast("long"))
+
+
+def pack(*arrays) -> bytes:
+    """Numpy arrays as one compressed string."""
+    import zstandard
+
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.num, len(a)))], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+
+
+_KINDS = {np.dtype(k).num: np.dtype(k) for k in (np.uint8, np.uint16, np.uint32, np.int64, np.uint64)}
+
+
+def unpack(raw: bytes) -> list[np.ndarray]:
+    """The arrays of :func:`pack`."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head = np.frombuffer(data, np.int64, 2 * n, 8)
+    at, out = 8 + 16 * n, []
+    for k, size in head.reshape(-1, 2):
+        kind = _KINDS[int(k)]
+        out.append(np.frombuffer(data, kind, int(size), at))
+        at += int(size) * kind.itemsize
+    return out
+
+
+def by_key(batches, key: str):
+    """(key, payloads) of a partition sorted by ``key``."""
+    at, held = None, []
+    for pdf in batches:
+        for k, p in zip(pdf[key], pdf["payload"]):
+            if held and k != at:
+                yield at, held
+                held = []
+            at = k
+            held.append(p)
+    if held:
+        yield at, held
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)

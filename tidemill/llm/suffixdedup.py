@@ -22,14 +22,12 @@ anchors.  The steps:
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import in_slices, materialize, shared_dir
+from tidemill.llm.common import bucketed, by_key, in_slices, materialize, pack, ragged, text_bytes, unpack
 
 WINDOW = 50
 GRAM = 24
@@ -43,6 +41,7 @@ _POSITIONS = np.uint64((1 << 22) - 1)
 _PIECE = 1 << 20
 _CHUNK = 1 << 17
 _FLUSH_BYTES = 8 << 20
+_SOME_CONTEXTS = 8192
 _STEP = 128  # a range of at most 127 bytes packs as start * 128 + length
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -210,31 +209,7 @@ def _covered(kmer, contexts: list[bytes], first_doc: np.ndarray, window: int):
     return ctx[row], offset[row], length
 
 
-# ---- packed arrays ----------------------------------------------------------------------------
-
-
-def _pack(*arrays) -> bytes:
-    import zstandard
-
-    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.num, len(a)))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
-
-
-_KINDS = {np.dtype(k).num: np.dtype(k) for k in (np.uint8, np.uint16, np.uint32, np.int64, np.uint64)}
-
-
-def _unpack(raw: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    head = np.frombuffer(data, np.int64, 2 * n, 8)
-    at, out = 8 + 16 * n, []
-    for k, size in head.reshape(-1, 2):
-        kind = _KINDS[int(k)]
-        out.append(np.frombuffer(data, kind, int(size), at))
-        at += int(size) * kind.itemsize
-    return out
+# ---- batches ------------------------------------------------------------------------------------
 
 
 def _flushes(batches, extra: str | None = None):
@@ -256,38 +231,9 @@ def _flushes(batches, extra: str | None = None):
         yield np.array(ids, np.int64), texts, more
 
 
-def _by_key(batches, key: str):
-    """(key, payloads) of a partition sorted by ``key``."""
-    at, held = None, []
-    for pdf in batches:
-        for k, p in zip(pdf[key], pdf["payload"]):
-            if held and k != at:
-                yield at, held
-                held = []
-            at = k
-            held.append(p)
-    if held:
-        yield at, held
-
-
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one range after another."""
-    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-
-
 # ---- the steps as Spark jobs --------------------------------------------------------------------
 
 
-def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    """The documents as a table bucketed by id, with two hashes of the text."""
-    spark = docs.sparkSession
-    name = f"tidemill_{uuid.uuid4().hex}"
-    keyed = docs.withColumns({"_h1": F.xxhash64("_text"), "_h2": F.xxhash64(F.lit("second half"), F.col("_text"))})
-    writer = keyed.write.bucketBy(buckets, "_id").option("compression", "zstd").option("path", f"{shared_dir(spark)}/tidemill/{name}")
-    writer.saveAsTable(name)
-    return spark.table(name)
-
-
 def _later_copies(table: DataFrame) -> DataFrame:
     """Ids of documents whose whole text an earlier one has; a copied text combines before it shuffles."""
     keys = ["_h1", "_h2"]
@@ -323,14 +269,14 @@ def _shared_grams(docs: DataFrame, parts: int) -> DataFrame:
                 several = head[(head >= a) & (head < b) & (n > 1)]
                 counts = n[np.searchsorted(head, several)]
                 used, at = np.unique(owner[a:b][one], return_inverse=True)
-                yield pd.DataFrame({"part": [p], "payload": [_pack(grams[a:b][one], at.astype(np.uint32), ids[used], grams[several], counts.astype(np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64))]})
+                yield pd.DataFrame({"part": [p], "payload": [pack(grams[a:b][one], at.astype(np.uint32), ids[used], grams[several], counts.astype(np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64))]})
                 if not one.all():  # known to be shared: these documents need no answer from other tasks
                     none = np.zeros(0, np.uint64)
-                    yield pd.DataFrame({"part": [(p + turn) % parts], "payload": [_pack(none, none.astype(np.uint32), none.astype(np.int64), none, none.astype(np.uint32), grams[a:b][~one], ids[owner[a:b][~one]])]})
+                    yield pd.DataFrame({"part": [(p + turn) % parts], "payload": [pack(none, none.astype(np.uint32), none.astype(np.int64), none, none.astype(np.uint32), grams[a:b][~one], ids[owner[a:b][~one]])]})
 
     def answer(batches):
-        for _, payloads in _by_key(batches, "part"):
-            rows = [_unpack(p) for p in payloads]
+        for _, payloads in by_key(batches, "part"):
+            rows = [unpack(p) for p in payloads]
             grams = np.concatenate([r[0] for r in rows] + [r[3] for r in rows])
             counts = np.concatenate([np.ones(sum(len(r[0]) for r in rows), np.int64)] + [r[4].astype(np.int64) for r in rows])
             order = np.argsort(grams, kind="stable")
@@ -372,7 +318,7 @@ def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                     heated = keep & (busy[np.minimum(np.searchsorted(busy, grams), len(busy) - 1)] == grams)
                     if heated.any():
                         size = last[heated] - first[heated] + 1
-                        start = _ragged(first[heated], size)
+                        start = ragged(first[heated], size)
                         yield pd.DataFrame({
                             "part": -1, "payload": None, "w1": gram_hashes(data, WINDOW)[start].astype(np.int64),
                             "w2": gram_hashes(data, WINDOW, _OTHER_VALUES)[start].astype(np.int64),
@@ -401,7 +347,7 @@ def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                 if len(mine):
                     lens = np.array([len(bodies[k]) for k in mine], np.uint8)
                     body = np.frombuffer(b"".join([bodies[k] for k in mine]), np.uint8)
-                    payload = _pack(grams[mine], lens, body, (place[where[uses]] - edges[p]).astype(np.uint32), doc[uses], at[uses])
+                    payload = pack(grams[mine], lens, body, (place[where[uses]] - edges[p]).astype(np.uint32), doc[uses], at[uses])
                     yield pd.DataFrame({"part": [p], "payload": [payload], "w1": [0], "w2": [0], "doc": [0], "start": [0]})
 
     schema = "part int, payload binary, w1 long, w2 long, doc long, start long"
@@ -412,11 +358,11 @@ def _cover_contexts(packed: DataFrame, parts: int) -> DataFrame:
     """(doc, code): ranges that an earlier document has, as start * 128 + length."""
 
     def cover(batches):
-        for _, payloads in _by_key(batches, "part"):
+        for _, payloads in by_key(batches, "part"):
             contexts: dict[tuple[int, bytes], int] = {}
             use, docs, starts = [], [], []
             for p in payloads:
-                grams, lens, body, which, doc, at = _unpack(p)
+                grams, lens, body, which, doc, at = unpack(p)
                 body, ends = body.tobytes(), np.cumsum(lens.astype(np.int64)).tolist()
                 place = np.array([contexts.setdefault((g, body[e - n : e]), len(contexts)) for g, e, n in zip(grams.tolist(), ends, lens.tolist())])
                 use.append(place[which])
@@ -436,13 +382,16 @@ def _cover_contexts(packed: DataFrame, parts: int) -> DataFrame:
             mixed = order[np.repeat(size > 1, size)]
             if not len(mixed):
                 continue
-            ctx, offset, length = _covered(grams[mixed], [bodies[k] for k in mixed], first[mixed], WINDOW)
-            if len(ctx):
-                ctx = mixed[ctx]
-                early = np.flatnonzero(~later)
-                early = early[np.argsort(use[early], kind="stable")]
+            early = np.flatnonzero(~later)
+            early = early[np.argsort(use[early], kind="stable")]
+            cuts = np.flatnonzero(np.append(True, grams[mixed][1:] != grams[mixed][:-1]))
+            cuts = [*cuts[np.append(True, np.diff(cuts // _SOME_CONTEXTS) > 0)], len(mixed)]
+            for a, b in zip(cuts, cuts[1:]):  # whole grams, some thousand contexts at a time
+                some = mixed[a:b]
+                ctx, offset, length = _covered(grams[some], [bodies[k] for k in some], first[some], WINDOW)
+                ctx = some[ctx]
                 low, high = np.searchsorted(use[early], ctx), np.searchsorted(use[early], ctx, side="right")
-                pick = early[_ragged(low, high - low)]
+                pick = early[ragged(low, high - low)]
                 again = high - low
                 out = pd.DataFrame({"doc": docs[pick], "code": (starts[pick] + np.repeat(offset, again)) * _STEP + np.repeat(length, again)})
                 yield out.drop_duplicates()
@@ -478,9 +427,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    size = source.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+    size = source.agg(text_bytes("_text")).first()[0] or 0
     parts = partitions or int(min(max(size // PART_BYTES, 4), 1 << 16))
-    table = _bucketed(source, parts)
+    buckets = max(parts // 5, 4)  # a table's buckets can be larger than what one task holds in arrays
+    table = bucketed(source.withColumns({"_h1": F.xxhash64("_text"), "_h2": F.xxhash64(F.lit("second half"), F.col("_text"))}), buckets, "_id")
     copies = _later_copies(table)
     texts = table.where("_id is not null").select("_id", "_text").join(copies, "_id", "left_anti")
     answers = _shared_grams(texts, parts)
