@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import ann, exactdedup, langid, pii, quality, simhash, spm, suffixdedup
+from tidemill.llm import ann, exactdedup, langid, linededup, pii, quality, simhash, spm, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, F.col("text"), ["doc_id", "held_out"], langid.train(labelled))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = linededup.drop_repeated_lines(docs, counts=True)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 #: The public 32,000-piece model; give another path to use another one.
 PIECES = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -70,7 +76,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_language_id, op4_sentencepiece, op5_pii, op6_ann, op7_simhash_neardup, op9_exact_dedup, op10_suffix_dedup)
+    found = (op1_quality, op2_language_id, op3_line_dedup, op4_sentencepiece, op5_pii, op6_ann, op7_simhash_neardup, op9_exact_dedup, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
