@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import ann, exactdedup, langid, linededup, pii, quality, simhash, spm, suffixdedup
+from tidemill.llm import ann, exactdedup, langid, linededup, mixing, pii, quality, simhash, spm, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,28 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+#: Target shares of the mixture query.  Sources beyond these keep their totals.
+SOURCE_SHARES = {"src0": 0.10} | {f"src{i}": 0.90 / 19 for i in range(1, 20)}
+LANG_SHARES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+TOPIC_SHARES = {"contact": 0.05, "table": 0.02, "licence": 0.08, "short": 0.05, "prose": 0.8}
+TOPIC = """CASE WHEN text LIKE '%@%' THEN 'contact' WHEN text LIKE '%| %' THEN 'table'
+    WHEN text LIKE '%icense%' THEN 'licence' WHEN length(text) < 400 THEN 'short' ELSE 'prose' END"""
+WORDS = "length(text) - length(replace(text, ' ', '')) + 1"
+MIX_ROUNDS = 60
+
+
+def mix(docs: DataFrame, share: float, **options) -> DataFrame:
+    """The mixture of the registered query: words by source, language and topic."""
+    parts = [F.col("source"), F.col("lang"), F.expr(TOPIC)]
+    return mixing.sample_mixture(docs, parts, [SOURCE_SHARES, LANG_SHARES, TOPIC_SHARES], F.expr(WORDS), share, rounds=MIX_ROUNDS, **options)
+
+
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    found = mix(docs, 0.5, chance_col="chance")
+    return found.select("doc_id", "source", "lang", F.expr(TOPIC).alias("topic"), F.round("chance", 6).alias("chance"), "sampled")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -76,15 +98,65 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_language_id, op3_line_dedup, op4_sentencepiece, op5_pii, op6_ann, op7_simhash_neardup, op9_exact_dedup, op10_suffix_dedup)
+    found = (op1_quality, op2_language_id, op3_line_dedup, op4_sentencepiece, op5_pii, op6_ann, op7_simhash_neardup, op8_mixture, op9_exact_dedup, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _values(shares: dict[str, float]) -> str:
+    return ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in shares.items())
+
+
+def _goal(part: str, shares: dict[str, float]) -> str:
+    """The goals of one marginal: its value, and the total that raking aims at."""
+    return f"""
+        {part}_have AS (SELECT {part}, sum(size) AS have FROM cells GROUP BY {part}),
+        {part}_goal AS (
+            SELECT h.{part}, s.share * (SELECT sum(have) FROM {part}_have h2 WHERE h2.{part} IN (SELECT v FROM {part}_shares))
+                / sum(s.share) OVER () AS goal
+            FROM {part}_have h JOIN {part}_shares s ON h.{part} = s.v),"""
+
+
+def _scaled(inner: str, old: str, new: str, part: str) -> str:
+    return f"SELECT t.*, t.{old} * coalesce(g.goal / sum(t.size * t.{old}) OVER (PARTITION BY t.{part}), 1) AS {new} FROM ({inner}) t LEFT JOIN {part}_goal g ON t.{part} = g.{part}"
+
+
+def _mixture_sql(share: float) -> str:
+    marginals = {"source": SOURCE_SHARES, "lang": LANG_SHARES, "topic": TOPIC_SHARES}
+    step = f"SELECT i, source, lang, topic, size, w FROM raked WHERE i < {MIX_ROUNDS}"
+    for n, part in enumerate(marginals):
+        step = _scaled(step, "w" if n == 0 else f"w{n}", f"w{n + 1}", part)
+    return f"""
+        WITH RECURSIVE docs AS (SELECT doc_id, source, lang, {TOPIC} AS topic, ({WORDS})::DOUBLE AS size FROM documents),
+        cells AS (SELECT source, lang, topic, sum(size) AS size FROM docs GROUP BY ALL),
+        {" ".join(f"{p}_shares(v, share) AS (VALUES {_values(s)})," for p, s in marginals.items())}
+        {"".join(_goal(p, s) for p, s in marginals.items())}
+        raked AS (
+            SELECT 0 AS i, source, lang, topic, size, 1.0::DOUBLE AS w FROM cells
+            UNION ALL
+            SELECT i + 1, source, lang, topic, size, w3 FROM ({step})),
+        done AS (SELECT * FROM raked WHERE i = {MIX_ROUNDS}),
+        ranked AS (
+            SELECT *, coalesce(sum(size) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                sum(size * w) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+            FROM done),
+        factors AS (SELECT *, ({share!r} * (SELECT sum(size) FROM cells) - before) / rest AS factor FROM ranked),
+        chosen AS (SELECT max(w) AS top FROM factors WHERE factor * w < 1),
+        chances AS (
+            SELECT source, lang, topic, CASE WHEN w > (SELECT top FROM chosen) THEN 1.0
+                ELSE w * (SELECT max(factor) FROM factors WHERE w = (SELECT top FROM chosen)) END AS chance
+            FROM done)
+        SELECT d.doc_id, d.source, d.lang, d.topic, round(c.chance, 6) AS chance,
+            ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < c.chance AS sampled
+        FROM docs d JOIN chances c ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang AND d.topic = c.topic
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_mixture": _mixture_sql(0.5),
         "op9_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {_FOLD} AS body FROM documents),
                  g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
