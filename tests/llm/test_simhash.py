@@ -74,6 +74,41 @@ def test_clustered_fingerprints_with_small_trees(spark):
         assert {v: groups.get(v, v) for v in signed} == label
 
 
+def shingles(text, n=5):
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} or {b" ".join(words)}
+
+
+def test_near_duplicates_by_similarity(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = []
+    for k in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 300))]
+        texts.append((k, " ".join(base)))
+        for _ in range(k % 3):
+            copy = list(base)
+            for _ in range(max(1, len(base) // 120)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append((k, " ".join(copy).upper()))
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(900, None), (901, ""), (None, texts[0][1])]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, fp int")
+    group = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(docs).collect()}
+    same = caught = 0
+    for i, (k, t) in enumerate(texts):
+        for j in range(i):
+            a, b = shingles(t), shingles(texts[j][1])
+            if len(a & b) >= 0.85 * len(a | b):
+                same, caught = same + 1, caught + (group[i] == group[j])
+            elif len(a & b) < 0.5 * len(a | b):
+                assert group[i] != group[j]
+    assert same > 30 and caught >= 0.95 * same and group[901] == 900 and group[None] == 0
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({g for g in group.values()})
+
+
 def test_empty_table(spark):
+    assert simhash.near_duplicate_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert shared_dir(spark)

@@ -106,43 +106,57 @@ def _forest(tree_values, query_values, radius: int) -> list[tuple[int, int]]:
     return [(v, r) for v in parent if (r := find(v)) != v]
 
 
-def fingerprint_links(prints: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE) -> DataFrame:
-    """``prints`` (fp: long, distinct) to links (a, b) that connect all fingerprints within ``radius`` of each other."""
-    count = radius + 2
-    edges = [64 * i // count for i in range(count + 1)]
-    mask = lambda i: (1 << (edges[i + 1] - edges[i])) - 1
-    block = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit(mask(i)))
-    shards = F.array(*[
-        F.struct(F.lit(n).alias("shard"), (F.shiftleft(block(i), 32) + block(j)).alias("value"))
-        for n, (i, j) in enumerate(combinations(range(count), 2))
-    ])
-    rows = prints.select("fp", F.inline(shards))
+def _shard_links(rows: DataFrame, values: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """Links (a, b) of nodes within ``radius``, for ``rows`` (shard, value, node) and ``values`` (node, fp).
+
+    Shards with one node are left out before fingerprints are fetched.
+    """
     keys = ["shard", "value"]
     sizes = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
     trees = F.ceil(F.col("n") / tree_size)
-    own = F.pmod(F.xxhash64("fp"), trees)
+    own = F.pmod(F.xxhash64("node"), trees)
     dealt = (
         rows.join(sizes, keys)
-        .select(*keys, "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("other"))
-        .select(*keys, F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("block"), "own", "fp")
+        .select(*keys, "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("other"))
+        .select(*keys, F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("block"), "own", "node")
     )
+    dealt = dealt.join(values, "node")
     group = [*keys, "tree", "block"]
 
     def search(batches):
         for pdf in contiguous_groups(batches, group):
             found = []
             for (_, _, tree, block), part in pdf.groupby(group, sort=False):
-                values = (part["fp"].astype("uint64")).tolist()
+                if isinstance(part["fp"].iloc[0], bytes):
+                    marks = [int.from_bytes(v, "little") for v in part["fp"]]
+                else:
+                    marks = part["fp"].astype("uint64").tolist()
+                node = dict(zip(marks, part["node"].tolist()))
                 if tree == block:
-                    found += _forest(values, values, radius)
+                    pairs = _forest(marks, marks, radius)
                 else:
                     inside = (part["own"] == tree).tolist()
-                    found += _forest([v for v, t in zip(values, inside) if t], [v for v, t in zip(values, inside) if not t], radius)
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="uint64").astype("int64")
+                    pairs = _forest([v for v, t in zip(marks, inside) if t], [v for v, t in zip(marks, inside) if not t], radius)
+                found += [(node[x], node[y]) for x, y in pairs]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(search, "a long, b long")
 
 
+def fingerprint_links(prints: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE) -> DataFrame:
+    """``prints`` (fp: long, distinct) to links (a, b) that connect all fingerprints within ``radius`` of each other."""
+    count = radius + 2
+    edges = [64 * i // count for i in range(count + 1)]
+    mask = lambda i: (1 << (edges[i + 1] - edges[i])) - 1
+    block = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit(mask(i)))
+    shards = F.array(*[
+        F.struct(F.lit(n).alias("shard"), (F.shiftleft(block(i), 32) + block(j)).alias("value"))
+        for n, (i, j) in enumerate(combinations(range(count), 2))
+    ])
+    rows = prints.select(F.col("fp").alias("node"), F.inline(shards))
+    return _shard_links(rows, prints.select(F.col("fp").alias("node"), "fp"), radius, tree_size)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, tree_size: int = TREE_SIZE) -> DataFrame:
     """One row per input row: the id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -162,3 +176,78 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(table, "fp").select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# ---- near-duplicates by similarity ----------------------------------------------------------
+
+WIDE_BITS = 256
+#: Share of bits that may differ for a Jaccard similarity of 0.8: the expected share
+#: acos(2 * 0.8 / 1.8) / pi = 0.151 and nearly 1.3 standard deviations at 256 bits.
+WIDE_RADIUS = 46
+#: How often a pair of that similarity must fall into a common shard.
+WIDE_RECALL = 0.95
+
+
+def wide_fingerprint(text: str | None, words: int) -> bytes:
+    """SimHash of 256 bits of the word shingles of a text, by the rules of :func:`fingerprint`."""
+    from xxhash import xxh3_128_digest
+
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return bytes(WIDE_BITS // 8)
+    shingles = list(map(b" ".join, zip(*(parts[i:] for i in range(words))))) or [b" ".join(parts)]
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for i in range(0, len(shingles), 1 << 14):
+        some = shingles[i : i + (1 << 14)]
+        raw = b"".join([xxh3_128_digest(x, 1) + xxh3_128_digest(x, 2) for x in some])
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """One row per input row: the id and ``group_id``, the least id of its near-duplicates.
+
+    Documents are linked if their 256-bit fingerprints over shingles of ``words`` words differ
+    in at most ``WIDE_RADIUS`` bits, which estimates a Jaccard similarity of 0.8 or more.
+    Shards are keyed by samples of bits whose number grows with the logarithm of the number of
+    fingerprints, and there are as many samples as ``WIDE_RECALL`` needs.  Null, empty and
+    repeated rows are treated as by :func:`simhash_components`.
+    """
+
+    @F.pandas_udf("binary")
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, words) for t in texts], dtype=object)
+
+    prints = docs.select(F.col(id_col).alias("_id"), wide(F.col(text_col)).alias("fp"))
+    prints = materialize(prints, "wide-prints")
+    distinct = prints.groupBy("fp").agg(F.min("_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    distinct = materialize(distinct, "wide-distinct")
+    bits = max(12, int(distinct.count()).bit_length())
+    chance = (1 - float(np.arccos(1.6 / 1.8) / np.pi)) ** bits
+    tables = int(np.ceil(np.log(1 - WIDE_RECALL) / np.log1p(-chance)))
+    chosen = np.stack([np.random.default_rng([11, t]).permutation(WIDE_BITS)[:bits] for t in range(tables)])
+
+    @F.pandas_udf("array<long>")
+    def shard_values(values: pd.Series) -> pd.Series:
+        flags = np.unpackbits(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+        keys = np.zeros((len(values), tables), np.int64)
+        for i in range(bits):
+            keys = keys * 2 + flags[:, chosen[:, i]]
+        return pd.Series(list(keys), dtype=object)
+
+    rows = distinct.select("node", F.posexplode(shard_values("fp")).alias("shard", "value"))
+    links = _shard_links(materialize(rows, "wide-shards"), distinct.select("node", "fp"), WIDE_RADIUS, TREE_SIZE)
+    roots = connected_components(links)
+    owned = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "least")
+    owned = materialize(owned, "wide-roots")
+    least = materialize(owned.groupBy("root").agg(F.min("least").alias("group_id")), "wide-groups")
+    table = materialize(owned.join(least, "root").select("fp", "group_id"), "wide-members")
+    return prints.join(table, "fp").select(F.col("_id").alias(id_col), "group_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """``docs`` with all columns, but of each group of near-duplicates only the row of least id."""
+    groups = near_duplicate_groups(docs, id_col, text_col, words)
+    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("group_id"))).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
