@@ -15,8 +15,8 @@ anchors.  The steps:
    different bytes before them (or an edge) are the maximal repeat groups, with all
    occurrences.
 5. The few grams with very many occurrences (at most ``HOT_GRAMS`` by the threshold's
-   definition) don't meet in one task: their windows are aggregated by hash of the window,
-   which combines before it shuffles.
+   definition) don't meet in one task: their windows are spread by hash of the window, each
+   combined within its batch first.
 6. Covered ranges go back to the documents by id.
 """
 
@@ -42,7 +42,7 @@ _PIECE = 1 << 20
 _CHUNK = 1 << 17
 _FLUSH_BYTES = 8 << 20
 _SOME_CONTEXTS = 8192
-_STEP = 128  # a range of at most 127 bytes packs as start * 128 + length
+_STEP = 1 << 20  # a range of bytes packs as start * _STEP + length
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -298,8 +298,28 @@ def _shared_grams(docs: DataFrame, parts: int) -> DataFrame:
     return materialize(spread.mapInPandas(answer, "kind int, doc long, gram long, n long"), "shared-grams")
 
 
+def _merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, code) of ranges, those of a document that touch made one, in pieces that a code can hold."""
+    order = np.lexsort((start, doc))
+    doc, start, size = doc[order], start[order], size[order]
+    if not len(doc):
+        return doc, start
+    group = np.cumsum(np.append(0, doc[1:] != doc[:-1]))
+    far = np.int64(1) << 42  # beyond any position, so that groups stay apart
+    reach = np.maximum.accumulate(start + size + group * far)
+    new = np.append(True, (start + group * far)[1:] > reach[:-1])
+    new |= np.append(False, (start[1:] >> 18) != (start[:-1] >> 18))
+    heads = np.flatnonzero(new)
+    stop = np.maximum.reduceat(start + size, heads)
+    return doc[heads], start[heads] * _STEP + stop - start[heads]
+
+
 def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """Packed contexts of shared anchors by range of the gram (part >= 0), and windows of hot grams (part -1)."""
+    """Packed rows by range of the gram: contexts of shared anchors, windows of hot grams by range of their hash, and known ranges.
+
+    What an earlier document of the same batch has is known to go and travels as merged
+    ranges; only the first document of a context or window needs to meet other batches.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def collect(batches):
@@ -307,7 +327,7 @@ def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         for ids, texts, wanted in _flushes(batches, "_grams"):
             wanted = [np.sort(np.asarray(w, np.int64).view(np.uint64)) for w in wanted]
             contexts: dict[tuple[int, bytes], int] = {}
-            where, doc, at = [], [], []
+            where, doc, at, heat = [], [], [], []
             for data, owner, grams, first, last, shift in anchors(texts):
                 keep = np.zeros(len(grams), bool)
                 cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else []
@@ -319,22 +339,34 @@ def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                     if heated.any():
                         size = last[heated] - first[heated] + 1
                         start = ragged(first[heated], size)
-                        yield pd.DataFrame({
-                            "part": -1, "payload": None, "w1": gram_hashes(data, WINDOW)[start].astype(np.int64),
-                            "w2": gram_hashes(data, WINDOW, _OTHER_VALUES)[start].astype(np.int64),
-                            "doc": np.repeat(ids[owner[heated]], size), "start": start + np.repeat(shift[heated], size),
-                        })
+                        heat.append((gram_hashes(data, WINDOW)[start], gram_hashes(data, WINDOW, _OTHER_VALUES)[start], np.repeat(ids[owner[heated]], size), start + np.repeat(shift[heated], size)))
                         keep &= ~heated
                 raw = data.tobytes()
                 for k in np.flatnonzero(keep).tolist():
                     where.append(contexts.setdefault((int(grams[k]), raw[first[k] : last[k] + WINDOW]), len(contexts)))
                 doc.append(ids[owner[keep]])
                 at.append(first[keep] + shift[keep])
-            if not where:
-                continue
+            none = np.zeros(0, np.int64)
+            doc, at, where = (np.concatenate(x) if x else none for x in (doc, at, [np.array(where, np.int64)]))
             grams = np.array([g for g, _ in contexts], np.uint64)
             bodies = [c for _, c in contexts]
-            where, doc, at = np.array(where), np.concatenate(doc), np.concatenate(at)
+            sizes = np.array([len(c) for c in bodies], np.int64)
+            least = np.full(len(bodies), np.iinfo(np.int64).max)
+            np.minimum.at(least, where, doc)
+            later = doc > least[where]
+            known_doc, known_at, known_size = [doc[later]], [at[later]], [sizes[where[later]]]
+            doc, at, where = doc[~later], at[~later], where[~later]
+            w1, w2, wdoc, wat = (np.concatenate(x) for x in zip(*heat)) if heat else (none.astype(np.uint64), none.astype(np.uint64), none, none)
+            if len(w1):
+                order = np.lexsort((wdoc, w2, w1))
+                w1, w2, wdoc, wat = w1[order], w2[order], wdoc[order], wat[order]
+                first = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
+                later = wdoc > wdoc[np.maximum.accumulate(np.where(first, np.arange(len(w1)), 0))]
+                known_doc.append(wdoc[later])
+                known_at.append(wat[later])
+                known_size.append(np.full(int(later.sum()), WINDOW))
+                w1, w2, wdoc, wat = w1[~later], w2[~later], wdoc[~later], wat[~later]
+            known_doc, known_code = _merged(*(np.concatenate(x) for x in (known_doc, known_at, known_size)))
             part = (grams >> np.uint64(32)).astype(np.int64) * parts >> 32
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -342,15 +374,17 @@ def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             cuts = np.searchsorted(part[where][by_part], np.arange(parts + 1))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
+            heated = np.searchsorted((w1 >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1))
             for p in range(parts):
-                mine, uses = order[edges[p] : edges[p + 1]], by_part[cuts[p] : cuts[p + 1]]
-                if len(mine):
-                    lens = np.array([len(bodies[k]) for k in mine], np.uint8)
-                    body = np.frombuffer(b"".join([bodies[k] for k in mine]), np.uint8)
-                    payload = pack(grams[mine], lens, body, (place[where[uses]] - edges[p]).astype(np.uint32), doc[uses], at[uses])
-                    yield pd.DataFrame({"part": [p], "payload": [payload], "w1": [0], "w2": [0], "doc": [0], "start": [0]})
-
-    schema = "part int, payload binary, w1 long, w2 long, doc long, start long"
+                mine, uses, hot = order[edges[p] : edges[p + 1]], by_part[cuts[p] : cuts[p + 1]], slice(heated[p], heated[p + 1])
+                told = slice(None) if p == int(ids[0]) % parts else slice(0)
+                lens = sizes[mine].astype(np.uint8)
+                body = np.frombuffer(b"".join([bodies[k] for k in mine]), np.uint8)
+                arrays = (grams[mine], lens, body, (place[where[uses]] - edges[p]).astype(np.uint32), doc[uses], at[uses], w1[hot], w2[hot], wdoc[hot], wat[hot], known_doc[told], known_code[told])
+                if any(map(len, arrays)):
+                    yield pd.DataFrame({"part": [p], "payload": [pack(*arrays)]})
+
+    schema = "part int, payload binary"
     return docs.mapInArrow(in_slices(collect, schema, "_text"), schema)
 
 
@@ -361,13 +395,25 @@ def _cover_contexts(packed: DataFrame, parts: int) -> DataFrame:
         for _, payloads in by_key(batches, "part"):
             contexts: dict[tuple[int, bytes], int] = {}
             use, docs, starts = [], [], []
+            windows = []
             for p in payloads:
-                grams, lens, body, which, doc, at = unpack(p)
+                grams, lens, body, which, doc, at, *hot, known_doc, known_code = unpack(p)
+                windows.append(hot)
+                if len(known_doc):
+                    yield pd.DataFrame({"doc": known_doc, "code": known_code})
                 body, ends = body.tobytes(), np.cumsum(lens.astype(np.int64)).tolist()
-                place = np.array([contexts.setdefault((g, body[e - n : e]), len(contexts)) for g, e, n in zip(grams.tolist(), ends, lens.tolist())])
+                place = np.array([contexts.setdefault((g, body[e - n : e]), len(contexts)) for g, e, n in zip(grams.tolist(), ends, lens.tolist())], np.int64)
                 use.append(place[which])
                 docs.append(doc)
                 starts.append(at)
+            w1, w2, wdoc, wat = (np.concatenate(x) for x in zip(*windows))
+            if len(w1):
+                order = np.lexsort((wdoc, w2, w1))
+                w1, w2, wdoc, wat = w1[order], w2[order], wdoc[order], wat[order]
+                head = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
+                later = wdoc > wdoc[np.maximum.accumulate(np.where(head, np.arange(len(w1)), 0))]
+                doc, code = _merged(wdoc[later], wat[later], np.full(int(later.sum()), WINDOW))
+                yield pd.DataFrame({"doc": doc, "code": code})
             use, docs, starts = np.concatenate(use), np.concatenate(docs), np.concatenate(starts)
             grams = np.array([g for g, _ in contexts], np.uint64)
             bodies = [c for _, c in contexts]
@@ -399,14 +445,6 @@ def _cover_contexts(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(cover, "doc long, code long")
 
 
-def _cover_windows(windows: DataFrame) -> DataFrame:
-    """The same for windows of hot grams, by aggregates that combine before they shuffle."""
-    keys = ["w1", "w2"]
-    first = windows.groupBy(*keys).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    first = materialize(first, "hot-windows")
-    return windows.join(first, keys).where("doc > first").select("doc", (F.col("start") * _STEP + WINDOW).alias("code"))
-
-
 def merged_ranges(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Disjoint (starts, stops) that packed ranges cover; ranges that touch are one."""
     codes = np.unique(codes)
@@ -437,9 +475,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = answers.where("kind = 0").count()
     hot = [r["gram"] for r in answers.where((F.col("kind") == 1) & (F.col("n") > max(HOT_LEAST, total // HOT_GRAMS))).select("gram").collect()]
     wanted = answers.where("kind = 0").groupBy(F.col("doc").alias("_id")).agg(F.collect_list("gram").alias("_grams"))
-    packed = materialize(_contexts(texts.join(wanted, "_id"), parts, np.array(hot, np.int64).view(np.uint64)), "contexts")
-    codes = _cover_contexts(packed.where("part >= 0").select("part", "payload"), parts)
-    codes = codes.unionAll(_cover_windows(packed.where("part < 0").select("w1", "w2", "doc", "start")))
+    codes = _cover_contexts(_contexts(texts.join(wanted, "_id"), parts, np.array(hot, np.int64).view(np.uint64)), parts)
     ranges = codes.groupBy(F.col("doc").alias("_id")).agg(F.collect_list("code").alias("_codes"))
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long")
