@@ -9,7 +9,8 @@ and line number, has a Jaccard similarity of at least ``threshold`` with it.  Th
    one.  Words that the sketch has counted once are left out.  Entries meet by word: equal
    sets are settled there, and a set stays a candidate if another passes the length filter,
    the positional filter and a bound by 64-bit signatures.
-3. Words of candidate lines meet again by shared word, and intersections decide.
+3. The words of each candidate and its likeliest partner decide; a candidate with more
+   partners that this doesn't settle is compared with all of its words' groups.
 
 Only entries, candidates and decisions move; texts stay in a table bucketed by id.
 """
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bucketed, by_key, contiguous_groups, in_slices, materialize, pack, text_bytes, unpack
+from tidemill.llm.common import bucketed, by_key, contiguous_groups, in_slices, materialize, pack, ragged, text_bytes, unpack
 
 SKETCH_BITS = 24
 _BLOCKS = 64
@@ -167,110 +168,167 @@ def _entries(docs: DataFrame, sketch, parts: int, threshold: float, least_words:
 
     def work(frames):
         levels = sketch.value
-        for turn, (ids, texts) in enumerate(_flushes(frames)):
-            known: dict[tuple[int, int], int] = {}
-            gone_doc, gone_line, out = [], [], []
+        for ids, texts in _flushes(frames):
+            parts_of, base = [], 0
             for some, data, heads in _chunks(ids, texts):
                 grams, level, first, size, doc, line, key, mark = _line_sets(some, data, heads, levels)
-                for k in np.flatnonzero(size >= least_words)[np.lexsort((line[size >= least_words], doc[size >= least_words]))].tolist():
-                    at = (int(key[k]), int(mark[k]))
-                    if at not in known:
-                        known[at] = len(out)
-                        out.append([grams, level, int(first[k]), int(size[k]), int(doc[k]), int(line[k]), *at])
-                    else:  # ids needn't come in order
-                        had = out[known[at]]
-                        if (int(doc[k]), int(line[k])) < (had[4], had[5]):
-                            gone_doc.append(had[4])
-                            gone_line.append(had[5])
-                            had[4], had[5] = int(doc[k]), int(line[k])
-                        elif (int(doc[k]), int(line[k])) != (had[4], had[5]):  # else a repeated row
-                            gone_doc.append(int(doc[k]))
-                            gone_line.append(int(line[k]))
-            word, owner, place = [], [], []
-            for k, (grams, level, a, n, *_) in enumerate(out):
-                # small sets are similar only if equal: their first word brings them together
-                length = int(n - np.ceil(threshold * n - 1e-9)) + 1 if n > 3 else 1
-                here = np.arange(a, a + length)
-                here = here[level[here] > 0]
-                word.append(grams[here])
-                owner.append(np.full(len(here), k))
-                place.append(here - a)
-            if not out:
-                continue
-            word, owner, place = np.concatenate(word), np.concatenate(owner), np.concatenate(place)
-            facts = np.array([[o[3], o[4], o[5]] for o in out], np.int64)
-            keys = np.array([[o[6], o[7]] for o in out], np.uint64)
+                parts_of.append((grams, level, first + base, size, doc, line, key, mark))
+                base += len(grams)
+            grams, level, first, size, doc, line, key, mark = (np.concatenate(x) for x in zip(*parts_of))
+            order = np.flatnonzero(size >= least_words)
+            order = order[np.lexsort((line[order], doc[order], mark[order], key[order]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            later = (doc[order] != doc[lead]) | (line[order] != line[lead])  # not just a repeated row
+            gone = (doc[order][later], line[order][later])
+            mine = order[new]
+            n = size[mine]
+            # small sets are similar only if equal: their first word brings them together
+            length = np.where(n > 3, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 1)
+            owner, at = np.repeat(mine, length), ragged(first[mine], length)
+            place = at - first[owner]
+            shared = level[at] > 0
+            word, owner, place = grams[at][shared], owner[shared], place[shared]
             order = np.argsort(word)
             word, owner, place = word[order], owner[order], place[order]
-            part = (word >> np.uint64(32)).astype(np.int64) * parts >> 32
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            none = np.zeros(0, np.int64)
+            edges = np.searchsorted((word >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1))
             for p in range(parts):
-                o = owner[edges[p] : edges[p + 1]]
-                mine = p == (int(ids[0]) + turn) % parts
-                if len(o) or mine:
-                    gone = (np.array(gone_doc, np.int64), np.array(gone_line, np.int64)) if mine else (none, none)
-                    payload = pack(word[edges[p] : edges[p + 1]], keys[o, 0], keys[o, 1], facts[o, 0], place[edges[p] : edges[p + 1]], facts[o, 1], facts[o, 2], *gone)
+                o, here = owner[edges[p] : edges[p + 1]], slice(edges[p], edges[p + 1])
+                told = slice(None) if p == int(ids[0]) % parts else slice(0)
+                if len(o) or told.stop is None:
+                    short = (key[o] >> np.uint64(32)).astype(np.uint32)
+                    payload = pack(word[here], short, mark[o], size[o].astype(np.uint32), place[here].astype(np.uint32), doc[o], line[o].astype(np.uint32), gone[0][told], gone[1][told])
                     yield pd.DataFrame({"part": [p], "payload": [payload]})
 
     return docs.mapInArrow(in_slices(work, schema, "_text"), schema)
 
 
-def _partnered(size, place, mark, threshold: float) -> np.ndarray:
-    """Which sets of one word's group may be similar to another of it."""
-    out = np.zeros(len(size), bool)
-    order = np.argsort(size, kind="stable")
-    size, place, mark = size[order].astype(np.float64), place[order], mark[order]
-    for a in range(0, len(size), _ROWS):
-        b = min(a + _ROWS, len(size))
-        top = np.searchsorted(size, size[b - 1] / threshold + 1e-9, side="right")  # length filter
-        x, y = slice(a, b), slice(a, top)
-        need = _needed(size[x, None], size[None, y], threshold)
-        total = size[x, None] + size[None, y]
-        ok = size[None, y] <= size[x, None] / threshold + 1e-9
-        # the words before the first shared one are in one set only
-        ok &= place[x, None] + place[None, y] <= total - 2 * need
-        ok &= need <= 1 + np.minimum(size[x, None] - place[x, None] - 1, size[None, y] - place[None, y] - 1)
-        ok &= np.bitwise_count(mark[x, None] ^ mark[None, y]) <= total - 2 * need
-        ok[np.arange(b - a), np.arange(b - a)] = False
-        out[order[a:b]] |= ok.any(1)
-        out[order[a:top]] |= ok.any(0)
-    return out
+def _filtered(x: tuple, y: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(may be similar, bits that differ) for sets given as (size, place, mark), by length, position and signature."""
+    total = x[0] + y[0]
+    slack = total - 2 * _needed(x[0], y[0], threshold)  # words that one set only may have
+    apart = np.bitwise_count(x[2] ^ y[2])
+    ok = (np.minimum(x[0], y[0]) >= threshold * np.maximum(x[0], y[0]) - 1e-9) & (apart <= slack)
+    # the words before the first shared one are in one set only; so must the rest allow enough
+    ok &= x[1] + y[1] <= slack
+    return ok & (_needed(x[0], y[0], threshold) <= np.minimum(x[0] - x[1], y[0] - y[1])), apart
+
+
+def _pairs_of(a: int, b: int, size, place, mark, threshold: float):
+    """The pairs of one large group, some rows at a time."""
+    for i in range(a, b, _ROWS):
+        x, y = slice(i, min(i + _ROWS, b)), slice(a, min(i + _ROWS, b))
+        ok, apart = _filtered((size[x, None], place[x, None], mark[x, None]), (size[None, y], place[None, y], mark[None, y]), threshold)
+        ok &= np.arange(y.start, y.stop)[None, :] < np.arange(x.start, x.stop)[:, None]
+        apart = np.where(ok, apart, 255)
+        best = apart.argmin(1)
+        count = ok.sum(1)
+        has = np.flatnonzero(count)
+        yield i + has, a + best[has], count[has]
+
+
+def _best_partners(heads: np.ndarray, size, place, mark, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows ordered by position within groups that start at ``heads``: (row, nearest earlier row that passes, number that pass)."""
+    ends = np.append(heads[1:], len(size))
+    count = ends - heads
+    out = []
+    small = np.repeat((count > 1) & (count <= 24), count)
+    row = np.flatnonzero(small)
+    start = np.repeat(heads, count)[row]
+    for i in range(0, len(row), 1 << 16):
+        r, s = row[i : i + (1 << 16)], start[i : i + (1 << 16)]
+        later, earlier = np.repeat(r, r - s), ragged(s, r - s)
+        ok, apart = _filtered((size[later], place[later], mark[later]), (size[earlier], place[earlier], mark[earlier]), threshold)
+        later, earlier, apart = later[ok], earlier[ok], apart[ok]
+        order = np.lexsort((apart, later))
+        later, earlier = later[order], earlier[order]
+        first = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.zeros(0, np.int64)
+        out.append((later[first], earlier[first], np.diff(np.append(first, len(later)))))
+    for a, b in zip(heads[count > 24].tolist(), ends[count > 24].tolist()):
+        out += _pairs_of(a, b, size, place, mark, threshold)
+    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
 
 
 def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
-    """(kind, doc, line, word): kind 0 lines go, as an equal set is earlier; kind 1 lines are compared under ``word``."""
+    """Kinds of rows: 0, a line goes, as an equal set is earlier; 1, a line is one of a word's group; 2, a line and its likeliest partner, with the number of partners."""
+    names = ["kind", "doc", "line", "word", "doc2", "line2", "n"]
+
+    def rows(kind, doc, line, word=0, doc2=0, line2=0, n=0):
+        return pd.DataFrame({"kind": np.full(len(doc), kind), "doc": doc, "line": np.asarray(line, np.int64), "word": word, "doc2": doc2, "line2": line2, "n": n}, columns=names)
 
     def work(frames):
         for _, payloads in by_key(frames, "part"):
-            rows = [unpack(p) for p in payloads]
-            word, key, mark, size, place, doc, line, gone_doc, gone_line = (np.concatenate([r[i] for r in rows]) for i in range(9))
-            yield pd.DataFrame({"kind": 0, "doc": gone_doc, "line": gone_line, "word": 0})
-            order = np.lexsort((line, doc, mark, key, word))
+            got = [unpack(p) for p in payloads]
+            word, key, mark, size, place, doc, line, gone_doc, gone_line = (np.concatenate([r[i] for r in got]) for i in range(9))
+            yield rows(0, gone_doc, gone_line)
+            line, size, place = line.astype(np.int64), size.astype(np.int64), place.astype(np.int64)
+            order = np.lexsort((line, doc, size, mark, key, word))
             word, key, mark, size, place, doc, line = (x[order] for x in (word, key, mark, size, place, doc, line))
             new = np.ones(len(word), bool)
             new[1:] = (word[1:] != word[:-1]) | (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (size[1:] != size[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             later = (doc != doc[lead]) | (line != line[lead])  # not just a repeated row
-            yield pd.DataFrame({"kind": 0, "doc": doc[later], "line": line[later], "word": 0})
-            word, mark, size, place, doc, line = (x[new] for x in (word, mark, size, place, doc, line))
-            heads = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word)) if len(word) else [0]
-            wanted = np.zeros(len(word), bool)
-            for a, b in zip(heads[:-1], heads[1:]):
-                if b - a > 1:
-                    wanted[a:b] = (size[a:b] > 3) & _partnered(size[a:b], place[a:b], mark[a:b], threshold)
-            yield pd.DataFrame({"kind": 1, "doc": doc[wanted], "line": line[wanted], "word": word[wanted].astype(np.int64)})
+            yield rows(0, doc[later], line[later])
+            keep = np.flatnonzero(new & (size > 3))
+            keep = keep[np.lexsort((line[keep], doc[keep], word[keep]))]
+            word, mark, size, place, doc, line = (x[keep] for x in (word, mark, size, place, doc, line))
+            if not len(word):
+                continue
+            heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            late, early, n = _best_partners(heads, size, place, mark, threshold)
+            yield rows(2, doc[late], line[late], 0, doc[early], line[early], n)
+            group = np.searchsorted(heads, late[n > 1], side="right") - 1
+            again = np.isin(np.searchsorted(heads, np.arange(len(word)), side="right") - 1, group)
+            yield rows(1, doc[again], line[again], word[again].astype(np.int64))
 
     spread = entries.repartition(parts, "part").sortWithinPartitions("part")
-    return materialize(spread.mapInPandas(work, "kind int, doc long, line long, word long"), "line-candidates")
+    return materialize(spread.mapInPandas(work, "kind int, doc long, line long, word long, doc2 long, line2 long, n long"), "line-candidates")
+
+
+def _bodies(table: DataFrame, lines: DataFrame) -> DataFrame:
+    """``lines`` (doc, line) with the text of each."""
+    asked = lines.distinct().groupBy(F.col("doc").alias("_id")).agg(F.collect_list("line").alias("_asked"))
+    split = table.dropDuplicates(["_id"]).join(asked, "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), F.explode("_asked").alias("line"))
+    return split.select(F.col("_id").alias("doc"), "line", F.element_at("_lines", (F.col("line") + 1).cast("int")).alias("body"))
+
+
+def _alike(a: frozenset, b: frozenset, threshold: float) -> bool:
+    both = len(a & b)
+    return both >= threshold * (len(a) + len(b) - both) - 1e-9
+
+
+def _decided(table: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(doc, line) of all lines that go.
+
+    Each candidate is compared with its likeliest partner first.  Those that have more
+    partners and aren't settled by that are compared within their words' whole groups.
+    """
+    gone = found.where("kind = 0").select("doc", "line").distinct()
+    pairs = found.where("kind = 2").groupBy("doc", "line", "doc2", "line2").agg(F.max("n").alias("n"))
+    pairs = materialize(pairs.join(gone, ["doc", "line"], "left_anti"), "line-pairs")
+    both = pairs.select("doc", "line").unionAll(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
+    bodies = materialize(_bodies(table, both), "line-bodies")
+
+    @F.pandas_udf("boolean")
+    def alike(one: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([_alike(words_of_line(x), words_of_line(y), threshold) for x, y in zip(one, other)], dtype=bool)
+
+    joined = pairs.join(bodies, ["doc", "line"]).join(bodies.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("body").alias("other")), ["doc2", "line2"])
+    judged = joined.select("doc", "line", "n", alike("body", "other").alias("same"))
+    judged = materialize(judged.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("n").alias("n"), F.count(F.lit(1)).alias("tried")), "line-judged")
+    gone = gone.unionAll(judged.where("same").select("doc", "line"))
+    left = judged.where("not same and (n > 1 or tried > 1)").select("doc", "line")
+    if left.isEmpty():
+        return gone
+    members = found.where("kind = 1").select("doc", "line", "word")
+    words = members.join(left, ["doc", "line"], "left_semi").select("word").distinct()
+    return gone.unionAll(_similar(table, members.join(words, "word", "left_semi"), threshold))
 
 
 def _similar(table: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
-    """(doc, line) of candidate lines that an earlier candidate under the same word is similar to."""
-    asked = wanted.groupBy(F.col("doc").alias("_id"), "line").agg(F.collect_list("word").alias("words"))
-    asked = asked.groupBy("_id").agg(F.collect_list(F.struct("line", "words")).alias("_asked"))
-    lines = table.join(asked, "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), F.explode("_asked").alias("_one"))
-    lines = lines.select(F.explode("_one.words").alias("word"), F.col("_id").alias("doc"), F.col("_one.line").alias("line"), F.element_at("_lines", (F.col("_one.line") + 1).cast("int")).alias("body"))
+    """(doc, line) of lines to which an earlier line under the same word is similar, for ``wanted`` (doc, line, word)."""
+    lines = wanted.join(_bodies(table, wanted.select("doc", "line")), ["doc", "line"])
 
     def compare(frames):
         for pdf in contiguous_groups(frames, ["word"]):
@@ -279,13 +337,8 @@ def _similar(table: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame
                 before: list[frozenset] = []
                 for doc, line, body in part[["doc", "line", "body"]].drop_duplicates(["doc", "line"]).itertuples(index=False):
                     words = words_of_line(body)
-                    for other in reversed(before):
-                        a, b = sorted((len(words), len(other)))
-                        if a >= threshold * b - 1e-9:
-                            both = len(words & other)
-                            if both >= threshold * (a + b - both) - 1e-9:
-                                gone.append((doc, line))
-                                break
+                    if any(_alike(words, other, threshold) for other in reversed(before)):
+                        gone.append((doc, line))
                     before.append(words)
             yield pd.DataFrame(gone, columns=["doc", "line"], dtype="int64")
 
@@ -301,8 +354,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = table.where("_id is not null").select("_id", "_text")
     sketch = docs.sparkSession.sparkContext.broadcast(_word_sketch(texts))
     found = _candidates(_entries(texts, sketch, parts, threshold, least_words), parts, threshold)
-    similar = _similar(texts, found.where("kind = 1").select("doc", "line", "word"), threshold)
-    gone = found.where("kind = 0").select("doc", "line").unionAll(similar)
+    gone = _decided(texts, found, threshold)
     return table, gone.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
 
 
