@@ -117,8 +117,13 @@ def in_slices(work, schema: str, text_col: str, most_bytes: int = 1 << 22):
 
 
 def bucketed(docs: DataFrame, buckets: int, column: str) -> DataFrame:
-    """``docs`` as a table bucketed by ``column``, so that joins on it don't shuffle the texts."""
+    """``docs`` as a table bucketed by ``column``, so that joins on it don't shuffle the texts.
+
+    There are ``buckets`` buckets, or as many as shuffle partitions if those are more: Spark
+    shuffles a bucketed side after all if the other side would have more partitions.
+    """
     spark = docs.sparkSession
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"tidemill_{uuid.uuid4().hex}"
     writer = docs.write.bucketBy(buckets, column).option("compression", "zstd")
     writer.option("path", f"{shared_dir(spark)}/tidemill/{name}").saveAsTable(name)
