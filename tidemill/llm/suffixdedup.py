@@ -32,7 +32,7 @@ from tidemill.llm.common import bucketed, by_key, in_slices, materialize, pack,
 WINDOW = 50
 GRAM = 24
 #: Bytes of text for one bucket or range of grams.
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 #: A gram is hot beyond this many occurrences, or beyond all occurrences / HOT_GRAMS if that is more.
 HOT_LEAST = 1024
 HOT_GRAMS = 1_000_000
@@ -283,12 +283,16 @@ def _shared_grams(docs: DataFrame, parts: int) -> DataFrame:
             head = np.flatnonzero(np.append(True, grams[order][1:] != grams[order][:-1])) if len(grams) else np.zeros(0, np.int64)
             distinct, total = grams[order][head], np.add.reduceat(counts[order], head) if len(head) else head
             shared = distinct[total > 1]
+            doc, gram = [], []
             for r in rows:
                 if len(shared) and len(r[0]):
                     hit = shared[np.minimum(np.searchsorted(shared, r[0]), len(shared) - 1)] == r[0]
-                    yield pd.DataFrame({"kind": 0, "doc": r[2][r[1][hit]], "gram": r[0][hit].astype(np.int64), "n": 1})
-                if len(r[5]):
-                    yield pd.DataFrame({"kind": 0, "doc": r[6], "gram": r[5].astype(np.int64), "n": 1})
+                    doc.append(r[2][r[1][hit]])
+                    gram.append(r[0][hit])
+                doc.append(r[6])
+                gram.append(r[5])
+            del rows
+            yield pd.DataFrame({"kind": 0, "doc": np.concatenate(doc), "gram": np.concatenate(gram).astype(np.int64), "n": 1})
             hot = total > HOT_LEAST
             yield pd.DataFrame({"kind": 1, "doc": 0, "gram": distinct[hot].astype(np.int64), "n": total[hot]})
 
@@ -471,7 +475,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = bucketed(source.withColumns({"_h1": F.xxhash64("_text"), "_h2": F.xxhash64(F.lit("second half"), F.col("_text"))}), buckets, "_id")
     copies = _later_copies(table)
     texts = table.where("_id is not null").select("_id", "_text").join(copies, "_id", "left_anti")
-    answers = _shared_grams(texts, parts)
+    few = max(2 * parts, spark.sparkContext.defaultParallelism)  # buckets have many small files
+    answers = _shared_grams(texts.coalesce(few), parts)
     total = answers.where("kind = 0").count()
     hot = [r["gram"] for r in answers.where((F.col("kind") == 1) & (F.col("n") > max(HOT_LEAST, total // HOT_GRAMS))).select("gram").collect()]
     wanted = answers.where("kind = 0").groupBy(F.col("doc").alias("_id")).agg(F.collect_list("gram").alias("_grams"))
