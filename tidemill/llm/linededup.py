@@ -190,15 +190,16 @@ def _entries(docs: DataFrame, sketch, parts: int, threshold: float, least_words:
             place = at - first[owner]
             shared = level[at] > 0
             word, owner, place = grams[at][shared], owner[shared], place[shared]
+            lead = np.append(True, owner[1:] != owner[:-1])[: len(owner)]  # the entry that settles equal sets
             order = np.argsort(word)
-            word, owner, place = word[order], owner[order], place[order]
+            word, owner, place, lead = word[order], owner[order], place[order], lead[order]
             edges = np.searchsorted((word >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1))
             for p in range(parts):
                 o, here = owner[edges[p] : edges[p + 1]], slice(edges[p], edges[p + 1])
                 told = slice(None) if p == int(ids[0]) % parts else slice(0)
                 if len(o) or told.stop is None:
                     short = (key[o] >> np.uint64(32)).astype(np.uint32)
-                    payload = pack(word[here], short, mark[o], size[o].astype(np.uint32), place[here].astype(np.uint32), doc[o], line[o].astype(np.uint32), gone[0][told], gone[1][told])
+                    payload = pack(word[here], short, mark[o], size[o].astype(np.uint32), place[here].astype(np.uint32), doc[o], line[o].astype(np.uint32), lead[here].astype(np.uint8), gone[0][told], gone[1][told])
                     yield pd.DataFrame({"part": [p], "payload": [payload]})
 
     return docs.mapInArrow(in_slices(work, schema, "_text"), schema)
@@ -260,15 +261,15 @@ def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
     def work(frames):
         for _, payloads in by_key(frames, "part"):
             got = [unpack(p) for p in payloads]
-            word, key, mark, size, place, doc, line, gone_doc, gone_line = (np.concatenate([r[i] for r in got]) for i in range(9))
+            word, key, mark, size, place, doc, line, settles, gone_doc, gone_line = (np.concatenate([r[i] for r in got]) for i in range(10))
             yield rows(0, gone_doc, gone_line)
             line, size, place = line.astype(np.int64), size.astype(np.int64), place.astype(np.int64)
             order = np.lexsort((line, doc, size, mark, key, word))
-            word, key, mark, size, place, doc, line = (x[order] for x in (word, key, mark, size, place, doc, line))
+            word, key, mark, size, place, doc, line, settles = (x[order] for x in (word, key, mark, size, place, doc, line, settles))
             new = np.ones(len(word), bool)
             new[1:] = (word[1:] != word[:-1]) | (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (size[1:] != size[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            later = (doc != doc[lead]) | (line != line[lead])  # not just a repeated row
+            later = ((doc != doc[lead]) | (line != line[lead])) & (settles > 0)  # not just a repeated row
             yield rows(0, doc[later], line[later])
             keep = np.flatnonzero(new & (size > 3))
             keep = keep[np.lexsort((line[keep], doc[keep], word[keep]))]
@@ -352,9 +353,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(min(max(size // PART_BYTES, 4), 1 << 16))
     table = bucketed(source, max(parts // 3, 4), "_id")
     texts = table.where("_id is not null").select("_id", "_text")
+    texts = texts.coalesce(max(2 * parts, docs.sparkSession.sparkContext.defaultParallelism))  # buckets have many small files
     sketch = docs.sparkSession.sparkContext.broadcast(_word_sketch(texts))
     found = _candidates(_entries(texts, sketch, parts, threshold, least_words), parts, threshold)
-    gone = _decided(texts, found, threshold)
+    gone = _decided(table.where("_id is not null").select("_id", "_text"), found, threshold)
     return table, gone.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
 
 
