@@ -64,14 +64,13 @@ def as_text(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BooleanType):
         return F.when(c, "True").when(~c, "False")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        plain = F.regexp_replace(F.format_string("%.17g", c), "^$", "")
         short = c.cast("string")
         whole = F.when((F.abs(c) < 1e16) & (c == F.floor(c)), F.concat(c.cast("decimal(38,0)").cast("string"), F.lit(".0")))
         # Spark writes exponents from 1e7 on, Python from 1e16 on
         mid = F.when((F.abs(c) >= 1e7) & (F.abs(c) < 1e16), F.regexp_replace(c.cast("decimal(38,16)").cast("string"), "0+$", ""))
-        exponent = F.regexp_replace(F.lower(F.regexp_replace(short, r"\.0E", "E")), "e([0-9])", "e+$1")
+        exponent = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(short, r"\.0E", "E")), "e([0-9])", "e+$1"), r"e([+-])(\d)$", "e$10$2")
         special = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
-        return F.coalesce(special, whole, mid, F.when(short.contains("E"), exponent), short, plain)
+        return F.when(c.isNotNull(), F.coalesce(special, whole, mid, F.when(short.contains("E"), exponent), short))
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
         return F.to_json(c)
     if isinstance(kind, T.TimestampType):

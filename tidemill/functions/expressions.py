@@ -377,7 +377,7 @@ def evaluate(source: str, names: dict):
     """The value of an expression over plain values, for conditions outside any table."""
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()
     v = compile_expression(source, T.StructType([]), names)
     row = spark.range(1).select(v.col.alias("v"), failing(v).alias("failed"), truthy(v).alias("true")).first()
     if row["failed"]:
