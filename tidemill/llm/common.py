@@ -31,14 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._tidemill_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage once, is computed once, and outlives lost executors.
+    This cuts the lineage once, is computed once, and outlives lost executors.  With
+    ``batch_rows`` batches to Python have that many rows at most while it is computed, for
+    texts that are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH_ROWS, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemill_path = path
     return out

@@ -31,6 +31,8 @@ from tidemill.llm.common import bucketed, by_key, in_slices, materialize, pack,
 
 WINDOW = 50
 GRAM = 24
+#: Rows of text in one batch to Python.
+TEXT_ROWS = 1000
 #: Bytes of text for one bucket or range of grams.
 PART_BYTES = 8 << 20
 #: A gram is hot beyond this many occurrences, or beyond all occurrences / HOT_GRAMS if that is more.
@@ -299,7 +301,7 @@ def _shared_grams(docs: DataFrame, parts: int) -> DataFrame:
     schema = "part int, payload binary"
     packed = docs.mapInArrow(in_slices(count, schema, "_text"), schema)
     spread = packed.repartition(parts, "part").sortWithinPartitions("part")
-    return materialize(spread.mapInPandas(answer, "kind int, doc long, gram long, n long"), "shared-grams")
+    return materialize(spread.mapInPandas(answer, "kind int, doc long, gram long, n long"), "shared-grams", TEXT_ROWS)
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -480,7 +482,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = answers.where("kind = 0").count()
     hot = [r["gram"] for r in answers.where((F.col("kind") == 1) & (F.col("n") > max(HOT_LEAST, total // HOT_GRAMS))).select("gram").collect()]
     wanted = answers.where("kind = 0").groupBy(F.col("doc").alias("_id")).agg(F.collect_list("gram").alias("_grams"))
-    codes = _cover_contexts(_contexts(texts.join(wanted, "_id"), parts, np.array(hot, np.int64).view(np.uint64)), parts)
+    asked = texts.join(wanted.hint("shuffle_hash"), "_id")  # no sort of texts
+    codes = materialize(_cover_contexts(_contexts(asked, parts, np.array(hot, np.int64).view(np.uint64)), parts), "covered", TEXT_ROWS)
     ranges = codes.groupBy(F.col("doc").alias("_id")).agg(F.collect_list("code").alias("_codes"))
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long")
@@ -498,7 +501,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     n_bytes = F.octet_length("_text").cast("long")
     copied = F.col("_copied").isNotNull() & (n_bytes >= WINDOW)
-    joined = table.join(copies.withColumn("_copied", F.lit(True)), "_id", "left").join(ranges, "_id", "left")
+    joined = table.join(copies.withColumn("_copied", F.lit(True)), "_id", "left").join(ranges.hint("shuffle_hash"), "_id", "left")
     joined = joined.withColumn("_cut", cut(F.when(F.col("_codes").isNotNull(), F.col("_text")), F.col("_codes")))
     return joined.select(
         F.col("_id").alias(id_col),
