@@ -27,6 +27,8 @@ from tidemill.llm.common import bucketed, by_key, contiguous_groups, in_slices,
 SKETCH_BITS = 24
 _BLOCKS = 64
 PART_BYTES = 24 << 20
+#: Rows of text in one batch to Python.
+TEXT_ROWS = 2000
 _CHUNK = 1 << 20
 _FLUSH_BYTES = 12 << 20
 _ROWS = 256  # of a large word group, compared at once
@@ -284,14 +286,15 @@ def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
             yield rows(1, doc[again], line[again], word[again].astype(np.int64))
 
     spread = entries.repartition(parts, "part").sortWithinPartitions("part")
-    return materialize(spread.mapInPandas(work, "kind int, doc long, line long, word long, doc2 long, line2 long, n long"), "line-candidates")
+    return materialize(spread.mapInPandas(work, "kind int, doc long, line long, word long, doc2 long, line2 long, n long"), "line-candidates", TEXT_ROWS)
 
 
 def _bodies(table: DataFrame, lines: DataFrame) -> DataFrame:
     """``lines`` (doc, line) with the text of each."""
     asked = lines.distinct().groupBy(F.col("doc").alias("_id")).agg(F.collect_list("line").alias("_asked"))
-    split = table.dropDuplicates(["_id"]).join(asked, "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), F.explode("_asked").alias("line"))
-    return split.select(F.col("_id").alias("doc"), "line", F.element_at("_lines", (F.col("line") + 1).cast("int")).alias("body"))
+    split = table.join(asked.hint("shuffle_hash"), "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), F.explode("_asked").alias("line"))
+    found = split.select(F.col("_id").alias("doc"), "line", F.element_at("_lines", (F.col("line") + 1).cast("int")).alias("body"))
+    return found.dropDuplicates(["doc", "line"])
 
 
 def _alike(a: frozenset, b: frozenset, threshold: float) -> bool:
@@ -370,7 +373,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``counts`` there are ``n_lines`` and ``n_removed`` too.
     """
     table, gone = repeated_lines(docs, id_col, text_col, threshold, least_words)
-    joined = table.join(gone, "_id", "left")
+    joined = table.join(gone.hint("shuffle_hash"), "_id", "left")
     lines = F.split(F.col(text_col), "\n", -1)
     at = F.transform(F.col("_gone"), lambda x: x.cast("int"))
     kept = F.filter(lines, lambda _, i: ~F.array_contains(at, i))
