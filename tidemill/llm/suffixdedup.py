@@ -122,7 +122,8 @@ def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
             last = windows[np.append(np.flatnonzero(new)[1:] - 1, len(windows) - 1)] if len(windows) else first
             owner = np.searchsorted(ends, first, side="right")
             shift = np.array([a for _, a, _ in chunk]) - starts
-            yield data, np.array([d for d, _, _ in chunk])[owner], hashes[at[new]], first, last, shift[owner]
+            # least hashes are small numbers; mixed again they are spread over all ranges
+            yield data, np.array([d for d, _, _ in chunk])[owner], _mixed(hashes[at[new]]), first, last, shift[owner]
             chunk, size = [], 0
 
 
