@@ -191,7 +191,8 @@ def _entries(docs: DataFrame, sketch, parts: int, threshold: float, least_words:
             owner, at = np.repeat(mine, length), ragged(first[mine], length)
             place = at - first[owner]
             shared = level[at] > 0
-            word, owner, place = grams[at][shared], owner[shared], place[shared]
+            # prefixes favour small hashes; mixed again they are spread over all ranges
+            word, owner, place = _mixed(grams[at][shared]), owner[shared], place[shared]
             lead = np.append(True, owner[1:] != owner[:-1])[: len(owner)]  # the entry that settles equal sets
             order = np.argsort(word)
             word, owner, place, lead = word[order], owner[order], place[order], lead[order]
