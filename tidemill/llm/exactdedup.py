@@ -75,6 +75,9 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """``docs`` with all its columns, without the rows that :func:`exact_duplicates` drops."""
+    """``docs`` with all its columns, without the rows that :func:`exact_duplicates` drops.
+
+    Rows without an id can't be told apart and stay.
+    """
     gone = exact_duplicates(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -247,7 +247,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` with all columns, but of each group of near-duplicates only the row of least id."""
+    """``docs`` with all columns, but of each group of near-duplicates only the row of least id.
+
+    Rows without an id can't be told apart and stay.
+    """
     groups = near_duplicate_groups(docs, id_col, text_col, words)
     gone = groups.where(~F.col(id_col).eqNullSafe(F.col("group_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
