@@ -26,11 +26,11 @@ from tidemill.llm.common import bucketed, by_key, contiguous_groups, in_slices,
 
 SKETCH_BITS = 24
 _BLOCKS = 64
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 #: Rows of text in one batch to Python.
 TEXT_ROWS = 2000
 _CHUNK = 1 << 20
-_FLUSH_BYTES = 12 << 20
+_FLUSH_BYTES = 6 << 20
 _ROWS = 256  # of a large word group, compared at once
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -229,29 +229,32 @@ def _pairs_of(a: int, b: int, size, place, mark, threshold: float):
         best = apart.argmin(1)
         count = ok.sum(1)
         has = np.flatnonzero(count)
-        yield i + has, a + best[has], count[has]
+        several = count > 1
+        yield i + has, a + best[has], count[has], np.concatenate([i + np.flatnonzero(several), a + np.flatnonzero(ok[several].any(0))])
 
 
-def _best_partners(heads: np.ndarray, size, place, mark, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows ordered by position within groups that start at ``heads``: (row, nearest earlier row that passes, number that pass)."""
+def _best_partners(heads: np.ndarray, size, place, mark, threshold: float) -> tuple[np.ndarray, ...]:
+    """For rows ordered by position within groups that start at ``heads``: (row, nearest earlier row that passes, number that pass, rows with several partners and these partners)."""
     ends = np.append(heads[1:], len(size))
     count = ends - heads
     out = []
     small = np.repeat((count > 1) & (count <= 24), count)
     row = np.flatnonzero(small)
     start = np.repeat(heads, count)[row]
-    for i in range(0, len(row), 1 << 16):
-        r, s = row[i : i + (1 << 16)], start[i : i + (1 << 16)]
+    for i in range(0, len(row), 1 << 14):
+        r, s = row[i : i + (1 << 14)], start[i : i + (1 << 14)]
         later, earlier = np.repeat(r, r - s), ragged(s, r - s)
         ok, apart = _filtered((size[later], place[later], mark[later]), (size[earlier], place[earlier], mark[earlier]), threshold)
         later, earlier, apart = later[ok], earlier[ok], apart[ok]
         order = np.lexsort((apart, later))
         later, earlier = later[order], earlier[order]
         first = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.zeros(0, np.int64)
-        out.append((later[first], earlier[first], np.diff(np.append(first, len(later)))))
+        count_ = np.diff(np.append(first, len(later)))
+        several = np.repeat(count_ > 1, count_)
+        out.append((later[first], earlier[first], count_, np.concatenate([later[several], earlier[several]])))
     for a, b in zip(heads[count > 24].tolist(), ends[count > 24].tolist()):
         out += _pairs_of(a, b, size, place, mark, threshold)
-    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
+    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((),) * 4))
 
 
 def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
@@ -280,10 +283,9 @@ def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
             if not len(word):
                 continue
             heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            late, early, n = _best_partners(heads, size, place, mark, threshold)
+            late, early, n, again = _best_partners(heads, size, place, mark, threshold)
             yield rows(2, doc[late], line[late], 0, doc[early], line[early], n)
-            group = np.searchsorted(heads, late[n > 1], side="right") - 1
-            again = np.isin(np.searchsorted(heads, np.arange(len(word)), side="right") - 1, group)
+            again = np.unique(again)
             yield rows(1, doc[again], line[again], word[again].astype(np.int64))
 
     spread = entries.repartition(parts, "part").sortWithinPartitions("part")
@@ -292,9 +294,10 @@ def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
 
 def _bodies(table: DataFrame, lines: DataFrame) -> DataFrame:
     """``lines`` (doc, line) with the text of each."""
-    asked = lines.distinct().groupBy(F.col("doc").alias("_id")).agg(F.collect_list("line").alias("_asked"))
-    split = table.join(asked.hint("shuffle_hash"), "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), F.explode("_asked").alias("line"))
-    found = split.select(F.col("_id").alias("doc"), "line", F.element_at("_lines", (F.col("line") + 1).cast("int")).alias("body"))
+    asked = lines.groupBy(F.col("doc").alias("_id")).agg(F.collect_set("line").alias("_asked"))
+    body = lambda x: F.element_at("_lines", (x + 1).cast("int"))
+    split = table.join(asked.hint("shuffle_hash"), "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), "_asked")
+    found = split.select(F.col("_id").alias("doc"), F.inline(F.transform("_asked", lambda x: F.struct(x.alias("line"), body(x).alias("body")))))
     return found.dropDuplicates(["doc", "line"])
 
 
@@ -312,15 +315,19 @@ def _decided(table: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     gone = found.where("kind = 0").select("doc", "line").distinct()
     pairs = found.where("kind = 2").groupBy("doc", "line", "doc2", "line2").agg(F.max("n").alias("n"))
     pairs = materialize(pairs.join(gone, ["doc", "line"], "left_anti"), "line-pairs")
-    both = pairs.select("doc", "line").unionAll(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
-    bodies = materialize(_bodies(table, both), "line-bodies")
+    others = _bodies(table, pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
+    others = others.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("body").alias("other"))
 
     @F.pandas_udf("boolean")
     def alike(one: pd.Series, other: pd.Series) -> pd.Series:
         return pd.Series([_alike(words_of_line(x), words_of_line(y), threshold) for x, y in zip(one, other)], dtype=bool)
 
-    joined = pairs.join(bodies, ["doc", "line"]).join(bodies.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("body").alias("other")), ["doc2", "line2"])
-    judged = joined.select("doc", "line", "n", alike("body", "other").alias("same"))
+    # partners are few lines; their texts go to the documents of the candidates, not the reverse
+    asked = pairs.join(others, ["doc2", "line2"]).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("line", "n", "other")).alias("_asked"))
+    split = table.join(asked.hint("shuffle_hash"), "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), "_asked")
+    body = lambda x: F.element_at("_lines", (x["line"] + 1).cast("int"))
+    flat = split.select(F.col("_id").alias("doc"), F.inline(F.transform("_asked", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), x["other"].alias("other"), body(x).alias("body")))))
+    judged = flat.select("doc", "line", "n", alike("body", "other").alias("same"))
     judged = materialize(judged.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("n").alias("n"), F.count(F.lit(1)).alias("tried")), "line-judged")
     gone = gone.unionAll(judged.where("same").select("doc", "line"))
     left = judged.where("not same and (n > 1 or tried > 1)").select("doc", "line")
@@ -355,9 +362,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.coalesce(F.col(text_col), F.lit(""))})
     size = source.agg(text_bytes("_text")).first()[0] or 0
     parts = int(min(max(size // PART_BYTES, 4), 1 << 16))
-    table = bucketed(source, max(parts // 3, 4), "_id")
+    table = bucketed(source, max(parts // 6, 4), "_id")
     texts = table.where("_id is not null").select("_id", "_text")
-    texts = texts.coalesce(max(2 * parts, docs.sparkSession.sparkContext.defaultParallelism))  # buckets have many small files
+    texts = texts.coalesce(max(parts, docs.sparkSession.sparkContext.defaultParallelism))  # buckets have many small files
     sketch = docs.sparkSession.sparkContext.broadcast(_word_sketch(texts))
     found = _candidates(_entries(texts, sketch, parts, threshold, least_words), parts, threshold)
     gone = _decided(table.where("_id is not null").select("_id", "_text"), found, threshold)
