@@ -93,6 +93,19 @@ def contiguous_groups(batches, keys: list[str]):
         yield pd.concat(held, ignore_index=True)
 
 
+def text_slices(batch, text_col: str, most_bytes: int = 1 << 22):
+    """Slices of an Arrow batch with about ``most_bytes`` of text each, one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text_col))).fill_null(0)
+    ends = np.append(0, np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + most_bytes, side="right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 _ARROW_TYPES = {"int": "int32", "long": "int64", "double": "float64", "string": "string", "binary": "binary", "boolean": "bool"}
 
 
@@ -107,19 +120,13 @@ def in_slices(work, schema: str, text_col: str, most_bytes: int = 1 << 22):
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         out = pa.schema([(n, pa.type_for_alias(_ARROW_TYPES[t])) for n, t in names])
 
         def frames():
             for batch in batches:
-                sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text_col))).fill_null(0)
-                ends = np.append(0, np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)))
-                first = 0
-                while first < batch.num_rows:
-                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + most_bytes, side="right")) - 1)
-                    yield batch.slice(first, last - first).to_pandas()
-                    first = last
+                for part in text_slices(batch, text_col, most_bytes):
+                    yield part.to_pandas()
 
         for pdf in work(frames()):
             yield pa.RecordBatch.from_pandas(pdf, out, preserve_index=False)
@@ -136,7 +143,7 @@ def bucketed(docs: DataFrame, buckets: int, column: str) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"tidemill_{uuid.uuid4().hex}"
-    writer = docs.write.bucketBy(buckets, column).option("compression", "zstd")
+    writer = docs.write.bucketBy(buckets, column)
     writer.option("path", f"{shared_dir(spark)}/tidemill/{name}").saveAsTable(name)
     return spark.table(name)
 

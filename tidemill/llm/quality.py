@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import in_slices
+from tidemill.llm.common import in_slices, text_slices
 
 BUCKETS = 1024
 BAD, GOOD, ABSTAIN = 0, 1, 2
@@ -182,7 +182,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 6000) -> d
         at = np.flatnonzero(tally)
         yield pd.DataFrame({"pattern": at, "n": tally[at], "row": None})
 
-    found = docs.select(text.alias("text"), chosen.alias("chosen")).mapInArrow(in_slices(work, schema, "text"), schema)
+    found = docs.select(text.alias("text"), chosen.alias("chosen")).mapInArrow(in_slices(work, schema, "text", 1 << 20), schema)
     # every task gives each pattern once and the sampled rows, so this stays small
     rows = found.groupBy("pattern", "row").agg(F.sum("n").alias("n")).toPandas()
     tallies, sample = rows[rows["row"].isna()], rows[rows["row"].notna()]
@@ -211,22 +211,14 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            texts = _raw(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-            values, labels = [], []
-            first = size = 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= 1 << 20 or i == len(texts) - 1:
-                    stats, grams = statistics(texts[first : i + 1])
-                    z = features(stats, grams) @ weights[:-1] + weights[-1]
-                    values.append(np.where(stats[:, 0] > 0, 1 / (1 + np.exp(-z.astype(np.float64))), 0.0))
-                    labels.append(np.where(stats[:, 0] > 0, posterior[votes(stats) @ _BASE], 0.0))
-                    first, size = i + 1, 0
-            columns, names = [*batch.columns, pa.array(np.concatenate(values) if values else [], pa.float64())], [*batch.schema.names, score_col]
-            if label_col:
-                columns.append(pa.array(np.concatenate(labels) if labels else [], pa.float64()))
-                names.append(label_col)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            for batch in text_slices(whole, text_col, 1 << 20):
+                stats, grams = statistics(_raw(batch.column(batch.schema.get_field_index(text_col)).to_pylist()))
+                z = (features(stats, grams) @ weights[:-1] + weights[-1]).astype(np.float64)
+                columns, names = [*batch.columns, pa.array(np.where(stats[:, 0] > 0, 1 / (1 + np.exp(-z)), 0.0))], [*batch.schema.names, score_col]
+                if label_col:
+                    columns.append(pa.array(np.where(stats[:, 0] > 0, posterior[votes(stats) @ _BASE], 0.0)))
+                    names.append(label_col)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, schema)

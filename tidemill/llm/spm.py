@@ -19,11 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm.common import text_slices
+
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Units up to this length merge in lockstep; a longer one has a heap of its own.
@@ -329,14 +330,9 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "t
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            place = batch.schema.get_field_index(text_col)
-            lens = np.append(0, np.cumsum(pc.utf8_length(batch.column(place)).fill_null(0).to_numpy(zero_copy_only=False)))
-            first = 0
-            while first < batch.num_rows:
-                last = max(first + 1, int(np.searchsorted(lens, lens[first] + (1 << 20), side="right")) - 1)
-                part = batch.slice(first, last - first)
-                texts = part.column(place).to_pylist()
+        for whole in batches:
+            for part in text_slices(whole, text_col, 1 << 20):
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
                 work = _encoder(shared)
                 ids = work.encode(texts)
                 columns, names = [*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, ids_col]
@@ -345,6 +341,5 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "t
                     columns.append(pa.array(same, pa.bool_()))
                     names.append(check_col)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-                first = last
 
     return docs.mapInArrow(run, schema)
