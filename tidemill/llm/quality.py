@@ -142,7 +142,7 @@ def features(stats: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_scorer(x: np.ndarray, target: np.ndarray, rounds: int = 300, decay: float = 1e-5) -> np.ndarray:
+def fit_scorer(x: np.ndarray, target: np.ndarray, rounds: int = 150, decay: float = 1e-5) -> np.ndarray:
     """Weights (bias last) of logistic regression on soft targets."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
@@ -158,7 +158,7 @@ def _raw(texts) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 6000) -> dict:
+def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000) -> dict:
     """The weak-label model over all documents and the scorer: ``prior``, ``table``, ``weights``.
 
     About ``sample_docs`` documents, taken by a hash of the text, train the scorer.
