@@ -8,7 +8,7 @@ and line number, has a Jaccard similarity of at least ``threshold`` with it.  Th
 2. The first words of a line in that order, its prefix, are entries; two similar sets share
    one.  Words that the sketch has counted once are left out.  Entries meet by word: equal
    sets are settled there, and a set stays a candidate if another passes the length filter,
-   the positional filter and a bound by 64-bit signatures.
+   the positional filter and a bound by 128-bit parity signatures.
 3. The words of each candidate and its likeliest partner decide; a candidate with more
    partners that this doesn't settle is compared with all of its words' groups.
 
@@ -156,12 +156,16 @@ def _line_sets(ids, data: np.ndarray, heads: np.ndarray, sketch: np.ndarray):
     number = line[first]
     doc = np.searchsorted(heads, np.append(-1, breaks)[number] + 1, side="right") - 1
     count = np.searchsorted(breaks, heads)
+    # signatures: for each of 128 bits the parity of the words that fall on it, so one word more or less flips one bit
     bits = np.uint64(1) << (grams >> np.uint64(58))
+    upper = (grams >> np.uint64(57) & np.uint64(1)).astype(bool)
+    none = np.uint64(0)
     if len(first):
-        h1, h2, mark = np.add.reduceat(grams, first), np.add.reduceat(_mixed(grams), first), np.bitwise_or.reduceat(bits, first)
+        h1, h2 = np.add.reduceat(grams, first), np.add.reduceat(_mixed(grams), first)
+        mark, more = np.bitwise_xor.reduceat(np.where(upper, none, bits), first), np.bitwise_xor.reduceat(np.where(upper, bits, none), first)
     else:
-        h1 = h2 = mark = np.zeros(0, np.uint64)
-    return grams, level, first, size, ids[doc], number - count[doc], _mixed(h1) ^ h2, mark
+        h1 = h2 = mark = more = np.zeros(0, np.uint64)
+    return grams, level, first, size, ids[doc], number - count[doc], _mixed(h1) ^ h2, mark, more
 
 
 def _entries(docs: DataFrame, sketch, parts: int, threshold: float, least_words: int) -> DataFrame:
@@ -173,10 +177,10 @@ def _entries(docs: DataFrame, sketch, parts: int, threshold: float, least_words:
         for ids, texts in _flushes(frames):
             parts_of, base = [], 0
             for some, data, heads in _chunks(ids, texts):
-                grams, level, first, size, doc, line, key, mark = _line_sets(some, data, heads, levels)
-                parts_of.append((grams, level, first + base, size, doc, line, key, mark))
+                grams, level, first, *facts = _line_sets(some, data, heads, levels)
+                parts_of.append((grams, level, first + base, *facts))
                 base += len(grams)
-            grams, level, first, size, doc, line, key, mark = (np.concatenate(x) for x in zip(*parts_of))
+            grams, level, first, size, doc, line, key, mark, more = (np.concatenate(x) for x in zip(*parts_of))
             order = np.flatnonzero(size >= least_words)
             order = order[np.lexsort((line[order], doc[order], mark[order], key[order]))]
             new = np.ones(len(order), bool)
@@ -202,28 +206,28 @@ def _entries(docs: DataFrame, sketch, parts: int, threshold: float, least_words:
                 told = slice(None) if p == int(ids[0]) % parts else slice(0)
                 if len(o) or told.stop is None:
                     short = (key[o] >> np.uint64(32)).astype(np.uint32)
-                    payload = pack(word[here], short, mark[o], size[o].astype(np.uint32), place[here].astype(np.uint32), doc[o], line[o].astype(np.uint32), lead[here].astype(np.uint8), gone[0][told], gone[1][told])
+                    payload = pack(word[here], short, mark[o], more[o], size[o].astype(np.uint32), place[here].astype(np.uint32), doc[o], line[o].astype(np.uint32), lead[here].astype(np.uint8), gone[0][told], gone[1][told])
                     yield pd.DataFrame({"part": [p], "payload": [payload]})
 
     return docs.mapInArrow(in_slices(work, schema, "_text"), schema)
 
 
 def _filtered(x: tuple, y: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(may be similar, bits that differ) for sets given as (size, place, mark), by length, position and signature."""
+    """(may be similar, bits that differ) for sets given as (size, place, signature, signature), by length, position and signature."""
     total = x[0] + y[0]
     slack = total - 2 * _needed(x[0], y[0], threshold)  # words that one set only may have
-    apart = np.bitwise_count(x[2] ^ y[2])
+    apart = np.bitwise_count(x[2] ^ y[2]) + np.bitwise_count(x[3] ^ y[3])
     ok = (np.minimum(x[0], y[0]) >= threshold * np.maximum(x[0], y[0]) - 1e-9) & (apart <= slack)
     # the words before the first shared one are in one set only; so must the rest allow enough
     ok &= x[1] + y[1] <= slack
     return ok & (_needed(x[0], y[0], threshold) <= np.minimum(x[0] - x[1], y[0] - y[1])), apart
 
 
-def _pairs_of(a: int, b: int, size, place, mark, threshold: float):
+def _pairs_of(a: int, b: int, facts: tuple, threshold: float):
     """The pairs of one large group, some rows at a time."""
     for i in range(a, b, _ROWS):
         x, y = slice(i, min(i + _ROWS, b)), slice(a, min(i + _ROWS, b))
-        ok, apart = _filtered((size[x, None], place[x, None], mark[x, None]), (size[None, y], place[None, y], mark[None, y]), threshold)
+        ok, apart = _filtered(tuple(f[x, None] for f in facts), tuple(f[None, y] for f in facts), threshold)
         ok &= np.arange(y.start, y.stop)[None, :] < np.arange(x.start, x.stop)[:, None]
         apart = np.where(ok, apart, 255)
         best = apart.argmin(1)
@@ -233,9 +237,9 @@ def _pairs_of(a: int, b: int, size, place, mark, threshold: float):
         yield i + has, a + best[has], count[has], np.concatenate([i + np.flatnonzero(several), a + np.flatnonzero(ok[several].any(0))])
 
 
-def _best_partners(heads: np.ndarray, size, place, mark, threshold: float) -> tuple[np.ndarray, ...]:
+def _best_partners(heads: np.ndarray, facts: tuple, threshold: float) -> tuple[np.ndarray, ...]:
     """For rows ordered by position within groups that start at ``heads``: (row, nearest earlier row that passes, number that pass, rows with several partners and these partners)."""
-    ends = np.append(heads[1:], len(size))
+    ends = np.append(heads[1:], len(facts[0]))
     count = ends - heads
     out = []
     small = np.repeat((count > 1) & (count <= 24), count)
@@ -244,7 +248,7 @@ def _best_partners(heads: np.ndarray, size, place, mark, threshold: float) -> tu
     for i in range(0, len(row), 1 << 14):
         r, s = row[i : i + (1 << 14)], start[i : i + (1 << 14)]
         later, earlier = np.repeat(r, r - s), ragged(s, r - s)
-        ok, apart = _filtered((size[later], place[later], mark[later]), (size[earlier], place[earlier], mark[earlier]), threshold)
+        ok, apart = _filtered(tuple(f[later] for f in facts), tuple(f[earlier] for f in facts), threshold)
         later, earlier, apart = later[ok], earlier[ok], apart[ok]
         order = np.lexsort((apart, later))
         later, earlier = later[order], earlier[order]
@@ -253,7 +257,7 @@ def _best_partners(heads: np.ndarray, size, place, mark, threshold: float) -> tu
         several = np.repeat(count_ > 1, count_)
         out.append((later[first], earlier[first], count_, np.concatenate([later[several], earlier[several]])))
     for a, b in zip(heads[count > 24].tolist(), ends[count > 24].tolist()):
-        out += _pairs_of(a, b, size, place, mark, threshold)
+        out += _pairs_of(a, b, facts, threshold)
     return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((),) * 4))
 
 
@@ -267,23 +271,23 @@ def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
     def work(frames):
         for _, payloads in by_key(frames, "part"):
             got = [unpack(p) for p in payloads]
-            word, key, mark, size, place, doc, line, settles, gone_doc, gone_line = (np.concatenate([r[i] for r in got]) for i in range(10))
+            word, key, mark, more, size, place, doc, line, settles, gone_doc, gone_line = (np.concatenate([r[i] for r in got]) for i in range(11))
             yield rows(0, gone_doc, gone_line)
             line, size, place = line.astype(np.int64), size.astype(np.int64), place.astype(np.int64)
-            order = np.lexsort((line, doc, size, mark, key, word))
-            word, key, mark, size, place, doc, line, settles = (x[order] for x in (word, key, mark, size, place, doc, line, settles))
+            order = np.lexsort((line, doc, size, more, mark, key, word))
+            word, key, mark, more, size, place, doc, line, settles = (x[order] for x in (word, key, mark, more, size, place, doc, line, settles))
             new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (size[1:] != size[:-1])
+            new[1:] = (word[1:] != word[:-1]) | (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (more[1:] != more[:-1]) | (size[1:] != size[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             later = ((doc != doc[lead]) | (line != line[lead])) & (settles > 0)  # not just a repeated row
             yield rows(0, doc[later], line[later])
             keep = np.flatnonzero(new & (size > 3))
             keep = keep[np.lexsort((line[keep], doc[keep], word[keep]))]
-            word, mark, size, place, doc, line = (x[keep] for x in (word, mark, size, place, doc, line))
+            word, mark, more, size, place, doc, line = (x[keep] for x in (word, mark, more, size, place, doc, line))
             if not len(word):
                 continue
             heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            late, early, n, again = _best_partners(heads, size, place, mark, threshold)
+            late, early, n, again = _best_partners(heads, (size, place, mark, more), threshold)
             yield rows(2, doc[late], line[late], 0, doc[early], line[early], n)
             again = np.unique(again)
             yield rows(1, doc[again], line[again], word[again].astype(np.int64))
