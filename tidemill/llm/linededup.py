@@ -17,6 +17,8 @@ Only entries, candidates and decisions move; texts stay in a table bucketed by i
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,20 +59,32 @@ def words_of_line(line: str) -> frozenset[bytes]:
     return frozenset(line.encode("utf-8", "surrogatepass").lower().split())
 
 
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, modulo 2**64."""
+    out = []
+    for base in (_MULTIPLIER, np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))):
+        p = np.full(1 << bits, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return tuple(out)
+
+
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of a byte array."""
-    space = _IS_SPACE[data]
-    start = np.flatnonzero(~space & np.append(True, space[:-1]))
+    """(hash, start) of each word of a byte array: differences of one running sum, shifted back to the word's start."""
+    word = ~_IS_SPACE[data]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if len(word) and word[0]:
+        edge = np.append(0, edge)
+    if len(edge) % 2:
+        edge = np.append(edge, len(data))
+    start, stop = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64), start
-    inside = np.flatnonzero(~space)
-    owner = np.cumsum(np.append(True, np.diff(inside) > 1)) - 1
-    offset = inside - start[owner]
-    powers = np.full(int(offset.max()) + 1, _MULTIPLIER, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    heads = np.searchsorted(inside, start)
-    return _mixed(np.add.reduceat(_VALUES[data[inside]] * powers[offset], heads)), start
+    forth, back = _powers(len(data).bit_length())
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * forth[: len(data)], out=sums[1:])
+    return _mixed((sums[stop] - sums[start]) * back[start]), start
 
 
 def _chunks(ids, texts: list[bytes]):
@@ -145,8 +159,11 @@ def _line_sets(ids, data: np.ndarray, heads: np.ndarray, sketch: np.ndarray):
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, start)  # lines end with their break
     level = sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    rank = (level << np.uint64(58)) | (grams >> np.uint64(6))
-    order = np.lexsort((grams, rank, line))
+    key = (line.astype(np.uint64) << np.uint64(42)) | (level << np.uint64(36)) | (grams >> np.uint64(28))
+    order = np.argsort(key)
+    tied = key[order][1:] == key[order][:-1]
+    if len(breaks) >> 22 or (grams[order][1:][tied] != grams[order][:-1][tied]).any():
+        order = np.lexsort((grams, level, line))  # what the packed key stands for
     grams, line, level = grams[order], line[order], level[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (line[1:] != line[:-1])
@@ -363,15 +380,14 @@ def _similar(table: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least_words: int = 3) -> tuple[DataFrame, DataFrame]:
     """(table, gone): the documents' table (_id and all columns) bucketed by id, and rows (_id, _gone: numbers of the lines that go)."""
-    source = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.coalesce(F.col(text_col), F.lit(""))})
-    size = source.agg(text_bytes("_text")).first()[0] or 0
+    size = docs.agg(text_bytes(text_col)).first()[0] or 0
     parts = int(min(max(size // PART_BYTES, 4), 1 << 16))
-    table = bucketed(source, max(parts // 6, 4), "_id")
-    texts = table.where("_id is not null").select("_id", "_text")
-    texts = texts.coalesce(max(parts, docs.sparkSession.sparkContext.defaultParallelism))  # buckets have many small files
+    table = bucketed(docs.withColumn("_id", F.col(id_col).cast("long")), max(parts // 6, 4), "_id")
+    whole = table.where("_id is not null").select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    texts = whole.coalesce(max(parts, docs.sparkSession.sparkContext.defaultParallelism))  # buckets have many small files
     sketch = docs.sparkSession.sparkContext.broadcast(_word_sketch(texts))
     found = _candidates(_entries(texts, sketch, parts, threshold, least_words), parts, threshold)
-    gone = _decided(table.where("_id is not null").select("_id", "_text"), found, threshold)
+    gone = _decided(whole, found, threshold)
     return table, gone.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
 
 
