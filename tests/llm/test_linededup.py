@@ -44,7 +44,7 @@ def some_rows(seed, n=70):
 
 
 def run(spark, rows):
-    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, line int, word string")
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, _gone int, _id string")
     found = linededup.drop_repeated_lines(docs)
     assert found.columns == docs.columns
     return sorted(repr((r["doc_id"], r["text"])) for r in found.collect())

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.columns import quoted
 from tidemill.llm.common import bucketed, by_key, contiguous_groups, in_slices, materialize, pack, ragged, text_bytes, unpack
 
 SKETCH_BITS = 24
@@ -379,11 +380,12 @@ def _similar(table: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least_words: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(table, gone): the documents' table (_id and all columns) bucketed by id, and rows (_id, _gone: numbers of the lines that go)."""
+    """(table, gone): the documents' table (_id and _row with all columns) bucketed by id, and rows (_id, _gone: numbers of the lines that go)."""
     size = docs.agg(text_bytes(text_col)).first()[0] or 0
     parts = int(min(max(size // PART_BYTES, 4), 1 << 16))
-    table = bucketed(docs.withColumn("_id", F.col(id_col).cast("long")), max(parts // 6, 4), "_id")
-    whole = table.where("_id is not null").select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row"))
+    table = bucketed(rows, max(parts // 6, 4), "_id")
+    whole = table.where("_id is not null").select("_id", F.coalesce(F.col("_row." + quoted(text_col)), F.lit("")).alias("_text"))
     texts = whole.coalesce(max(parts, docs.sparkSession.sparkContext.defaultParallelism))  # buckets have many small files
     sketch = docs.sparkSession.sparkContext.broadcast(_word_sketch(texts))
     found = _candidates(_entries(texts, sketch, parts, threshold, least_words), parts, threshold)
@@ -402,9 +404,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     table, gone = repeated_lines(docs, id_col, text_col, threshold, least_words)
     joined = table.join(gone.hint("shuffle_hash"), "_id", "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    body = F.col("_row." + quoted(text_col))
+    lines = F.split(body, "\n", -1)
     at = F.transform(F.col("_gone"), lambda x: x.cast("int"))
     kept = F.filter(lines, lambda _, i: ~F.array_contains(at, i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("_gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
     more = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), *more)
+    return joined.select(*(text.alias(c) if c == text_col else F.col("_row." + quoted(c)).alias(c) for c in docs.columns), *more)
