@@ -23,6 +23,8 @@ from tidemill.llm.common import discard, materialize
 UNDETERMINED = "und"
 _OTHER = 255
 _CHUNK_CHARS = 1 << 20
+#: Languages at most; more is an error.
+MOST_LANGUAGES = 1000
 
 
 @lru_cache(maxsize=4)
@@ -171,9 +173,12 @@ def train(labelled: DataFrame, docs_per_lang: int = 600, order: int = 4) -> dict
     """
     spark = labelled.sparkSession
     labelled = labelled.where("_lang is not null and _text is not null and _key is not null")
-    sizes = F.broadcast(labelled.groupBy("_lang").count())
+    sizes = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     unit = F.pmod(F.xxhash64(F.col("_key").cast("string")), F.lit(1_000_003)) / 1_000_003
-    sample = labelled.join(sizes, "_lang").where(unit < docs_per_lang / F.col("count"))
+    shares = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(docs_per_lang / n)))) if sizes else None
+    sample = labelled.where(unit < F.element_at(shares, F.col("_lang"))) if sizes else labelled
     sample = materialize(sample.select("_text", "_lang", (F.crc32(F.concat(F.lit("calibrate"), F.col("_key").cast("string"))) % 4 == 0).alias("_held")), "langid-sample")
     counted, held = sample.where("not _held"), sample.where("_held")
     languages = [r["_lang"] for r in sample.select("_lang").distinct().orderBy("_lang").collect()]
