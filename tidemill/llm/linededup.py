@@ -291,6 +291,11 @@ def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
             got = [unpack(p) for p in payloads]
             word, key, mark, more, size, place, doc, line, settles, gone_doc, gone_line = (np.concatenate([r[i] for r in got]) for i in range(11))
             yield rows(0, gone_doc, gone_line)
+            del got
+            order = np.argsort(word)  # words of one entry settle nothing
+            same = word[order][1:] == word[order][:-1]
+            order = order[np.append(False, same) | np.append(same, False)] if len(word) else order
+            word, key, mark, more, size, place, doc, line, settles = (x[order] for x in (word, key, mark, more, size, place, doc, line, settles))
             line, size, place = line.astype(np.int64), size.astype(np.int64), place.astype(np.int64)
             order = np.lexsort((line, doc, size, more, mark, key, word))
             word, key, mark, more, size, place, doc, line, settles = (x[order] for x in (word, key, mark, more, size, place, doc, line, settles))
