@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tidemill.errors import ConfigurationError
 from tidemill.functions.columns import as_text, col, names_of, replace
 from tidemill.operators.base import STEPS, StepContext
+from tidemill.operators.rules import EMAIL
 
 #: The digests that may be asked for.
 ALGORITHMS = ("sha256", "sha384", "sha512", "sha3_256", "sha3_384", "sha3_512", "blake2b", "blake2s")
@@ -81,8 +82,9 @@ def masked(c, keep_start: int, keep_end: int, mark: str):
 
 def masked_email(c, mark: str):
     """The first letter, marks for the rest before the @, and the domain."""
-    local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
-    return F.concat(F.substring(local, 1, 1), F.repeat(F.lit(mark), F.greatest(F.length(local) - 1, F.lit(1)).cast("int")), F.lit("@"), domain)
+    at = F.instr(c, "@")
+    first, hidden = F.substring(c, F.lit(1), F.when(at > 1, 1).otherwise(0)), F.greatest(at - 2, F.lit(1))
+    return F.concat(first, F.repeat(F.lit(mark), hidden.cast("int")), F.substring(c, at, F.length(c)))
 
 
 @STEPS.register("mask_pii", "mask")
@@ -93,17 +95,17 @@ def mask_pii(df: DataFrame, context: StepContext, columns, strategy: str = "auto
         if name not in df.columns:
             continue
         c = as_text(col(name), df.schema[name].dataType)
-        digits = F.regexp_replace(c, r"[\s-]", "")
-        is_card = digits.rlike(r"^\d{12,19}$") & F.call_function("luhn_check", digits)
-        is_email = c.rlike(r"^[^@\s]+@[^@\s]+$")
+        digits = F.regexp_replace(c, r"\D", "")
+        is_card = c.rlike(r"^\d(?:[ -]?\d){12,18}$") & F.call_function("luhn_check", digits)
+        is_email = c.rlike(EMAIL)
         card = F.concat(F.repeat(F.lit(mask_char), (F.length(digits) - 4).cast("int")), F.right(digits, F.lit(4)))
         part = masked(c, keep_start, keep_end, mask_char)
         full = F.repeat(F.lit(mask_char), F.length(c))
         choices = {
             "auto": lambda: F.when(is_email, masked_email(c, mask_char)).when(is_card, card).otherwise(part),
             "partial": lambda: part,
-            "email": lambda: F.when(is_email, masked_email(c, mask_char)).otherwise(full),
-            "card": lambda: F.when(F.length(digits) > 4, card).otherwise(full),
+            "email": lambda: F.when(c.contains("@"), masked_email(c, mask_char)).otherwise(full),
+            "card": lambda: F.when(F.length(digits) > 4, card).otherwise(F.repeat(F.lit(mask_char), F.length(digits))),
             "full": lambda: full,
         }
         if strategy not in choices:

@@ -32,7 +32,7 @@ def derive(df: DataFrame, context: StepContext, column: str, expression: str, on
 
 #: What text counts as true and as false.
 TRUE_WORDS = ("true", "t", "yes", "y", "1", "on")
-FALSE_WORDS = ("false", "f", "no", "n", "0", "off", "")
+FALSE_WORDS = ("false", "f", "no", "n", "0", "off")
 
 
 def converted(c, kind: T.DataType, target: str, pattern: str | None = None):

@@ -16,7 +16,10 @@ from tidemill.sources.base import SINKS, SOURCES, mode_of
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_$]*(\.[A-Za-z_][A-Za-z0-9_$]*)?")
 #: Words that a filter fragment may not hold.
-_BARRED = re.compile(r"(?i);|--|/\*|\b(union|intersect|except|insert|update|delete|drop|alter|create|attach|pragma|grant|exec|into)\b")
+_BARRED_SIGNS = (";", "--", "#", "/*", "*/")
+_BARRED_WORDS = """union intersect except drop delete truncate insert update merge alter create grant revoke exec execute call copy
+    attach detach pragma into sleep pg_sleep benchmark waitfor load_file pg_read_file pg_ls_dir outfile dumpfile dblink""".split()
+_BARRED = re.compile(r"(?i)" + "|".join(map(re.escape, _BARRED_SIGNS)) + r"|\b(?:" + "|".join(_BARRED_WORDS) + r")\b")
 
 
 def identifier(name: str) -> str:
