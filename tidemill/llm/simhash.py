@@ -107,11 +107,11 @@ def _forest(tree_values, query_values, radius: int) -> list[tuple[int, int]]:
 
 
 def _shard_links(rows: DataFrame, values: DataFrame, radius: int, tree_size: int) -> DataFrame:
-    """Links (a, b) of nodes within ``radius``, for ``rows`` (shard, value, node) and ``values`` (node, fp).
+    """Links (a, b) of nodes within ``radius``, for ``rows`` (shard, node) and ``values`` (node, fp).
 
     Shards with one node are left out before fingerprints are fetched.
     """
-    keys = ["shard", "value"]
+    keys = ["shard"]
     sizes = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
     trees = F.ceil(F.col("n") / tree_size)
     own = F.pmod(F.xxhash64("node"), trees)
@@ -126,7 +126,7 @@ def _shard_links(rows: DataFrame, values: DataFrame, radius: int, tree_size: int
     def search(batches):
         for pdf in contiguous_groups(batches, group):
             found = []
-            for (_, _, tree, block), part in pdf.groupby(group, sort=False):
+            for (_, tree, block), part in pdf.groupby(group, sort=False):
                 if isinstance(part["fp"].iloc[0], bytes):
                     marks = [int.from_bytes(v, "little") for v in part["fp"]]
                 else:
@@ -149,11 +149,9 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, tree_size: int = TREE_
     edges = [64 * i // count for i in range(count + 1)]
     mask = lambda i: (1 << (edges[i + 1] - edges[i])) - 1
     block = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit(mask(i)))
-    shards = F.array(*[
-        F.struct(F.lit(n).alias("shard"), (F.shiftleft(block(i), 32) + block(j)).alias("value"))
-        for n, (i, j) in enumerate(combinations(range(count), 2))
-    ])
-    rows = prints.select(F.col("fp").alias("node"), F.inline(shards))
+    # one long names a shard; two shards that share it only compare a few more fingerprints
+    shards = F.array(*(F.xxhash64(F.lit(n), block(i), block(j)) for n, (i, j) in enumerate(combinations(range(count), 2))))
+    rows = prints.select(F.col("fp").alias("node"), F.explode(shards).alias("shard"))
     return _shard_links(rows, prints.select(F.col("fp").alias("node"), "fp"), radius, tree_size)
 
 
@@ -231,12 +229,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     @F.pandas_udf("array<long>")
     def shard_values(values: pd.Series) -> pd.Series:
         flags = np.unpackbits(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
-        keys = np.zeros((len(values), tables), np.int64)
+        keys = np.tile(np.arange(tables, dtype=np.int64), (len(values), 1))
         for i in range(bits):
             keys = keys * 2 + flags[:, chosen[:, i]]
         return pd.Series(list(keys), dtype=object)
 
-    rows = distinct.select("node", F.posexplode(shard_values("fp")).alias("shard", "value"))
+    rows = distinct.select("node", F.explode(shard_values("fp")).alias("shard"))
     links = _shard_links(materialize(rows, "wide-shards"), distinct.select("node", "fp"), WIDE_RADIUS, TREE_SIZE)
     roots = connected_components(links)
     owned = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "least")
