@@ -9,10 +9,10 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemill.errors import ConfigurationError, PublishError, TidemillError
 from tidemill.functions.columns import col
@@ -115,16 +115,12 @@ def _frame(spark: SparkSession, schema: str | None, tasks: list[dict], fetch) ->
                 for rows in fetch(json.loads(task)):
                     yield pd.DataFrame({"value": [json.dumps(r) for r in rows]}, columns=["value"], dtype=object)
 
-    from tidemill.plans.staging import staged
+    from tidemill.plans.staging import staging_dir
 
     raw = spark.createDataFrame([(json.dumps(t),) for t in tasks], "task string").repartition(len(tasks)).mapInPandas(run, "value string")
-    if schema is None:
-        raw = staged(raw)  # records are fetched once, and read again for their schema
-        found = raw.agg(F.schema_of_json_agg("value")).first()[0] if hasattr(F, "schema_of_json_agg") else None
-        kind = T.StructType.fromDDL(found[7:-1]) if found else spark.read.json(raw.rdd.map(lambda r: r[0])).schema
-    else:
-        kind = T.StructType.fromDDL(schema)
-    return raw.select(F.from_json("value", kind).alias("r")).select("r.*")
+    path = f"{staging_dir(spark)}/fetched/{uuid.uuid4().hex}"
+    raw.write.text(path)  # records are fetched once, and read again for their schema
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
 @SOURCES.register("rest", "http", "api")
