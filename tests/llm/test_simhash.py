@@ -108,6 +108,38 @@ def test_near_duplicates_by_similarity(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, {*group.values(), None}))
 
 
+def test_near_duplicates_match_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    texts = []
+    for k in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([8, 14, 30, 120, 300]))]
+        texts.append(" ".join(base))
+        # five shingles change with each word that does: similarities between 0.6 and 0.9
+        share = rng.uniform(0.05, 0.25)
+        texts.append(" ".join(base[: round(len(base) * (1 - share))]))
+        texts.append(" ".join([*base, *(rng.choice(vocabulary) for _ in range(round(len(base) * share)))]))
+    # a shingle that makes up over half of a text doesn't make texts alike
+    for _ in range(4):
+        texts.append(" ".join(["again"] * 200 + [rng.choice(vocabulary) for _ in range(80)]))
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    pairs = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                pairs += 1
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (simhash._SHARD_PAIRS, 0):
+        monkeypatch.setattr(simhash._candidates, "__defaults__", (most, 3))
+        group = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(docs).collect()}
+        wrong = [i for i in range(len(texts)) if group[i] < label[i]]
+        missed = [i for i in range(len(texts)) if group[i] > label[i]]
+        assert pairs > 100 and not wrong and len(missed) <= 2
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicate_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []

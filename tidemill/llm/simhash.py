@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import contiguous_groups, materialize
+from tidemill.llm.common import contiguous_groups, materialize, ragged
 from tidemill.llm.components import connected_components
 
 #: Fingerprints in one tree at most.
@@ -179,69 +179,216 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # ---- near-duplicates by similarity ----------------------------------------------------------
 
 WIDE_BITS = 256
-#: Share of bits that may differ for a Jaccard similarity of 0.8: the expected share
-#: acos(2 * 0.8 / 1.8) / pi = 0.151 and nearly 1.3 standard deviations at 256 bits.
-WIDE_RADIUS = 46
+#: Differing bits of a candidate at most, of all bits and of the first 64.  The expected share at a
+#: Jaccard similarity of 0.8 is acos(2 * 0.8 / 1.8) / pi = 0.151, and 0.19 for the smallest sets;
+#: the bounds are 4.5 standard deviations above the first and 2.6 above the second.
+WIDE_RADIUS = 64
+_FIRST_RADIUS = 22
 #: How often a pair of that similarity must fall into a common shard.
-WIDE_RECALL = 0.95
+WIDE_RECALL = 0.99
+#: Sets of at most so many shingles also meet by shingle, which is exact.
+_SMALL_SET = 40
+#: Shard tables whose neighbours are compared first.
+_FIRST_TABLES = 6
+#: Pairs that one task compares for one shard, and nodes of one side where there are more.
+_SHARD_PAIRS = 1 << 22
+_BLOCK_NODES = 2048
+_PAIRS_AT_ONCE = 1 << 20
+_FPS = ["f0", "f1", "f2", "f3"]
+
+
+def shingle_set(text: str | None, words: int) -> set[bytes]:
+    """The different word shingles of a text, by the rules of :func:`fingerprint`."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return set()
+    return set(map(b" ".join, zip(*(parts[i:] for i in range(words))))) or {b" ".join(parts)}
+
+
+def similar(a: set, b: set) -> bool:
+    """Whether the Jaccard similarity is 0.8 or more; two empty sets are equal."""
+    common = len(a & b)
+    return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
-def wide_fingerprint(text: str | None, words: int) -> bytes:
-    """SimHash of 256 bits of the word shingles of a text, by the rules of :func:`fingerprint`."""
+def wide_fingerprint(shingles: set[bytes]) -> tuple[bytes, bytes, list[int]]:
+    """SimHash of 256 bits, a 128-bit digest of the set, and for small sets the shards of their least shingles.
+
+    Two sets of a similarity of 0.8 share one of the n // 5 + 1 least hashes of either.
+    """
     from xxhash import xxh3_128_digest
 
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return bytes(WIDE_BITS // 8)
-    shingles = list(map(b" ".join, zip(*(parts[i:] for i in range(words))))) or [b" ".join(parts)]
     ones = np.zeros(WIDE_BITS, np.int64)
-    for i in range(0, len(shingles), 1 << 14):
-        some = shingles[i : i + (1 << 14)]
-        raw = b"".join([xxh3_128_digest(x, 1) + xxh3_128_digest(x, 2) for x in some])
+    names, rest = [], list(shingles)
+    for i in range(0, len(rest), 1 << 14):
+        some = rest[i : i + (1 << 14)]
+        first = [xxh3_128_digest(x, 1) for x in some]
+        names += first
+        raw = b"".join([n + xxh3_128_digest(x, 2) for n, x in zip(first, some)])
         bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
+    names.sort()
+    least = names[: len(names) // 5 + 1] if len(names) <= _SMALL_SET else []
+    digest = xxh3_128_digest(b"".join(names))
+    return np.packbits(2 * ones > len(rest), bitorder="little").tobytes(), digest, [int.from_bytes(n[:8], "little", signed=True) for n in least]
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """One row per input row: the id and ``group_id``, the least id of its near-duplicates.
+def _cross_pairs(pdf: pd.DataFrame, keys: list[str], most: int):
+    """(i, j) arrays of rows of one group but different roots, and the rows of groups with over ``most`` such pairs.
 
-    Documents are linked if their 256-bit fingerprints over shingles of ``words`` words differ
-    in at most ``WIDE_RADIUS`` bits, which estimates a Jaccard similarity of 0.8 or more.
-    Shards are keyed by samples of bits whose number grows with the logarithm of the number of
-    fingerprints, and there are as many samples as ``WIDE_RECALL`` needs.  Null, empty and
-    repeated rows are treated as by :func:`simhash_components`.
+    ``pdf`` is sorted by ``keys`` and root.  The last item is the one of the rows.
     """
+    n = len(pdf)
+    new = np.zeros(n - 1, bool)
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new |= v[1:] != v[:-1]
+    root = pdf["root"].to_numpy()
+
+    def ends_of(change):
+        heads = np.flatnonzero(np.append(True, change))
+        ends = np.append(heads[1:], n)
+        return heads, ends - heads, np.repeat(ends, ends - heads)
+
+    heads, lengths, group_end = ends_of(new)
+    _, _, run_end = ends_of(new | (root[1:] != root[:-1]))
+    sizes = group_end - run_end
+    hot = np.repeat(np.add.reduceat(sizes, heads) > most, lengths)
+    sizes[hot] = 0
+    total = np.append(0, np.cumsum(sizes))
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _PAIRS_AT_ONCE, side="right")) - 1)
+        yield np.repeat(np.arange(lo, hi), sizes[lo:hi]), ragged(run_end[lo:hi], sizes[lo:hi])
+        lo = hi
+    yield np.flatnonzero(hot), None
+
+
+def _candidates(rows: DataFrame, nodes: DataFrame, most: int = _SHARD_PAIRS, block: int = _BLOCK_NODES) -> DataFrame:
+    """All pairs (a, b) of one shard, different roots and few differing first bits, for ``rows`` (shard, node, root, f0).
+
+    Shards with more than ``most`` pairs are dealt into blocks, and each two blocks meet in a task of their own.
+    """
+
+    def compare(keys, most, dealt):
+        def run(batches):
+            for pdf in contiguous_groups(batches, keys):
+                node, bits = pdf["node"].to_numpy(), pdf["f0"].to_numpy().view(np.uint64)
+                for i, j in _cross_pairs(pdf, keys, most):
+                    if j is None:
+                        yield pd.DataFrame({"a": pdf["shard"].to_numpy()[i], "b": node[i], "hot": True})
+                        continue
+                    ok = np.bitwise_count(bits[i] ^ bits[j]) <= _FIRST_RADIUS
+                    if dealt:
+                        own, one = pdf["own"].to_numpy(), (pdf["one"] == pdf["two"]).to_numpy()
+                        ok &= one[i] | (own[i] != own[j])
+                    yield pd.DataFrame({"a": node[i[ok]], "b": node[j[ok]], "hot": False})
+
+        return run
+
+    out = "a long, b long, hot boolean"
+    found = rows.repartition("shard").sortWithinPartitions("shard", "root").mapInPandas(compare(["shard"], most, False), out)
+    found = materialize(found, "wide-found")
+    pairs = found.where("not hot").select("a", "b")
+    hot = found.where("hot").select(F.col("a").alias("shard"), F.col("b").alias("node"))
+    if hot.isEmpty():
+        return pairs
+    sizes = materialize(hot.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), "wide-hot")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = hot.join(sizes, "shard").select("shard", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("shard", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node").join(nodes.select("node", "root", "f0"), "node")
+    keys = ["shard", "one", "two"]
+    more = dealt.repartition(*keys).sortWithinPartitions(*keys, "root").mapInPandas(compare(keys, 1 << 62, True), out)
+    return pairs.unionAll(more.select("a", "b"))
+
+
+def _neighbours(batches):
+    """Pairs of consecutive rows of one shard with few differing first bits."""
+    for pdf in batches:
+        shard, node, bits = pdf["shard"].to_numpy(), pdf["node"].to_numpy(), pdf["f0"].to_numpy().view(np.uint64)
+        ok = (shard[1:] == shard[:-1]) & (np.bitwise_count(bits[1:] ^ bits[:-1]) <= _FIRST_RADIUS)
+        yield pd.DataFrame({"a": node[:-1][ok], "b": node[1:][ok]})
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes within ``WIDE_RADIUS`` whose texts have a similarity of 0.8 or more."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(f).alias(side + f) for f in _FPS)), side)
+    away = sum((F.bit_count(F.col("a" + f).bitwiseXOR(F.col("b" + f))) for f in _FPS), F.lit(0))
+    pairs = materialize(pairs.where(away <= WIDE_RADIUS).select("a", "b"), "wide-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h0", "h1"), "node")
+    held = materialize(texts.join(needed, ["h0", "h1"]).select("node", "_text").dropDuplicates(["node"]), "wide-texts")
+
+    def check(batches):
+        at, other = None, set()
+        for pdf in batches:
+            keep = []
+            for b, x, y in zip(pdf["b"], pdf["x"], pdf["y"]):
+                if b != at:
+                    at, other = b, shingle_set(y, words)
+                keep.append(similar(shingle_set(x, words), other))
+            yield pdf.loc[keep, ["a", "b"]]
+
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("_text").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("_text").alias("y")), "b")
+    return materialize(both.mapInPandas(check, "a long, b long"), "wide-links", 200)
 
-    @F.pandas_udf("binary")
-    def wide(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t, words) for t in texts], dtype=object)
 
-    prints = docs.select(F.col(id_col).alias("_id"), wide(F.col(text_col)).alias("fp"))
-    prints = materialize(prints, "wide-prints")
-    distinct = prints.groupBy("fp").agg(F.min("_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """One row per input row: the id and ``group_id``, the least id of its near-duplicates.
+
+    Documents are linked if the Jaccard similarity of their sets of ``words``-word shingles is 0.8
+    or more.  256-bit fingerprints of the sets only propose the pairs: shards are keyed by samples
+    of bits whose number grows with the logarithm of the number of sets, and there are as many
+    samples as ``WIDE_RECALL`` needs at 0.8; small sets also meet by shingle.  Neighbours in a few
+    shards are verified and linked first, so that large groups don't propose all their pairs.
+    Null, empty and repeated rows are treated as by :func:`simhash_components`.
+    """
+    longs = ["k0", "k1", *_FPS]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in longs) + ", small array<long>")
+    def wide(texts: pd.Series) -> pd.DataFrame:
+        rows = [wide_fingerprint(shingle_set(t, words)) for t in texts]
+        whole = np.frombuffer(b"".join(key + fp for fp, key, _ in rows), np.int64).reshape(len(rows), 6)
+        return pd.DataFrame({n: whole[:, i] for i, n in enumerate(longs)}).assign(small=pd.Series([s for _, _, s in rows], dtype=object))
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("_text"), F.xxhash64(text).alias("h0"), F.xxhash64(F.lit(1), text).alias("h1"))
+    prints = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("h0"), F.xxhash64(F.lit(1), text).alias("h1"), wide(F.col(text_col)).alias("_wide"))
+    prints = materialize(prints.select("_id", "h0", "h1", "_wide.*"), "wide-prints")
+    one = F.min(F.struct("h0", "h1"))
+    distinct = prints.groupBy("k0", "k1").agg(F.min("_id").alias("least"), one.alias("one"), *(F.min(f).alias(f) for f in _FPS))
+    distinct = distinct.select("k0", "k1", "least", "one.*", *_FPS).withColumn("node", F.monotonically_increasing_id())
     distinct = materialize(distinct, "wide-distinct")
     bits = max(12, int(distinct.count()).bit_length())
     chance = (1 - float(np.arccos(1.6 / 1.8) / np.pi)) ** bits
     tables = int(np.ceil(np.log(1 - WIDE_RECALL) / np.log1p(-chance)))
     chosen = np.stack([np.random.default_rng([11, t]).permutation(WIDE_BITS)[:bits] for t in range(tables)])
 
-    @F.pandas_udf("array<long>")
-    def shard_values(values: pd.Series) -> pd.Series:
-        flags = np.unpackbits(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
-        keys = np.tile(np.arange(tables, dtype=np.int64), (len(values), 1))
-        for i in range(bits):
-            keys = keys * 2 + flags[:, chosen[:, i]]
-        return pd.Series(list(keys), dtype=object)
-
-    rows = distinct.select("node", F.explode(shard_values("fp")).alias("shard"))
-    links = _shard_links(materialize(rows, "wide-shards"), distinct.select("node", "fp"), WIDE_RADIUS, TREE_SIZE)
-    roots = connected_components(links)
-    owned = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "least")
+    def shards(count: int):
+        @F.pandas_udf("array<long>")
+        def values(f0: pd.Series, f1: pd.Series, f2: pd.Series, f3: pd.Series) -> pd.Series:
+            flags = np.unpackbits(np.stack([f0, f1, f2, f3], axis=1).astype(np.int64).view(np.uint8), axis=1, bitorder="little")
+            keys = np.tile(np.arange(count, dtype=np.int64), (len(f0), 1))
+            for i in range(bits):
+                keys = keys * 2 + flags[:, chosen[:count, i]]
+            return pd.Series(list(keys), dtype=object)
+
+        return F.explode(values(*_FPS)).alias("shard")
+
+    first = distinct.select("node", "f0", shards(min(_FIRST_TABLES, tables))).repartition("shard").sortWithinPartitions("shard", "f0")
+    linked = _verified(first.mapInPandas(_neighbours, "a long, b long"), distinct, texts, words)
+    nodes = distinct.join(connected_components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = materialize(nodes, "wide-nodes")
+    small = prints.where(F.size("small") > 0).select("k0", "k1", F.explode("small").alias("shard")).distinct().join(nodes, ["k0", "k1"])
+    rows = nodes.select("node", "root", "f0", shards(tables)).unionAll(small.select("node", "root", "f0", "shard"))
+    linked = linked.unionAll(_verified(_candidates(rows, nodes), nodes, texts, words))
+    roots = connected_components(linked)
+    owned = distinct.join(roots, "node", "left").select("k0", "k1", F.coalesce("root", "node").alias("root"), "least")
     owned = materialize(owned, "wide-roots")
     least = materialize(owned.groupBy("root").agg(F.min("least").alias("group_id")), "wide-groups")
-    table = materialize(owned.join(least, "root").select("fp", "group_id"), "wide-members")
-    return prints.join(table, "fp").select(F.col("_id").alias(id_col), "group_id")
+    table = materialize(owned.join(least, "root").select("k0", "k1", "group_id"), "wide-members")
+    return prints.join(table, ["k0", "k1"]).select(F.col("_id").alias(id_col), "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
