@@ -54,3 +54,11 @@ def test_labels_and_odd_rows(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality.score(none, quality.train(none)).collect() == []
+
+
+def test_scorer_takes_the_whole_sample_and_all_rounds():
+    assert quality.train.__defaults__[-1] == 6000
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, quality.BUCKETS)).astype(np.float32)
+    target = (x[:, 0] > 0).astype(float)
+    assert np.array_equal(quality.fit_scorer(x, target), quality.fit_scorer(x, target, rounds=300))
