@@ -43,6 +43,18 @@ def test_disguises_map_back_to_the_source():
         assert pii.find_all(clean) == ([], [])
 
 
+def test_addresses_in_plain_words():
+    cases = ["jane at example.com", "jane at firma dot se", "jane dot doe at uni dot pl", "jane at mail dot co", "jane at mail.firma dot no", "j.doe at mail.example.org", "bob42 at firma.be"]
+    for span in cases:
+        for text in (span, f"please mail {span}, thanks"):
+            plain, added = pii.find_all(text)
+            assert not plain and [text[a:b] for a, _, b in added] == [span], text
+    clean = ["look at the dot on page 5", "He worked at example.com for years.", "Available at github.com", "Shop at booking.com today", "visit us at example.org"]
+    clean += ["she stared at every dot that moved", "read more at www.example.se", "They met at noon. Then he left.", "prices at 10.50 each"]
+    for text in clean:
+        assert pii.find_all(text) == ([], []), text
+
+
 def test_query_shape_and_odd_rows(spark):
     long = "9" * 50_000 + " a" * 50_000 + "x@" * 20_000
     rows = [(1, "a@b.cd +1 (017) 555-7713"), (2, None), (2, None), (None, ""), (3, long), (4, "mail bob (at) b.org")]

@@ -39,9 +39,21 @@ _SPELLED_RUN = re.compile(rf"(?i)\b(?:plus[ ,-]+)?(?:{_WORD}|[0-9]+)(?:(?:[ ,-]+
 _SPELLED_HINT = re.compile(rf"(?i)\b{_WORD}[ ,-]+(?:dot[ ]+)?{_WORD}\b")
 _TOKEN = re.compile(rf"(?i)plus|dot|{_WORD}|[0-9]+")
 _LABEL = r"[A-Za-z0-9-]+"
-#: Endings that make "at" and "dot" in plain words an address.
+#: Endings that make "at" and "dot" in plain words an address after any word.
 _ENDINGS = "(?:com|org|net|edu|gov|info|biz|io|ai|app|dev|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|br|in|jp|cn|ru|example|test)"
-_SPACED_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9._%+-])[ \t]+at[ \t]+(?={_LABEL}(?:(?:[ \t]+dot[ \t]+|[ \t]*[\[({{<][ \t]*dot[ \t]*[\])}}>][ \t]*){_LABEL})*?(?:[ \t]+dot[ \t]+|[ \t]*[\[({{<][ \t]*dot[ \t]*[\])}}>][ \t]*){_ENDINGS}\b)")
+#: Words that open plain prose after "at", where only those endings count.
+_OPENERS = "(?:the|an?|one|this|that|these|those|each|every|any|some|no|his|her|its|their|my|your|our|which|what)"
+_HIDDEN_DOT = r"(?:[ \t]+dot[ \t]+|[ \t]*[\[({<][ \t]*dot[ \t]*[\])}>][ \t]*)"
+_SPACED_AT = re.compile(
+    rf"(?i)(?<=[A-Za-z0-9._%+-])[ \t]+at[ \t]+(?={_LABEL}(?:{_HIDDEN_DOT}{_LABEL})*?{_HIDDEN_DOT}{_ENDINGS}\b"
+    rf"|(?!{_OPENERS}[ \t]){_LABEL}(?:\.{_LABEL})*{_HIDDEN_DOT}(?:{_LABEL}(?:{_HIDDEN_DOT}|\.))*[A-Za-z]{{2,}}\b)"
+)
+#: "at" before a domain with real dots; what stands before it decides.
+_DOTTED_AT = re.compile(r"(?i)(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=(?!www\.)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?<=\.[A-Za-z]{2}|[A-Za-z]{3})(?![A-Za-z0-9@]))")
+_BEFORE_AT = re.compile(r"(?i)(^|[\n:;<(\[\"']|\b(?:to|mail|e-mail|email|address|contact|reach|is))[ \t]*([A-Za-z0-9._%+-]+)$")
+_ODD_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9]+[._%+][A-Za-z0-9._%+-]*$|(?<![A-Za-z0-9._%+-])[A-Za-z]+[0-9]+$")
+#: Words that stand before "at" and a site in plain prose.
+_PROSE = re.compile(r"(?i)(?:.*(?:ed|ing|able|ible|s)|us|me|him|her|them|it|you|more|online|see|look|find|visit|buy|read|work|live|here|there|now|up|out|site|page|home|shop|store|book|apply|join|learn|meet|team|support|free|be|go|get|only|also|direct|blog|start|stay|order|register|download|available|founder|engineer|editor|manager|director)")
 _SPACED_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])")
 
 
@@ -154,19 +166,32 @@ def _digits_of_run(m: re.Match) -> str | None:
     return out if sum(c.isdigit() for c in out) >= 4 else None
 
 
+def _at_of_address(m: re.Match) -> str | None:
+    """"@" if the word before looks like a local part, or stands where an address does and isn't plain prose."""
+    before = m.string[max(0, m.start() - 80) : m.start()]
+    if _ODD_LOCAL.search(before):
+        return "@"
+    found = _BEFORE_AT.search(before)
+    if not found or (not found[1] and m.start() > 80) or _PROSE.fullmatch(found[2]):
+        return None
+    return "@"
+
+
 def find_disguised(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) in source offsets of identifiers that only rewriting shows."""
     low = text.lower()
     odd = None if text.isascii() else _odd_characters()
     odd = odd if odd and odd[1].search(text) else None
     spelled = any(w in low for w in _DIGIT_WORDS) and _SPELLED_HINT.search(text)
-    if not (odd or spelled or "dot" in low or _BRACKETED.search(text)):
+    spaced = (" at" in low or "\tat" in low) and _DOTTED_AT.search(text)
+    if not (odd or spelled or spaced or "dot" in low or _BRACKETED.search(text)):
         return []
     new = Rewritten(text)
     if odd:
         new.apply(odd[1], lambda m: odd[0][m[0]])
     new.apply(_SPELLED_RUN, _digits_of_run)
     new.apply(_SPACED_AT, lambda m: "@")
+    new.apply(_DOTTED_AT, _at_of_address)
     new.apply(_BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@") else ".")
     new.apply(_SPACED_DOT, lambda m: ".")
     if not new.layers:
