@@ -35,6 +35,22 @@ def test_recall_and_order(spark):
         assert got == sorted(got, key=lambda x: (-x[1], x[0])) and len(got) == 20
 
 
+def test_norm_outliers():
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(2000, 24))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    ids = np.arange(2000)
+    for factor in (1e4, 1e8, 1e25):
+        rows = data.copy()
+        rows[77] *= factor
+        queries = data[:200]
+        want = np.argsort(-np.where(ids[:200, None] == ids, -np.inf, queries @ rows.T), axis=1)[:, :20]
+        hits = 0
+        for q, v, _ in ann.Shard(ids, rows).search(ids[:200], queries, 20, ann.SEARCH_BEAM):
+            hits += sum(len(set(v[q == i]) & set(want[i])) for i in set(q))
+        assert hits >= 0.97 * want.size, (factor, hits)
+
+
 def test_odd_rows_and_copies(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(50)]

@@ -4,7 +4,7 @@ Rows are dealt to shards of bounded size by a hash of their id.  Each shard buil
 equal vectors become one node, one more coordinate turns largest inner product into least
 distance, greedy searches over the graph so far propose neighbours of a batch of new nodes,
 and relaxed distance pruning keeps edges of diverse direction.  Blocks of queries search every
-shard with a beam; found nodes are scored again in double precision on the original vectors,
+shard with a beam that goes by the inner product itself; found nodes are scored again in double precision on the original vectors,
 and the shards' best are merged for each query.
 """
 
@@ -27,6 +27,8 @@ SEARCH_BEAM = 96
 ALPHA = 1.2
 _WIDTH = 4  # nodes that one step of a beam expands
 _BATCH = 512
+_LONGEST = 16  # nodes of largest norm where each search of a shard starts too
+_LEAST_NORM = 1e-24  # squared norm, as a share of the largest, that single precision can build with
 
 
 def _distances(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -36,19 +38,28 @@ def _distances(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("qrd,qrd->qr", near, near)
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def _products(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Negative inner product of each query with its own list of nodes."""
+    return -np.einsum("qrd,qd->qr", x[rows], q)
+
+
+def beam_search(x: np.ndarray, graph: np.ndarray, start, queries: np.ndarray, beam: int, measure=_distances) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, distances) of the ``beam`` best nodes that each query reaches; -1 and infinity pad.
 
-    ``graph`` has a row of neighbours for each node, padded with -1.
+    ``graph`` has a row of neighbours for each node, padded with -1.  ``start`` is a node or
+    at most ``beam`` different ones.
     """
     n, count = len(x), len(queries)
     seen = np.zeros((count, n + 1), bool)
     seen[:, n] = True  # where padding points
     nodes = np.full((count, beam), -1)
-    away = np.full((count, beam), np.inf, np.float32)
+    away = np.full((count, beam), np.inf, x.dtype)
     done = np.ones((count, beam), bool)
-    nodes[:, 0], done[:, 0], seen[:, start] = start, False, True
-    away[:, 0] = _distances(x, nodes[:, :1], queries)[:, 0]
+    first = np.tile(np.atleast_1d(start), (count, 1))
+    far = measure(x, first, queries)
+    rank, size = np.argsort(far, axis=1, kind="stable"), first.shape[1]
+    nodes[:, :size], away[:, :size] = np.take_along_axis(first, rank, 1), np.take_along_axis(far, rank, 1)
+    done[:, :size], seen[:, start] = False, True
     live = np.arange(count)
     while len(live):
         # the nearest nodes not yet expanded; columns are in order of distance
@@ -64,7 +75,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarra
         seen[live[:, None], new] = True
         new.sort(axis=1)
         new = new[:, : max(1, int((new < n).sum(1).max()))]
-        far = _distances(x, np.minimum(new, n - 1), queries[live])
+        far = measure(x, np.minimum(new, n - 1), queries[live])
         far[new == n] = np.inf
         both = np.concatenate([away[live], far], axis=1)
         best = np.argsort(both, axis=1, kind="stable")[:, :beam]
@@ -162,6 +173,15 @@ def reachable(graph: np.ndarray, start: int) -> np.ndarray:
         front = lost
 
 
+def _power_of_two(x):
+    """The power of two that brings positive values between a half and one; dividing by it is exact."""
+    return np.ldexp(1.0, np.minimum(np.frexp(x)[1], 1023))
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    return vectors / _power_of_two(np.abs(vectors).max())
+
+
 class Shard:
     """The graph of one shard, with the ids of each distinct vector in order."""
 
@@ -170,17 +190,25 @@ class Shard:
         order = np.lexsort((ids, at.ravel()))
         self.ids = ids[order]
         self.heads = np.searchsorted(at.ravel()[order], np.arange(len(self.vectors) + 1))
-        norm = (self.vectors**2).sum(1)
-        self.points = np.concatenate([self.vectors, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], axis=1).astype(np.float32)
-        self.graph, self.start = build_graph(self.points)
+        scaled = _scaled(self.vectors)
+        norm = (scaled**2).sum(1)
+        # the further coordinate less its largest value, so that small norms keep their digits
+        extra = -norm / (np.sqrt(norm.max()) + np.sqrt(np.maximum(norm.max() - norm, 0)))
+        self.kind = np.float32 if norm.min() > _LEAST_NORM * norm.max() else np.float64
+        points = np.concatenate([scaled, extra[:, None]], axis=1).astype(self.kind)
+        self.graph, start = build_graph(points)
         self.graph = self.graph.astype(np.int32)
+        self.points = np.ascontiguousarray(points[:, :-1])
+        # few edges lead to a node that is much longer than the others
+        longest = np.argsort(-norm, kind="stable")[:_LONGEST]
+        self.start = np.append(start, longest[longest != start])
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int):
         """(query_id, vec_id, score) of the best ``k`` found for each query, its own row left out."""
-        flat = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        flat = (queries / _power_of_two(np.abs(queries).max(1))[:, None]).astype(self.kind)
         best = min(k + 1, len(self.vectors))
         for i in range(0, len(queries), _BATCH):
-            nodes, _ = beam_search(self.points, self.graph, self.start, flat[i : i + _BATCH], max(beam, best))
+            nodes, _ = beam_search(self.points, self.graph, self.start, flat[i : i + _BATCH], max(beam, best, len(self.start)), _products)
             q = np.repeat(np.arange(i, i + len(nodes)), nodes.shape[1])[nodes.ravel() >= 0]
             node = nodes.ravel()[nodes.ravel() >= 0]
             score = np.einsum("nd,nd->n", self.vectors[node], queries[q])
@@ -230,7 +258,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     index, shards = pack(rows, shard_rows, "ann-index", lambda pdf: pickle.dumps(Shard(pdf["id"].to_numpy(), _stacked(pdf["vector"]))))
     blocks, counts = pack(asked, BLOCK_QUERIES, "ann-queries", lambda pdf: pickle.dumps((pdf["id"].to_numpy(), _stacked(pdf["vector"]))))
-    pairs = index.join(blocks.select("dim", F.col("part").alias("block"), F.col("payload").alias("asked")), "dim")
+    number = F.coalesce(*(F.when(F.col("dim") == d, F.lit(n)) for d, n in shards.items()), F.lit(1))
+    asked_of = F.explode(F.sequence(F.lit(0), number - 1)).alias("part")
+    pairs = index.join(blocks.select("dim", asked_of, F.col("payload").alias("asked")), ["dim", "part"])
     tasks = sum(n * shards.get(d, 0) for d, n in counts.items())
 
     def search(batches):
