@@ -34,7 +34,8 @@ _LOOK_ALIKES = dict(zip("АВЕЅІЈКМНОРСТУХаеоѕіјрсухԁһ
 _INVISIBLE = "­​‌‍⁠﻿"
 
 _WORD = "(?:" + "|".join(_DIGIT_WORDS) + ")"
-_BRACKETED = re.compile(r"(?i)[ \t]*[\[({<][ \t]*(at|dot|@|\.)[ \t]*[\])}>][ \t]*")
+#: Blanks around the brackets go too; they are taken from the bracket outwards, as a pattern that starts with blanks takes quadratic time.
+_BRACKETED = re.compile(r"(?i)[\[({<][ \t]*+(at|dot|@|\.)[ \t]*+[\])}>][ \t]*+")
 _SPELLED_RUN = re.compile(rf"(?i)\b(?:plus[ ,-]+)?(?:{_WORD}|[0-9]+)(?:(?:[ ,-]+|[ ]+dot[ ]+)(?:{_WORD}|[0-9]+)\b)++")
 _SPELLED_HINT = re.compile(rf"(?i)\b{_WORD}[ ,-]+(?:dot[ ]+)?{_WORD}\b")
 _TOKEN = re.compile(rf"(?i)plus|dot|{_WORD}|[0-9]+")
@@ -98,8 +99,8 @@ def find_plain(text: str) -> list[tuple[int, int, int]]:
 
 
 @lru_cache(maxsize=1)
-def _odd_characters() -> tuple[dict[str, str], re.Pattern]:
-    """Non-ASCII characters that stand for one ASCII character or for nothing, and a pattern of them.
+def _odd_characters() -> dict[str, str]:
+    """Non-ASCII characters that stand for one ASCII character or for nothing.
 
     Besides the fixed look-alikes these are all compatibility forms (full width, styled
     letters and digits) and decimal digits of any script.
@@ -112,7 +113,12 @@ def _odd_characters() -> tuple[dict[str, str], re.Pattern]:
             table[c] = plain
         elif unicodedata.category(c) == "Nd":
             table[c] = str(unicodedata.digit(c))
-    return table, re.compile("[" + "".join(map(re.escape, sorted(table))) + "]")
+    return table
+
+
+@lru_cache(maxsize=256)
+def _one_of(characters: str) -> re.Pattern:
+    return re.compile("[" + re.escape(characters) + "]")
 
 
 class Rewritten:
@@ -122,17 +128,20 @@ class Rewritten:
         self.text = text
         self.layers: list[tuple[list[int], list[tuple[int, int, int]]]] = []
 
-    def apply(self, pattern: re.Pattern, replace) -> None:
-        """Replace the matches for which ``replace`` returns a string."""
+    def apply(self, pattern: re.Pattern, replace, blanks_before: bool = False) -> None:
+        """Replace the matches for which ``replace`` returns a string, if asked with the blanks before them."""
         parts, last, size, starts, edits = [], 0, 0, [], []
         for m in pattern.finditer(self.text):
             new = replace(m)
             if new is None:
                 continue
-            parts += [self.text[last : m.start()], new]
-            size += m.start() - last
+            first = m.start()
+            while blanks_before and first > last and self.text[first - 1] in " \t":
+                first -= 1
+            parts += [self.text[last:first], new]
+            size += first - last
             starts.append(size)
-            edits.append((size + len(new), m.start(), m.end()))
+            edits.append((size + len(new), first, m.end()))
             size += len(new)
             last = m.end()
         if edits:
@@ -180,19 +189,19 @@ def _at_of_address(m: re.Match) -> str | None:
 def find_disguised(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) in source offsets of identifiers that only rewriting shows."""
     low = text.lower()
-    odd = None if text.isascii() else _odd_characters()
-    odd = odd if odd and odd[1].search(text) else None
+    odd = "" if text.isascii() else "".join(sorted(_odd_characters().keys() & set(text)))
     spelled = any(w in low for w in _DIGIT_WORDS) and _SPELLED_HINT.search(text)
     spaced = (" at" in low or "\tat" in low) and _DOTTED_AT.search(text)
     if not (odd or spelled or spaced or "dot" in low or _BRACKETED.search(text)):
         return []
     new = Rewritten(text)
     if odd:
-        new.apply(odd[1], lambda m: odd[0][m[0]])
+        table = _odd_characters()
+        new.apply(_one_of(odd), lambda m: table[m[0]])
     new.apply(_SPELLED_RUN, _digits_of_run)
     new.apply(_SPACED_AT, lambda m: "@")
     new.apply(_DOTTED_AT, _at_of_address)
-    new.apply(_BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@") else ".")
+    new.apply(_BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@") else ".", blanks_before=True)
     new.apply(_SPACED_DOT, lambda m: ".")
     if not new.layers:
         return []
@@ -204,7 +213,14 @@ def find_all(text: str | None) -> tuple[list, list]:
     """Plain spans and the spans that deobfuscation adds: those not within a plain one of their kind."""
     text = text or ""
     plain = find_plain(text)
-    added = [s for s in find_disguised(text) if not any(p[1] == s[1] and p[0] <= s[0] and s[2] <= p[2] for p in plain)]
+    disguised = find_disguised(text)
+    if not disguised:
+        return plain, []
+    starts, ends = [[] for _ in KINDS], [[] for _ in KINDS]
+    for a, kind, b in plain:  # those of a kind don't overlap
+        starts[kind].append(a)
+        ends[kind].append(b)
+    added = [(a, kind, b) for a, kind, b in disguised if not (i := bisect_right(starts[kind], a)) or ends[kind][i - 1] < b]
     return plain, added
 
 
