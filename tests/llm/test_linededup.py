@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidemill.llm import linededup
 from tidemill.llm.linededup import words_of_line
 
@@ -43,9 +45,9 @@ def some_rows(seed, n=70):
     return list(zip(ids, texts))
 
 
-def run(spark, rows):
+def run(spark, rows, threshold=0.8, least=3):
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, _gone int, _id string")
-    found = linededup.drop_repeated_lines(docs)
+    found = linededup.drop_repeated_lines(docs, threshold=threshold, least_words=least)
     assert found.columns == docs.columns
     return sorted(repr((r["doc_id"], r["text"])) for r in found.collect())
 
@@ -56,13 +58,31 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == plain(rows)
 
 
+@pytest.mark.parametrize(("threshold", "least"), [(0.5, 1), (0.6, 3), (0.95, 2), (1.0, 3)])
+def test_other_thresholds(spark, threshold, least):
+    rows = some_rows(3, 60) + [(1001, "alpha beta gamma"), (1002, "alpha beta gamma delta"), (1003, "one two three"), (1004, "one two four"), (1005, "x"), (1006, "x y")]
+    assert run(spark, rows, threshold, least) == plain(rows, threshold, least)
+
+
 def test_small_batches_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "_FLUSH_BYTES", 900)
-    monkeypatch.setattr(linededup, "_CHUNK", 300)
-    monkeypatch.setattr(linededup, "_ROWS", 3)
+    for name, value in {"_FLUSH_BYTES": 900, "_CHUNK": 300, "_ROWS": 3, "_SOME_ENTRIES": 40}.items():
+        monkeypatch.setattr(linededup, name, value)
     rows = some_rows(2, 120)
     assert run(spark, rows) == plain(rows)
 
 
+@pytest.mark.parametrize("hot_word", [2, 1 << 40])
+def test_frequent_words_and_large_groups(spark, monkeypatch, hot_word):
+    small = {"_FLUSH_BYTES": 2000, "_CHUNK": 500, "_SOME_ENTRIES": 30, "HOT_WORD": hot_word, "MOST_SETS": 4, "BLOCK_SETS": 3, "_ASKED_LINES": 2, "_MEMBER_LINES": 3}
+    for name, value in small.items():
+        monkeypatch.setattr(linededup, name, value)
+    rng = random.Random(8)
+    # a template that very many lines share, with one to three words of their own
+    rows = [(i, "\n".join("name of the " + " ".join(f"u{rng.randrange(60)}" for _ in range(rng.randint(1, 3))) + " and so on" for _ in range(3))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in some_rows(5, 30)]
+    for threshold in (0.6, 0.8):
+        assert run(spark, rows, threshold) == plain(rows, threshold)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []

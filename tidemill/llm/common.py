@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark then deletes a query's shuffle files when the query ends, not when the driver collects its garbage.
+_SHORT_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str | None):
+    """Session settings for the time of one write; None leaves a setting as it is."""
+    keys = {"batch_rows": _BATCH_ROWS, "short_shuffles": _SHORT_SHUFFLES}
+    before = {keys[k]: spark.conf.get(keys[k]) for k, v in values.items() if v is not None}
+    try:
+        for k, v in values.items():
+            if v is not None:
+                spark.conf.set(keys[k], v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
@@ -43,13 +61,8 @@ def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH_ROWS)
-    try:
-        if batch_rows:
-            spark.conf.set(_BATCH_ROWS, str(batch_rows))
+    with _settings(spark, short_shuffles="true", batch_rows=str(batch_rows) if batch_rows else None):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemill_path = path
     return out
@@ -134,20 +147,35 @@ def in_slices(work, schema: str, text_col: str, most_bytes: int = 1 << 22):
     return run
 
 
+#: Spark's own limit for the buckets of a table.
+MOST_BUCKETS = 100_000
+
+
 def bucketed(docs: DataFrame, buckets: int, column: str) -> DataFrame:
     """``docs`` as a table bucketed by ``column``, so that joins on it don't shuffle the texts.
 
-    There are ``buckets`` buckets, or as many as shuffle partitions if those are more: Spark
-    shuffles a bucketed side after all if the other side would have more partitions.
+    One shuffle by the same key gives each bucket one file.  There are ``buckets`` buckets, or
+    as many as shuffle partitions if those are more: Spark shuffles a bucketed side after all
+    if the other side would have more partitions.  The table stays until :func:`drop_tables`.
     """
     spark = docs.sparkSession
-    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
     name = f"tidemill_{uuid.uuid4().hex}"
-    writer = docs.write.bucketBy(buckets, column)
-    writer.option("path", f"{shared_dir(spark)}/tidemill/{name}").saveAsTable(name)
+    writer = docs.repartition(buckets, column).write.bucketBy(buckets, column)
+    with _settings(spark, short_shuffles="true"):
+        writer.option("path", f"{shared_dir(spark)}/tidemill/{name}").saveAsTable(name)
     return spark.table(name)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what the operators have staged in this session, once their results are written: the bucketed tables and the folder of this package."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("tidemill_") and not t.isTemporary:
+            spark.sql(f"DROP TABLE `{t.name}`")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemill")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def text_bytes(column):
     """An expression for the total of UTF-8 bytes, for sizing partitions."""
     from pyspark.sql import functions as F

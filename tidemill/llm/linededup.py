@@ -5,12 +5,15 @@ and line number, has a Jaccard similarity of at least ``threshold`` with it.  Th
 
 1. A sketch counts words by hash over all documents; its size is fixed.  It orders the words
    of each line by rarity (the hash settles ties), the same way for all lines.
-2. The first words of a line in that order, its prefix, are entries; two similar sets share
-   one.  Words that the sketch has counted once are left out.  Entries meet by word: equal
-   sets are settled there, and a set stays a candidate if another passes the length filter,
-   the positional filter and a bound by 128-bit parity signatures.
-3. The words of each candidate and its likeliest partner decide; a candidate with more
-   partners that this doesn't settle is compared with all of its words' groups.
+2. The first words of a line in that order, its prefix, are entries, one row each; two similar
+   sets share one.  Words that the sketch has counted once are left out.  A word that the sketch
+   has counted very often is keyed together with each later word of the prefix, as similar
+   sets share a second one too.
+3. Entries meet by word.  Equal sets are one, and a set stays a candidate if another passes the
+   length filter, the positional filter and a bound by 128-bit parity signatures.  A word with
+   very many different sets is cut into blocks, and each two blocks meet in a task of their own.
+4. The words of each candidate and its likeliest partner decide, those of equal sets too.  A
+   candidate with more partners that this doesn't settle is compared with all of its words' groups.
 
 Only entries, candidates and decisions move; texts stay in a table bucketed by id.
 """
@@ -25,15 +28,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import quoted
-from tidemill.llm.common import bucketed, by_key, contiguous_groups, in_slices, materialize, pack, ragged, text_bytes, unpack
+from tidemill.llm.common import bucketed, by_key, contiguous_groups, discard, materialize, pack, ragged, text_bytes, text_slices, unpack
 
 SKETCH_BITS = 24
 _BLOCKS = 64
+#: Bytes of text whose entries make one partition.
 PART_BYTES = 12 << 20
 #: Rows of text in one batch to Python.
 TEXT_ROWS = 2000
+#: Occurrences beyond which a word is an entry only together with another word.
+HOT_WORD = 1 << 20
+#: Different sets of one entry beyond which they are compared in blocks, and sets of a block.
+MOST_SETS = 1 << 14
+BLOCK_SETS = 1 << 12
+#: Lines of one word without a decision, and of those they are compared with, that meet at once.
+_ASKED_LINES, _MEMBER_LINES = 256, 2048
 _CHUNK = 1 << 20
 _FLUSH_BYTES = 6 << 20
+_SOME_ENTRIES = 1 << 17  # that a task compares at once
 _ROWS = 256  # of a large word group, compared at once
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -55,9 +67,13 @@ _VALUES = _byte_values()
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
+def words_of_bytes(line: bytes) -> frozenset[bytes]:
+    return frozenset(line.lower().split())
+
+
 def words_of_line(line: str) -> frozenset[bytes]:
     """The set of words of a line: runs without ASCII white space, A-Z lower-cased."""
-    return frozenset(line.encode("utf-8", "surrogatepass").lower().split())
+    return words_of_bytes(line.encode("utf-8", "surrogatepass"))
 
 
 @lru_cache(maxsize=2)
@@ -88,61 +104,68 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mixed((sums[stop] - sums[start]) * back[start]), start
 
 
-def _chunks(ids, texts: list[bytes]):
+def _chunks(ids, texts: list[bytes], most_bytes: int):
     """(ids, bytes, first byte of each document) for runs of about a million bytes of documents."""
     first = size = 0
     for i, t in enumerate(texts):
         size += len(t) + 1
-        if size >= _CHUNK or i == len(texts) - 1:
+        if size >= most_bytes or i == len(texts) - 1:
             part = texts[first : i + 1]
             lens = np.array([len(t) + 1 for t in part])
             yield ids[first : i + 1], np.frombuffer(b"\n".join(part) + b"\n", np.uint8), np.cumsum(lens) - lens
             first, size = i + 1, 0
 
 
-def _flushes(frames):
+def _flushes(batches, most_bytes: int):
+    """(ids, texts as bytes) of some megabytes each."""
+    import pyarrow as pa
+
     ids, texts, size = [], [], 0
-    for pdf in frames:
-        for i, t in zip(pdf["_id"], pdf["_text"]):
-            raw = t.encode("utf-8", "surrogatepass")
-            ids.append(i)
-            texts.append(raw)
-            size += len(raw)
-            if size >= _FLUSH_BYTES:
-                yield np.array(ids, np.int64), texts
+    for batch in batches:
+        for part in text_slices(batch, "_text", most_bytes):
+            ids.append(part.column(part.schema.get_field_index("_id")).to_numpy())
+            texts += part.column(part.schema.get_field_index("_text")).cast(pa.binary()).to_pylist()
+            size += part.nbytes
+            if size >= most_bytes:
+                yield np.concatenate(ids), texts
                 ids, texts, size = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), texts
+    if texts:
+        yield np.concatenate(ids), texts
+
+
+def _level(count):
+    """Rarity of a slot: 0 for one word at most, then three steps for each doubling."""
+    return np.where(np.asarray(count) < 2, 0, np.minimum(3 * np.log2(np.maximum(count, 1)), 127)).astype(np.uint8)
 
 
 def _word_sketch(docs: DataFrame) -> np.ndarray:
-    """Rarity of each hash slot, over all documents: 0 for one word at most, then growing with the count."""
+    """The level of each hash slot, over all documents."""
     slots = 1 << SKETCH_BITS
     shift = np.uint64(64 - SKETCH_BITS)
     step = slots // _BLOCKS
     schema = "part int, payload binary"
 
-    def count(frames):
+    def count(batches):
+        import pyarrow as pa
+
         sketch = np.zeros(slots, np.uint32)
         seen = False
-        for ids, texts in _flushes(frames):
-            for _, data, _ in _chunks(ids, texts):
+        for ids, texts in _flushes(batches, _FLUSH_BYTES):
+            for _, data, _ in _chunks(ids, texts, _CHUNK):
                 np.add.at(sketch, (word_hashes(data)[0] >> shift).astype(np.int64), np.uint32(1))
                 seen = True
         if seen:
             for b in range(_BLOCKS):
-                yield pd.DataFrame({"part": [b], "payload": [pack(sketch[b * step : (b + 1) * step])]})
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack(sketch[b * step : (b + 1) * step])], pa.binary())], ["part", "payload"])
 
     def add(frames):
         for b, payloads in by_key(frames, "part"):
             total = np.zeros(step, np.int64)
             for p in payloads:
                 total += unpack(p)[0]
-            level = np.where(total < 2, 0, np.minimum(4 * np.log2(np.maximum(total, 1)), 63)).astype(np.uint8)
-            yield pd.DataFrame({"part": [b], "payload": [pack(level)]})
+            yield pd.DataFrame({"part": [b], "payload": [pack(_level(total))]})
 
-    counted = docs.mapInArrow(in_slices(count, schema, "_text"), schema)
-    rows = counted.repartition(_BLOCKS, "part").sortWithinPartitions("part").mapInPandas(add, schema).collect()
+    rows = docs.mapInArrow(count, schema).repartition(_BLOCKS, "part").sortWithinPartitions("part").mapInPandas(add, schema).collect()
     out = np.zeros(slots, np.uint8)
     for r in rows:  # the sketch's size doesn't depend on the data
         out[r["part"] * step : (r["part"] + 1) * step] = unpack(r["payload"])[0]
@@ -160,7 +183,7 @@ def _line_sets(ids, data: np.ndarray, heads: np.ndarray, sketch: np.ndarray):
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, start)  # lines end with their break
     level = sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    key = (line.astype(np.uint64) << np.uint64(42)) | (level << np.uint64(36)) | (grams >> np.uint64(28))
+    key = (line.astype(np.uint64) << np.uint64(42)) | (level << np.uint64(35)) | (grams >> np.uint64(29))
     order = np.argsort(key)
     tied = key[order][1:] == key[order][:-1]
     if len(breaks) >> 22 or (grams[order][1:][tied] != grams[order][:-1][tied]).any():
@@ -172,81 +195,127 @@ def _line_sets(ids, data: np.ndarray, heads: np.ndarray, sketch: np.ndarray):
     first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(line)))
     number = line[first]
-    doc = np.searchsorted(heads, np.append(-1, breaks)[number] + 1, side="right") - 1
+    begin = np.append(-1, breaks)[number] + 1
+    doc = np.searchsorted(heads, begin, side="right") - 1
     count = np.searchsorted(breaks, heads)
     # signatures: for each of 128 bits the parity of the words that fall on it, so one word more or less flips one bit
     bits = np.uint64(1) << (grams >> np.uint64(58))
     upper = (grams >> np.uint64(57) & np.uint64(1)).astype(bool)
     none = np.uint64(0)
     if len(first):
-        h1, h2 = np.add.reduceat(grams, first), np.add.reduceat(_mixed(grams), first)
+        total = np.add.reduceat(_mixed(grams), first)
         mark, more = np.bitwise_xor.reduceat(np.where(upper, none, bits), first), np.bitwise_xor.reduceat(np.where(upper, bits, none), first)
     else:
-        h1 = h2 = mark = more = np.zeros(0, np.uint64)
-    return grams, level, first, size, ids[doc], number - count[doc], _mixed(h1) ^ h2, mark, more
+        total = mark = more = np.zeros(0, np.uint64)
+    return grams, level, first, size, ids[doc], number - count[doc], total, mark, more, begin, breaks[number]
 
 
-def _entries(docs: DataFrame, sketch, parts: int, threshold: float, least_words: int) -> DataFrame:
-    """Packed prefix entries by range of the word's hash, and lines whose set occurred before in the same batch."""
-    schema = "part int, payload binary"
+def _equal_lines(lines: dict, order: np.ndarray, new: np.ndarray, bodies: list) -> np.ndarray:
+    """``new`` (where a run of equal hashes begins in ``order``), also true for lines whose words differ after all."""
+    chunk, begin, end = lines["chunk"], lines["begin"], lines["end"]
+    text = lambda k: bodies[chunk[k]][begin[k] : end[k]]
+    lead = None
+    for i in np.flatnonzero(~new | np.append(~new[1:], False)).tolist():
+        k = order[i]
+        if new[i]:
+            lead = text(k)
+        elif text(k) != lead and words_of_bytes(text(k)) != words_of_bytes(lead):
+            new[i] = True
+    return new
 
-    def work(frames):
+
+_ENTRY = ["word", "mark", "more", "doc", "line", "form"]
+
+
+def _entries(docs: DataFrame, sketch, threshold: float, least_words: int) -> DataFrame:
+    """Prefix entries, one row each: the word's hash, the set's signature, its place in the documents, and ``form``.
+
+    ``line`` holds 32 bits of the set's hash below the line number, ``form`` the set's size, the
+    word's place in the order and whether this entry settles equal sets.  Rows with a null word are lines
+    whose set occurred before in the same batch, which its words confirm.
+    """
+    by_pairs = np.ceil(threshold * least_words - 1e-9) >= 2  # similar sets share two words at least
+    hot = int(_level(HOT_WORD))
+
+    def rows(word, *columns):
+        import pyarrow as pa
+
+        valid = None if word is not None else pa.nulls(len(columns[0]), pa.int64())
+        arrays = [valid if word is None else pa.array(word.view(np.int64)), *(pa.array(c.astype(np.uint64, copy=False).view(np.int64)) for c in columns)]
+        return pa.RecordBatch.from_arrays(arrays, _ENTRY)
+
+    def work(batches):
         levels = sketch.value
-        for ids, texts in _flushes(frames):
-            parts_of, base = [], 0
-            for some, data, heads in _chunks(ids, texts):
+        for ids, texts in _flushes(batches, _FLUSH_BYTES):
+            names = ("size", "doc", "line", "key", "mark", "more", "begin", "end", "chunk")
+            parts_of, bodies, base = [], [], 0
+            for some, data, heads in _chunks(ids, texts, _CHUNK):
                 grams, level, first, *facts = _line_sets(some, data, heads, levels)
-                parts_of.append((grams, level, first + base, *facts))
+                parts_of.append((grams, level, first + base, *facts, np.full(len(first), len(bodies))))
+                bodies.append(data.tobytes())
                 base += len(grams)
-            grams, level, first, size, doc, line, key, mark, more = (np.concatenate(x) for x in zip(*parts_of))
+            grams, level, first, *facts = (np.concatenate(x) for x in zip(*parts_of))
+            lines = dict(zip(names, facts))
+            size, doc, line, key, mark, more = (lines[n] for n in names[:6])
             order = np.flatnonzero(size >= least_words)
-            order = order[np.lexsort((line[order], doc[order], mark[order], key[order]))]
+            order = order[np.lexsort((line[order], doc[order], key[order]))]
             new = np.ones(len(order), bool)
-            new[1:] = (key[order][1:] != key[order][:-1]) | (mark[order][1:] != mark[order][:-1])
-            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            later = (doc[order] != doc[lead]) | (line[order] != line[lead])  # not just a repeated row
-            gone = (doc[order][later], line[order][later])
+            new[1:] = (key[order][1:] != key[order][:-1]) | (mark[order][1:] != mark[order][:-1]) | (more[order][1:] != more[order][:-1]) | (size[order][1:] != size[order][:-1])
+            new = _equal_lines(lines, order, new, bodies)
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+            gone = order[(doc[order] != doc[lead]) | (line[order] != line[lead])]  # not just a repeated row
+            if len(gone):
+                nothing = np.zeros(len(gone), np.uint64)
+                yield rows(None, nothing, nothing, doc[gone], line[gone], nothing)
             mine = order[new]
             n = size[mine]
-            # small sets are similar only if equal: their first word brings them together
-            length = np.where(n > 3, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 1)
+            length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             owner, at = np.repeat(mine, length), ragged(first[mine], length)
             place = at - first[owner]
-            shared = level[at] > 0
-            # prefixes favour small hashes; mixed again they are spread over all ranges
-            word, owner, place = _mixed(grams[at][shared]), owner[shared], place[shared]
-            lead = np.append(True, owner[1:] != owner[:-1])[: len(owner)]  # the entry that settles equal sets
-            order = np.argsort(word)
-            word, owner, place, lead = word[order], owner[order], place[order], lead[order]
-            edges = np.searchsorted((word >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1))
-            for p in range(parts):
-                o, here = owner[edges[p] : edges[p + 1]], slice(edges[p], edges[p + 1])
-                told = slice(None) if p == int(ids[0]) % parts else slice(0)
-                if len(o) or told.stop is None:
-                    short = (key[o] >> np.uint64(32)).astype(np.uint32)
-                    payload = pack(word[here], short, mark[o], more[o], size[o].astype(np.uint32), place[here].astype(np.uint32), doc[o], line[o].astype(np.uint32), lead[here].astype(np.uint8), gone[0][told], gone[1][told])
-                    yield pd.DataFrame({"part": [p], "payload": [payload]})
-
-    return docs.mapInArrow(in_slices(work, schema, "_text"), schema)
+            word = grams[at]
+            if by_pairs and (busy := level[at] >= hot).any():
+                # a frequent word with each later word, one beyond the prefix included
+                k = np.flatnonzero(busy)
+                later = np.minimum(np.repeat(length, length)[k] + 1, size[owner[k]]) - place[k] - 1
+                with_ = ragged(at[k] + 1, later)
+                k = np.repeat(k, later)
+                word = np.concatenate([word[~busy], _mixed(grams[at[k]] * _MULTIPLIER + grams[with_])])
+                seen = np.concatenate([level[at[~busy]], level[with_]])
+                owner, place = np.concatenate([owner[~busy], owner[k]]), np.concatenate([place[~busy], place[k]])
+                by = np.argsort(owner, kind="stable")
+                word, owner, place, seen = word[by], owner[by], place[by], seen[by]
+            else:
+                seen = level[at]
+            shared = seen > 0
+            word, owner, place = _mixed(word[shared]), owner[shared], place[shared]
+            settles = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+            for i in range(0, len(owner), 1 << 16):
+                o, here = owner[i : i + (1 << 16)], slice(i, i + (1 << 16))
+                form = size[o] << 32 | place[here] << 1 | settles[here]
+                yield rows(word[here], mark[o], more[o], doc[o], line[o] << 32 | (key[o] >> np.uint64(32)).astype(np.int64), form)
+
+    return docs.mapInArrow(work, ", ".join(f"{n} long" for n in _ENTRY))
 
 
 def _filtered(x: tuple, y: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(may be similar, bits that differ) for sets given as (size, place, signature, signature), by length, position and signature."""
-    total = x[0] + y[0]
-    slack = total - 2 * _needed(x[0], y[0], threshold)  # words that one set only may have
+    needed = _needed(x[0], y[0], threshold)
+    slack = x[0] + y[0] - 2 * needed  # words that one set only may have
     apart = np.bitwise_count(x[2] ^ y[2]) + np.bitwise_count(x[3] ^ y[3])
     ok = (np.minimum(x[0], y[0]) >= threshold * np.maximum(x[0], y[0]) - 1e-9) & (apart <= slack)
     # the words before the first shared one are in one set only; so must the rest allow enough
     ok &= x[1] + y[1] <= slack
-    return ok & (_needed(x[0], y[0], threshold) <= np.minimum(x[0] - x[1], y[0] - y[1])), apart
+    return ok & (needed <= np.minimum(x[0] - x[1], y[0] - y[1])), apart
 
 
-def _pairs_of(a: int, b: int, facts: tuple, threshold: float):
-    """The pairs of one large group, some rows at a time."""
+def _pairs_of(a: int, b: int, facts: tuple, threshold: float, meet=None):
+    """The pairs of one large group, some rows at a time; ``meet`` says which rows meet at all."""
     for i in range(a, b, _ROWS):
         x, y = slice(i, min(i + _ROWS, b)), slice(a, min(i + _ROWS, b))
         ok, apart = _filtered(tuple(f[x, None] for f in facts), tuple(f[None, y] for f in facts), threshold)
         ok &= np.arange(y.start, y.stop)[None, :] < np.arange(x.start, x.stop)[:, None]
+        if meet is not None:
+            ok &= meet[x, None] != meet[None, y]
         apart = np.where(ok, apart, 255)
         best = apart.argmin(1)
         count = ok.sum(1)
@@ -279,53 +348,130 @@ def _best_partners(heads: np.ndarray, facts: tuple, threshold: float) -> tuple[n
     return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((),) * 4))
 
 
+EQUAL, MEMBER, PAIR, HOT, SEEN = range(5)
+_FOUND = ["kind", "doc", "line", "word", "doc2", "line2", "n", "mark", "more", "form"]
+_FOUND_SCHEMA = ", ".join(f"{n} long" for n in _FOUND)
+
+
+def _facts(mark: np.ndarray, more: np.ndarray, form: np.ndarray) -> tuple:
+    """(size, place, signature, signature) of entries, for :func:`_filtered`."""
+    return form >> 32, (form >> 1) & 0x7FFFFFFF, mark.view(np.uint64), more.view(np.uint64)
+
+
+def _found(kind: int, doc, line, word=None, doc2=None, line2=None, n=None, mark=None, more=None, form=None):
+    import pyarrow as pa
+
+    def column(values):
+        return pa.array(np.zeros(len(doc), np.int64) if values is None else values.astype(np.int64, copy=False) if values.dtype != np.uint64 else values.view(np.int64))
+
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int64)), *map(column, (doc, line, word, doc2, line2, n, mark, more, form))], _FOUND)
+
+
+def _one_of_equals(rows: list[np.ndarray]):
+    """(entries with one row for each word and set, the first by position, in order of word and position; the equal lines after them)."""
+    word, mark, more, doc, line, form = rows
+    number, short = line >> 32, line & 0xFFFFFFFF
+    order = np.lexsort((number, doc, short, mark, word))
+    word, mark, more, doc, number, short, form = (x[order] for x in (word, mark, more, doc, number, short, form))
+    size = form >> 32
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (mark[1:] != mark[:-1]) | (short[1:] != short[:-1]) | (more[1:] != more[:-1]) | (size[1:] != size[:-1])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    later = np.flatnonzero(((doc != doc[lead]) | (number != number[lead])) & (form & 1 > 0))  # not just a repeated row
+    equal = _found(EQUAL, doc[later], number[later], doc2=doc[lead[later]], line2=number[lead[later]])
+    keep = np.flatnonzero(new)
+    keep = order[keep[np.lexsort((number[keep], doc[keep], word[keep]))]]
+    return [x[keep] for x in rows], equal
+
+
 def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
-    """Kinds of rows: 0, a line goes, as an equal set is earlier; 1, a line is one of a word's group; 2, a line and its likeliest partner, with the number of partners."""
-    names = ["kind", "doc", "line", "word", "doc2", "line2", "n"]
+    """Rows of these kinds.
 
-    def rows(kind, doc, line, word=0, doc2=0, line2=0, n=0):
-        return pd.DataFrame({"kind": np.full(len(doc), kind), "doc": doc, "line": np.asarray(line, np.int64), "word": word, "doc2": doc2, "line2": line2, "n": n}, columns=names)
+    ``SEEN``: a line whose words an earlier one of the same batch has.  ``EQUAL``: a line and an
+    earlier one of equal signature.  ``PAIR``: a line and its likeliest partner, with the number
+    of partners.  ``MEMBER``: a line of a word's group where some have several partners.
+    ``HOT``: a set of a word that has very many.
+    """
 
-    def work(frames):
-        for _, payloads in by_key(frames, "part"):
-            got = [unpack(p) for p in payloads]
-            word, key, mark, more, size, place, doc, line, settles, gone_doc, gone_line = (np.concatenate([r[i] for r in got]) for i in range(11))
-            yield rows(0, gone_doc, gone_line)
-            del got
-            order = np.argsort(word)  # words of one entry settle nothing
-            same = word[order][1:] == word[order][:-1]
-            order = order[np.append(False, same) | np.append(same, False)] if len(word) else order
-            word, key, mark, more, size, place, doc, line, settles = (x[order] for x in (word, key, mark, more, size, place, doc, line, settles))
-            line, size, place = line.astype(np.int64), size.astype(np.int64), place.astype(np.int64)
-            order = np.lexsort((line, doc, size, more, mark, key, word))
-            word, key, mark, more, size, place, doc, line, settles = (x[order] for x in (word, key, mark, more, size, place, doc, line, settles))
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (more[1:] != more[:-1]) | (size[1:] != size[:-1])
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            later = ((doc != doc[lead]) | (line != line[lead])) & (settles > 0)  # not just a repeated row
-            yield rows(0, doc[later], line[later])
-            keep = np.flatnonzero(new & (size > 3))
-            keep = keep[np.lexsort((line[keep], doc[keep], word[keep]))]
-            word, mark, more, size, place, doc, line = (x[keep] for x in (word, mark, more, size, place, doc, line))
-            if not len(word):
-                continue
-            heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            late, early, n, again = _best_partners(heads, (size, place, mark, more), threshold)
-            yield rows(2, doc[late], line[late], 0, doc[early], line[early], n)
+    def compared(rows, busy):
+        word, mark, more, doc, line, form = rows
+        heads = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+        count = np.diff(np.append(heads, len(word)))
+        many = np.repeat(count > MOST_SETS, count)
+        if busy is not None:
+            many |= word == busy
+        if many.any():
+            yield _found(HOT, doc[many], line[many] >> 32, word[many], mark=mark[many], more=more[many], form=form[many])
+        rest = np.flatnonzero(~many & np.repeat(count > 1, count))
+        if len(rest):
+            word, mark, more, doc, line, form = (x[rest] for x in rows)
+            heads, number = np.flatnonzero(np.append(True, word[1:] != word[:-1])), line >> 32
+            late, early, n, again = _best_partners(heads, _facts(mark, more, form), threshold)
+            yield _found(PAIR, doc[late], number[late], doc2=doc[early], line2=number[early], n=n)
             again = np.unique(again)
-            yield rows(1, doc[again], line[again], word[again].astype(np.int64))
+            yield _found(MEMBER, doc[again], number[again], word[again])
+
+    def work(batches):
+        held, size, busy = [], 0, None
+        for batch in batches:
+            columns = [c.fill_null(0).to_numpy() for c in batch.columns]
+            if batch.column(0).null_count:
+                null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+                yield _found(SEEN, columns[3][null], columns[4][null])
+                columns = [c[~null] for c in columns]
+            held.append(columns)
+            size += len(columns[0])
+            if size < _SOME_ENTRIES:
+                continue
+            rows = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            done, equal = _one_of_equals([x[:cut] for x in rows])
+            yield equal
+            yield from compared(done, busy)
+            # the last word may go on; one of its equal sets is enough, and very many sets don't wait
+            tail, equal = _one_of_equals([x[cut:] for x in rows])
+            yield equal
+            held, size = [tail], len(tail[0])
+            if size > MOST_SETS or tail[0][0] == busy:
+                busy, held, size = tail[0][0], [], 0
+                yield from compared(tail, busy)
+        if held:
+            done, equal = _one_of_equals([np.concatenate(x) for x in zip(*held)])
+            yield equal
+            yield from compared(done, busy)
+
+    spread = entries.repartition(parts, F.coalesce("word", F.xxhash64("doc", "line"))).sortWithinPartitions("word")
+    return materialize(spread.mapInArrow(work, _FOUND_SCHEMA), "line-candidates")
+
+
+def _hot_pairs(found: DataFrame, threshold: float) -> DataFrame:
+    """``PAIR`` and ``MEMBER`` rows of words with very many sets: each two blocks of a word meet in a task of their own."""
+    hot = found.where(F.col("kind") == HOT).select("word", "doc", "line", "mark", "more", "form")
+    sizes = materialize(hot.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("blocks")), "line-hot")
+    own = F.pmod(F.xxhash64("doc", "line"), F.col("blocks"))
+    dealt = hot.join(sizes, "word").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("word", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc", "line", "mark", "more", "form")
+    keys = ["word", "one", "two"]
 
-    spread = entries.repartition(parts, "part").sortWithinPartitions("part")
-    return materialize(spread.mapInPandas(work, "kind int, doc long, line long, word long, doc2 long, line2 long, n long"), "line-candidates", TEXT_ROWS)
+    def work(frames):
+        for pdf in contiguous_groups(frames, keys):
+            for (word, one, two), part in pdf.groupby(keys, sort=False):
+                part = part.drop_duplicates(["doc", "line"]).sort_values(["doc", "line"])
+                doc, line, mark, more, form, own = (part[c].to_numpy() for c in ("doc", "line", "mark", "more", "form", "own"))
+                for late, early, n, again in _pairs_of(0, len(part), _facts(mark, more, form), threshold, None if one == two else own):
+                    yield _found(PAIR, doc[late], line[late], doc2=doc[early], line2=line[early], n=n).to_pandas()
+                    again = np.unique(again)
+                    yield _found(MEMBER, doc[again], line[again], np.full(len(again), word)).to_pandas()
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(work, _FOUND_SCHEMA)
 
 
 def _bodies(table: DataFrame, lines: DataFrame) -> DataFrame:
     """``lines`` (doc, line) with the text of each."""
     asked = lines.groupBy(F.col("doc").alias("_id")).agg(F.collect_set("line").alias("_asked"))
     body = lambda x: F.element_at("_lines", (x + 1).cast("int"))
-    split = table.join(asked.hint("shuffle_hash"), "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), "_asked")
-    found = split.select(F.col("_id").alias("doc"), F.inline(F.transform("_asked", lambda x: F.struct(x.alias("line"), body(x).alias("body")))))
-    return found.dropDuplicates(["doc", "line"])
+    split = table.join(asked.hint("shuffle_hash"), "_id").dropDuplicates(["_id"]).select("_id", F.split("_text", "\n", -1).alias("_lines"), "_asked")
+    return split.select(F.col("_id").alias("doc"), F.inline(F.transform("_asked", lambda x: F.struct(x.alias("line"), body(x).alias("body")))))
 
 
 def _alike(a: frozenset, b: frozenset, threshold: float) -> bool:
@@ -339,63 +485,72 @@ def _decided(table: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     Each candidate is compared with its likeliest partner first.  Those that have more
     partners and aren't settled by that are compared within their words' whole groups.
     """
-    gone = found.where("kind = 0").select("doc", "line").distinct()
-    pairs = found.where("kind = 2").groupBy("doc", "line", "doc2", "line2").agg(F.max("n").alias("n"))
-    pairs = materialize(pairs.join(gone, ["doc", "line"], "left_anti"), "line-pairs")
-    others = _bodies(table, pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
-    others = others.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("body").alias("other"))
+    if not found.where(F.col("kind") == HOT).isEmpty():
+        found = materialize(found.where(F.col("kind") != HOT).unionAll(_hot_pairs(found, threshold)), "line-candidates")
+    gone = found.where(F.col("kind") == SEEN).select("doc", "line")
+    pairs = found.where(F.col("kind").isin(EQUAL, PAIR)).groupBy("doc", "line", "doc2", "line2").agg(F.max("n").alias("n"))
+    members = found.where(F.col("kind") == MEMBER).select("doc", "line", "word")
+    pairs = materialize(pairs, "line-pairs")
+    asked = pairs.select("doc", "line").unionAll(pairs.select("doc2", "line2")).unionAll(members.select("doc", "line"))
+    bodies = materialize(_bodies(table, asked), "line-bodies", TEXT_ROWS)
+    others = bodies.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("body").alias("other"))
 
     @F.pandas_udf("boolean")
     def alike(one: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series([_alike(words_of_line(x), words_of_line(y), threshold) for x, y in zip(one, other)], dtype=bool)
-
-    # partners are few lines; their texts go to the documents of the candidates, not the reverse
-    asked = pairs.join(others, ["doc2", "line2"]).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("line", "n", "other")).alias("_asked"))
-    split = table.join(asked.hint("shuffle_hash"), "_id").select("_id", F.split("_text", "\n", -1).alias("_lines"), "_asked")
-    body = lambda x: F.element_at("_lines", (x["line"] + 1).cast("int"))
-    flat = split.select(F.col("_id").alias("doc"), F.inline(F.transform("_asked", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), x["other"].alias("other"), body(x).alias("body")))))
-    judged = flat.select("doc", "line", "n", alike("body", "other").alias("same"))
-    judged = materialize(judged.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("n").alias("n"), F.count(F.lit(1)).alias("tried")), "line-judged")
+        return pd.Series([x is None or _alike(words_of_line(x), words_of_line(y), threshold) for x, y in zip(one, other)], dtype=bool)
+
+    differs = F.col("body") != F.col("other")
+    both = pairs.join(bodies, ["doc", "line"]).join(others, ["doc2", "line2"])
+    judged = both.select("doc", "line", "n", alike(F.when(differs, F.col("body")), F.when(differs, F.col("other"))).alias("same"))
+    judged = materialize(judged.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("n").alias("n")), "line-judged", TEXT_ROWS)
     gone = gone.unionAll(judged.where("same").select("doc", "line"))
-    left = judged.where("not same and (n > 1 or tried > 1)").select("doc", "line")
-    if left.isEmpty():
-        return gone
-    members = found.where("kind = 1").select("doc", "line", "word")
-    words = members.join(left, ["doc", "line"], "left_semi").select("word").distinct()
-    return gone.unionAll(_similar(table, members.join(words, "word", "left_semi"), threshold))
+    left = judged.where("not same and n > 1").select("doc", "line")
+    if not left.isEmpty():
+        gone = gone.unionAll(_similar(bodies, members, left, threshold))
+    out = materialize(gone.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "lines-gone", TEXT_ROWS)
+    discard(found, pairs, bodies, judged)
+    return out
 
 
-def _similar(table: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
-    """(doc, line) of lines to which an earlier line under the same word is similar, for ``wanted`` (doc, line, word)."""
-    lines = wanted.join(_bodies(table, wanted.select("doc", "line")), ["doc", "line"])
+def _similar(bodies: DataFrame, members: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
+    """(doc, line) of those of ``left`` to which an earlier line under one of their words is similar; the lines of a word meet in blocks."""
+    members = members.distinct()
+    asked = members.join(left, ["doc", "line"], "left_semi")
+    counts = asked.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / _ASKED_LINES).alias("_p"))
+    counts = members.join(counts, "word").groupBy("word").agg(F.max("_p").alias("_p"), F.ceil(F.count(F.lit(1)) / _MEMBER_LINES).alias("_q"))
+    counts = materialize(counts, "line-words")
+    place = F.xxhash64("doc", "line")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries = asked.join(counts, "word").select("word", F.pmod(place, F.col("_p")).alias("p"), every("_q").alias("q"), "doc", "line", F.lit(True).alias("asked"))
+    others = members.join(counts, "word").select("word", every("_p").alias("p"), F.pmod(place, F.col("_q")).alias("q"), "doc", "line", F.lit(False).alias("asked"))
+    keys = ["word", "p", "q"]
+    lines = queries.unionAll(others).join(bodies, ["doc", "line"])
 
     def compare(frames):
-        for pdf in contiguous_groups(frames, ["word"]):
+        for pdf in contiguous_groups(frames, keys):
             gone = []
-            for _, part in pdf.groupby("word", sort=False):
-                before: list[frozenset] = []
-                for doc, line, body in part[["doc", "line", "body"]].drop_duplicates(["doc", "line"]).itertuples(index=False):
-                    words = words_of_line(body)
-                    if any(_alike(words, other, threshold) for other in reversed(before)):
-                        gone.append((doc, line))
-                    before.append(words)
+            for _, part in pdf.groupby(keys, sort=False):
+                rows = [(asked, (doc, line), words_of_line(body)) for asked, doc, line, body in part[["asked", "doc", "line", "body"]].itertuples(index=False)]
+                known = [(at, words) for asked, at, words in rows if not asked]
+                for asked, at, words in rows:
+                    low, high = threshold * len(words) - 1e-9, len(words) / threshold + 1e-9
+                    if asked and any(other < at and low <= len(w) <= high and _alike(words, w, threshold) for other, w in known):
+                        gone.append(at)
             yield pd.DataFrame(gone, columns=["doc", "line"], dtype="int64")
 
-    return lines.repartition("word").sortWithinPartitions("word", "doc", "line").mapInPandas(compare, "doc long, line long")
+    return materialize(lines.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "doc long, line long"), "lines-similar", TEXT_ROWS)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least_words: int = 3) -> tuple[DataFrame, DataFrame]:
     """(table, gone): the documents' table (_id and _row with all columns) bucketed by id, and rows (_id, _gone: numbers of the lines that go)."""
     size = docs.agg(text_bytes(text_col)).first()[0] or 0
-    parts = int(min(max(size // PART_BYTES, 4), 1 << 16))
+    parts = int(min(max(size // PART_BYTES, 4), 1 << 20))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row"))
-    table = bucketed(rows, max(parts // 6, 4), "_id")
+    table = bucketed(rows, parts, "_id")
     whole = table.where("_id is not null").select("_id", F.coalesce(F.col("_row." + quoted(text_col)), F.lit("")).alias("_text"))
-    texts = whole.coalesce(max(parts, docs.sparkSession.sparkContext.defaultParallelism))  # buckets have many small files
-    sketch = docs.sparkSession.sparkContext.broadcast(_word_sketch(texts))
-    found = _candidates(_entries(texts, sketch, parts, threshold, least_words), parts, threshold)
-    gone = _decided(whole, found, threshold)
-    return table, gone.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
+    shared = docs.sparkSession.sparkContext.broadcast(_word_sketch(whole))
+    gone = _decided(whole, _candidates(_entries(whole, shared, threshold, least_words), parts, threshold), threshold)
+    return table, gone
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least_words: int = 3, counts: bool = False) -> DataFrame:
@@ -403,8 +558,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Lines are split at line feeds.  Lines with fewer than ``least_words`` different words
     stay.  A line is judged against all earlier ones, removed or not.  Null texts stay null
-    and a text may become empty.  Ids are integers that identify texts: rows that repeat an
-    id share its decisions, and rows without one neither lose nor remove lines.  With
+    and a text may become empty.  Ids are integers (others fail to cast) that identify texts: rows
+    that repeat an id share its decisions, and rows without one neither lose nor remove lines.  With
     ``counts`` there are ``n_lines`` and ``n_removed`` too.
     """
     table, gone = repeated_lines(docs, id_col, text_col, threshold, least_words)
