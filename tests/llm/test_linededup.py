@@ -65,7 +65,7 @@ def test_other_thresholds(spark, threshold, least):
 
 
 def test_small_batches_against_brute_force(spark, monkeypatch):
-    for name, value in {"_FLUSH_BYTES": 900, "_CHUNK": 300, "_ROWS": 3, "_SOME_ENTRIES": 40}.items():
+    for name, value in {"_FLUSH_BYTES": 900, "_CHUNK": 300, "_PAIRS": 64, "_SOME_ENTRIES": 40}.items():
         monkeypatch.setattr(linededup, name, value)
     rows = some_rows(2, 120)
     assert run(spark, rows) == plain(rows)

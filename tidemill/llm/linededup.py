@@ -43,10 +43,10 @@ MOST_SETS = 1 << 14
 BLOCK_SETS = 1 << 12
 #: Lines of one word without a decision, and of those they are compared with, that meet at once.
 _ASKED_LINES, _MEMBER_LINES = 256, 2048
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 _FLUSH_BYTES = 6 << 20
 _SOME_ENTRIES = 1 << 17  # that a task compares at once
-_ROWS = 256  # of a large word group, compared at once
+_PAIRS = 1 << 20  # compared at once
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -267,32 +267,34 @@ def _entries(docs: DataFrame, sketch, threshold: float, least_words: int) -> Dat
             if len(gone):
                 nothing = np.zeros(len(gone), np.uint64)
                 yield rows(None, nothing, nothing, doc[gone], line[gone], nothing)
+
+            def entries(owner, place, word, settles):
+                for i in range(0, len(owner), 1 << 16):
+                    here = slice(i, i + (1 << 16))
+                    o = owner[here]
+                    form = size[o] << 32 | place[here] << 1 | settles[here]
+                    yield rows(_mixed(word[here]), mark[o], more[o], doc[o], line[o] << 32 | (key[o] >> np.uint64(32)).astype(np.int64), form)
+
             mine = order[new]
             n = size[mine]
             length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             owner, at = np.repeat(mine, length), ragged(first[mine], length)
-            place = at - first[owner]
-            word = grams[at]
-            if by_pairs and (busy := level[at] >= hot).any():
-                # a frequent word with each later word, one beyond the prefix included
-                k = np.flatnonzero(busy)
-                later = np.minimum(np.repeat(length, length)[k] + 1, size[owner[k]]) - place[k] - 1
-                with_ = ragged(at[k] + 1, later)
-                k = np.repeat(k, later)
-                word = np.concatenate([word[~busy], _mixed(grams[at[k]] * _MULTIPLIER + grams[with_])])
-                seen = np.concatenate([level[at[~busy]], level[with_]])
-                owner, place = np.concatenate([owner[~busy], owner[k]]), np.concatenate([place[~busy], place[k]])
-                by = np.argsort(owner, kind="stable")
-                word, owner, place, seen = word[by], owner[by], place[by], seen[by]
-            else:
-                seen = level[at]
-            shared = seen > 0
-            word, owner, place = _mixed(word[shared]), owner[shared], place[shared]
-            settles = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
-            for i in range(0, len(owner), 1 << 16):
-                o, here = owner[i : i + (1 << 16)], slice(i, i + (1 << 16))
-                form = size[o] << 32 | place[here] << 1 | settles[here]
-                yield rows(word[here], mark[o], more[o], doc[o], line[o] << 32 | (key[o] >> np.uint64(32)).astype(np.int64), form)
+            busy = np.flatnonzero(level[at] >= hot) if by_pairs else at[:0]
+            shared = level[at] > 0
+            shared[busy] = False
+            o = owner[shared]
+            settles = np.append(True, o[1:] != o[:-1])[: len(o)]
+            yield from entries(o, at[shared] - first[o], grams[at[shared]], settles)
+            if len(busy):  # a frequent word with each later word, one beyond the prefix included
+                o, k = owner[busy], at[busy]
+                later = first[o] + np.minimum(np.repeat(length, length)[busy] + 1, size[o]) - k - 1
+                with_, o, k = ragged(k + 1, later), np.repeat(o, later), np.repeat(k, later)
+                ok = level[with_] > 0
+                with_, o, k = with_[ok], o[ok], k[ok]
+                alone = np.ones(len(size), bool)
+                alone[owner[shared]] = False
+                settles = np.append(True, o[1:] != o[:-1])[: len(o)] & alone[o]
+                yield from entries(o, k - first[o], _mixed(grams[k] * _MULTIPLIER + grams[with_]), settles)
 
     return docs.mapInArrow(work, ", ".join(f"{n} long" for n in _ENTRY))
 
@@ -308,44 +310,59 @@ def _filtered(x: tuple, y: tuple, threshold: float) -> tuple[np.ndarray, np.ndar
     return ok & (needed <= np.minimum(x[0] - x[1], y[0] - y[1])), apart
 
 
-def _pairs_of(a: int, b: int, facts: tuple, threshold: float, meet=None):
-    """The pairs of one large group, some rows at a time; ``meet`` says which rows meet at all."""
-    for i in range(a, b, _ROWS):
-        x, y = slice(i, min(i + _ROWS, b)), slice(a, min(i + _ROWS, b))
-        ok, apart = _filtered(tuple(f[x, None] for f in facts), tuple(f[None, y] for f in facts), threshold)
-        ok &= np.arange(y.start, y.stop)[None, :] < np.arange(x.start, x.stop)[:, None]
-        if meet is not None:
-            ok &= meet[x, None] != meet[None, y]
-        apart = np.where(ok, apart, 255)
-        best = apart.argmin(1)
-        count = ok.sum(1)
-        has = np.flatnonzero(count)
-        several = count > 1
-        yield i + has, a + best[has], count[has], np.concatenate([i + np.flatnonzero(several), a + np.flatnonzero(ok[several].any(0))])
-
-
-def _best_partners(heads: np.ndarray, facts: tuple, threshold: float) -> tuple[np.ndarray, ...]:
-    """For rows ordered by position within groups that start at ``heads``: (row, nearest earlier row that passes, number that pass, rows with several partners and these partners)."""
-    ends = np.append(heads[1:], len(facts[0]))
+def _near(facts: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a quick bound needs of each set: half a signature, and its share of the bits that may differ."""
+    return facts[2], (facts[0] * ((1 - threshold) / (1 + threshold)) + 1e-3).astype(np.float32)
+
+
+def _blocks_of_pairs(heads: np.ndarray, ends: np.ndarray, facts: tuple, threshold: float, meet=None):
+    """(later, earlier) rows of the same group that pass the quick bound, for some rows of a group or some whole groups at once; ``meet`` says which rows meet at all."""
+    mark, share = _near(facts, threshold)
     count = ends - heads
-    out = []
-    small = np.repeat((count > 1) & (count <= 24), count)
+    small = np.repeat(count <= 24, count)
     row = np.flatnonzero(small)
     start = np.repeat(heads, count)[row]
-    for i in range(0, len(row), 1 << 14):
-        r, s = row[i : i + (1 << 14)], start[i : i + (1 << 14)]
+    for i in range(0, len(row), _PAIRS >> 6):
+        r, s = row[i : i + (_PAIRS >> 6)], start[i : i + (_PAIRS >> 6)]
         later, earlier = np.repeat(r, r - s), ragged(s, r - s)
-        ok, apart = _filtered(tuple(f[later] for f in facts), tuple(f[earlier] for f in facts), threshold)
-        later, earlier, apart = later[ok], earlier[ok], apart[ok]
+        near = np.bitwise_count(mark[later] ^ mark[earlier]) <= share[later] + share[earlier]
+        yield later[near], earlier[near]
+    for a, b in zip(heads[count > 24].tolist(), ends[count > 24].tolist()):
+        step = max(1, _PAIRS // (b - a))
+        for i in range(a, b, step):
+            j = min(i + step, b)
+            near = np.bitwise_count(mark[i:j, None] ^ mark[None, a:j]) <= share[i:j, None] + share[None, a:j]
+            later, earlier = np.nonzero(near)
+            later, earlier = later + i, earlier + a
+            ok = earlier < later
+            if meet is not None:
+                ok &= meet[later] != meet[earlier]
+            yield later[ok], earlier[ok]
+
+
+def _best_partners(heads: np.ndarray, facts: tuple, threshold: float, meet=None):
+    """For rows ordered by position within groups that start at ``heads``: (row, likeliest earlier row that passes, number that pass, rows with several partners and these partners)."""
+    held, size = [], 0
+
+    def settled():
+        later, earlier, apart = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((apart, later))
         later, earlier = later[order], earlier[order]
         first = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.zeros(0, np.int64)
-        count_ = np.diff(np.append(first, len(later)))
-        several = np.repeat(count_ > 1, count_)
-        out.append((later[first], earlier[first], count_, np.concatenate([later[several], earlier[several]])))
-    for a, b in zip(heads[count > 24].tolist(), ends[count > 24].tolist()):
-        out += _pairs_of(a, b, facts, threshold)
-    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((),) * 4))
+        count = np.diff(np.append(first, len(later)))
+        several = np.repeat(count > 1, count)
+        return later[first], earlier[first], count, np.unique(np.concatenate([later[several], earlier[several]]))
+
+    for later, earlier in _blocks_of_pairs(heads, np.append(heads[1:], len(facts[0])), facts, threshold, meet):
+        ok, apart = _filtered(tuple(f[later] for f in facts), tuple(f[earlier] for f in facts), threshold)
+        # all pairs of a row come in one piece
+        held.append((later[ok], earlier[ok], apart[ok]))
+        size += len(held[-1][0])
+        if size >= _PAIRS:
+            yield settled()
+            held, size = [], 0
+    if size:
+        yield settled()
 
 
 EQUAL, MEMBER, PAIR, HOT, SEEN = range(5)
@@ -370,17 +387,26 @@ def _found(kind: int, doc, line, word=None, doc2=None, line2=None, n=None, mark=
 def _one_of_equals(rows: list[np.ndarray]):
     """(entries with one row for each word and set, the first by position, in order of word and position; the equal lines after them)."""
     word, mark, more, doc, line, form = rows
-    number, short = line >> 32, line & 0xFFFFFFFF
-    order = np.lexsort((number, doc, short, mark, word))
-    word, mark, more, doc, number, short, form = (x[order] for x in (word, mark, more, doc, number, short, form))
-    size = form >> 32
-    new = np.ones(len(word), bool)
-    new[1:] = (word[1:] != word[:-1]) | (mark[1:] != mark[:-1]) | (short[1:] != short[:-1]) | (more[1:] != more[:-1]) | (size[1:] != size[:-1])
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = np.flatnonzero(((doc != doc[lead]) | (number != number[lead])) & (form & 1 > 0))  # not just a repeated row
-    equal = _found(EQUAL, doc[later], number[later], doc2=doc[lead[later]], line2=number[lead[later]])
-    keep = np.flatnonzero(new)
-    keep = order[keep[np.lexsort((number[keep], doc[keep], word[keep]))]]
+    # rows of one set are brought together by a hash; should it bring others between them, they stay apart and are compared
+    code = _mixed((word * 3 ^ mark ^ (line & 0xFFFFFFFF)).view(np.uint64) * _MULTIPLIER + more.view(np.uint64))
+    order = np.argsort(code)
+    same = code[order][1:] == code[order][:-1]
+    twice = np.append(same, False) | np.append(False, same)
+    some = order[twice]
+    some = some[np.lexsort((line[some], doc[some], code[some]))]
+    lead = np.zeros(0, np.int64)
+    if len(some):
+        new = np.append(True, code[some][1:] != code[some][:-1])
+        for x in (word, mark, more, line & 0xFFFFFFFF, form >> 32):
+            new[1:] |= x[some][1:] != x[some][:-1]
+        lead = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+    number = line >> 32
+    later = ((doc[some] != doc[lead]) | (number[some] != number[lead])) & (form[some] & 1 > 0)  # not just a repeated row
+    equal = _found(EQUAL, doc[some][later], number[some][later], doc2=doc[lead[later]], line2=number[lead[later]])
+    keep = np.ones(len(word), bool)
+    keep[some[some != lead]] = False
+    keep = np.flatnonzero(keep)
+    keep = keep[np.lexsort((number[keep], doc[keep], word[keep]))]
     return [x[keep] for x in rows], equal
 
 
@@ -406,10 +432,9 @@ def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
         if len(rest):
             word, mark, more, doc, line, form = (x[rest] for x in rows)
             heads, number = np.flatnonzero(np.append(True, word[1:] != word[:-1])), line >> 32
-            late, early, n, again = _best_partners(heads, _facts(mark, more, form), threshold)
-            yield _found(PAIR, doc[late], number[late], doc2=doc[early], line2=number[early], n=n)
-            again = np.unique(again)
-            yield _found(MEMBER, doc[again], number[again], word[again])
+            for late, early, n, again in _best_partners(heads, _facts(mark, more, form), threshold):
+                yield _found(PAIR, doc[late], number[late], doc2=doc[early], line2=number[early], n=n)
+                yield _found(MEMBER, doc[again], number[again], word[again])
 
     def work(batches):
         held, size, busy = [], 0, None
@@ -458,20 +483,21 @@ def _hot_pairs(found: DataFrame, threshold: float) -> DataFrame:
             for (word, one, two), part in pdf.groupby(keys, sort=False):
                 part = part.drop_duplicates(["doc", "line"]).sort_values(["doc", "line"])
                 doc, line, mark, more, form, own = (part[c].to_numpy() for c in ("doc", "line", "mark", "more", "form", "own"))
-                for late, early, n, again in _pairs_of(0, len(part), _facts(mark, more, form), threshold, None if one == two else own):
+                for late, early, n, again in _best_partners(np.zeros(1, np.int64), _facts(mark, more, form), threshold, None if one == two else own):
                     yield _found(PAIR, doc[late], line[late], doc2=doc[early], line2=line[early], n=n).to_pandas()
-                    again = np.unique(again)
                     yield _found(MEMBER, doc[again], line[again], np.full(len(again), word)).to_pandas()
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(work, _FOUND_SCHEMA)
 
 
 def _bodies(table: DataFrame, lines: DataFrame) -> DataFrame:
-    """``lines`` (doc, line) with the text of each."""
-    asked = lines.groupBy(F.col("doc").alias("_id")).agg(F.collect_set("line").alias("_asked"))
-    body = lambda x: F.element_at("_lines", (x + 1).cast("int"))
+    """``lines`` (doc, line, whole) with the SHA-256 of each, and its text if it is asked for as a whole."""
+    asked = lines.groupBy(F.col("doc").alias("_id"), "line").agg(F.max("whole").alias("whole"))
+    asked = asked.groupBy("_id").agg(F.collect_list(F.struct("line", "whole")).alias("_asked"))
+    body = lambda x: F.element_at("_lines", (x["line"] + 1).cast("int"))
+    fact = lambda x: F.struct(x["line"].alias("line"), F.unhex(F.sha2(body(x), 256)).alias("digest"), F.when(x["whole"], body(x)).alias("body"))
     split = table.join(asked.hint("shuffle_hash"), "_id").dropDuplicates(["_id"]).select("_id", F.split("_text", "\n", -1).alias("_lines"), "_asked")
-    return split.select(F.col("_id").alias("doc"), F.inline(F.transform("_asked", lambda x: F.struct(x.alias("line"), body(x).alias("body")))))
+    return split.select(F.col("_id").alias("doc"), F.inline(F.transform("_asked", fact)))
 
 
 def _alike(a: frozenset, b: frozenset, threshold: float) -> bool:
@@ -489,29 +515,44 @@ def _decided(table: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
         found = materialize(found.where(F.col("kind") != HOT).unionAll(_hot_pairs(found, threshold)), "line-candidates")
     gone = found.where(F.col("kind") == SEEN).select("doc", "line")
     pairs = found.where(F.col("kind").isin(EQUAL, PAIR)).groupBy("doc", "line", "doc2", "line2").agg(F.max("n").alias("n"))
+    pairs = materialize(pairs, "line-pairs")  # n is 0 for equal sets
     members = found.where(F.col("kind") == MEMBER).select("doc", "line", "word")
-    pairs = materialize(pairs, "line-pairs")
-    asked = pairs.select("doc", "line").unionAll(pairs.select("doc2", "line2")).unionAll(members.select("doc", "line"))
+    one, two = (lambda df, whole: df.select("doc", "line", F.lit(whole).alias("whole"))), (lambda df, whole: df.select(F.col("doc2").alias("doc"), F.col("line2").alias("line"), F.lit(whole).alias("whole")))
+    equal, near = pairs.where("n = 0"), pairs.where("n > 0")
+    asked = one(equal, False).unionAll(two(equal, False)).unionAll(one(near, True)).unionAll(two(near, True)).unionAll(one(members, True))
     bodies = materialize(_bodies(table, asked), "line-bodies", TEXT_ROWS)
-    others = bodies.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("body").alias("other"))
-
-    @F.pandas_udf("boolean")
-    def alike(one: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series([x is None or _alike(words_of_line(x), words_of_line(y), threshold) for x, y in zip(one, other)], dtype=bool)
-
-    differs = F.col("body") != F.col("other")
-    both = pairs.join(bodies, ["doc", "line"]).join(others, ["doc2", "line2"])
-    judged = both.select("doc", "line", "n", alike(F.when(differs, F.col("body")), F.when(differs, F.col("other"))).alias("same"))
-    judged = materialize(judged.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("n").alias("n")), "line-judged", TEXT_ROWS)
+    digests = bodies.select("doc", "line", "digest")
+    others = digests.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("digest").alias("other"))
+    equal = materialize(equal.join(digests, ["doc", "line"]).join(others, ["doc2", "line2"]).select("doc", "line", "doc2", "line2", (F.col("digest") == F.col("other")).alias("same")), "lines-equal")
+    gone = gone.unionAll(equal.where("same").select("doc", "line"))
+    written = equal.where("not same").drop("same")  # the same words in another order, spacing or case
+    whole = bodies.where("body is not null").select("doc", "line", "body")
+    judged = _judged(near, whole, threshold)
     gone = gone.unionAll(judged.where("same").select("doc", "line"))
+    if not written.isEmpty():
+        texts = materialize(_bodies(table, one(written, True).unionAll(two(written, True))), "line-bodies", TEXT_ROWS)
+        gone = gone.unionAll(_judged(written.withColumn("n", F.lit(0)), texts.select("doc", "line", "body"), threshold).where("same").select("doc", "line"))
     left = judged.where("not same and n > 1").select("doc", "line")
     if not left.isEmpty():
-        gone = gone.unionAll(_similar(bodies, members, left, threshold))
+        gone = gone.unionAll(_similar(whole, members, left, threshold))
     out = materialize(gone.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "lines-gone", TEXT_ROWS)
-    discard(found, pairs, bodies, judged)
+    discard(found, pairs, bodies, equal, judged)
     return out
 
 
+def _judged(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+    """(doc, line, same, n) of the lines of ``pairs``: whether a partner is similar, and the most partners it has."""
+
+    @F.pandas_udf("boolean")
+    def alike(one: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([_alike(words_of_line(x), words_of_line(y), threshold) for x, y in zip(one, other)], dtype=bool)
+
+    others = bodies.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("body").alias("other"))
+    both = pairs.join(bodies, ["doc", "line"]).join(others, ["doc2", "line2"])
+    judged = both.select("doc", "line", "n", alike("body", "other").alias("same"))
+    return materialize(judged.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("n").alias("n")), "line-judged", TEXT_ROWS)
+
+
 def _similar(bodies: DataFrame, members: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
     """(doc, line) of those of ``left`` to which an earlier line under one of their words is similar; the lines of a word meet in blocks."""
     members = members.distinct()
