@@ -64,7 +64,6 @@ def _byte_values() -> np.ndarray:
 
 
 _VALUES = _byte_values()
-_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def words_of_bytes(line: bytes) -> frozenset[bytes]:
@@ -89,7 +88,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of each word of a byte array: differences of one running sum, shifted back to the word's start."""
-    word = ~_IS_SPACE[data]
+    word = (data != 32) & (data - np.uint8(9) > 4)
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if len(word) and word[0]:
         edge = np.append(0, edge)
@@ -100,7 +99,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), start
     forth, back = _powers(len(data).bit_length())
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * forth[: len(data)], out=sums[1:])
+    np.cumsum(_VALUES[data.astype(np.intp)] * forth[: len(data)], out=sums[1:])
     return _mixed((sums[stop] - sums[start]) * back[start]), start
 
 
@@ -177,17 +176,30 @@ def _needed(size: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray
     return np.ceil(threshold / (1 + threshold) * (size + other) - 1e-9)
 
 
+def _by_line_and_rarity(line: np.ndarray, level: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The order by line, level and hash: a sort of packed numbers whose low bits are the index, with a full sort should their few bits of the hash be tied."""
+    n = len(grams)
+    index_bits, line_bits = max(n, 1).bit_length(), int(line[-1] if n else 0).bit_length()
+    spare = 64 - line_bits - 7 - index_bits
+    if spare >= 8:
+        key = line.astype(np.uint64) << np.uint64(7) | level
+        key = key << np.uint64(spare) | grams >> np.uint64(64 - spare)
+        key = np.sort(key << np.uint64(index_bits) | np.arange(n, dtype=np.uint64))
+        order = (key & np.uint64((1 << index_bits) - 1)).astype(np.int64)
+        key >>= np.uint64(index_bits)
+        tied = np.flatnonzero(key[1:] == key[:-1])
+        if (grams[order[tied]] == grams[order[tied + 1]]).all():
+            return order
+    return np.lexsort((grams, level, line))
+
+
 def _line_sets(ids, data: np.ndarray, heads: np.ndarray, sketch: np.ndarray):
     """Arrays of the distinct words of the lines of a chunk, by line and rarity, and of the lines."""
     grams, start = word_hashes(data)
     breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, start)  # lines end with their break
+    line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(start, breaks), prepend=0))  # lines end with their break
     level = sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    key = (line.astype(np.uint64) << np.uint64(42)) | (level << np.uint64(35)) | (grams >> np.uint64(29))
-    order = np.argsort(key)
-    tied = key[order][1:] == key[order][:-1]
-    if len(breaks) >> 22 or (grams[order][1:][tied] != grams[order][:-1][tied]).any():
-        order = np.lexsort((grams, level, line))  # what the packed key stands for
+    order = _by_line_and_rarity(line, level, grams)
     grams, line, level = grams[order], line[order], level[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (line[1:] != line[:-1])
@@ -341,7 +353,12 @@ def _blocks_of_pairs(heads: np.ndarray, ends: np.ndarray, facts: tuple, threshol
 
 
 def _best_partners(heads: np.ndarray, facts: tuple, threshold: float, meet=None):
-    """For rows ordered by position within groups that start at ``heads``: (row, likeliest earlier row that passes, number that pass, rows with several partners and these partners)."""
+    """For rows of groups that start at ``heads``: (row, likeliest earlier row that passes, number that pass, rows with several partners and these partners).
+
+    ``facts`` ends with the document and line of each row.  Where a group is compared in pieces, a
+    row can come once for each.
+    """
+    doc, line = facts[4:]
     held, size = [], 0
 
     def settled():
@@ -354,9 +371,10 @@ def _best_partners(heads: np.ndarray, facts: tuple, threshold: float, meet=None)
         return later[first], earlier[first], count, np.unique(np.concatenate([later[several], earlier[several]]))
 
     for later, earlier in _blocks_of_pairs(heads, np.append(heads[1:], len(facts[0])), facts, threshold, meet):
-        ok, apart = _filtered(tuple(f[later] for f in facts), tuple(f[earlier] for f in facts), threshold)
-        # all pairs of a row come in one piece
-        held.append((later[ok], earlier[ok], apart[ok]))
+        ok, apart = _filtered(tuple(f[later] for f in facts[:4]), tuple(f[earlier] for f in facts[:4]), threshold)
+        later, earlier, apart = later[ok], earlier[ok], apart[ok]
+        swap = (doc[later] < doc[earlier]) | (doc[later] == doc[earlier]) & (line[later] < line[earlier])
+        held.append((np.where(swap, earlier, later), np.where(swap, later, earlier), apart))
         size += len(held[-1][0])
         if size >= _PAIRS:
             yield settled()
@@ -370,9 +388,9 @@ _FOUND = ["kind", "doc", "line", "word", "doc2", "line2", "n", "mark", "more", "
 _FOUND_SCHEMA = ", ".join(f"{n} long" for n in _FOUND)
 
 
-def _facts(mark: np.ndarray, more: np.ndarray, form: np.ndarray) -> tuple:
-    """(size, place, signature, signature) of entries, for :func:`_filtered`."""
-    return form >> 32, (form >> 1) & 0x7FFFFFFF, mark.view(np.uint64), more.view(np.uint64)
+def _facts(mark: np.ndarray, more: np.ndarray, form: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple:
+    """(size, place, signature, signature, document, line) of entries, for :func:`_best_partners`."""
+    return form >> 32, (form >> 1) & 0x7FFFFFFF, mark.view(np.uint64), more.view(np.uint64), doc, line
 
 
 def _found(kind: int, doc, line, word=None, doc2=None, line2=None, n=None, mark=None, more=None, form=None):
@@ -403,10 +421,10 @@ def _one_of_equals(rows: list[np.ndarray]):
     number = line >> 32
     later = ((doc[some] != doc[lead]) | (number[some] != number[lead])) & (form[some] & 1 > 0)  # not just a repeated row
     equal = _found(EQUAL, doc[some][later], number[some][later], doc2=doc[lead[later]], line2=number[lead[later]])
+    if not (some != lead).any():
+        return rows, equal
     keep = np.ones(len(word), bool)
     keep[some[some != lead]] = False
-    keep = np.flatnonzero(keep)
-    keep = keep[np.lexsort((number[keep], doc[keep], word[keep]))]
     return [x[keep] for x in rows], equal
 
 
@@ -432,7 +450,7 @@ def _candidates(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
         if len(rest):
             word, mark, more, doc, line, form = (x[rest] for x in rows)
             heads, number = np.flatnonzero(np.append(True, word[1:] != word[:-1])), line >> 32
-            for late, early, n, again in _best_partners(heads, _facts(mark, more, form), threshold):
+            for late, early, n, again in _best_partners(heads, _facts(mark, more, form, doc, number), threshold):
                 yield _found(PAIR, doc[late], number[late], doc2=doc[early], line2=number[early], n=n)
                 yield _found(MEMBER, doc[again], number[again], word[again])
 
@@ -481,9 +499,9 @@ def _hot_pairs(found: DataFrame, threshold: float) -> DataFrame:
     def work(frames):
         for pdf in contiguous_groups(frames, keys):
             for (word, one, two), part in pdf.groupby(keys, sort=False):
-                part = part.drop_duplicates(["doc", "line"]).sort_values(["doc", "line"])
+                part = part.drop_duplicates(["doc", "line"])
                 doc, line, mark, more, form, own = (part[c].to_numpy() for c in ("doc", "line", "mark", "more", "form", "own"))
-                for late, early, n, again in _best_partners(np.zeros(1, np.int64), _facts(mark, more, form), threshold, None if one == two else own):
+                for late, early, n, again in _best_partners(np.zeros(1, np.int64), _facts(mark, more, form, doc, line), threshold, None if one == two else own):
                     yield _found(PAIR, doc[late], line[late], doc2=doc[early], line2=line[early], n=n).to_pandas()
                     yield _found(MEMBER, doc[again], line[again], np.full(len(again), word)).to_pandas()
 

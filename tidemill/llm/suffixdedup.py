@@ -67,7 +67,7 @@ def gram_hashes(data: np.ndarray, size: int, values: np.ndarray = _BYTE_VALUES)
     """A 64-bit hash of the ``size`` bytes from each position on, by doubling."""
     if len(data) < size:
         return np.zeros(0, np.uint64)
-    width, at = 1, values[data]
+    width, at = 1, values[data.astype(np.intp)]
     done, out = 0, None
     while True:
         if size & width:
