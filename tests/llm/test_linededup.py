@@ -54,7 +54,7 @@ def run(spark, rows, threshold=0.8, least=3):
 
 def test_against_brute_force(spark):
     rows = some_rows(1)
-    rows += [rows[0], (None, rows[1][1]), (900, None), (900, None), (901, ""), (902, "\n\n"), (903, "a b c " * 30_000), (904, "a b c"), (905, "a b"), (906, "a b")]
+    rows += [rows[0], (None, rows[1][1]), (900, None), (900, None), (901, ""), (902, "\n\n"), (903, "a b c " * 30_000), (904, "a b c"), (905, "a b"), (906, "a b"), (907, rows[3][1]), (908, rows[3][1] + "\nA b C c"), (909, rows[3][1] + "\nA b C c")]
     assert run(spark, rows) == plain(rows)
 
 

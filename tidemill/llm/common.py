@@ -176,6 +176,18 @@ def drop_tables(spark: SparkSession) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def later_copies(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Ids (_id) of rows whose ``keys``, digests of a text, an earlier id has too; large groups combine before they shuffle."""
+    from pyspark.sql import functions as F
+
+    prints = table.where("_id is not null").select("_id", *keys)
+    groups = prints.groupBy(*keys).agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
+    groups = materialize(groups, "copied-texts")
+    copies = materialize(prints.join(groups, keys).where("_id > _first").select("_id").distinct(), "later-copies")
+    discard(groups)
+    return copies
+
+
 def text_bytes(column):
     """An expression for the total of UTF-8 bytes, for sizing partitions."""
     from pyspark.sql import functions as F

@@ -12,6 +12,7 @@ and line number, has a Jaccard similarity of at least ``threshold`` with it.  Th
 3. Entries meet by word.  Equal sets are one, and a set stays a candidate if another passes the
    length filter, the positional filter and a bound by 128-bit parity signatures.  A word with
    very many different sets is cut into blocks, and each two blocks meet in a task of their own.
+   Lines of a later copy of a whole text don't take part: the first copy stands for it.
 4. The words of each candidate and its likeliest partner decide, those of equal sets too.  A
    candidate with more partners that this doesn't settle is compared with all of its words' groups.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import quoted
-from tidemill.llm.common import bucketed, by_key, contiguous_groups, discard, materialize, pack, ragged, text_bytes, text_slices, unpack
+from tidemill.llm.common import bucketed, by_key, contiguous_groups, discard, fold_ascii, later_copies, materialize, pack, ragged, text_bytes, text_slices, unpack
 
 SKETCH_BITS = 24
 _BLOCKS = 64
@@ -601,15 +602,24 @@ def _similar(bodies: DataFrame, members: DataFrame, left: DataFrame, threshold:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least_words: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(table, gone): the documents' table (_id and _row with all columns) bucketed by id, and rows (_id, _gone: numbers of the lines that go)."""
-    size = docs.agg(text_bytes(text_col)).first()[0] or 0
+    """(table, gone): the documents' table (_id and _row with all columns) bucketed by id, and rows (_id, _gone: numbers of the lines that go, _copied: a later copy of a whole text, where all lines that count go)."""
+    size = docs.agg(text_bytes(quoted(text_col))).first()[0] or 0
     parts = int(min(max(size // PART_BYTES, 4), 1 << 20))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(quoted(text_col)), F.lit("")), 256)).alias("_digest")
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("_id"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row"), digest)
     table = bucketed(rows, parts, "_id")
     whole = table.where("_id is not null").select("_id", F.coalesce(F.col("_row." + quoted(text_col)), F.lit("")).alias("_text"))
+    copies = later_copies(table, ["_digest"])
     shared = docs.sparkSession.sparkContext.broadcast(_word_sketch(whole))
-    gone = _decided(whole, _candidates(_entries(whole, shared, threshold, least_words), parts, threshold), threshold)
-    return table, gone
+    texts = whole.join(copies.hint("shuffle_hash"), "_id", "left_anti")
+    gone = _decided(whole, _candidates(_entries(texts, shared, threshold, least_words), parts, threshold), threshold)
+    nothing = F.lit(None).cast("array<long>").alias("_gone")
+    return table, gone.withColumn("_copied", F.lit(False)).unionAll(copies.select("_id", nothing, F.lit(True).alias("_copied")))
+
+
+def _words(line):
+    """How many different words a line has."""
+    return F.size(F.array_distinct(F.filter(F.split(fold_ascii(line), "[ \t\x0B\f\r]+"), lambda w: w != "")))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least_words: int = 3, counts: bool = False) -> DataFrame:
@@ -626,7 +636,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     body = F.col("_row." + quoted(text_col))
     lines = F.split(body, "\n", -1)
     at = F.transform(F.col("_gone"), lambda x: x.cast("int"))
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(at, i))
-    text = F.when(F.col("_gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
-    more = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    kept = F.when(F.col("_copied"), F.filter(lines, lambda x: _words(x) < least_words)).otherwise(F.filter(lines, lambda _, i: ~F.array_contains(at, i)))
+    text = F.when(F.col("_copied").isNull(), body).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
+    n_removed = F.when(F.col("_copied") & body.isNotNull(), F.size(lines) - F.size(kept)).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).cast("long")
+    more = [n_lines.alias("n_lines"), n_removed.alias("n_removed")] if counts else []
     return joined.select(*(text.alias(c) if c == text_col else F.col("_row." + quoted(c)).alias(c) for c in docs.columns), *more)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bucketed, by_key, in_slices, materialize, pack, ragged, text_bytes, unpack
+from tidemill.llm.common import bucketed, by_key, in_slices, later_copies, materialize, pack, ragged, text_bytes, unpack
 
 WINDOW = 50
 GRAM = 24
@@ -237,14 +237,6 @@ def _flushes(batches, extra: str | None = None):
 # ---- the steps as Spark jobs --------------------------------------------------------------------
 
 
-def _later_copies(table: DataFrame) -> DataFrame:
-    """Ids of documents whose whole text an earlier one has; a copied text combines before it shuffles."""
-    keys = ["_h1", "_h2"]
-    prints = table.where("_id is not null").select("_id", *keys)
-    groups = materialize(prints.groupBy(*keys).agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last"), "copied-texts")
-    return materialize(prints.join(groups, keys).where("_id > _first").select("_id").distinct(), "later-copies")
-
-
 def _shared_grams(docs: DataFrame, parts: int) -> DataFrame:
     """(kind, doc, gram, n): grams that several documents have, for each of these; kind 1 rows count a hot gram."""
 
@@ -475,9 +467,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = source.agg(text_bytes("_text")).first()[0] or 0
     parts = partitions or int(min(max(size // PART_BYTES, 4), 1 << 16))
     buckets = max(parts // 5, 4)  # a table's buckets can be larger than what one task holds in arrays
-    table = bucketed(source.withColumns({"_h1": F.xxhash64("_text"), "_h2": F.xxhash64(F.lit("second half"), F.col("_text"))}), buckets, "_id")
-    copies = _later_copies(table)
-    texts = table.where("_id is not null").select("_id", "_text").join(copies, "_id", "left_anti")
+    table = bucketed(source.withColumn("_digest", F.unhex(F.sha2("_text", 256))), buckets, "_id")
+    copies = later_copies(table, ["_digest"])
+    texts = table.where("_id is not null").select("_id", "_text").join(copies.hint("shuffle_hash"), "_id", "left_anti")
     few = max(2 * parts, spark.sparkContext.defaultParallelism)  # buckets have many small files
     answers = _shared_grams(texts.coalesce(few), parts)
     total = answers.where("kind = 0").count()
