@@ -617,9 +617,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return table, gone.withColumn("_copied", F.lit(False)).unionAll(copies.select("_id", nothing, F.lit(True).alias("_copied")))
 
 
-def _words(line):
-    """How many different words a line has."""
-    return F.size(F.array_distinct(F.filter(F.split(fold_ascii(line), "[ \t\x0B\f\r]+"), lambda w: w != "")))
+def _short(line, least_words: int):
+    """Whether a line has fewer than ``least_words`` different words; mostly its first words tell."""
+    blanks, some = "[ \t\x0B\f\r]+", 2 * least_words + 2
+
+    def different(words):
+        return F.size(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), fold_ascii)))
+
+    first = F.slice(F.split(line, blanks, some), 1, some - 1)
+    return F.when(different(first) >= least_words, False).otherwise(different(F.split(line, blanks)) < least_words)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least_words: int = 3, counts: bool = False) -> DataFrame:
@@ -636,7 +642,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     body = F.col("_row." + quoted(text_col))
     lines = F.split(body, "\n", -1)
     at = F.transform(F.col("_gone"), lambda x: x.cast("int"))
-    kept = F.when(F.col("_copied"), F.filter(lines, lambda x: _words(x) < least_words)).otherwise(F.filter(lines, lambda _, i: ~F.array_contains(at, i)))
+    kept = F.when(F.col("_copied"), F.filter(lines, lambda x: _short(x, least_words))).otherwise(F.filter(lines, lambda _, i: ~F.array_contains(at, i)))
     text = F.when(F.col("_copied").isNull(), body).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n_removed = F.when(F.col("_copied") & body.isNotNull(), F.size(lines) - F.size(kept)).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).cast("long")
