@@ -32,36 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._tidemill_dir
 
 
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of one batch to Python at most, and one row at least; texts can be long.
+BATCH_BYTES = "4m"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark then deletes a query's shuffle files when the query ends, not when the driver collects its garbage.
 _SHORT_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def _settings(spark: SparkSession, **values: str | None):
-    """Session settings for the time of one write; None leaves a setting as it is."""
-    keys = {"batch_rows": _BATCH_ROWS, "short_shuffles": _SHORT_SHUFFLES}
-    before = {keys[k]: spark.conf.get(keys[k]) for k, v in values.items() if v is not None}
+def staging(spark: SparkSession):
+    """Session settings for the time of one staged job: small batches to Python, and no shuffle files left."""
+    wanted = {_BATCH_BYTES: BATCH_BYTES, _SHORT_SHUFFLES: "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
-        for k, v in values.items():
-            if v is not None:
-                spark.conf.set(keys[k], v)
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def bound_batches(spark: SparkSession) -> None:
+    """Small batches to Python from now on, for results that are computed later; a session's own setting stays."""
+    if spark.conf.get(_BATCH_BYTES) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage once, is computed once, and outlives lost executors.  With
-    ``batch_rows`` batches to Python have that many rows at most while it is computed, for
-    texts that are large.
+    This cuts the lineage once, is computed once, and outlives lost executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
-    with _settings(spark, short_shuffles="true", batch_rows=str(batch_rows) if batch_rows else None):
+    with staging(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemill_path = path
@@ -162,7 +167,7 @@ def bucketed(docs: DataFrame, buckets: int, column: str) -> DataFrame:
     buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
     name = f"tidemill_{uuid.uuid4().hex}"
     writer = docs.repartition(buckets, column).write.bucketBy(buckets, column)
-    with _settings(spark, short_shuffles="true"):
+    with staging(spark):
         writer.option("path", f"{shared_dir(spark)}/tidemill/{name}").saveAsTable(name)
     return spark.table(name)
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import discard, materialize
+from tidemill.llm.common import bound_batches, discard, materialize
 
 UNDETERMINED = "und"
 _OTHER = 255
@@ -231,6 +231,7 @@ def identify(docs: DataFrame, text: Column, carry: list[str], trained: dict) ->
     rejected; so does every text if nothing could be learned.  Ties go to the language that
     sorts first.
     """
+    bound_batches(docs.sparkSession)
     shared, scale, limits = trained["models"], trained["scale"], np.array(trained["limits"])
     picked = docs.select(*carry, text.alias("_text"))
     if shared is None:

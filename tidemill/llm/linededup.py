@@ -29,14 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import quoted
-from tidemill.llm.common import bucketed, by_key, contiguous_groups, discard, fold_ascii, later_copies, materialize, pack, ragged, text_bytes, text_slices, unpack
+from tidemill.llm.common import bound_batches, bucketed, by_key, contiguous_groups, discard, fold_ascii, later_copies, materialize, pack, ragged, staging, text_bytes, text_slices, unpack
 
 SKETCH_BITS = 24
 _BLOCKS = 64
 #: Bytes of text whose entries make one partition.
 PART_BYTES = 12 << 20
-#: Rows of text in one batch to Python.
-TEXT_ROWS = 2000
 #: Occurrences beyond which a word is an entry only together with another word.
 HOT_WORD = 1 << 20
 #: Different sets of one entry beyond which they are compared in blocks, and sets of a block.
@@ -165,7 +163,8 @@ def _word_sketch(docs: DataFrame) -> np.ndarray:
                 total += unpack(p)[0]
             yield pd.DataFrame({"part": [b], "payload": [pack(_level(total))]})
 
-    rows = docs.mapInArrow(count, schema).repartition(_BLOCKS, "part").sortWithinPartitions("part").mapInPandas(add, schema).collect()
+    with staging(docs.sparkSession):
+        rows = docs.mapInArrow(count, schema).repartition(_BLOCKS, "part").sortWithinPartitions("part").mapInPandas(add, schema).collect()
     out = np.zeros(slots, np.uint8)
     for r in rows:  # the sketch's size doesn't depend on the data
         out[r["part"] * step : (r["part"] + 1) * step] = unpack(r["payload"])[0]
@@ -539,7 +538,7 @@ def _decided(table: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     one, two = (lambda df, whole: df.select("doc", "line", F.lit(whole).alias("whole"))), (lambda df, whole: df.select(F.col("doc2").alias("doc"), F.col("line2").alias("line"), F.lit(whole).alias("whole")))
     equal, near = pairs.where("n = 0"), pairs.where("n > 0")
     asked = one(equal, False).unionAll(two(equal, False)).unionAll(one(near, True)).unionAll(two(near, True)).unionAll(one(members, True))
-    bodies = materialize(_bodies(table, asked), "line-bodies", TEXT_ROWS)
+    bodies = materialize(_bodies(table, asked), "line-bodies")
     digests = bodies.select("doc", "line", "digest")
     others = digests.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("digest").alias("other"))
     equal = materialize(equal.join(digests, ["doc", "line"]).join(others, ["doc2", "line2"]).select("doc", "line", "doc2", "line2", (F.col("digest") == F.col("other")).alias("same")), "lines-equal")
@@ -549,12 +548,12 @@ def _decided(table: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     judged = _judged(near, whole, threshold)
     gone = gone.unionAll(judged.where("same").select("doc", "line"))
     if not written.isEmpty():
-        texts = materialize(_bodies(table, one(written, True).unionAll(two(written, True))), "line-bodies", TEXT_ROWS)
+        texts = materialize(_bodies(table, one(written, True).unionAll(two(written, True))), "line-bodies")
         gone = gone.unionAll(_judged(written.withColumn("n", F.lit(0)), texts.select("doc", "line", "body"), threshold).where("same").select("doc", "line"))
     left = judged.where("not same and n > 1").select("doc", "line")
     if not left.isEmpty():
         gone = gone.unionAll(_similar(whole, members, left, threshold))
-    out = materialize(gone.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "lines-gone", TEXT_ROWS)
+    out = materialize(gone.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "lines-gone")
     discard(found, pairs, bodies, equal, judged)
     return out
 
@@ -569,7 +568,7 @@ def _judged(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
     others = bodies.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("body").alias("other"))
     both = pairs.join(bodies, ["doc", "line"]).join(others, ["doc2", "line2"])
     judged = both.select("doc", "line", "n", alike("body", "other").alias("same"))
-    return materialize(judged.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("n").alias("n")), "line-judged", TEXT_ROWS)
+    return materialize(judged.groupBy("doc", "line").agg(F.max("same").alias("same"), F.max("n").alias("n")), "line-judged")
 
 
 def _similar(bodies: DataFrame, members: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
@@ -598,11 +597,12 @@ def _similar(bodies: DataFrame, members: DataFrame, left: DataFrame, threshold:
                         gone.append(at)
             yield pd.DataFrame(gone, columns=["doc", "line"], dtype="int64")
 
-    return materialize(lines.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "doc long, line long"), "lines-similar", TEXT_ROWS)
+    return materialize(lines.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "doc long, line long"), "lines-similar")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least_words: int = 3) -> tuple[DataFrame, DataFrame]:
     """(table, gone): the documents' table (_id and _row with all columns) bucketed by id, and rows (_id, _gone: numbers of the lines that go, _copied: a later copy of a whole text, where all lines that count go)."""
+    bound_batches(docs.sparkSession)
     size = docs.agg(text_bytes(quoted(text_col))).first()[0] or 0
     parts = int(min(max(size // PART_BYTES, 4), 1 << 20))
     digest = F.unhex(F.sha2(F.coalesce(F.col(quoted(text_col)), F.lit("")), 256)).alias("_digest")

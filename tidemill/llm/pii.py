@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import bound_batches
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -252,6 +254,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are not read.
     """
 
+    bound_batches(docs.sparkSession)
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"] + ["redacted"] * redacted
 
     @F.pandas_udf(", ".join(f"{n} {'long' if n[:2] == 'n_' else 'string'}" for n in names))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import in_slices, text_slices
+from tidemill.llm.common import bound_batches, in_slices, text_slices
 
 BUCKETS = 1024
 BAD, GOOD, ABSTAIN = 0, 1, 2
@@ -163,6 +163,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 6000) -> d
 
     About ``sample_docs`` documents, taken by a hash of the text, train the scorer.
     """
+    bound_batches(docs.sparkSession)
     total = docs.count()
     text = F.coalesce(F.col(text_col), F.lit(""))
     share = min(1.0, sample_docs / max(total, 1))
@@ -202,6 +203,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
 
     Null and blank texts score 0.  Repeated rows stay, and columns of these names are replaced.
     """
+    bound_batches(docs.sparkSession)
     weights, posterior = model["weights"].astype(np.float32), model["posterior"]
     docs = docs.drop(score_col, *([label_col] if label_col else []))
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import contiguous_groups, materialize, ragged
+from tidemill.llm.common import bound_batches, contiguous_groups, materialize, ragged
 from tidemill.llm.components import connected_components
 
 #: Fingerprints in one tree at most.
@@ -51,6 +51,8 @@ def fingerprint(text: str | None, words: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """One row per input row: the id and ``fp``, the fingerprint as a signed long."""
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def signed(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
@@ -331,7 +333,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int)
             yield pdf.loc[keep, ["a", "b"]]
 
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("_text").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("_text").alias("y")), "b")
-    return materialize(both.mapInPandas(check, "a long, b long"), "wide-links", 200)
+    return materialize(both.mapInPandas(check, "a long, b long"), "wide-links")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import text_slices
+from tidemill.llm.common import bound_batches, text_slices
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -321,6 +321,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "t
     twice.  A text with the character U+2581 can't come back as it was; its check compares
     with spaces instead.  Columns of ``docs`` with these names are replaced.
     """
+    bound_batches(docs.sparkSession)
     shared = share(docs.sparkSession, vocabulary)
     docs = docs.drop(ids_col, *([check_col] if check_col else []))
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])

@@ -27,12 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bucketed, by_key, in_slices, later_copies, materialize, pack, ragged, text_bytes, unpack
+from tidemill.llm.common import bound_batches, bucketed, by_key, in_slices, later_copies, materialize, pack, ragged, text_bytes, unpack
 
 WINDOW = 50
 GRAM = 24
-#: Rows of text in one batch to Python.
-TEXT_ROWS = 1000
 #: Bytes of text for one bucket or range of grams.
 PART_BYTES = 8 << 20
 #: A gram is hot beyond this many occurrences, or beyond all occurrences / HOT_GRAMS if that is more.
@@ -294,7 +292,7 @@ def _shared_grams(docs: DataFrame, parts: int) -> DataFrame:
     schema = "part int, payload binary"
     packed = docs.mapInArrow(in_slices(count, schema, "_text"), schema)
     spread = packed.repartition(parts, "part").sortWithinPartitions("part")
-    return materialize(spread.mapInPandas(answer, "kind int, doc long, gram long, n long"), "shared-grams", TEXT_ROWS)
+    return materialize(spread.mapInPandas(answer, "kind int, doc long, gram long, n long"), "shared-grams")
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -463,6 +461,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without an id neither lose nor remove anything.  Other columns are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     size = source.agg(text_bytes("_text")).first()[0] or 0
     parts = partitions or int(min(max(size // PART_BYTES, 4), 1 << 16))
@@ -476,7 +475,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = [r["gram"] for r in answers.where((F.col("kind") == 1) & (F.col("n") > max(HOT_LEAST, total // HOT_GRAMS))).select("gram").collect()]
     wanted = answers.where("kind = 0").groupBy(F.col("doc").alias("_id")).agg(F.collect_list("gram").alias("_grams"))
     asked = texts.join(wanted.hint("shuffle_hash"), "_id")  # no sort of texts
-    codes = materialize(_cover_contexts(_contexts(asked, parts, np.array(hot, np.int64).view(np.uint64)), parts), "covered", TEXT_ROWS)
+    codes = materialize(_cover_contexts(_contexts(asked, parts, np.array(hot, np.int64).view(np.uint64)), parts), "covered")
     ranges = codes.groupBy(F.col("doc").alias("_id")).agg(F.collect_list("code").alias("_codes"))
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long")
