@@ -68,11 +68,11 @@ def join(df: DataFrame, context: StepContext, source, left_on, right_on=None, ho
     keys = [f"__k{i}" for i in range(len(left_keys))]
     values = [f"__v{i}" for i in range(len(payload))]
     order = F.struct(*(col(c) for c in names_of(order_by))) if names_of(order_by) else col(ORDINAL) if ORDINAL in right.columns else F.monotonically_increasing_id()
-    one = right.select(*(col(b).alias(k) for b, k in zip(right_keys, keys)), F.struct(*(col(c).alias(v) for c, v in zip(payload, values)), F.lit(True).alias("__hit")).alias("__row"), order.alias("__o"))
-    one = one.groupBy(*keys).agg(F.min_by("__row", "__o").alias("__row"))
     match = [col(a).eqNullSafe(col(k)) for a, k in zip(left_keys, keys)]
     if how in ("semi", "anti"):
-        return df.join(one, match, f"left_{how}")
+        return df.join(right.select(*(col(b).alias(k) for b, k in zip(right_keys, keys))), match, f"left_{how}")
+    one = right.select(*(col(b).alias(k) for b, k in zip(right_keys, keys)), F.struct(*(col(c).alias(v) for c, v in zip(payload, values)), F.lit(True).alias("__hit")).alias("__row"), order.alias("__o"))
+    one = one.groupBy(*keys).agg(F.min_by("__row", "__o").alias("__row"))
     both = df.join(one, match, how)
     hit = F.coalesce(F.col("__row.__hit"), F.lit(False))
     new = {prefix + c: F.col(f"__row.{v}") for c, v in zip(payload, values)}
@@ -81,11 +81,9 @@ def join(df: DataFrame, context: StepContext, source, left_on, right_on=None, ho
 
 
 def _listed(c, order, text: bool):
-    """Non-null values in arrival order, with an error beyond the limit."""
+    """Non-null values in arrival order."""
     rows = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(*order, c.alias("__v")))))
-    size = F.size(rows)
-    safe = F.when(size > MOST_LISTED, F.raise_error(F.lit(f"more than {MOST_LISTED} values in one group"))).otherwise(rows)
-    values = F.transform(safe, lambda x: x["__v"])
+    values = F.transform(rows, lambda x: x["__v"])
     return F.array_join(values, ",") if text else values
 
 
@@ -125,6 +123,9 @@ def aggregate(df: DataFrame, context: StepContext, aggregations: dict, group_by=
             pick = F.min_by if function == "first" else F.max_by
             made = pick(F.struct(c.alias("v")), by)["v"]
         elif function in ("list", "concat"):
+            # counted before it is collected, so that no task holds more
+            if not held.groupBy(*(col(k) for k in keys)).agg(F.count(c).alias("__n")).where(col("__n") > MOST_LISTED).isEmpty():
+                raise ConfigurationError(f"{function} of {column!r}: more than {MOST_LISTED} values in one group")
             made = _listed(as_text(c, kind) if function == "concat" else c, [o.alias(f"__o{i}") for i, o in enumerate(order)], function == "concat")
         else:
             raise ConfigurationError(f"unknown aggregate {function!r}")

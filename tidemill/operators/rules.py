@@ -156,10 +156,27 @@ def in_set(check: Check) -> list[Column]:
 @RULES.register("unique", "distinct")
 def unique(check: Check) -> list[Column]:
     """Later rows of a key that an earlier one has, by ``order_by`` or arrival; null is a value."""
-    keys = names_of(check.get("columns")) or [check.get("field")]
-    order = [col(c) for c in names_of(check.get("order_by"))] or [col(ORDINAL)]
-    place = F.row_number().over(Window.partitionBy(*(col(k) for k in keys)).orderBy(*order))
-    return [_message(place > 1, "value is not unique")]
+    return [_message(col(_repeat_name(check.options)), "value is not unique")]
+
+
+def _repeat_name(spec: dict) -> str:
+    return "__repeats_" + "_".join([*(names_of(spec.get("columns")) or [str(spec.get("field"))]), "by", *names_of(spec.get("order_by"))])
+
+
+def with_repeats(df: DataFrame, keys: list[str], order_by, name: str, salts: int = 64) -> DataFrame:
+    """``df`` with a flag for later rows of a key.
+
+    Rows of a key are first compared in ``salts`` groups of their own, then the first of
+    each, so a key with very many rows doesn't meet in one task.
+    """
+    order = [col(c) for c in names_of(order_by)] or [col(ORDINAL)]
+    by = [col(k) for k in keys]
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    held = df.withColumn("__salt", salt).withColumn("__n", F.row_number().over(Window.partitionBy(*by, col("__salt")).orderBy(*order)))
+    # the first rows of all salts meet in one small group, the others stay where they are
+    group = F.when(col("__n") > 1, col("__salt")).otherwise(F.lit(-1))
+    place = F.row_number().over(Window.partitionBy(*by, group).orderBy(*order))
+    return held.withColumn(name, (col("__n") > 1) | (place > 1)).drop("__salt", "__n")
 
 
 @RULES.register("sequence", "monotonic")
@@ -243,6 +260,8 @@ def checked(df: DataFrame, rules: list[dict], schema: dict | None = None) -> Dat
     for s in specs:
         if RULES.key(s["type"]) in ("sequence", "monotonic"):
             df = with_running_max(df, s["field"], f"__before_{s['field']}", s.get("order_by"))
+        if RULES.key(s["type"]) in ("unique", "distinct"):
+            df = with_repeats(df, names_of(s.get("columns")) or [s["field"]], s.get("order_by"), _repeat_name(s))
     found = []
     for s in specs:
         for message in RULES.get(s["type"])(Check(df, s)):

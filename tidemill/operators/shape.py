@@ -102,6 +102,10 @@ def _leaves(name: str, kind: T.DataType, value, separator: str, depth: int, keep
         yield name, value
 
 
+#: Keys of a map that can become columns.
+MOST_KEYS = 4096
+
+
 @STEPS.register("flatten", "flatten_json")
 def flatten(df: DataFrame, context: StepContext, separator: str = ".", max_depth: int = 5, columns=None, keep_lists: bool = True) -> DataFrame:
     """Nested columns as columns of their own, ``max_depth`` levels down.
@@ -112,7 +116,9 @@ def flatten(df: DataFrame, context: StepContext, separator: str = ".", max_depth
     wanted = names_of(columns) or df.columns
     maps = [c for c in wanted if c in df.columns and isinstance(df.schema[c].dataType, T.MapType)]
     for c in maps:
-        keys = sorted(r[0] for r in df.select(F.explode(F.map_keys(col(c)))).distinct().collect())
+        keys = sorted(r[0] for r in df.select(F.explode(F.map_keys(col(c)))).distinct().limit(MOST_KEYS + 1).collect())
+        if len(keys) > MOST_KEYS:
+            raise ConfigurationError(f"flatten: {c} has more than {MOST_KEYS} different keys")
         made = F.struct(*(F.try_element_at(col(c), F.lit(k)).alias(k) for k in keys)) if keys else F.lit(None).cast("string")
         df = replace(df, {c: made})
     sizes: dict[str, int] = {}

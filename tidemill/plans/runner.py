@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.errors import ConfigurationError, PublishError, TidemillError
 from tidemill.functions.columns import ORDINAL
@@ -20,7 +22,11 @@ from tidemill.plans import extraction
 from tidemill.plans.spec import PipelineSpec, TaskSpec, levels
 from tidemill.plans.staging import staged
 from tidemill.plans.state import StateStore
-from tidemill.sources import read_source, write_sink
+from tidemill.sources import read_source
+from tidemill.sources.base import publish_all
+
+#: Sources that a second reading finds as they were; others are staged.
+_REPEATABLE = ("csv", "json", "jsonl", "ndjson", "xml", "parquet", "excel", "xlsx", "memory", "inline", "generator", "synthetic")
 
 
 @dataclass
@@ -79,7 +85,8 @@ class Runner:
             found = extraction.drift(self.state.get(*schema_key), shape)
             self.state.put(shape, *schema_key)
             extraction.check_drift(found, task.extraction["drift"])
-        source = staged(source)  # read once, whatever counts and branches follow
+        if task.extraction.get("mode", "full") != "full" or str(task.source.get("type")).lower() not in _REPEATABLE:
+            source = staged(source)  # so that counts, marks and rows are of one reading
         result.rows_in = source.count()
         check = task.validation
         before = check.get("stage") == "pre_transform"
@@ -93,13 +100,15 @@ class Runner:
                 df, bad, report = quality.split(held, check.get("on_failure", "fail"), check.get("max_errors"), check.get("max_error_rate"))
                 result.rows_rejected = report.rejected
                 result.report = {"by_rule": report.by_rule, "by_field": report.by_field, "by_severity": report.by_severity}
-        ready = staged(df.drop(ORDINAL))  # random and time-dependent values are settled here
-        result.rows_out = ready.count()
+        ready, outputs = df.drop(ORDINAL), []
+        if bad is not None and task.rejects and check.get("on_failure") == "quarantine":
+            outputs.append((bad.drop(ORDINAL), task.rejects))
         if dry_run:
+            result.rows_out = ready.count()
             return
-        if bad is not None and task.rejects and check.get("on_failure") == "quarantine":
-            write_sink(bad.drop(ORDINAL), task.rejects)
-        write_sink(ready, task.destination)
+        seen = Observation()
+        publish_all([*outputs, (ready.observe(seen, F.count(F.lit(1)).alias("n")), task.destination)])
+        result.rows_out = seen.get["n"]
         if self.state and task.extraction.get("mode", "full") != "full":
             top = extraction.highest(source, task.extraction["column"])
             self.state.put(extraction.later_mark(mark, top), *mark_key)
@@ -124,14 +133,21 @@ class Runner:
         began = time.time()
         retry = task.retry or {}
         tag = f"{execution}-{task.id}"
+        late, clock = threading.Event(), None
         try:
             if task.condition:
                 _, wanted = evaluate(task.condition, {"params": pipeline.params, "state": state, "pipeline": pipeline.name, "task": task.id, "dry_run": dry_run})
                 if not wanted:
                     result.status = "skipped"
                     return result
+            if task.timeout:
+                clock = threading.Timer(task.timeout, self._out_of_time, (tag, late))
+                clock.daemon = True
+                clock.start()
             for attempt in range(1, max(1, retry.get("attempts", 1)) + 1):
                 result.attempts = attempt
+                if late.is_set():
+                    break
                 self.spark.sparkContext.setJobGroup(tag, f"{pipeline.name}.{task.id}", interruptOnCancel=True)
                 try:
                     if task.type == "etl":
@@ -144,14 +160,25 @@ class Runner:
                         raise
                     time.sleep(random.uniform(0, retry.get("delay", 1.0) * 2 ** (attempt - 1)))  # noqa: S311
             result.status = "success"
+            if late.is_set():
+                raise TimeoutError
         except Exception as e:
             result.status, result.error = "failed", f"{type(e).__name__}: {e}"[:2000]
+            if late.is_set():
+                e = PublishError(f"task {task.id!r} took more than {task.timeout} s")
+                result.error = f"TimeoutError: {e}"
             if not isinstance(e, TidemillError):
                 result.error = f"task {task.id!r}: {result.error}"
         finally:
+            if clock is not None:
+                clock.cancel()
             result.seconds = time.time() - began
         return result
 
+    def _out_of_time(self, tag: str, late: threading.Event) -> None:
+        late.set()
+        self.spark.sparkContext.cancelJobGroup(tag)
+
     # -- a pipeline ----------------------------------------------------------------
 
     def cancel(self, execution_id: str, task_id: str) -> None:

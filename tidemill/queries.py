@@ -244,6 +244,207 @@ def inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_source(spark, {"type": "inline", "records": [{"id": 1, "name": "a"}, {"id": 2}]})
 
 
+# ---- further functions and constructs ---------------------------------------------------------
+
+
+def _derived(name: str, table: str, key: str, made: dict[str, str], sql: str) -> None:
+    _chain(name, table, [*({"type": "derive", "column": c, "expression": e} for c, e in made.items()), _pick(key, *made)], sql)
+
+
+_derived("fn_numbers", "customer", "c_custkey",
+         {"a": "min(c_nationkey, 3)", "b": "sum([c_nationkey, 1, 2])", "c": "round(c_nationkey / 2)", "d": "sqrt(abs(c_acctbal))", "e": "pow(c_nationkey, 2)", "f": "int(c_acctbal)", "g": "float(decimal(str(c_custkey)) + 1)", "h": "round(c_acctbal, 1)"},
+         "SELECT c_custkey, least(c_nationkey, 3)::BIGINT AS a, (c_nationkey + 3)::BIGINT AS b, round_even(c_nationkey / 2, 0) AS c, sqrt(abs(c_acctbal)) AS d, pow(c_nationkey, 2)::DOUBLE AS e, trunc(c_acctbal)::BIGINT AS f, (c_custkey + 1)::DOUBLE AS g, round_even(c_acctbal::DECIMAL(18,4), 1)::DOUBLE AS h FROM customer")
+_derived("fn_text", "customer", "c_custkey",
+         {"a": "strip('  ' + c_name + ' ')", "b": "endswith(c_name, '1')", "c": "contains(c_mktsegment, 'U')", "d": "regex_match('.*[0-4]$', c_name)", "e": "strip(c_mktsegment, 'AE')"},
+         "SELECT c_custkey, c_name AS a, ends_with(c_name, '1') AS b, contains(c_mktsegment, 'U') AS c, regexp_matches(c_name, '[0-4]$') AS d, trim(c_mktsegment, 'AE') AS e FROM customer")
+_derived("fn_nulls", "customer", "c_custkey",
+         {"m": "c_name if c_custkey % 3 else None", "a": "coalesce(m, c_mktsegment)", "b": "is_null(m)", "c": "is_not_null(m)", "d": "bool(c_nationkey)", "e": "m is None"},
+         "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS m, CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE c_mktsegment END AS a, c_custkey % 3 = 0 AS b, c_custkey % 3 <> 0 AS c, c_nationkey <> 0 AS d, c_custkey % 3 = 0 AS e FROM customer")
+_derived("fn_dates", "orders", "o_orderkey",
+         {"a": "day(o_orderdate)", "b": "days_between(date_parse(date_format(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d'), '1990-01-01')"},
+         "SELECT o_orderkey, day(o_orderdate)::BIGINT AS a, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::BIGINT AS b FROM orders")
+_derived("fn_collections", "customer", "c_custkey",
+         {"a": "join('|', keys({'x': c_custkey, 'y': 1}))", "b": "sum(values({'x': c_custkey, 'y': 1}))", "c": "any([c_nationkey > 20, c_custkey % 2 == 0])", "d": "all([c_nationkey > 5, c_custkey % 2 == 0])", "e": "max(sorted([c_custkey, 7], True))"},
+         "SELECT c_custkey, 'x|y' AS a, (c_custkey + 1)::BIGINT AS b, c_nationkey > 20 OR c_custkey % 2 = 0 AS c, c_nationkey > 5 AND c_custkey % 2 = 0 AS d, greatest(c_custkey, 7)::BIGINT AS e FROM customer")
+_derived("constructs", "customer", "c_custkey",
+         {"a": "c_nationkey ** 2", "b": "{'p': {'q': c_nationkey}}.p.q", "c": "is_null(nothing_of_this_name)", "d": "c_mktsegment is None"},
+         "SELECT c_custkey, (c_nationkey * c_nationkey)::BIGINT AS a, c_nationkey AS b, NULL::BOOLEAN AS c, false AS d FROM customer")
+
+# ---- databases, memory, drift, whole pipelines ------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from tidemill.plans.staging import staging_dir
+
+    return f"{staging_dir(spark)}/trips/{name}-{uuid.uuid4().hex}"
+
+
+def _database(spark: SparkSession) -> str:
+    """A new SQLite file in the shared folder."""
+    import os
+
+    path = _scratch(spark, "db").removeprefix("file://")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
+
+
+@_query("sql_where", "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders WHERE o_custkey < 200 AND o_totalprice > 1000.5")
+def sql_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is loaded into a database and read back by a condition and columns."""
+    db = {"type": "sqlite", "database": _database(spark), "table": "o"}
+    orders = apply_steps(_table(spark, sf_dir, "orders").where("o_custkey < 1000"), [{"type": "derive", "column": "o_orderstatus", "expression": "o_orderstatus if o_orderkey % 2 == 0 else None"}])
+    write_sink(orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), db | {"create_table": True})
+    return read_source(spark, db | {"columns": "o_orderkey, o_totalprice, o_orderstatus", "where": "o_custkey < 200 AND o_totalprice > 1000.5"})
+
+
+@_query("sql_upsert", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) || '!' ELSE n_name END AS n_name FROM nation UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_nationkey < 3")
+def sql_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that exist are replaced by key, others added."""
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long"), "n_name")
+    db = {"type": "sqlite", "database": _database(spark), "table": "n", "key_columns": "n_nationkey"}
+    write_sink(nation, db | {"create_table": True})
+    new = nation.where("n_nationkey % 2 = 0").select("n_nationkey", F.concat(F.upper("n_name"), F.lit("!")).alias("n_name"))
+    write_sink(new.unionAll(nation.where("n_nationkey < 3").select(F.col("n_nationkey") + 100, "n_name")), db | {"mode": "upsert"})
+    return read_source(spark, {k: v for k, v in db.items() if k != "key_columns"})
+
+
+@_query("sql_query", "SELECT o_orderstatus, count(*) AS n, CASE WHEN count(*) > 0 THEN 0.5 END AS half FROM orders WHERE o_custkey < 500 GROUP BY 1")
+def sql_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query with a bound parameter runs in the database."""
+    db = {"type": "sqlite", "database": _database(spark)}
+    write_sink(_table(spark, sf_dir, "orders").where("o_custkey < 1000").select("o_custkey", "o_orderstatus"), db | {"table": "o", "create_table": True})
+    return read_source(spark, db | {"query": "SELECT o_orderstatus, count(*) AS n, 0.5 AS half FROM o WHERE o_custkey < :most GROUP BY 1", "params": {"most": 500}})
+
+
+@_query("csv_orders_round_trip", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def csv_orders_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "orders")
+    write_sink(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), {"type": "csv", "path": path})
+    return read_source(spark, {"type": "csv", "path": path})
+
+
+@_query("csv_skip_rows", "SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation UNION ALL SELECT 'key', 'name'")
+def csv_skip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lines before the header go, and a row that reads like the header stays."""
+    path = _scratch(spark, "skip")
+    rows = _table(spark, sf_dir, "nation").select(F.concat_ws(",", "n_nationkey", "n_name").alias("value"), F.col("n_nationkey").cast("long").alias("at"))
+    head = spark.createDataFrame([("made by hand", -4), ("in two lines", -3), ("key,name", -2), ("key,name", -1)], "value string, at long")
+    head.unionAll(rows).orderBy("at").select("value").coalesce(1).write.text(path)
+    return read_source(spark, {"type": "csv", "path": path, "skip_rows": 2})
+
+
+@_query("memory_append", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 2")
+def memory_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    name = f"regions{uuid.uuid4().hex}"
+    regions = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    write_sink(regions, {"type": "memory", "dataset": name})
+    write_sink(regions.where("r_regionkey > 2"), {"type": "memory", "dataset": name, "mode": "append"})
+    return read_source(spark, {"type": "memory", "dataset": name})
+
+
+@_query("null_sink", "SELECT count(*) AS n FROM orders")
+def null_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(write_sink(_table(spark, sf_dir, "orders"), {"type": "null"}),)], "n long")
+
+
+@_query("generator_ids", "SELECT range + 1 AS id FROM range(1000)")
+def generator_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_source(spark, {"type": "generator", "rows": 1000, "columns": "id"})
+
+
+@_query("encrypt_round_trip", "SELECT c_custkey, c_name FROM customer")
+def encrypt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What encrypting hides, the key brings back."""
+    from tidemill.operators.privacy import decrypt
+
+    hidden = apply_steps(_table(spark, sf_dir, "customer"), [_pick("c_custkey", "c_name"), {"type": "encrypt_columns", "columns": "c_name", "key": "example"}])
+    salt = hidden.first()["c_name"].split(":")[1]
+    return hidden.select("c_custkey", decrypt(F.col("c_name"), "example", salt).alias("c_name"))
+
+
+@_query("schema_drift", "SELECT * FROM (VALUES ('added', 'n_comment'), ('changed', 'n_regionkey'), ('removed', 'n_old')) AS t(what, name)")
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = _table(spark, sf_dir, "nation").withColumn("n_old", F.lit(1)).withColumn("n_regionkey", F.lit("1"))
+    after = _table(spark, sf_dir, "nation").withColumn("n_comment", F.lit("x"))
+    found = extraction.drift(extraction.described(before), extraction.described(after))
+    return spark.createDataFrame([(k, c) for k, names in found.items() for c in names], "what string, name string")
+
+
+def _ran(spark: SparkSession, tasks: list[dict], **options):
+    from tidemill.plans.runner import Runner
+    from tidemill.plans.spec import parse_pipeline
+    from tidemill.plans.state import StateStore
+
+    return Runner(spark, StateStore(spark, _scratch(spark, "state"))).run(parse_pipeline({"name": "p", "tasks": tasks} | options))
+
+
+@_query("pipeline_outputs", "SELECT o_orderkey, 'kept' AS output FROM orders WHERE o_totalprice <= 200000 UNION ALL SELECT o_orderkey, 'rejected' FROM orders WHERE o_totalprice > 200000")
+def pipeline_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline that checks before it transforms, and publishes kept and rejected rows."""
+    out = _scratch(spark, "outputs")
+    task = {"id": "load", "source": {"type": "parquet", "path": f"{sf_dir}/orders.parquet"}, "transformations": [_pick("o_orderkey")],
+            "validation": {"stage": "pre_transform", "on_failure": "quarantine", "max_errors": 1 << 40, "rules": [{"type": "range", "field": "o_totalprice", "max": 200000}]},
+            "destination": {"type": "parquet", "path": f"{out}/kept"}, "rejects": {"type": "parquet", "path": f"{out}/rejected"}}
+    _ran(spark, [task])
+    kept, bad = (read_source(spark, {"type": "parquet", "path": f"{out}/{x}"}).select("o_orderkey", F.lit(x).alias("output")) for x in ("kept", "rejected"))
+    return kept.unionAll(bad)
+
+
+@_query("pipeline_statuses", """SELECT * FROM (VALUES ('a', 'success', (SELECT count(*) FROM region)), ('b', 'failed', 0), ('c', 'blocked', 0), ('d', 'skipped', 0),
+    ('e', 'success', (SELECT count(*) FROM nation)), ('f', 'success', 0)) AS t(task, status, rows_out)""")
+def pipeline_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies, failures that go on, conditions over earlier counts, limits on errors, tasks without work."""
+    source = lambda t: {"type": "parquet", "path": f"{sf_dir}/{t}.parquet"}
+    null = {"type": "null"}
+    tasks = [
+        {"id": "a", "source": source("region"), "destination": null},
+        {"id": "b", "depends_on": ["a"], "on_failure": "continue", "source": source("nation"), "destination": null, "validation": {"on_failure": "drop", "max_errors": 3, "rules": [{"type": "range", "field": "n_nationkey", "max": 10}]}},
+        {"id": "c", "depends_on": ["b"], "source": source("nation"), "destination": null},
+        {"id": "d", "depends_on": ["a"], "condition": "state.a.rows_out > 1000", "source": source("nation"), "destination": null},
+        {"id": "e", "depends_on": ["a"], "condition": "state.a.rows_out < 1000", "source": source("nation"), "destination": null},
+        {"id": "f", "type": "noop", "depends_on": ["e"]},
+    ]
+    done = _ran(spark, tasks).tasks
+    return spark.createDataFrame([(r.id, r.status, r.rows_out) for r in done.values()], "task string, status string, rows_out long")
+
+
+@_query("incremental_runs", "SELECT * FROM (VALUES (1, (SELECT count(*) FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')), (2, 0), (3, (SELECT count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'))) AS t(run, rows_out)")
+def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of one task: the first takes what is there, the second finds nothing new, the third what came since."""
+    from tidemill.plans.runner import Runner
+    from tidemill.plans.spec import parse_pipeline
+    from tidemill.plans.state import StateStore
+
+    path, state = _scratch(spark, "orders"), StateStore(spark, _scratch(spark, "state"))
+    task = {"id": "t", "source": {"type": "parquet", "path": path}, "extraction": {"mode": "incremental", "column": "o_orderdate", "drift": "strict"}, "destination": {"type": "null"}}
+    orders, counts = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), []
+    for part in ("o_orderdate < timestamp_ntz '1996-01-01'", None, "o_orderdate >= timestamp_ntz '1996-01-01'"):
+        if part:
+            orders.where(part).write.mode("append").parquet(path)
+        counts.append(Runner(spark, state).run(parse_pipeline({"name": "p", "tasks": [task]})).tasks["t"].rows_out)
+    return spark.createDataFrame(list(enumerate(counts, 1)), "run int, rows_out long")
+
+
+@_query("stream_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time windows over a stream of files, taken until nothing is left."""
+    from tidemill.streaming import incremental as streams
+
+    events = _table(spark, sf_dir, "events")
+    name = f"windows_{abs(hash(_scratch(spark, 'w')))}"
+    folder = _scratch(spark, "events")
+    events.repartition(3).write.parquet(folder)
+    stream = streams.file_stream(spark, "parquet", folder, events.schema).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    counted = streams.windowed(stream, "ts", "1 hour", ["event_type"], delay="3650 days", n=F.count(F.lit(1)))
+    query = counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _scratch(spark, "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
 @_query("sales_by_nation", """
     SELECT n_name, round(sum(net), 2) AS revenue, count(l_orderkey) AS n_lines, count(DISTINCT o_custkey) AS customers FROM (
         SELECT n_name, l_orderkey, o_custkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,19 +76,65 @@ class Folder:
         for s in self.fs.listStatus(self.path):
             name = s.getPath().getName()
             if not name.startswith(("_", ".")):
-                self.fs.rename(s.getPath(), self.jvm.org.apache.hadoop.fs.Path(to.path, name))
+                if not self.fs.rename(s.getPath(), self.jvm.org.apache.hadoop.fs.Path(to.path, name)):
+                    raise PublishError(f"{s.getPath()} couldn't move to {to.path}")
                 moved.append(name)
         return moved
 
 
+_LATER = threading.local()
+#: Sinks whose data is staged before it is published.
+STAGED_KINDS = ("csv", "json", "jsonl", "ndjson", "xml", "parquet")
+
+
+def publish_all(outputs: list[tuple[DataFrame, dict]]) -> None:
+    """Write several outputs: all that can be staged is staged before the first is published, in the order given.
+
+    A failure while staging publishes nothing.
+    """
+    _LATER.commits = commits = []
+    try:
+        for df, spec in outputs:
+            if SINKS.key(spec.get("type", "")) in STAGED_KINDS:
+                write_sink(df, spec)
+            else:
+                commits.append((lambda df=df, spec=spec: write_sink(df, spec), lambda: None))
+    except Exception:
+        for _, undo in commits:
+            undo()
+        raise
+    finally:
+        _LATER.commits = None
+    for i, (commit, _) in enumerate(commits):
+        try:
+            commit()
+        except Exception:
+            for _, undo in commits[i:]:
+                undo()
+            raise
+
+
 def publish(df: DataFrame, path: str, mode: str, write) -> None:
     """Write to a staging folder beside ``path``, then swap or append; a failed write leaves the target as it was."""
     target = Folder(df.sparkSession, path)
     if mode == "error_if_exists" and target.filled():
         raise PublishError(f"{path} exists already")
     staging = target.sibling()
+    held = getattr(_LATER, "commits", None)
     try:
         write(df.write, staging.path.toString())
+        if held is not None:
+            held.append((lambda: _swap(staging, target, mode), staging.delete))
+        else:
+            _swap(staging, target, mode)
+    except Exception:
+        staging.delete()
+        raise
+
+
+def _swap(staging: Folder, target: Folder, mode: str) -> None:
+    """What is staged takes the target's place, or joins it."""
+    try:
         if mode == "append" and target.exists():
             staging.move_files(target)
             staging.delete()

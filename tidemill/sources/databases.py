@@ -16,10 +16,10 @@ from tidemill.sources.base import SINKS, SOURCES, mode_of
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_$]*(\.[A-Za-z_][A-Za-z0-9_$]*)?")
 #: Words that a filter fragment may not hold.
-_BARRED_SIGNS = (";", "--", "#", "/*", "*/")
-_BARRED_WORDS = """union intersect except drop delete truncate insert update merge alter create grant revoke exec execute call copy
-    attach detach pragma into sleep pg_sleep benchmark waitfor load_file pg_read_file pg_ls_dir outfile dumpfile dblink""".split()
-_BARRED = re.compile(r"(?i)" + "|".join(map(re.escape, _BARRED_SIGNS)) + r"|\b(?:" + "|".join(_BARRED_WORDS) + r")\b")
+_BARRED = re.compile(
+    r"(?i);|--|#|/\*|\*/|\b(?:xp_|sp_)|\b(?:union|intersect|except|drop|delete|truncate|insert|update|merge|alter|create|grant|revoke|exec|execute|call|copy"
+    r"|attach|detach|pragma|into|pg_sleep|sleep|benchmark|waitfor|load_file|pg_read_file|pg_read_binary_file|pg_ls_dir|lo_import|lo_export|dblink|outfile|dumpfile)\b"
+)
 
 
 def identifier(name: str) -> str:
@@ -72,21 +72,21 @@ def read_sql(spark: SparkSession, dsn: str | None = None, table: str | None = No
     executors share.
     """
     path = _sqlite_path(dsn, database)
+    if partition_column and limit is not None:
+        raise ConfigurationError("a limit can't be read in parallel: leave out partition_column")
     if path is None:
         reader = _jdbc(spark.read, dsn, host, port, database, user, password, driver).option("fetchsize", fetch_size)
-        if partition_column and not query:
+        if partition_column:
             reader = reader.option("partitionColumn", partition_column).option("lowerBound", lower_bound).option("upperBound", upper_bound).option("numPartitions", num_partitions)
         text = statement(table, query, columns, where, order_by, limit)
         plain = table and not (query or where or order_by or limit is not None)
-        df = (reader.option("dbtable", table) if plain or partition_column else reader.option("query", text)).load()
+        df = reader.option("dbtable", table if plain else f"({text}) source_rows").load()
         return df.select(*(col(c) for c in names_of(columns))) if columns and plain else df
     select = statement(table, query, columns, where, order_by, limit)
     with sqlite3.connect(path) as link:
-        cursor = link.execute(f"SELECT * FROM ({select}) LIMIT 200", params or {})
-        names = [d[0] for d in cursor.description]
-        sample = cursor.fetchall()
+        names = [d[0] for d in link.execute(f"SELECT * FROM ({select}) LIMIT 0", params or {}).description]
+        kinds = _kinds(link, select, params or {}, names)
         span = link.execute(f"SELECT min(rowid), max(rowid) FROM {identifier(table)}").fetchone() if table and not query and not order_by and limit is None else None
-    kinds = [_kind_of([r[i] for r in sample]) for i in range(len(names))]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
     if span and span[0] is not None:
         width = max(1, -(-(span[1] - span[0] + 1) // num_partitions))
@@ -109,9 +109,16 @@ def read_sql(spark: SparkSession, dsn: str | None = None, table: str | None = No
     return spark.createDataFrame([(t,) for t in tasks], "statement string").repartition(len(tasks)).mapInPandas(fetch, schema)
 
 
-def _kind_of(values) -> T.DataType:
-    found = {type(v) for v in values if v is not None}
-    return T.LongType() if found == {int} else T.DoubleType() if found and found <= {int, float} else T.StringType()
+def _kinds(link, select: str, params: dict, names: list[str]) -> list[T.DataType]:
+    """Types that hold every value of the result: long, double, or text where any value is text."""
+    quoted_names = ['"' + n.replace('"', '""') + '"' for n in names]
+    asked = ", ".join(f"max(typeof({n}) = '{kind}')" for n in quoted_names for kind in ("integer", "real", "text", "blob"))
+    found = link.execute(f"SELECT {asked} FROM ({select})", params).fetchone()
+    out = []
+    for i in range(len(names)):
+        whole, real, text, blob = found[4 * i : 4 * i + 4]
+        out.append(T.StringType() if text or blob or not (whole or real) else T.DoubleType() if real else T.LongType())
+    return out
 
 
 def _value(v, kind):
@@ -120,6 +127,59 @@ def _value(v, kind):
     return int(v) if isinstance(kind, T.LongType) else float(v) if isinstance(kind, T.DoubleType) else v if isinstance(v, str) else str(v)
 
 
+def merge_statement(url: str, table: str, staging: str, names: list[str], keys: list[str]) -> str:
+    """The statement that brings the rows of a staging table into a table, by its keys."""
+    listed, rest = ", ".join(names), [n for n in names if n not in keys]
+    if ":mysql:" in url or ":mariadb:" in url:
+        action = ", ".join(f"{n} = VALUES({n})" for n in rest or keys)
+        return f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {staging} ON DUPLICATE KEY UPDATE {action}"
+    same = " AND ".join(f"t.{k} = s.{k}" for k in keys)
+    update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{n} = s.{n}' for n in rest)}" if rest else ""
+    return f"MERGE INTO {table} t USING {staging} s ON {same}{update} WHEN NOT MATCHED THEN INSERT ({listed}) VALUES ({', '.join(f's.{n}' for n in names)})"
+
+
+def _merge_jdbc(df: DataFrame, table: str, names: list[str], keys: list[str], jdbc, chunk_size: int) -> None:
+    """Executors load a staging table, then the database merges it in one transaction."""
+    import uuid
+
+    for n in [*names, table]:
+        identifier(n)  # checks the name; databases fold unquoted ones alike
+    if not keys:
+        raise ConfigurationError("upsert needs key_columns")
+    staging = f"{table}_{uuid.uuid4().hex[:12]}"
+    url = jdbc(_Options()).found["url"]
+    jdbc(df.write).option("dbtable", staging).option("batchsize", chunk_size).mode("errorifexists").save()
+    login = jdbc(_Options()).found
+    jvm = df.sparkSession.sparkContext._jvm
+    properties = jvm.java.util.Properties()
+    for k in ("user", "password"):
+        if login.get(k):
+            properties.setProperty(k, login[k])
+    link = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        work = link.createStatement()
+        work.execute(merge_statement(url, table, staging, names, keys))
+        work.execute(f"DROP TABLE {staging}")
+    except Exception as e:
+        raise PublishError(f"{table}: {e}") from e
+    finally:
+        link.close()
+
+
+class _Options:
+    """Collects reader options."""
+
+    def __init__(self):
+        self.found: dict[str, str] = {}
+
+    def format(self, _):
+        return self
+
+    def option(self, key, value):
+        self.found[key] = value
+        return self
+
+
 #: SQL types of created tables.
 _DDL = {T.LongType: "BIGINT", T.IntegerType: "BIGINT", T.DoubleType: "DOUBLE PRECISION", T.BooleanType: "BOOLEAN", T.TimestampNTZType: "TIMESTAMP", T.TimestampType: "TIMESTAMP", T.DateType: "DATE"}
 
@@ -129,7 +189,8 @@ def write_sql(df: DataFrame, table: str, dsn: str | None = None, database: str |
     """Append, overwrite, upsert or fill a table.
 
     A SQLite load is one transaction: rows stream to the driver a partition at a time and a
-    failure leaves the table as it was.  Over JDBC, Spark appends or truncates and fills.
+    failure leaves the table as it was.  Over JDBC, Spark appends or truncates and fills; an
+    upsert loads a staging table that the database merges.
     """
     mode = mode_of(mode, ("append", "overwrite", "upsert", "error_if_exists"))
     names, keys = names_of(columns) or df.columns, names_of(key_columns)
@@ -137,7 +198,8 @@ def write_sql(df: DataFrame, table: str, dsn: str | None = None, database: str |
     path = _sqlite_path(dsn, database)
     if path is None:
         if mode == "upsert":
-            raise ConfigurationError("upsert over JDBC: load a staging table and merge it in the database")
+            _merge_jdbc(flat, table, names, keys, lambda io: _jdbc(io, dsn, host, port, database, user, password, driver), chunk_size)
+            return
         writer = _jdbc(flat.write, dsn, host, port, database, user, password, driver).option("dbtable", table).option("truncate", True).option("batchsize", chunk_size)
         writer.mode({"append": "append", "overwrite": "overwrite", "error_if_exists": "errorifexists"}[mode]).save()
         return

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,33 +17,53 @@ from tidemill.sources.excel import read_workbook, workbook_bytes
 NULL_WORDS = ("", "NULL", "null", "NA", "N/A")
 
 
+def _crosses_lines(spark: SparkSession, path: str, quotechar: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a cell may go on in the next one."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quotechar), F.lit("")))
+    return bool(quotechar) and not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def _lines_of(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """The lines of each file (``value``) with its name (``__file``) and their number from 0 (``__n``), which counts only near the start of a file."""
+    if encoding.lower().replace("-", "") not in ("utf8", "ascii", "usascii"):
+        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("__file"), F.split(F.decode("content", encoding), "\r?\n").alias("v"))
+        return files.select("__file", F.posexplode("v").alias("__n", "value")).where("value <> ''")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    # ids grow by one within the split that begins a file
+    heads = lines.where("__at = 0").groupBy("__file").agg(F.min("__id").alias("__first"))
+    number = F.when(col("__at") == 0, col("__id") - col("__first")).otherwise(F.lit(1 << 40))
+    return lines.join(heads, "__file").select("__file", number.alias("__n"), "value").where("value <> ''")
+
+
 @SOURCES.register("csv")
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", quotechar: str = '"', encoding: str = "utf-8", skip_rows: int = 0, columns=None, has_header: bool = True, null_values=NULL_WORDS, strip_whitespace: bool = True, max_columns: int = 4096) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", quotechar: str = '"', encoding: str = "utf-8", skip_rows: int = 0, columns=None, has_header: bool = True, null_values=NULL_WORDS, strip_whitespace: bool = True, max_columns: int = 4096, multiline: bool | None = None) -> DataFrame:
     """All columns as text, trimmed, with the null words as null.
 
     With ``columns`` those are the names, and a header row is passed over.  ``skip_rows``
-    physical lines are left out before the header.
+    physical lines of each file are left out before its header; then a quoted cell can't hold line
+    feeds.  Otherwise files with cells of several lines are read by one task each and others are
+    split; ``multiline`` says which, and without it a first pass looks for them.
     """
     reader = spark.read.option("sep", delimiter).option("quote", quotechar).option("escape", quotechar).option("encoding", encoding).option("maxColumns", max_columns)
     reader = reader.option("mode", "PERMISSIVE").option("nullValue", "\x00never").option("emptyValue", "")
     given = names_of(columns)
     if skip_rows:
-        lines = spark.read.text(path).withColumn("__n", F.monotonically_increasing_id())
-        first = [r[0] for r in lines.orderBy("__n").limit(skip_rows).select("__n").collect()]
-        rest = lines.where(~col("__n").isin(first)).drop("__n")
-        header = rest.first()
-        if header is None:
-            return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in given]))
-        names = given or (next(iter(spark.createDataFrame([header]).select(F.split("value", "\\Q" + delimiter + "\\E")).first())) if has_header else None)
-        names = names or [f"_c{i}" for i in range(header[0].count(delimiter) + 1)]
-        schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in names])
-        body = rest.where(F.col("value") != F.lit(header[0])) if has_header else rest
-        df = body.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": delimiter, "quote": quotechar}).alias("r")).select("r.*")
-    elif given:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in given])
-        df = reader.option("header", has_header).option("enforceSchema", True).schema(schema).option("multiLine", True).csv(path)
+        lines = _lines_of(spark, path, encoding)
+        lines = lines.where(col("__n") >= skip_rows)
+        if has_header or not given:
+            header = lines.where(col("__n") == skip_rows).orderBy("__file").select("value").first()
+            if header is None:
+                return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in given]))
+            cells = next(csv.reader([header[0]], delimiter=delimiter, quotechar=quotechar))
+            given = given or (cells if has_header else [f"_c{i}" for i in range(len(cells))])
+        body = lines.where(col("__n") > skip_rows) if has_header else lines
+        schema = ", ".join(f"{quoted(n.strip())} string" for n in given)
+        df = body.select(F.from_csv("value", schema, {"sep": delimiter, "quote": quotechar, "escape": quotechar}).alias("r")).select("r.*")
     else:
-        df = reader.option("header", has_header).option("multiLine", True).csv(path)
+        reader = reader.option("header", has_header).option("multiLine", _crosses_lines(spark, path, quotechar) if multiline is None else multiline)
+        if given:
+            reader = reader.option("enforceSchema", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in given]))
+        df = reader.csv(path)
     words = list(null_values)
 
     def clean(name: str) -> Column:

@@ -130,8 +130,8 @@ def write_sftp(df: DataFrame, host: str, remote_path: str, user: str, port: int
     client = _sftp(host, port, user, password, private_key, known_hosts)
     try:
         remote = client.open_sftp()
-        for f in files:
-            with remote.open(f"{remote_path}.uploading", "ab") as out:
+        for i, f in enumerate(files):
+            with remote.open(f"{remote_path}.uploading", "ab" if i else "wb") as out:  # never after what a failed try left
                 reader = _Reader(folder.fs.open(folder.jvm.org.apache.hadoop.fs.Path(f)))
                 while block := reader.read(_BLOCK):
                     out.write(block)
