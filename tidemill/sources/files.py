@@ -26,7 +26,8 @@ def _crosses_lines(spark: SparkSession, path: str, quotechar: str) -> bool:
 def _lines_of(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """The lines of each file (``value``) with its name (``__file``) and their number from 0 (``__n``), which counts only near the start of a file."""
     if encoding.lower().replace("-", "") not in ("utf8", "ascii", "usascii"):
-        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("__file"), F.split(F.decode("content", encoding), "\r?\n").alias("v"))
+        decoded = F.pandas_udf(lambda files: files.map(lambda b: bytes(b).decode(encoding)), "string")
+        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("__file"), F.split(decoded("content"), r"\r?\n").alias("v"))
         return files.select("__file", F.posexplode("v").alias("__n", "value")).where("value <> ''")
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
     # ids grow by one within the split that begins a file
