@@ -51,7 +51,7 @@ def test_log_probabilities_match_dictionaries():
     models = langid.LanguageModels(["x", "y"], alphabet, order, codes, counts)
 
     def ids(text):
-        out = [alphabet.index(c) + 1 if c in alphabet else 255 if c.isalpha() else 0 for c in text.lower()]
+        out = [alphabet.index(c) + 1 if c in alphabet else langid._OTHER if c.isalpha() else 0 for c in text.lower()]
         return [v for i, v in enumerate(out) if v or (i and out[i - 1])]
 
     tests = ["abca dd", "  zz a", "DCBA", "a", "bbb ccc, aaa", "", "1 2"]

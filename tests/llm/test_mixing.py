@@ -39,6 +39,20 @@ def test_sample_and_odd_rows(spark):
     assert abs(share - sum(r["chance"] for r in out) / len(out)) < 0.03
 
 
+def test_many_cells_give_the_same(spark, monkeypatch):
+    rows = [(i, f"s{i * i % 13}" if i % 7 else None, f"l{i % 3}", "a" * (i % 11)) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    targets = [{f"s{i}": 1 + i for i in range(11)}, {"l0": 0.7, "l1": 0.2, "l2": 0.1}]
+
+    def chances():
+        found = mixing.sample_mixture(docs, [F.col("source"), F.col("lang")], targets, F.length("text"), 0.6, chance_col="chance", rounds=6)
+        return sorted((r["doc_id"], round(r["chance"], 9), r["sampled"]) for r in found.collect())
+
+    want = chances()
+    monkeypatch.setattr(mixing, "MOST_CELLS", 5)
+    assert chances() == want and any(c == 1 for _, c, _ in want)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.sample_mixture(docs, [F.col("source")], [None], F.length("text"), 0.5).collect() == []

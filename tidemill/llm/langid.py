@@ -2,8 +2,8 @@
 
 A bounded sample of labelled documents (``docs_per_lang`` for each language) is counted in
 Spark; the character n-gram counts, which the sample bounds, make one model per language.
-All models share sorted arrays of n-gram hashes (eight bits a character, free of
-collisions up to eight characters) with one column of log-probabilities a language, so one
+All models share sorted arrays of n-gram keys (16 bits a character, so that all letters of
+the sample stay apart; up to four characters) with one column of log-probabilities a language, so one
 search serves all languages.  Every whole text is scored; the language with the lowest
 cross-entropy per character wins.  A second part of the sample calibrates the score and,
 for each language, the cross-entropy above which a text is marked as rejected.
@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import bound_batches, discard, materialize
 
 UNDETERMINED = "und"
-_OTHER = 255
+_BITS = 16
+_OTHER = (1 << _BITS) - 1
+#: N-grams are 64-bit keys.
+MOST_ORDER = 4
 _CHUNK_CHARS = 1 << 20
 #: Languages at most; more is an error.
 MOST_LANGUAGES = 1000
@@ -29,9 +32,9 @@ MOST_LANGUAGES = 1000
 
 @lru_cache(maxsize=4)
 def _symbol_table(alphabet: str) -> np.ndarray:
-    """Code point to symbol: 0 for all but letters, 1.. for the alphabet, 255 for other letters."""
+    """Code point to symbol: 0 for all but letters, 1.. for the alphabet, one more for other letters."""
     known = {c: i + 1 for i, c in enumerate(alphabet)}
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.uint16)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
@@ -55,18 +58,27 @@ def _symbols(texts: list[str], alphabet: str, order: int) -> tuple[np.ndarray, n
     total = np.concatenate([[0], np.cumsum(keep)])
     kept = total[ends] - total[starts]
     ids = ids[keep]
-    out = np.zeros(len(ids) + (order - 1) * len(texts), np.uint8)
+    out = np.zeros(len(ids) + (order - 1) * len(texts), np.uint16)
     out[np.arange(len(ids)) + np.repeat((order - 1) * np.arange(1, len(texts) + 1), kept)] = ids
     return out, kept
 
 
+def _kind(order: int) -> type:
+    return np.uint32 if order <= 2 else np.uint64
+
+
+def _below(order: int) -> np.uint64:
+    """The bits of the last ``order`` characters."""
+    return np.uint64((1 << _BITS * order) - 1)
+
+
 def _grams(symbols: np.ndarray, order: int) -> np.ndarray:
     """The hash of the n-gram that ends at each position from ``order - 1`` on."""
-    kind = np.uint32 if order <= 4 else np.uint64
+    kind = _kind(order)
     n = len(symbols) - order + 1
     code = np.zeros(max(n, 0), kind)
     for i in range(order):
-        code <<= kind(8)
+        code <<= kind(_BITS)
         code |= symbols[i : i + n]
     return code
 
@@ -96,7 +108,7 @@ class LanguageModels:
         self.languages, self.alphabet, self.order = languages, alphabet, order
         grams, cnts = {order: codes.astype(np.uint64)}, {order: counts.astype(np.float64)}
         for k in range(order - 1, 0, -1):  # continuation counts: how many symbols come before
-            lower, at = np.unique(grams[k + 1] & np.uint64((1 << 8 * k) - 1), return_inverse=True)
+            lower, at = np.unique(grams[k + 1] & _below(k), return_inverse=True)
             seen = np.zeros((len(lower), len(languages)))
             np.add.at(seen, at, cnts[k + 1] > 0)
             grams[k], cnts[k] = lower, seen
@@ -111,7 +123,7 @@ class LanguageModels:
             ones, twos = (c == 1).sum(0), (c == 2).sum(0)
             discount = np.where(ones > 0, ones / np.maximum(ones + 2 * twos, 1), 0.5)
             discount = np.clip(discount, 0.05, 0.95)
-            contexts, at = np.unique(grams[k] >> np.uint64(8), return_inverse=True)
+            contexts, at = np.unique(grams[k] >> np.uint64(_BITS), return_inverse=True)
             total, kinds = np.zeros((len(contexts), len(languages))), np.zeros((len(contexts), len(languages)))
             np.add.at(total, at, c)
             np.add.at(kinds, at, c > 0)
@@ -119,10 +131,9 @@ class LanguageModels:
             if k == 1:
                 lower = np.broadcast_to(below, c.shape)
             else:
-                lower = below[np.searchsorted(grams[k - 1], grams[k] & np.uint64((1 << 8 * (k - 1)) - 1))]
+                lower = below[np.searchsorted(grams[k - 1], grams[k] & _below(k - 1))]
             below = np.where(total[at] > 0, np.maximum(c - discount, 0) / np.maximum(total[at], 1), 0) + gamma[at] * lower
-            kind = np.uint32 if k <= 4 else np.uint64
-            self.keys[k], self.logp[k] = grams[k].astype(kind), np.log(below).astype(np.float32)
+            self.keys[k], self.logp[k] = grams[k].astype(_kind(k)), np.log(below).astype(np.float32)
             self.contexts[k], self.backoff[k] = contexts, np.log(gamma).astype(np.float32)
 
     def log_probabilities(self, codes: np.ndarray, k: int) -> np.ndarray:
@@ -134,9 +145,9 @@ class LanguageModels:
         if len(miss):
             rest = codes[miss].astype(np.uint64)
             contexts = self.contexts[k]
-            at = np.minimum(np.searchsorted(contexts, rest >> np.uint64(8)), len(contexts) - 1)
-            gamma = np.where((contexts[at] == rest >> np.uint64(8))[:, None], self.backoff[k][at], 0)
-            lower = (rest & np.uint64((1 << 8 * (k - 1)) - 1)).astype(np.uint32 if k <= 5 else np.uint64)
+            at = np.minimum(np.searchsorted(contexts, rest >> np.uint64(_BITS)), len(contexts) - 1)
+            gamma = np.where((contexts[at] == rest >> np.uint64(_BITS))[:, None], self.backoff[k][at], 0)
+            lower = (rest & _below(k - 1)).astype(_kind(k - 1))
             out[miss] = gamma + self.log_probabilities(lower, k - 1)
         return out
 
@@ -159,10 +170,10 @@ class LanguageModels:
 
 
 def _alphabet(sample: DataFrame) -> str:
-    """The 254 commonest letters of the sample, lower-cased."""
+    """The letters of the sample, lower-cased, commonest first; Unicode bounds their number."""
     letters = sample.select(F.explode(F.split(F.lower("_text"), "")).alias("c")).groupBy("c").count()
-    top = letters.where(F.length("c") == 1).orderBy(F.desc("count"), "c").limit(2000).collect()
-    return "".join([r["c"] for r in top if r["c"].isalpha()][:254])
+    top = letters.where(F.length("c") == 1).orderBy(F.desc("count"), "c").limit(2 * _OTHER).collect()
+    return "".join([r["c"] for r in top if r["c"].isalpha()][: _OTHER - 1])
 
 
 def train(labelled: DataFrame, docs_per_lang: int = 600, order: int = 4) -> dict:
@@ -171,6 +182,8 @@ def train(labelled: DataFrame, docs_per_lang: int = 600, order: int = 4) -> dict
     About ``docs_per_lang`` documents of each language are taken by a hash of ``_key``; a
     quarter of them calibrates.  Null texts and languages teach nothing.
     """
+    if not 1 <= order <= MOST_ORDER:
+        raise ValueError(f"the order is 1 to {MOST_ORDER}")
     spark = labelled.sparkSession
     labelled = labelled.where("_lang is not null and _text is not null and _key is not null")
     sizes = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().limit(MOST_LANGUAGES + 1).collect()}

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells are counted on the driver; their number is the product of the numbers of sources, languages and topics.
+from tidemill.llm.common import discard, materialize
+
+#: Cells that the driver rakes; more are raked as a table, with the same result.
 MOST_CELLS = 100_000
 
 
@@ -65,7 +67,8 @@ def calibrate(cells: dict[tuple, float], weight: dict[tuple, float], budget: flo
         for k in full:
             probability[k] = 1.0
             left -= cells[k]
-        open_cells = [k for k in open_cells if k not in set(full)]
+        gone = set(full)
+        open_cells = [k for k in open_cells if k not in gone]
     return probability
 
 
@@ -75,19 +78,71 @@ def uniform(identity: Column) -> Column:
     return F.conv(head, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mixture(docs: DataFrame, parts: list[Column], targets: list[dict | None], tokens: Column, share: float, rounds: int = 60) -> dict[tuple, float]:
-    """The probability of each cell that occurs.
+def _cells(docs: DataFrame, parts: list[Column], names: list[str], tokens: Column) -> DataFrame:
+    """The size of each cell; a cell's documents combine before they shuffle."""
+    sized = docs.select(*(p.cast("string").alias(n) for p, n in zip(parts, names)), F.coalesce(tokens.cast("double"), F.lit(0.0)).alias("_size"))
+    return sized.groupBy(*names).agg(F.sum("_size").alias("_size"))
+
+
+def rake_table(cells: DataFrame, names: list[str], targets: list[dict | None], rounds: int = 60) -> DataFrame:
+    """``cells`` (names and ``_size``) with ``_weight``: what :func:`rake` gives, by joins and aggregates; each round is staged."""
+    spark, goals = cells.sparkSession, []
+    for name, target in zip(names, targets):
+        if target is None:
+            continue
+        wanted = spark.createDataFrame([(str(k), float(v)) for k, v in target.items()], f"{name} string, _share double")
+        have = cells.groupBy(name).agg(F.sum("_size").alias("_have")).where("_have > 0")
+        given = materialize(have.join(wanted, name), "mix-goals")
+        sums = given.agg(F.sum("_have").alias("h"), F.sum("_share").alias("s")).first()
+        free = sums["h"]  # what the values with a target share
+        if sums["s"]:
+            goals.append((name, given.select(name, (F.col("_share") * free / sums["s"]).alias("_goal"))))
+    table = cells.withColumn("_weight", F.lit(1.0))
+    for _ in range(rounds):
+        before = table
+        for name, goal in goals:
+            have = table.groupBy(name).agg(F.sum(F.col("_size") * F.col("_weight")).alias("_have")).where("_have > 0")
+            scale = have.join(goal, name).select(name, (F.col("_goal") / F.col("_have")).alias("_scale"))
+            table = table.join(scale, name, "left").withColumn("_weight", F.col("_weight") * F.coalesce("_scale", F.lit(1.0)))
+            table = materialize(table.select(*names, "_size", "_weight"), "mix-weights")
+            discard(before)
+            before = table
+    return table
+
+
+def calibrate_table(table: DataFrame, names: list[str], budget: float) -> DataFrame:
+    """``table`` of :func:`rake_table` with ``_chance``: what :func:`calibrate` gives."""
+    live = (F.col("_weight") > 0) & (F.col("_size") > 0)
+    top = float("inf")  # weights from here on have probability 1
+    while True:
+        sums = table.where(live).agg(
+            F.sum(F.when(F.col("_weight") >= top, F.col("_size"))).alias("full"), F.sum(F.when(F.col("_weight") < top, F.col("_size") * F.col("_weight"))).alias("rest")
+        ).first()
+        factor = (float(budget) - (sums["full"] or 0.0)) / sums["rest"] if sums["rest"] else 0.0
+        least = table.where(live & (F.col("_weight") < top) & (F.col("_weight") * factor >= 1)).agg(F.min("_weight")).first()[0]
+        if least is None:
+            break
+        top = least
+    chance = F.when(~live, 0.0).when(F.col("_weight") >= top, 1.0).otherwise(F.col("_weight") * max(factor, 0.0))
+    return table.select(*names, chance.alias("_chance"))
+
+
+def mixture(docs: DataFrame, parts: list[Column], targets: list[dict | None], tokens: Column, share: float, names: list[str], rounds: int = 60) -> tuple[DataFrame, bool]:
+    """(the probability ``_chance`` of each cell that occurs, by ``names``; whether there are few cells).
 
     ``parts``: the columns of a cell, as text; null is a value of its own.  ``tokens``: the size
     of a document (null counts as zero).  ``share``: the budget as a share of all tokens.
     """
-    names = [f"_part{i}" for i in range(len(parts))]
-    sized = docs.select(*(p.cast("string").alias(n) for p, n in zip(parts, names)), F.coalesce(tokens.cast("double"), F.lit(0.0)).alias("_size"))
-    rows = sized.groupBy(*names).agg(F.sum("_size").alias("_size")).limit(MOST_CELLS + 1).collect()
+    found = materialize(_cells(docs, parts, names, tokens), "mix-cells")
+    rows = found.limit(MOST_CELLS + 1).collect()
     if len(rows) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells; group rare sources first")
+        budget = share * found.agg(F.sum("_size")).first()[0]
+        return calibrate_table(rake_table(found, names, targets, rounds), names, budget), False
+    discard(found)
     cells = {tuple(r[n] for n in names): r["_size"] for r in rows}
-    return calibrate(cells, rake(cells, targets, rounds), share * sum(cells.values()))
+    chances = calibrate(cells, rake(cells, targets, rounds), share * sum(cells.values()))
+    schema = ", ".join([f"{n} string" for n in names] + ["_chance double"])
+    return docs.sparkSession.createDataFrame([(*k, float(p)) for k, p in chances.items()], schema), True
 
 
 def sample_mixture(docs: DataFrame, parts: list[Column], targets: list[dict | None], tokens: Column, share: float, id_col: str = "doc_id", chance_col: str | None = None, rounds: int = 60) -> DataFrame:
@@ -97,16 +152,15 @@ def sample_mixture(docs: DataFrame, parts: list[Column], targets: list[dict | No
     stay, with their probability in that column and ``sampled`` beside it.  An empty table
     gives an empty one.
     """
-    chances = mixture(docs, parts, targets, tokens, share, rounds)
     mark = "_mix"
     while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
     mine, theirs = ([f"{mark}{side}{i}" for i in range(len(parts))] for side in "ab")
-    schema = ", ".join([f"{n} string" for n in theirs] + [f"{mark} double"])
-    cells = docs.sparkSession.createDataFrame([(*k, float(p)) for k, p in chances.items()], schema)
+    cells, few = mixture(docs, parts, targets, tokens, share, theirs, rounds)
+    cells = cells.withColumnRenamed("_chance", mark)
     keyed = docs.withColumns({n: p.cast("string") for n, p in zip(mine, parts)})
     same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(mine, theirs)]
-    found = keyed.join(F.broadcast(cells), same, "left")  # MOST_CELLS bounds it
+    found = keyed.join(F.broadcast(cells) if few else cells, same, "left")  # MOST_CELLS bounds what is broadcast
     chance = F.coalesce(mark, F.lit(0.0))
     drawn = uniform(F.col(id_col)) < chance
     kept = [F.col(f"`{c}`") for c in docs.columns if chance_col is None or c not in (chance_col, "sampled")]

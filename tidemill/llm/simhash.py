@@ -3,15 +3,17 @@
 Fingerprints that differ in at most ``radius`` of 64 bits agree on two whole blocks when the
 bits are cut into ``radius + 2`` blocks.  So each distinct fingerprint goes to one shard for
 every pair of blocks, keyed by the values of both blocks, and every link lies inside a
-shard.  A shard holds BK-trees of bounded size: children are keyed by their integer Hamming
-distance to the parent, and a search follows only edges within the radius.  A shard with
-many fingerprints is cut into several trees, and each block of queries meets each tree in a
-task of its own.  A task returns a spanning forest of the links it finds, never all pairs.
+shard.  A shard holds a BK-tree: children are keyed by their integer Hamming distance to the
+parent, and a search follows only edges within the radius.  Fingerprints of a shard with many
+of them go to narrower shards, which hold all bits but those of ``radius`` small blocks, so a
+tree stays bounded however many fingerprints are close to each other.  A task returns a
+spanning forest of the links it finds, never all pairs.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import bound_batches, contiguous_groups, materialize, ragged
 from tidemill.llm.components import connected_components
 
-#: Fingerprints in one tree at most.
+#: Fingerprints of a shard beyond which they go to narrower ones.
 TREE_SIZE = 512
+#: Narrow shards of one fingerprint at most.
+MOST_NARROW = 2000
 _SLICE = 1 << 16
 
 
@@ -87,11 +91,9 @@ class BKTree:
             todo += [c for d, c in self.children[at].items() if away - radius <= d <= away + radius]
 
 
-def _forest(tree_values, query_values, radius: int) -> list[tuple[int, int]]:
-    """(value, root) links that join the same values as all links from queries to the tree."""
+def _forest(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """(value, root) links that join the same values as all links between them."""
     tree = BKTree()
-    for v in tree_values:
-        tree.add(v)
     parent: dict[int, int] = {}
 
     def find(x):
@@ -100,61 +102,59 @@ def _forest(tree_values, query_values, radius: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    for q in query_values:
+    for q in values:  # each one meets those before it
         for at in tree.within(q, radius):
             a, b = find(q), find(tree.values[at])
             if a != b:
                 parent[max(a, b)] = min(a, b)
+        tree.add(q)
     return [(v, r) for v in parent if (r := find(v)) != v]
 
 
-def _shard_links(rows: DataFrame, values: DataFrame, radius: int, tree_size: int) -> DataFrame:
-    """Links (a, b) of nodes within ``radius``, for ``rows`` (shard, node) and ``values`` (node, fp).
+def _shards(radius: int, bits: int, free: int):
+    """Shard names of a fingerprint, for all choices of ``free`` of its blocks of about ``bits`` bits that may differ."""
+    count = max(64 // bits, free + 1)
+    edges = [64 * i // count for i in range(count + 1)]
+    names = []
+    for n, gone in enumerate(combinations(range(count), free)):
+        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(count) if i not in gone)
+        kept = F.col("node").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        # one long names a shard; two shards that share it only compare a few more fingerprints
+        names.append(F.xxhash64(F.lit(n), kept))
+    return F.explode(F.array(*names)).alias("shard")
 
-    Shards with one node are left out before fingerprints are fetched.
-    """
-    keys = ["shard"]
-    sizes = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
-    trees = F.ceil(F.col("n") / tree_size)
-    own = F.pmod(F.xxhash64("node"), trees)
-    dealt = (
-        rows.join(sizes, keys)
-        .select(*keys, "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("other"))
-        .select(*keys, F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("block"), "own", "node")
-    )
-    dealt = dealt.join(values, "node")
-    group = [*keys, "tree", "block"]
+
+def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) within the shards of ``rows`` (shard, node)."""
 
     def search(batches):
-        for pdf in contiguous_groups(batches, group):
+        for pdf in contiguous_groups(batches, ["shard"]):
             found = []
-            for (_, tree, block), part in pdf.groupby(group, sort=False):
-                if isinstance(part["fp"].iloc[0], bytes):
-                    marks = [int.from_bytes(v, "little") for v in part["fp"]]
-                else:
-                    marks = part["fp"].astype("uint64").tolist()
-                node = dict(zip(marks, part["node"].tolist()))
-                if tree == block:
-                    pairs = _forest(marks, marks, radius)
-                else:
-                    inside = (part["own"] == tree).tolist()
-                    pairs = _forest([v for v, t in zip(marks, inside) if t], [v for v, t in zip(marks, inside) if not t], radius)
-                found += [(node[x], node[y]) for x, y in pairs]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(search, "a long, b long")
+            for _, part in pdf.groupby("shard", sort=False):
+                found += _forest(part["node"].astype("uint64").tolist(), radius)
+            yield pd.DataFrame(np.array(found, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInPandas(search, "a long, b long")
 
 
 def fingerprint_links(prints: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE) -> DataFrame:
-    """``prints`` (fp: long, distinct) to links (a, b) that connect all fingerprints within ``radius`` of each other."""
-    count = radius + 2
-    edges = [64 * i // count for i in range(count + 1)]
-    mask = lambda i: (1 << (edges[i + 1] - edges[i])) - 1
-    block = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit(mask(i)))
-    # one long names a shard; two shards that share it only compare a few more fingerprints
-    shards = F.array(*(F.xxhash64(F.lit(n), block(i), block(j)) for n, (i, j) in enumerate(combinations(range(count), 2))))
-    rows = prints.select(F.col("fp").alias("node"), F.explode(shards).alias("shard"))
-    return _shard_links(rows, prints.select(F.col("fp").alias("node"), "fp"), radius, tree_size)
+    """``prints`` (fp: long, distinct) to links (a, b) that connect all fingerprints within ``radius`` of each other.
+
+    Shards with more than ``tree_size`` fingerprints aren't searched; their members go to narrow
+    shards of at most 2**(block bits x radius) fingerprints, which find the same links.
+    """
+    nodes = prints.select(F.col("fp").alias("node"))
+    rows = nodes.select("node", _shards(radius, 64 // (radius + 2), radius))
+    sizes = materialize(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
+    links = _tree_links(rows.join(sizes.where(F.col("n") <= tree_size), "shard").select("shard", "node"), radius)
+    crowded = sizes.where(F.col("n") > tree_size)
+    if crowded.isEmpty():
+        return links
+    busy = materialize(rows.join(crowded, "shard", "left_semi").select("node").distinct(), "crowded")
+    bits = max(1, (TREE_SIZE.bit_length() - 1) // max(radius, 1))
+    while comb(64 // bits, radius) > MOST_NARROW:  # for a radius of 4 or more trees get larger instead
+        bits += 1
+    return links.unionAll(_tree_links(busy.select("node", _shards(radius, bits, radius)), radius))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, tree_size: int = TREE_SIZE) -> DataFrame:

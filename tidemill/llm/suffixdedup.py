@@ -213,8 +213,8 @@ def _covered(kmer, contexts: list[bytes], first_doc: np.ndarray, window: int):
 # ---- batches ------------------------------------------------------------------------------------
 
 
-def _flushes(batches, extra: str | None = None):
-    """(ids, texts, extras) of about ``_FLUSH_BYTES`` of text each."""
+def _flushes(batches, most_bytes: int, extra: str | None = None):
+    """(ids, texts, extras) of about ``most_bytes`` of text each."""
     ids, texts, more, size = [], [], [], 0
     for pdf in batches:
         for i, t, x in zip(pdf["_id"], pdf["_text"], pdf[extra] if extra else pdf["_id"]):
@@ -225,21 +225,28 @@ def _flushes(batches, extra: str | None = None):
             texts.append(raw)
             more.append(x)
             size += len(raw)
-            if size >= _FLUSH_BYTES:
+            if size >= most_bytes:
                 yield np.array(ids, np.int64), texts, more
                 ids, texts, more, size = [], [], [], 0
     if ids:
         yield np.array(ids, np.int64), texts, more
 
 
+def _flush_bytes(parts: int) -> int:
+    """Text that a task gathers before it sends a row to each range; more for more ranges, so that rows don't get small."""
+    return min(max(_FLUSH_BYTES, parts << 12), 8 * _FLUSH_BYTES)
+
+
 # ---- the steps as Spark jobs --------------------------------------------------------------------
 
 
 def _shared_grams(docs: DataFrame, parts: int) -> DataFrame:
     """(kind, doc, gram, n): grams that several documents have, for each of these; kind 1 rows count a hot gram."""
 
+    most_bytes = _flush_bytes(parts)
+
     def count(batches):
-        for ids, texts, _ in _flushes(batches):
+        for ids, texts, _ in _flushes(batches, most_bytes):
             found = [(g, d) for _, d, g, _, _, _ in anchors(texts)]
             if not found:
                 continue
@@ -319,9 +326,11 @@ def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
+    most_bytes = _flush_bytes(parts)
+
     def collect(batches):
         busy = shared.value
-        for ids, texts, wanted in _flushes(batches, "_grams"):
+        for ids, texts, wanted in _flushes(batches, most_bytes, "_grams"):
             wanted = [np.sort(np.asarray(w, np.int64).view(np.uint64)) for w in wanted]
             contexts: dict[tuple[int, bytes], int] = {}
             where, doc, at, heat = [], [], [], []
