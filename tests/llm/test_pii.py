@@ -66,3 +66,21 @@ def test_query_shape_and_odd_rows(spark):
     assert out[1]["base_sha256"] == hashlib.sha256(b"email:0:6,phone:7:24").hexdigest()
     assert pii.find_personal_data(docs.where("false")).collect() == []
     assert docs.count() == 6
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    text = "a" + " " * 200_000 + "b (at) c.org " + "[" + " " * 200_000 + "x"
+    assert len(pii.find_all(text)[1]) == 1
+    many = " ".join(f"a{i}@b.com c{i} (at) d.com" for i in range(20_000))
+    plain, added = pii.find_all(many)
+    assert len(plain) == len(added) == 20_000
+    assert time.perf_counter() - began < 10
+
+
+def test_many_long_texts_in_one_batch(spark):
+    docs = spark.range(20).selectExpr("id as doc_id", "concat(repeat('plain words here ', 300000), 'a@b.org') as text")
+    assert docs.coalesce(1).select("doc_id", "text").count() == 20
+    assert pii.find_personal_data(docs.coalesce(1)).where("n_email = 1").count() == 20

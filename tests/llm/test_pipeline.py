@@ -36,3 +36,18 @@ def test_stages_in_turn(spark):
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_take_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    names = docs.columns
+    rows = [r.asDict() for r in docs.collect()]
+    odd = [dict.fromkeys(names), rows[3], rows[3], rows[4] | {"text": None}, rows[5] | {"text": ""}, rows[6] | {"doc_id": 10**9, "source": None, "lang": None, "text": "word and more. " * 60_000}]
+    more = spark.createDataFrame([*rows, *odd], docs.schema).selectExpr("*", "1 as _quality", "'x' as _id", "2 as shard", "'y' as _gone", "3 as node")
+    for start in (more, more.where("false")):
+        found = start
+        for name, stage in corpus_pipeline.STAGES:
+            found = materialize(stage(spark, found, SF), "test-odd")
+            if name != "sentencepiece":
+                assert found.columns == start.columns, name
+        assert (found.count() > 0) == (not start.isEmpty())
