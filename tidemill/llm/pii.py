@@ -30,17 +30,31 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Digit words and look-alikes of Latin letters in other scripts.
-_DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
+#: Digit words of English, German, French and Spanish, and look-alikes of Latin letters in other scripts.
+_DIGIT_WORDS = {
+    w: str(i)
+    for words in (
+        "zero one two three four five six seven eight nine",
+        "null eins zwei drei vier fünf sechs sieben acht neun",
+        "zéro un deux trois quatre cinq six sept huit neuf",
+        "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for i, w in enumerate(words.split())
+} | {"oh": "0", "zwo": "2"}
 _LOOK_ALIKES = dict(zip("АВЕЅІЈКМНОРСТУХаеоѕіјрсухԁһѵѡɡɑΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "ABESIJKMHOPCTYXaeosijpcyxdhvwgaABEZHIKMNOPTYXoav"))
 _INVISIBLE = "­​‌‍⁠﻿"
 
-_WORD = "(?:" + "|".join(_DIGIT_WORDS) + ")"
+#: Words for "+", "." and "@".
+_PLUS_WORDS = "(?:plus|más)"
+_DOT_WORDS = "(?:dot|punkt|point|punto)"
+_AT_WORDS = "(?:arroba|arobase|ät)"
+
+_WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 #: Blanks around the brackets go too; they are taken from the bracket outwards, as a pattern that starts with blanks takes quadratic time.
-_BRACKETED = re.compile(r"(?i)[\[({<][ \t]*+(at|dot|@|\.)[ \t]*+[\])}>][ \t]*+")
-_SPELLED_RUN = re.compile(rf"(?i)\b(?:plus[ ,-]+)?(?:{_WORD}|[0-9]+)(?:(?:[ ,-]+|[ ]+dot[ ]+)(?:{_WORD}|[0-9]+)\b)++")
-_SPELLED_HINT = re.compile(rf"(?i)\b{_WORD}[ ,-]+(?:dot[ ]+)?{_WORD}\b")
-_TOKEN = re.compile(rf"(?i)plus|dot|{_WORD}|[0-9]+")
+_BRACKETED = re.compile(r"(?i)[\[({<][ \t]*+(at|arroba|arobase|ät|@|dot|punkt|point|punto|\.)[ \t]*+[\])}>][ \t]*+")
+_SPELLED_RUN = re.compile(rf"(?i)\b(?:{_PLUS_WORDS}[ ,-]+)?(?:{_WORD}|[0-9]+)(?:(?:[ ,-]+|[ ]+{_DOT_WORDS}[ ]+)(?:{_WORD}|[0-9]+)\b)++")
+_SPELLED_HINT = re.compile(rf"(?i)\b{_WORD}[ ,-]+(?:{_DOT_WORDS}[ ]+)?{_WORD}\b")
+_TOKEN = re.compile(rf"(?i){_PLUS_WORDS}|{_DOT_WORDS}|{_WORD}|[0-9]+")
 _LABEL = r"[A-Za-z0-9-]+"
 #: Endings that make "at" and "dot" in plain words an address after any word.
 _ENDINGS = "(?:com|org|net|edu|gov|info|biz|io|ai|app|dev|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|br|in|jp|cn|ru|example|test)"
@@ -57,6 +71,10 @@ _BEFORE_AT = re.compile(r"(?i)(^|[\n:;<(\[\"']|\b(?:to|mail|e-mail|email|address
 _ODD_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9]+[._%+][A-Za-z0-9._%+-]*$|(?<![A-Za-z0-9._%+-])[A-Za-z]+[0-9]+$")
 #: Words that stand before "at" and a site in plain prose.
 _PROSE = re.compile(r"(?i)(?:.*(?:ed|ing|able|ible|s)|us|me|him|her|them|it|you|more|online|see|look|find|visit|buy|read|work|live|here|there|now|up|out|site|page|home|shop|store|book|apply|join|learn|meet|team|support|free|be|go|get|only|also|direct|blog|start|stay|order|register|download|available|founder|engineer|editor|manager|director)")
+#: The words for "@" that mean nothing else, and the dots after them.
+_NAMED_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9._%+-])[ \t]+{_AT_WORDS}[ \t]+(?={_LABEL}(?:\.{_LABEL}|[ \t]+{_DOT_WORDS}[ \t]+{_LABEL})+)")
+_NAMED_DOTS = re.compile(rf"(?i)(?<=@){_LABEL}(?:[ \t]+{_DOT_WORDS}[ \t]+{_LABEL}\b)+")
+_NAMED_DOT = re.compile(rf"(?i)[ \t]+{_DOT_WORDS}[ \t]+")
 _SPACED_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])")
 
 
@@ -173,7 +191,7 @@ def _digits_of_run(m: re.Match) -> str | None:
     tokens = [t.lower() for t in _TOKEN.findall(m[0])]
     if not any(t in _DIGIT_WORDS for t in tokens):
         return None
-    out = "".join({"plus": "+", "dot": "."}.get(t) or _DIGIT_WORDS.get(t, t) for t in tokens)
+    out = "".join("+" if re.fullmatch(_PLUS_WORDS, t) else "." if re.fullmatch(_DOT_WORDS, t) else _DIGIT_WORDS.get(t, t) for t in tokens)
     return out if sum(c.isdigit() for c in out) >= 4 else None
 
 
@@ -194,16 +212,20 @@ def find_disguised(text: str) -> list[tuple[int, int, int]]:
     odd = "" if text.isascii() else "".join(sorted(_odd_characters().keys() & set(text)))
     spelled = any(w in low for w in _DIGIT_WORDS) and _SPELLED_HINT.search(text)
     spaced = (" at" in low or "\tat" in low) and _DOTTED_AT.search(text)
-    if not (odd or spelled or spaced or "dot" in low or _BRACKETED.search(text)):
+    named = any(w in low for w in (" arroba ", " arobase ", " ät ")) and _NAMED_AT.search(text)
+    if not (odd or spelled or spaced or named or "dot" in low or _BRACKETED.search(text)):
         return []
     new = Rewritten(text)
     if odd:
         table = _odd_characters()
         new.apply(_one_of(odd), lambda m: table[m[0]])
     new.apply(_SPELLED_RUN, _digits_of_run)
+    if named:
+        new.apply(_NAMED_AT, lambda m: "@")
+        new.apply(_NAMED_DOTS, lambda m: _NAMED_DOT.sub(".", m[0]))
     new.apply(_SPACED_AT, lambda m: "@")
     new.apply(_DOTTED_AT, _at_of_address)
-    new.apply(_BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@") else ".", blanks_before=True)
+    new.apply(_BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@") or re.fullmatch(_AT_WORDS, m[1].lower()) else ".", blanks_before=True)
     new.apply(_SPACED_DOT, lambda m: ".")
     if not new.layers:
         return []
