@@ -117,6 +117,7 @@ _chain("filter_invert", "orders", [{"type": "filter", "expression": "o_orderstat
 _chain("limit", "orders", [{"type": "limit", "count": 25, "order_by": "o_orderkey"}, _pick("o_orderkey", "o_custkey")],
        "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25")
 _chain("sort", "supplier", [{"type": "sort", "columns": ["s_nationkey", "s_acctbal desc", "s_suppkey"]}, {"type": "limit", "count": 40}], "SELECT * FROM supplier ORDER BY s_nationkey, s_acctbal DESC, s_suppkey LIMIT 40")
+_chain("sort_all", "orders", [{"type": "sort", "columns": "o_totalprice desc, o_orderkey"}, _pick("o_orderkey", "o_totalprice")], "SELECT o_orderkey, o_totalprice FROM orders")
 _chain("sort_desc_nulls", "customer", [{"type": "derive", "column": "k", "expression": "c_nationkey if c_custkey % 7 else None"}, {"type": "sort", "columns": "k desc, c_custkey"}, {"type": "limit", "count": 300}, _pick("k", "c_custkey")],
        "SELECT k, c_custkey FROM (SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey END AS k, c_custkey FROM customer) ORDER BY k DESC NULLS FIRST, c_custkey LIMIT 300")
 _chain("deduplicate_first", "orders", [{"type": "deduplicate", "columns": "o_custkey", "order_by": "o_orderdate, o_orderkey"}, _pick("o_custkey", "o_orderkey")],
