@@ -81,3 +81,12 @@ def test_repeat_groups_are_the_maximal_repeats(seed):
             if len(at) > 1 and len(lefts) > 1 and len(rights) > 1:
                 want.add((s, tuple(at)))
     assert found == want
+
+
+def test_windows_under_one_key_are_told_apart_by_their_bytes():
+    raw = np.frombuffer(b"a" * 50 + b"b" * 50 + b"a" * 50 + b"b" * 50, np.uint8)
+    at, doc = np.array([0, 50, 100, 150]), np.array([1, 2, 3, 2])
+    order, later = suffixdedup._repeated(raw, at, np.zeros(4, np.uint64), doc)
+    assert not later[order.argsort()][[0, 1, 3]].any()  # a repeat between other bytes is left to the next step
+    order, later = suffixdedup._repeated(raw, at, np.array([1, 2, 1, 2], np.uint64), doc)
+    assert later[order.argsort()].tolist() == [False, False, True, False]

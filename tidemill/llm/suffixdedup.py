@@ -15,8 +15,9 @@ anchors.  The steps:
    different bytes before them (or an edge) are the maximal repeat groups, with all
    occurrences.
 5. The few grams with very many occurrences (at most ``HOT_GRAMS`` by the threshold's
-   definition) don't meet in one task: their windows are spread by hash of the window, each
-   combined within its batch first.
+   definition) don't meet in one task: each of their windows is a context of its own, with
+   the window's hash for its gram, and equal windows are combined within their batch first.
+   Hashes only bring windows together; everywhere bytes decide.
 6. Covered ranges go back to the documents by id.
 """
 
@@ -54,18 +55,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUES = _mixed(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER) | np.uint64(1)
-_OTHER_VALUES = _mixed(_BYTE_VALUES) | np.uint64(1)
 
 
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_MULTIPLIER), n, 1 << 64))
 
 
-def gram_hashes(data: np.ndarray, size: int, values: np.ndarray = _BYTE_VALUES) -> np.ndarray:
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the ``size`` bytes from each position on, by doubling."""
     if len(data) < size:
         return np.zeros(0, np.uint64)
-    width, at = 1, values[data.astype(np.intp)]
+    width, at = 1, _BYTE_VALUES[data.astype(np.intp)]
     done, out = 0, None
     while True:
         if size & width:
@@ -237,6 +237,36 @@ def _flush_bytes(parts: int) -> int:
     return min(max(_FLUSH_BYTES, parts << 12), 8 * _FLUSH_BYTES)
 
 
+def _frames(rows):
+    """Frames of some MB for (part, payload) rows."""
+    parts, payloads, size = [], [], 0
+    for part, payload in rows:
+        parts.append(part)
+        payloads.append(payload)
+        size += len(payload)
+        if size >= _PIECE:
+            yield pd.DataFrame({"part": parts, "payload": payloads})
+            parts, payloads, size = [], [], 0
+    if parts:
+        yield pd.DataFrame({"part": parts, "payload": payloads})
+
+
+def _repeated(raw: np.ndarray, at: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, later): windows sorted by ``key`` and ``doc``, and whether a smaller ``doc`` has the same bytes under the same key.
+
+    Different windows under one key may hide such a document, but never make one up.
+    """
+    order = np.lexsort((doc, key))
+    key, doc, at = key[order], doc[order], at[order]
+    same = np.append(False, key[1:] == key[:-1])
+    table = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)
+    near = np.flatnonzero(same)
+    for a in range(0, len(near), _CHUNK):
+        some = near[a : a + _CHUNK]
+        same[some] = (table[at[some]] == table[at[some - 1]]).all(1)
+    return order, doc > doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))]
+
+
 # ---- the steps as Spark jobs --------------------------------------------------------------------
 
 
@@ -262,17 +292,24 @@ def _shared_grams(docs: DataFrame, parts: int) -> DataFrame:
             alone[head[n == 1]] = True
             edges = np.searchsorted(grams, (np.arange(parts + 1, dtype=np.float64) * (2.0**64 / parts)).clip(0, 2.0**64 - 2048).astype(np.uint64))
             edges[-1] = len(grams)
+            several = np.flatnonzero(n > 1)
+            cuts = np.searchsorted(head[several], edges)
             turn = int(ids[0]) % parts
-            for p in range(parts):
-                a, b = edges[p], edges[p + 1]
-                one = alone[a:b]
-                several = head[(head >= a) & (head < b) & (n > 1)]
-                counts = n[np.searchsorted(head, several)]
-                used, at = np.unique(owner[a:b][one], return_inverse=True)
-                yield pd.DataFrame({"part": [p], "payload": [pack(grams[a:b][one], at.astype(np.uint32), ids[used], grams[several], counts.astype(np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64))]})
-                if not one.all():  # known to be shared: these documents need no answer from other tasks
-                    none = np.zeros(0, np.uint64)
-                    yield pd.DataFrame({"part": [(p + turn) % parts], "payload": [pack(none, none.astype(np.uint32), none.astype(np.int64), none, none.astype(np.uint32), grams[a:b][~one], ids[owner[a:b][~one]])]})
+            none = np.zeros(0, np.uint64)
+
+            def rows():
+                for p in range(parts):
+                    a, b = edges[p], edges[p + 1]
+                    if a == b:
+                        continue
+                    one = alone[a:b]
+                    groups = several[cuts[p] : cuts[p + 1]]
+                    used, at = np.unique(owner[a:b][one], return_inverse=True)
+                    yield p, pack(grams[a:b][one], at.astype(np.uint32), ids[used], grams[head[groups]], n[groups].astype(np.uint32), none, none.astype(np.int64))
+                    if not one.all():  # known to be shared: these documents need no answer from other tasks
+                        yield (p + turn) % parts, pack(none, none.astype(np.uint32), none.astype(np.int64), none, none.astype(np.uint32), grams[a:b][~one], ids[owner[a:b][~one]])
+
+            yield from _frames(rows())
 
     def answer(batches):
         for _, payloads in by_key(batches, "part"):
@@ -319,7 +356,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
 
 
 def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """Packed rows by range of the gram: contexts of shared anchors, windows of hot grams by range of their hash, and known ranges.
+    """Packed rows by range of the gram: contexts of shared anchors, windows of hot grams as contexts of their own, and known ranges.
 
     What an earlier document of the same batch has is known to go and travels as merged
     ranges; only the first document of a context or window needs to meet other batches.
@@ -345,13 +382,27 @@ def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                     if heated.any():
                         size = last[heated] - first[heated] + 1
                         start = ragged(first[heated], size)
-                        heat.append((gram_hashes(data, WINDOW)[start], gram_hashes(data, WINDOW, _OTHER_VALUES)[start], np.repeat(ids[owner[heated]], size), start + np.repeat(shift[heated], size)))
+                        heat.append((gram_hashes(data, WINDOW)[start], np.repeat(owner[heated], size), start + np.repeat(shift[heated], size)))
                         keep &= ~heated
                 raw = data.tobytes()
                 for k in np.flatnonzero(keep).tolist():
                     where.append(contexts.setdefault((int(grams[k]), raw[first[k] : last[k] + WINDOW]), len(contexts)))
                 doc.append(ids[owner[keep]])
                 at.append(first[keep] + shift[keep])
+            known_doc, known_at, known_size = [], [], []
+            if heat:
+                key, owner, start = (np.concatenate(x) for x in zip(*heat))
+                heat, raw = [], b"".join(texts)
+                base = np.cumsum([0, *map(len, texts)])[owner] + start
+                order, later = _repeated(np.frombuffer(raw, np.uint8), base, key, ids[owner])
+                gone, order = order[later], order[~later]
+                known_doc.append(ids[owner[gone]])
+                known_at.append(start[gone])
+                known_size.append(np.full(len(gone), WINDOW))
+                for k, b in zip(key[order].tolist(), base[order].tolist()):
+                    where.append(contexts.setdefault((k, raw[b : b + WINDOW]), len(contexts)))
+                doc.append(ids[owner[order]])
+                at.append(start[order])
             none = np.zeros(0, np.int64)
             doc, at, where = (np.concatenate(x) if x else none for x in (doc, at, [np.array(where, np.int64)]))
             grams = np.array([g for g, _ in contexts], np.uint64)
@@ -360,18 +411,10 @@ def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             least = np.full(len(bodies), np.iinfo(np.int64).max)
             np.minimum.at(least, where, doc)
             later = doc > least[where]
-            known_doc, known_at, known_size = [doc[later]], [at[later]], [sizes[where[later]]]
+            known_doc.append(doc[later])
+            known_at.append(at[later])
+            known_size.append(sizes[where[later]])
             doc, at, where = doc[~later], at[~later], where[~later]
-            w1, w2, wdoc, wat = (np.concatenate(x) for x in zip(*heat)) if heat else (none.astype(np.uint64), none.astype(np.uint64), none, none)
-            if len(w1):
-                order = np.lexsort((wdoc, w2, w1))
-                w1, w2, wdoc, wat = w1[order], w2[order], wdoc[order], wat[order]
-                first = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
-                later = wdoc > wdoc[np.maximum.accumulate(np.where(first, np.arange(len(w1)), 0))]
-                known_doc.append(wdoc[later])
-                known_at.append(wat[later])
-                known_size.append(np.full(int(later.sum()), WINDOW))
-                w1, w2, wdoc, wat = w1[~later], w2[~later], wdoc[~later], wat[~later]
             known_doc, known_code = _merged(*(np.concatenate(x) for x in (known_doc, known_at, known_size)))
             part = (grams >> np.uint64(32)).astype(np.int64) * parts >> 32
             order = np.argsort(part, kind="stable")
@@ -380,15 +423,17 @@ def _contexts(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             cuts = np.searchsorted(part[where][by_part], np.arange(parts + 1))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            heated = np.searchsorted((w1 >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1))
-            for p in range(parts):
-                mine, uses, hot = order[edges[p] : edges[p + 1]], by_part[cuts[p] : cuts[p + 1]], slice(heated[p], heated[p + 1])
-                told = slice(None) if p == int(ids[0]) % parts else slice(0)
-                lens = sizes[mine].astype(np.uint8)
-                body = np.frombuffer(b"".join([bodies[k] for k in mine]), np.uint8)
-                arrays = (grams[mine], lens, body, (place[where[uses]] - edges[p]).astype(np.uint32), doc[uses], at[uses], w1[hot], w2[hot], wdoc[hot], wat[hot], known_doc[told], known_code[told])
-                if any(map(len, arrays)):
-                    yield pd.DataFrame({"part": [p], "payload": [pack(*arrays)]})
+
+            def rows():
+                for p in range(parts):
+                    mine, uses = order[edges[p] : edges[p + 1]], by_part[cuts[p] : cuts[p + 1]]
+                    told = slice(None) if p == int(ids[0]) % parts else slice(0)
+                    body = np.frombuffer(b"".join([bodies[k] for k in mine]), np.uint8)
+                    arrays = (grams[mine], sizes[mine].astype(np.uint8), body, (place[where[uses]] - edges[p]).astype(np.uint32), doc[uses], at[uses], known_doc[told], known_code[told])
+                    if any(map(len, arrays)):
+                        yield p, pack(*arrays)
+
+            yield from _frames(rows())
 
     schema = "part int, payload binary"
     return docs.mapInArrow(in_slices(collect, schema, "_text"), schema)
@@ -401,10 +446,8 @@ def _cover_contexts(packed: DataFrame, parts: int) -> DataFrame:
         for _, payloads in by_key(batches, "part"):
             contexts: dict[tuple[int, bytes], int] = {}
             use, docs, starts = [], [], []
-            windows = []
             for p in payloads:
-                grams, lens, body, which, doc, at, *hot, known_doc, known_code = unpack(p)
-                windows.append(hot)
+                grams, lens, body, which, doc, at, known_doc, known_code = unpack(p)
                 if len(known_doc):
                     yield pd.DataFrame({"doc": known_doc, "code": known_code})
                 body, ends = body.tobytes(), np.cumsum(lens.astype(np.int64)).tolist()
@@ -412,14 +455,6 @@ def _cover_contexts(packed: DataFrame, parts: int) -> DataFrame:
                 use.append(place[which])
                 docs.append(doc)
                 starts.append(at)
-            w1, w2, wdoc, wat = (np.concatenate(x) for x in zip(*windows))
-            if len(w1):
-                order = np.lexsort((wdoc, w2, w1))
-                w1, w2, wdoc, wat = w1[order], w2[order], wdoc[order], wat[order]
-                head = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
-                later = wdoc > wdoc[np.maximum.accumulate(np.where(head, np.arange(len(w1)), 0))]
-                doc, code = _merged(wdoc[later], wat[later], np.full(int(later.sum()), WINDOW))
-                yield pd.DataFrame({"doc": doc, "code": code})
             use, docs, starts = np.concatenate(use), np.concatenate(docs), np.concatenate(starts)
             grams = np.array([g for g, _ in contexts], np.uint64)
             bodies = [c for _, c in contexts]
