@@ -1,6 +1,7 @@
 import json
 import threading
 import urllib.parse
+import warnings
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
@@ -76,6 +77,20 @@ def test_rest(spark, address, spec):
     assert sorted((r["id"], r["name"]) for r in rows) == [(r["id"], r["name"]) for r in ITEMS]
 
 
+@pytest.mark.parametrize("spec", [
+    {"type": "rest", "url": "/page", "pagination": "page", "page_size": 10, "data_path": "data.rows"},
+    {"type": "rest", "url": "/cursor", "pagination": "cursor", "data_path": "items"},
+    {"type": "graphql", "url": "/graphql", "query": "q", "data_path": "all", "pagination": "cursor", "page_size": 10},
+])
+def test_a_limit_of_pages_is_told(spark, address, spec):
+    spec = spec | {"url": address + spec["url"]}
+    with pytest.warns(UserWarning, match="max_pages"):
+        assert read_source(spark, spec | {"max_pages": 2}).count() == 20
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert read_source(spark, spec | {"max_pages": 3}).count() == 25
+
+
 def test_graphql_and_errors(spark, address):
     spec = {"type": "graphql", "url": f"{address}/graphql", "query": "q", "data_path": "all", "pagination": "cursor", "page_size": 10}
     assert sorted(r["id"] for r in read_source(spark, spec).collect()) == list(range(25))

@@ -10,6 +10,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def _records(found) -> list:
 
 
 def _pages(url: str, method: str, params: dict, headers: dict, paging: dict, timeout: float):
-    """The records of one page after another; the last page may be any that is short."""
+    """The records of one page after another; the last page may be any that is short, and None follows where ``max_pages`` ends it."""
     kind, size = paging["pagination"], paging["page_size"]
     query, at = dict(params), paging.get("start", 0)
     for _ in range(paging["max_pages"]):
@@ -102,10 +103,15 @@ def _pages(url: str, method: str, params: dict, headers: dict, paging: dict, tim
             if not following:
                 return
             url, query = urllib.parse.urljoin(url, following), {}
+    yield None
 
 
 def _frame(spark: SparkSession, schema: str | None, tasks: list[dict], fetch) -> DataFrame:
-    """Records that ``fetch`` gives for each task; without a schema, it is inferred from all records."""
+    """Records that ``fetch`` gives for each task; without a schema, it is inferred from all records.
+
+    Where a task stops with pages left, a warning says so.
+    """
+    cut = spark.sparkContext.accumulator(0)
 
     def run(batches):
         import pandas as pd
@@ -113,6 +119,9 @@ def _frame(spark: SparkSession, schema: str | None, tasks: list[dict], fetch) ->
         for pdf in batches:
             for task in pdf["task"]:
                 for rows in fetch(json.loads(task)):
+                    if rows is None:
+                        cut.add(1)
+                        continue
                     yield pd.DataFrame({"value": [json.dumps(r) for r in rows]}, columns=["value"], dtype=object)
 
     from tidemill.plans.staging import staging_dir
@@ -120,6 +129,8 @@ def _frame(spark: SparkSession, schema: str | None, tasks: list[dict], fetch) ->
     raw = spark.createDataFrame([(json.dumps(t),) for t in tasks], "task string").repartition(len(tasks)).mapInPandas(run, "value string")
     path = f"{staging_dir(spark)}/fetched/{uuid.uuid4().hex}"
     raw.write.text(path)  # records are fetched once, and read again for their schema
+    if cut.value:
+        warnings.warn("max_pages ended the reading; more pages may follow", stacklevel=3)
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
@@ -157,6 +168,7 @@ def read_graphql(spark: SparkSession, url: str, query: str, variables: dict | No
             if pagination != "cursor" or not dig(found, has_next_path):
                 return
             given["after"] = dig(found, cursor_path)
+        yield None
 
     return _frame(spark, schema, [{}], pages)
 
