@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import ann, exactdedup, langid, linededup, mixing, pii, quality, simhash, spm, suffixdedup
+from tidemill.llm import ann, exactdedup, langid, linededup, mixing, negatives, pii, quality, simhash, spm, suffixdedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,8 +97,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_quality, op2_language_id, op3_line_dedup, op4_sentencepiece, op5_pii, op6_ann, op7_simhash_neardup, op8_mixture, op9_exact_dedup, op10_suffix_dedup)
+    found += (op11_impact_topk, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
@@ -154,8 +164,37 @@ def _mixture_sql(share: float) -> str:
     """
 
 
+#: Vectors as integers, without those that hold null or a component that isn't finite.
+_WHOLE = """whole AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+_PRODUCT = "coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0)::BIGINT"
+
+_TOP_SQL = f"""
+    WITH {_WHOLE},
+    scored AS (SELECT a.vec_id AS query_id, b.vec_id, {_PRODUCT} AS score FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id AND len(a.v) = len(b.v))
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored QUALIFY rank <= 5
+"""
+
+_NEGATIVES_SQL = f"""
+    WITH {_WHOLE},
+    labelled AS (SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM whole WHERE label IS NOT NULL),
+    scored AS MATERIALIZED (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {_PRODUCT} AS score
+        FROM labelled a JOIN labelled b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND len(a.v) = len(b.v)),
+    positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+        s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+    QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_impact_topk": _TOP_SQL,
+        "op13_hard_negatives": _NEGATIVES_SQL,
         "op8_mixture": _mixture_sql(0.5),
         "op9_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {_FOLD} AS body FROM documents),
