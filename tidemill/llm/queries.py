@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import ann, exactdedup, langid, linededup, mixing, negatives, pii, quality, simhash, spm, suffixdedup, topk
+from tidemill.llm import ann, exactdedup, langid, linededup, merkle, mixing, negatives, pii, quality, simhash, spm, suffixdedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,19 @@ def op11_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+_LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*_LEAF)
+    tampered = merkle.leaf_digest([F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in _LEAF])
+    chosen = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, tampered)
+    found = merkle.manifest(docs, _LEAF, also={"tampered": chosen})
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    proof = F.sha2(merkle.siblings(F.col("path")), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
     return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
@@ -108,7 +121,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_quality, op2_language_id, op3_line_dedup, op4_sentencepiece, op5_pii, op6_ann, op7_simhash_neardup, op8_mixture, op9_exact_dedup, op10_suffix_dedup)
-    found += (op11_impact_topk, op13_hard_negatives)
+    found += (op11_impact_topk, op12_merkle_manifest, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
@@ -191,8 +204,54 @@ _NEGATIVES_SQL = f"""
 """
 
 
+_FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END" for c in _LEAF)
+#: The unsigned CRC-32 of the decimal doc_id, bit by bit.
+_CRC = """(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda i: (ascii(c) >> i) & 1))),
+    lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1)), 4294967295))"""
+
+_MERKLE_SQL = f"""
+    WITH RECURSIVE leaves AS MATERIALIZED (
+        SELECT doc_id, source, coalesce('=' || source, '') AS part, sha256({_FIELDS}) AS leaf,
+            CASE WHEN doc_id IS NOT NULL AND xor({_CRC}, 4294967295) % 2 = 0 THEN sha256({_FIELDS.replace("text", "replace(text, chr(10), '')")}) END AS tampered,
+            row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size
+        FROM documents),
+    nodes(height, part, pos, size, digest) AS (
+        SELECT 0, part, pos, size, leaf FROM leaves
+        UNION ALL
+        SELECT height + 1, part, pos // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE size > 1
+        GROUP BY height, part, pos // 3, size),
+    subroots AS MATERIALIZED (
+        SELECT part, height, digest AS subroot, row_number() OVER (ORDER BY encode(part)) - 1 AS place, count(*) OVER () AS size FROM nodes WHERE size = 1),
+    tops(height, pos, size, digest) AS (
+        SELECT 0, place, size, subroot FROM subroots
+        UNION ALL
+        SELECT height + 1, pos // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE size > 1
+        GROUP BY height, pos // 3, size),
+    members AS MATERIALIZED (SELECT height, part, pos, digest FROM nodes WHERE size > 1 UNION ALL SELECT height, 'top' AS part, pos, digest FROM tops WHERE size > 1),
+    steps AS MATERIALIZED (
+        SELECT b.height, b.part, b.pos, coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos < b.pos), '') AS before,
+            coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos > b.pos), '') AS after
+        FROM members b JOIN members o ON b.height = o.height AND b.part = o.part AND b.pos // 3 = o.pos // 3
+        GROUP BY b.height, b.part, b.pos),
+    walk(doc_id, own, height, part, pos, proof, folded) AS (
+        SELECT doc_id, pos, 0, part, pos, '', coalesce(tampered, leaf) FROM leaves
+        UNION ALL
+        SELECT w.doc_id, w.own, w.height + 1, w.part, w.pos // 3, w.proof || s.before || s.after, sha256(s.before || w.folded || s.after)
+        FROM walk w JOIN steps s ON s.height = w.height AND s.part = w.part AND s.pos = w.pos),
+    climb(doc_id, part, own, height, pos, proof, folded) AS (
+        SELECT w.doc_id, w.part, w.own, 0, r.place, w.proof, w.folded FROM walk w JOIN subroots r ON r.part = w.part AND r.height = w.height
+        UNION ALL
+        SELECT c.doc_id, c.part, c.own, c.height + 1, c.pos // 3, c.proof || s.before || s.after, sha256(s.before || c.folded || s.after)
+        FROM climb c JOIN steps s ON s.height = c.height AND s.part = 'top' AND s.pos = c.pos),
+    root AS (SELECT height, digest AS root FROM tops WHERE size = 1)
+    SELECT l.doc_id, l.leaf, r.subroot, root.root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = root.root AS verified
+    FROM leaves l JOIN subroots r ON r.part = l.part JOIN climb c ON c.part = l.part AND c.own = l.pos JOIN root ON root.height = c.height
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_merkle_manifest": _MERKLE_SQL,
         "op11_impact_topk": _TOP_SQL,
         "op13_hard_negatives": _NEGATIVES_SQL,
         "op8_mixture": _mixture_sql(0.5),
