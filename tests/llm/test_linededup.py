@@ -52,6 +52,37 @@ def run(spark, rows, threshold=0.8, least=3):
     return sorted(repr((r["doc_id"], r["text"])) for r in found.collect())
 
 
+def test_sketch_follows_the_input():
+    small, hot = linededup._sketch_shape(1 << 30)
+    assert (small, hot) == (24, int(linededup._level(linededup.HOT_WORD)))
+    for size in (1 << 40, 1 << 44, 10**14, 10**16):
+        bits, hot = linededup._sketch_shape(size)
+        assert 24 <= bits <= 26 and hot >= int(linededup._level(linededup.HOT_WORD))
+        assert linededup._level((size // 8) >> bits) < hot  # a slot of mean size is never hot
+
+
+def test_sums_fold_one_payload_at_a_time():
+    import numpy as np
+    import pandas as pd
+
+    from tidemill.llm.common import pack, unpack
+
+    made = [(b, k, np.arange(5, dtype=np.uint32) * (b + k)) for b in range(3) for k in range(4)]
+    frames = (pd.DataFrame({"part": [b], "some": [k % 2], "payload": [pack(x)]}) for b, k, x in sorted(made, key=lambda r: (r[0], r[1] % 2)))
+    got = {tuple(key): total.tolist() for key, total in linededup._summed(frames, ["part", "some"])}
+    assert got == {(b, p): [sum(i * (b + k) for k in (p, p + 2)) for i in range(5)] for b in range(3) for p in range(2)}
+    assert unpack(pack(np.arange(3)))[0].tolist() == [0, 1, 2]
+
+
+def test_sketch_counts_all_documents(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, "common " * 40 + f"rare{i}") for i in range(50)], "_id long, _text string").repartition(9)
+    sketch = linededup._word_sketch(docs, 24)
+    words, _ = linededup.word_hashes(np.frombuffer(b"common rare7 ", np.uint8))
+    assert [int(sketch[int(w) >> 40]) for w in words] == [int(linededup._level(2000)), 0] and len(sketch) == 1 << 24
+
+
 def test_against_brute_force(spark):
     rows = some_rows(1)
     rows += [rows[0], (None, rows[1][1]), (900, None), (900, None), (901, ""), (902, "\n\n"), (903, "a b c " * 30_000), (904, "a b c"), (905, "a b"), (906, "a b"), (907, rows[3][1]), (908, rows[3][1] + "\nA b C c"), (909, rows[3][1] + "\nA b C c")]

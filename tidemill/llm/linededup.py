@@ -3,8 +3,8 @@
 A line is the set of its lower-cased words.  It goes if an earlier line, in the order of id
 and line number, has a Jaccard similarity of at least ``threshold`` with it.  The steps:
 
-1. A sketch counts words by hash over all documents; its size is fixed.  It orders the words
-   of each line by rarity (the hash settles ties), the same way for all lines.
+1. A sketch counts words by hash over all documents; the input's size gives its own.  It orders
+   the words of each line by rarity (the hash settles ties), the same way for all lines.
 2. The first words of a line in that order, its prefix, are entries, one row each; two similar
    sets share one.  Words that the sketch has counted once are left out.  A word that the sketch
    has counted very often is keyed together with each later word of the prefix, as similar
@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import quoted
-from tidemill.llm.common import bound_batches, bucketed, by_key, contiguous_groups, discard, fold_ascii, later_copies, materialize, pack, ragged, staging, text_bytes, text_slices, unpack
+from tidemill.llm.common import bound_batches, bucketed, contiguous_groups, discard, fold_ascii, later_copies, materialize, pack, ragged, staging, text_bytes, text_slices, unpack
 
-SKETCH_BITS = 24
+#: Bits of a sketch's slots, at least and at most; in between a slot has about ``SLOT_WORDS`` words.
+SKETCH_BITS = (24, 26)
+SLOT_WORDS = 1 << 16
 _BLOCKS = 64
 #: Bytes of text whose entries make one partition.
 PART_BYTES = 12 << 20
-#: Occurrences beyond which a word is an entry only together with another word.
+#: Occurrences beyond which a word is an entry only together with another word; more if a slot's mean comes near it.
 HOT_WORD = 1 << 20
 #: Different sets of one entry beyond which they are compared in blocks, and sets of a block.
 MOST_SETS = 1 << 14
@@ -136,15 +138,48 @@ def _level(count):
     return np.where(np.asarray(count) < 2, 0, np.minimum(3 * np.log2(np.maximum(count, 1)), 127)).astype(np.uint8)
 
 
-def _word_sketch(docs: DataFrame) -> np.ndarray:
-    """The level of each hash slot, over all documents."""
-    slots = 1 << SKETCH_BITS
-    shift = np.uint64(64 - SKETCH_BITS)
+def _sketch_shape(text_size: int) -> tuple[int, int]:
+    """(bits of the sketch's slots, level from which a word is hot) for so many bytes of text.
+
+    Words are taken to have 8 bytes.  Beyond the most bits a slot's mean is well above single
+    words' counts, so a word is hot only at several times that.
+    """
+    words = max(text_size // 8, 1)
+    bits = min(max((words // SLOT_WORDS).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    return bits, int(_level(max(HOT_WORD, 8 * (words >> bits))))
+
+
+def _summed(frames, keys: list[str]):
+    """(keys, sum of the arrays) of a partition sorted by ``keys``; one payload and one sum are held at a time."""
+    at, total = None, None
+    for pdf in frames:
+        for *key, payload in pdf[[*keys, "payload"]].itertuples(index=False):
+            counts = unpack(payload)[0]
+            if key != at:
+                if at is not None:
+                    yield at, total
+                at, total = key, np.zeros(len(counts), np.int64)
+            total += counts
+    if at is not None:
+        yield at, total
+
+
+def _word_sketch(docs: DataFrame, bits: int) -> np.ndarray:
+    """The level of each hash slot, over all documents.
+
+    Tasks' counts are summed in two steps, first those of some tasks for each block of slots, so
+    that no worker gets the payloads of all tasks.
+    """
+    slots = 1 << bits
+    shift = np.uint64(64 - bits)
     step = slots // _BLOCKS
-    schema = "part int, payload binary"
+    schema = "part int, some int, payload binary"
 
     def count(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        some = pa.array([TaskContext.get().partitionId() % _BLOCKS], pa.int32())
 
         sketch = np.zeros(slots, np.uint32)
         seen = False
@@ -154,17 +189,20 @@ def _word_sketch(docs: DataFrame) -> np.ndarray:
                 seen = True
         if seen:
             for b in range(_BLOCKS):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack(sketch[b * step : (b + 1) * step])], pa.binary())], ["part", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), some, pa.array([pack(sketch[b * step : (b + 1) * step])], pa.binary())], ["part", "some", "payload"])
 
     def add(frames):
-        for b, payloads in by_key(frames, "part"):
-            total = np.zeros(step, np.int64)
-            for p in payloads:
-                total += unpack(p)[0]
+        for (b, some), total in _summed(frames, ["part", "some"]):
+            yield pd.DataFrame({"part": [b], "some": [some], "payload": [pack(total)]})
+
+    def finish(frames):
+        for (b,), total in _summed(frames, ["part"]):
             yield pd.DataFrame({"part": [b], "payload": [pack(_level(total))]})
 
     with staging(docs.sparkSession):
-        rows = docs.mapInArrow(count, schema).repartition(_BLOCKS, "part").sortWithinPartitions("part").mapInPandas(add, schema).collect()
+        counted = docs.mapInArrow(count, schema)
+        summed = counted.repartition("part", "some").sortWithinPartitions("part", "some").mapInPandas(add, schema)
+        rows = summed.repartition(_BLOCKS, "part").sortWithinPartitions("part").mapInPandas(finish, "part int, payload binary").collect()
     out = np.zeros(slots, np.uint8)
     for r in rows:  # the sketch's size doesn't depend on the data
         out[r["part"] * step : (r["part"] + 1) * step] = unpack(r["payload"])[0]
@@ -198,7 +236,7 @@ def _line_sets(ids, data: np.ndarray, heads: np.ndarray, sketch: np.ndarray):
     grams, start = word_hashes(data)
     breaks = np.flatnonzero(data == 10)
     line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(start, breaks), prepend=0))  # lines end with their break
-    level = sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    level = sketch[(grams >> np.uint64(65 - len(sketch).bit_length())).astype(np.int64)].astype(np.uint64)
     order = _by_line_and_rarity(line, level, grams)
     grams, line, level = grams[order], line[order], level[order]
     new = np.ones(len(grams), bool)
@@ -239,7 +277,7 @@ def _equal_lines(lines: dict, order: np.ndarray, new: np.ndarray, bodies: list)
 _ENTRY = ["word", "mark", "more", "doc", "line", "form"]
 
 
-def _entries(docs: DataFrame, sketch, threshold: float, least_words: int) -> DataFrame:
+def _entries(docs: DataFrame, sketch, hot: int, threshold: float, least_words: int) -> DataFrame:
     """Prefix entries, one row each: the word's hash, the set's signature, its place in the documents, and ``form``.
 
     ``line`` holds 32 bits of the set's hash below the line number, ``form`` the set's size, the
@@ -247,7 +285,6 @@ def _entries(docs: DataFrame, sketch, threshold: float, least_words: int) -> Dat
     whose set occurred before in the same batch, which its words confirm.
     """
     by_pairs = np.ceil(threshold * least_words - 1e-9) >= 2  # similar sets share two words at least
-    hot = int(_level(HOT_WORD))
 
     def rows(word, *columns):
         import pyarrow as pa
@@ -610,9 +647,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = bucketed(rows, parts, "_id")
     whole = table.where("_id is not null").select("_id", F.coalesce(F.col("_row." + quoted(text_col)), F.lit("")).alias("_text"))
     copies = later_copies(table, ["_digest"])
-    shared = docs.sparkSession.sparkContext.broadcast(_word_sketch(whole))
+    bits, hot = _sketch_shape(size)
+    shared = docs.sparkSession.sparkContext.broadcast(_word_sketch(whole, bits))
     texts = whole.join(copies.hint("shuffle_hash"), "_id", "left_anti")
-    gone = _decided(whole, _candidates(_entries(texts, shared, threshold, least_words), parts, threshold), threshold)
+    gone = _decided(whole, _candidates(_entries(texts, shared, hot, threshold, least_words), parts, threshold), threshold)
     nothing = F.lit(None).cast("array<long>").alias("_gone")
     return table, gone.withColumn("_copied", F.lit(False)).unionAll(copies.select("_id", nothing, F.lit(True).alias("_copied")))
 
