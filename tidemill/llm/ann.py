@@ -27,6 +27,8 @@ SEARCH_BEAM = 96
 ALPHA = 1.2
 _WIDTH = 4  # nodes that one step of a beam expands
 _BATCH = 512
+#: Nodes, each far from those before, where every search of a shard starts.
+STARTS = 256
 _LONGEST = 16  # nodes of largest norm where each search of a shard starts too
 _LEAST_NORM = 1e-24  # squared norm, as a share of the largest, that single precision can build with
 
@@ -47,7 +49,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start, queries: np.ndarray, be
     """(nodes, distances) of the ``beam`` best nodes that each query reaches; -1 and infinity pad.
 
     ``graph`` has a row of neighbours for each node, padded with -1.  ``start`` is a node or
-    at most ``beam`` different ones.
+    different ones; the search goes on from the best ``beam`` of them.
     """
     n, count = len(x), len(queries)
     seen = np.zeros((count, n + 1), bool)
@@ -57,7 +59,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start, queries: np.ndarray, be
     done = np.ones((count, beam), bool)
     first = np.tile(np.atleast_1d(start), (count, 1))
     far = measure(x, first, queries)
-    rank, size = np.argsort(far, axis=1, kind="stable"), first.shape[1]
+    rank, size = np.argsort(far, axis=1, kind="stable")[:, :beam], min(first.shape[1], beam)
     nodes[:, :size], away[:, :size] = np.take_along_axis(first, rank, 1), np.take_along_axis(far, rank, 1)
     done[:, :size], seen[:, start] = False, True
     live = np.arange(count)
@@ -117,18 +119,37 @@ def robust_prune(x: np.ndarray, points: np.ndarray, nodes: np.ndarray, degree: i
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
-    """(graph, start) over the rows of ``x``, inserted in batches that double in size."""
+def spread(x: np.ndarray, count: int) -> np.ndarray:
+    """The row nearest to the middle, then ``count - 1`` others (fewer if rows are equal), each the farthest from those before."""
+    found = [int(((x - x.mean(0)) ** 2).sum(1).argmin())]
+    norm = (x * x).sum(1)
+    away = np.full(len(x), np.inf, x.dtype)
+    while len(found) < min(count, len(x)):
+        last = found[-1]
+        np.minimum(away, norm - 2 * (x @ x[last]) + norm[last], out=away)
+        away[last] = -np.inf
+        far = int(away.argmax())
+        if not away[far] > 0:
+            break
+        found.append(far)
+    return np.array(found)
+
+
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+    """(graph, starts) over the rows of ``x``, inserted in batches that double in size.
+
+    Searches begin at nodes spread over all rows, as edges seldom lead from one tight cluster to another.
+    """
     n = len(x)
     graph = np.full((n, degree), -1)
-    start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+    starts = spread(x, STARTS)
     order = np.random.default_rng(7).permutation(n)
-    order = np.concatenate([[start], order[order != start]])
+    order = np.concatenate([starts, order[~np.isin(order, starts)]])
     at = 1
     while at < n:
         new = order[at : at + min(_BATCH, max(1, at))]
         at += len(new)
-        found, _ = beam_search(x, graph, start, x[new], beam)
+        found, _ = beam_search(x, graph, starts[: at - len(new)], x[new], beam)
         graph[new] = robust_prune(x, new, found, degree, alpha)
         # edges back; a node with too many is pruned again
         source, target = np.repeat(new, degree), graph[new].ravel()
@@ -144,7 +165,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
             some = nodes[i : i + _BATCH]
             more = extra[i : i + _BATCH]
             graph[some] = robust_prune(x, some, np.concatenate([graph[some], more[:, : int((more >= 0).sum(1).max())]], axis=1), degree, alpha)
-    return reachable(graph, start), start
+    return reachable(graph, int(starts[0])), starts
 
 
 def reachable(graph: np.ndarray, start: int) -> np.ndarray:
@@ -196,19 +217,19 @@ class Shard:
         extra = -norm / (np.sqrt(norm.max()) + np.sqrt(np.maximum(norm.max() - norm, 0)))
         self.kind = np.float32 if norm.min() > _LEAST_NORM * norm.max() else np.float64
         points = np.concatenate([scaled, extra[:, None]], axis=1).astype(self.kind)
-        self.graph, start = build_graph(points)
+        self.graph, starts = build_graph(points)
         self.graph = self.graph.astype(np.int32)
         self.points = np.ascontiguousarray(points[:, :-1])
         # few edges lead to a node that is much longer than the others
         longest = np.argsort(-norm, kind="stable")[:_LONGEST]
-        self.start = np.append(start, longest[longest != start])
+        self.start = np.append(starts, longest[~np.isin(longest, starts)])
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int):
         """(query_id, vec_id, score) of the best ``k`` found for each query, its own row left out."""
         flat = (queries / _power_of_two(np.abs(queries).max(1))[:, None]).astype(self.kind)
         best = min(k + 1, len(self.vectors))
         for i in range(0, len(queries), _BATCH):
-            nodes, _ = beam_search(self.points, self.graph, self.start, flat[i : i + _BATCH], max(beam, best, len(self.start)), _products)
+            nodes, _ = beam_search(self.points, self.graph, self.start, flat[i : i + _BATCH], max(beam, best), _products)
             q = np.repeat(np.arange(i, i + len(nodes)), nodes.shape[1])[nodes.ravel() >= 0]
             node = nodes.ravel()[nodes.ravel() >= 0]
             score = np.einsum("nd,nd->n", self.vectors[node], queries[q])
@@ -240,12 +261,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     ``queries`` is a condition on ``vectors``.  Gives query_id, rank (from 1), vec_id, score;
     nearest first, ties to the smaller id; a query's own id is no candidate.  Rows whose id or
     vector is null, zero or not finite take no part, and vectors meet only those of the same
-    length.  Repeated rows are candidates each; a repeated query row is one query.  Too few
+    length.  Repeated rows are candidates each; of repeated query ids the shortest, then least vector asks.  Too few
     candidates give fewer rows.
     """
     source = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     asked = source.where(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.size(vector_col).alias("dim"))
-    asked = asked.dropDuplicates(["id"])
+    asked = asked.groupBy("id", "dim").agg(F.min("vector").alias("vector")).groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("least")).select("id", "least.*")
     rows = source.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.size(vector_col).alias("dim"))
 
     def pack(df: DataFrame, most: int, name: str, work) -> DataFrame:
