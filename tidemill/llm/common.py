@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._tidemill_dir
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder below :func:`shared_dir`; others that share it have their own."""
+    return f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}"
+
+
 #: Bytes of one batch to Python at most, and one row at least; texts can be long.
 BATCH_BYTES = "4m"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -65,7 +70,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage once, is computed once, and outlives lost executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with staging(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -165,19 +170,24 @@ def bucketed(docs: DataFrame, buckets: int, column: str) -> DataFrame:
     """
     spark = docs.sparkSession
     buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
-    name = f"tidemill_{uuid.uuid4().hex}"
+    name = f"{_tables(spark)}{uuid.uuid4().hex}"
     writer = docs.repartition(buckets, column).write.bucketBy(buckets, column)
     with staging(spark):
-        writer.option("path", f"{shared_dir(spark)}/tidemill/{name}").saveAsTable(name)
+        writer.option("path", f"{own_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
+def _tables(spark: SparkSession) -> str:
+    """How the names of this application's bucketed tables begin; a catalog may be shared."""
+    return "tidemill_" + "".join(c if c.isalnum() else "_" for c in spark.sparkContext.applicationId.lower()) + "_"
+
+
 def drop_tables(spark: SparkSession) -> None:
-    """Delete what the operators have staged in this session, once their results are written: the bucketed tables and the folder of this package."""
+    """Delete what the operators have staged in this application, once their results are written: its bucketed tables and its folder."""
     for t in spark.catalog.listTables():
-        if t.name.startswith("tidemill_") and not t.isTemporary:
+        if t.name.startswith(_tables(spark)) and not t.isTemporary:
             spark.sql(f"DROP TABLE `{t.name}`")
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemill")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
