@@ -145,6 +145,7 @@ def features(stats: np.ndarray, grams: np.ndarray) -> np.ndarray:
 def fit_scorer(x: np.ndarray, target: np.ndarray, rounds: int = 300, decay: float = 1e-5) -> np.ndarray:
     """Weights (bias last) of logistic regression on soft targets."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    target = target.astype(np.float32)  # doubles would convert all of x in each round
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     for i in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-(x @ w.astype(np.float32))))
