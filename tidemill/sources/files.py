@@ -3,65 +3,55 @@
 from __future__ import annotations
 
 import csv
+import json
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.errors import ConfigurationError
 from tidemill.functions.columns import as_text, col, names_of, quoted, strip
+from tidemill.shipping import ship_package
 from tidemill.sources.base import SINKS, SOURCES, mode_of, publish
 from tidemill.sources.excel import read_workbook, workbook_bytes
+from tidemill.sources.ranges import RangedFile, files_at, range_size, reachable, splittable
+from tidemill.sources.split_csv import Grammar, SplitCsv, first_record
 
 #: Texts that a CSV cell may use for null.
 NULL_WORDS = ("", "NULL", "null", "NA", "N/A")
 
 
-def _crosses_lines(spark: SparkSession, path: str, quotechar: str) -> bool:
-    """Whether some line has an odd number of quotes, so that a cell may go on in the next one."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quotechar), F.lit("")))
-    return bool(quotechar) and not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
-def _lines_of(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """The lines of each file (``value``) with its name (``__file``) and their number from 0 (``__n``), which counts only near the start of a file."""
-    if encoding.lower().replace("-", "") not in ("utf8", "ascii", "usascii"):
-        decoded = F.pandas_udf(lambda files: files.map(lambda b: bytes(b).decode(encoding)), "string")
-        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("__file"), F.split(decoded("content"), r"\r?\n").alias("v"))
-        return files.select("__file", F.posexplode("v").alias("__n", "value")).where("value <> ''")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
-    # ids grow by one within the split that begins a file
-    heads = lines.where("__at = 0").groupBy("__file").agg(F.min("__id").alias("__first"))
-    number = F.when(col("__at") == 0, col("__id") - col("__first")).otherwise(F.lit(1 << 40))
-    return lines.join(heads, "__file").select("__file", number.alias("__n"), "value").where("value <> ''")
+#: Encodings where the bytes of ASCII characters mean nothing else.
+_ASCII_BASED = re.compile(r"(utf_?8|ascii|us_?ascii|latin_?1|iso_?8859_?\d+|cp125\d|windows_?125\d)")
 
 
 @SOURCES.register("csv")
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", quotechar: str = '"', encoding: str = "utf-8", skip_rows: int = 0, columns=None, has_header: bool = True, null_values=NULL_WORDS, strip_whitespace: bool = True, max_columns: int = 4096, multiline: bool | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", quotechar: str = '"', encoding: str = "utf-8", skip_rows: int = 0, columns=None, has_header: bool = True, null_values=NULL_WORDS, strip_whitespace: bool = True, max_columns: int = 4096, multiline: bool | None = None, range_bytes: int | None = None) -> DataFrame:
     """All columns as text, trimmed, with the null words as null.
 
     With ``columns`` those are the names, and a header row is passed over.  ``skip_rows``
-    physical lines of each file are left out before its header; then a quoted cell can't hold line
-    feeds.  Otherwise files with cells of several lines are read by one task each and others are
-    split; ``multiline`` says which, and without it a first pass looks for them.
+    physical lines of each file are left out before its header.  Cells may hold line feeds:
+    files of over ``range_bytes`` (by default the session's size of file partitions, 32 MB at
+    most) are read in ranges of that size, each by a task that finds its records' borders
+    itself (:mod:`tidemill.sources.split_csv`), smaller ones whole.  Files that
+    tasks can't open in ranges (compressed, UTF-16, on a file system only Spark reaches) are
+    read by one task each, unless ``multiline=False`` says that no cell has line feeds.
     """
-    reader = spark.read.option("sep", delimiter).option("quote", quotechar).option("escape", quotechar).option("encoding", encoding).option("maxColumns", max_columns)
-    reader = reader.option("mode", "PERMISSIVE").option("nullValue", "\x00never").option("emptyValue", "")
     given = names_of(columns)
-    if skip_rows:
-        lines = _lines_of(spark, path, encoding)
-        lines = lines.where(col("__n") >= skip_rows)
-        if has_header or not given:
-            header = lines.where(col("__n") == skip_rows).orderBy("__file").select("value").first()
-            if header is None:
-                return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in given]))
-            cells = next(csv.reader([header[0]], delimiter=delimiter, quotechar=quotechar))
-            given = given or (cells if has_header else [f"_c{i}" for i in range(len(cells))])
-        body = lines.where(col("__n") > skip_rows) if has_header else lines
-        schema = ", ".join(f"{quoted(n.strip())} string" for n in given)
-        df = body.select(F.from_csv("value", schema, {"sep": delimiter, "quote": quotechar, "escape": quotechar}).alias("r")).select("r.*")
+    files = files_at(spark, path)
+    range_bytes = range_bytes or range_size(spark)
+    tidy = encoding.lower().replace("-", "_")
+    ranged = bool(files) and len(delimiter) == 1 and len(quotechar) <= 1 and bool(_ASCII_BASED.fullmatch(tidy)) and all(splittable(f) for f, _ in files) and reachable(files[0][0])
+    if ranged and (skip_rows or multiline is None and max(n for _, n in files) > range_bytes):
+        df = _ranges(spark, files, delimiter, quotechar, encoding, skip_rows, given, has_header, range_bytes)
+    elif skip_rows:
+        df = _skipped(spark, path, delimiter, quotechar, encoding, skip_rows, given, has_header)
     else:
-        reader = reader.option("header", has_header).option("multiLine", _crosses_lines(spark, path, quotechar) if multiline is None else multiline)
+        reader = spark.read.option("sep", delimiter).option("quote", quotechar).option("escape", quotechar).option("encoding", encoding).option("maxColumns", max_columns)
+        reader = reader.option("mode", "PERMISSIVE").option("nullValue", "\x00never").option("emptyValue", "").option("header", has_header)
+        reader = reader.option("multiLine", multiline is not False)
         if given:
             reader = reader.option("enforceSchema", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in given]))
         df = reader.csv(path)
@@ -74,6 +64,51 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", quotechar: st
     return df.select(*(clean(c) for c in df.columns))
 
 
+def _named(cells: list[str]) -> list[str]:
+    """Names of a header's cells; blank ones by their place, repeated ones with it."""
+    cells = [c.strip() for c in cells]
+    return [c if c and cells.count(c) == 1 else f"{c or '_c'}{i}" for i, c in enumerate(cells)]
+
+
+def _ranges(spark: SparkSession, files, delimiter: str, quotechar: str, encoding: str, skip_rows: int, given: list[str], has_header: bool, range_bytes: int) -> DataFrame:
+    grammar = Grammar(delimiter, quotechar)
+    names = given
+    for address, length in files if not given else ():
+        with RangedFile(address) as file:
+            record = first_record(file, length, grammar, skip_rows).decode(encoding)
+        if record.strip():
+            cells = next(csv.reader([record], delimiter=delimiter, quotechar=quotechar or None))
+            names = _named(cells) if has_header else [f"_c{i}" for i in range(len(cells))]
+            break
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    how = {"files": files, "names": names, "delimiter": delimiter, "quote": quotechar, "encoding": encoding, "skip_rows": skip_rows, "header": has_header, "range": range_bytes}
+    ship_package(spark)
+    spark.dataSource.register(SplitCsv)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.read.format(SplitCsv.name()).schema(schema).option("how", json.dumps(how)).load()
+
+
+def _skipped(spark: SparkSession, path: str, delimiter: str, quotechar: str, encoding: str, skip_rows: int, given: list[str], has_header: bool) -> DataFrame:
+    """Files that only Spark can open: each whole in one task, which skips its first lines."""
+
+    def body(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda b: "\n".join(re.split(r"\r?\n", bytes(b).decode(encoding))[skip_rows:]))
+
+    texts = spark.read.format("binaryFile").load(path).select(F.col("path").alias("__file"), F.pandas_udf(body, "string")("content").alias("v"))
+    lines = texts.select("__file", F.posexplode(F.split("v", "\n")).alias("__n", "value"))
+    if has_header or not given:
+        header = lines.where("__n = 0").orderBy("__file").select("value").first()
+        if header is None or not header[0]:
+            return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in given]))
+        cells = next(csv.reader([header[0]], delimiter=delimiter, quotechar=quotechar))
+        given = given or (_named(cells) if has_header else [f"_c{i}" for i in range(len(cells))])
+    lines = lines.where("value <> ''")
+    lines = lines.where("__n > 0") if has_header else lines
+    schema = ", ".join(f"{quoted(n.strip())} string" for n in given)
+    return lines.select(F.from_csv("value", schema, {"sep": delimiter, "quote": quotechar, "escape": quotechar}).alias("r")).select("r.*")
+
+
 @SOURCES.register("json", "jsonl", "ndjson")
 def read_json(spark: SparkSession, path: str, format: str = "auto", root: str | None = None, encoding: str = "utf-8", strict: bool = True) -> DataFrame:
     """JSON lines, or whole documents whose array (at ``root``) holds the records; what is no object becomes ``value``."""
@@ -184,8 +219,6 @@ def write_json(df: DataFrame, path: str, mode: str | None = None, format: str =
 @SINKS.register("xml")
 def write_xml(df: DataFrame, path: str, mode: str | None = None, root_tag: str = "records", record_tag: str = "record") -> None:
     """XML parts of plain text elements; names become valid tags and illegal characters U+FFFD."""
-    import re
-
     cells = []
     for name in df.columns:
         tag = re.sub(r"[^\w.-]", "_", name)
