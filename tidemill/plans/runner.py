@@ -24,6 +24,7 @@ from tidemill.plans.staging import staged
 from tidemill.plans.state import StateStore
 from tidemill.sources import read_source
 from tidemill.sources.base import publish_all
+from tidemill.sources.commits import recover_all
 
 #: Sources that a second reading finds as they were; others are staged.
 _REPEATABLE = ("csv", "json", "jsonl", "ndjson", "xml", "parquet", "excel", "xlsx", "memory", "inline", "generator", "synthetic")
@@ -133,7 +134,7 @@ class Runner:
         began = time.time()
         retry = task.retry or {}
         tag = f"{execution}-{task.id}"
-        late, clock = threading.Event(), None
+        late, clock, finished = threading.Event(), None, False
         try:
             if task.condition:
                 _, wanted = evaluate(task.condition, {"params": pipeline.params, "state": state, "pipeline": pipeline.name, "task": task.id, "dry_run": dry_run})
@@ -154,13 +155,14 @@ class Runner:
                         self._etl(pipeline, task, context, result, dry_run)
                     elif task.type == "sql":
                         self._sql(task, dry_run)
+                    finished = True
                     break
                 except (PublishError, OSError, TimeoutError):
                     if attempt >= retry.get("attempts", 1):
                         raise
                     time.sleep(random.uniform(0, retry.get("delay", 1.0) * 2 ** (attempt - 1)))  # noqa: S311
             result.status = "success"
-            if late.is_set():
+            if not finished:  # a task that has published in time isn't late any more
                 raise TimeoutError
         except Exception as e:
             result.status, result.error = "failed", f"{type(e).__name__}: {e}"[:2000]
@@ -192,6 +194,8 @@ class Runner:
         skipped; others end the run.  ``resume`` passes over tasks that succeeded before.
         """
         execution = uuid.uuid4().hex
+        if not dry_run:
+            recover_all(self.spark, [spec for t in pipeline.tasks for spec in (t.destination, t.rejects) if spec])
         done: dict[str, TaskResult] = {}
         finished = set((self.state.get("resume", pipeline.name) or []) if self.state and resume else [])
         stop = False

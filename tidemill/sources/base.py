@@ -17,6 +17,12 @@ SINKS = Registry("sink")
 def read_source(spark: SparkSession, spec: dict) -> DataFrame:
     """The DataFrame of a source, given as its type and options."""
     options = {k: v for k, v in spec.items() if k not in ("type", "name", "batch_size", "retry", "incremental")}
+    if isinstance(options.get("path"), str) and SOURCES.key(spec.get("type", "")) in STAGED_KINDS:
+        from tidemill.sources.commits import recover
+
+        # a target that a crash has left without data; what is there is read as it is
+        if not any(c in options["path"] for c in "*?[{") and not Folder(spark, options["path"]).exists():
+            recover(spark, options["path"])
     return _call(SOURCES, spec, spark, options)
 
 
@@ -57,12 +63,15 @@ class Folder:
     def filled(self) -> bool:
         return self.exists() and any(not s.getPath().getName().startswith(("_", ".")) for s in self.fs.listStatus(self.path))
 
-    def sibling(self) -> Folder:
+    def beside(self, name: str) -> Folder:
         out = object.__new__(Folder)
         out.jvm, out.fs = self.jvm, self.fs
-        out.path = self.jvm.org.apache.hadoop.fs.Path(self.path.getParent(), f".{self.path.getName()}.{uuid.uuid4().hex}.staging")
+        out.path = self.jvm.org.apache.hadoop.fs.Path(self.path.getParent(), name)
         return out
 
+    def sibling(self) -> Folder:
+        return self.beside(f".{self.path.getName()}.{uuid.uuid4().hex}.staging")
+
     def delete(self) -> None:
         self.fs.delete(self.path, True)
 
@@ -88,67 +97,50 @@ STAGED_KINDS = ("csv", "json", "jsonl", "ndjson", "xml", "parquet")
 
 
 def publish_all(outputs: list[tuple[DataFrame, dict]]) -> None:
-    """Write several outputs: all that can be staged is staged before the first is published, in the order given.
+    """Write several outputs that belong together.
 
-    A failure while staging publishes nothing.
+    Those that can be staged are staged first.  Then the others are written, in the order given, and at last
+    all that is staged is published at once (:mod:`tidemill.sources.commits`).  So a failure anywhere publishes
+    nothing that is staged; of outputs that can't be staged, those before the failed one stay.
     """
-    _LATER.commits = commits = []
+    from tidemill.sources.commits import Publication
+
+    direct = [(df, spec) for df, spec in outputs if SINKS.key(spec.get("type", "")) not in STAGED_KINDS]
+    publication = Publication(outputs[0][0].sparkSession) if outputs else None
+    _LATER.publication = publication
     try:
         for df, spec in outputs:
             if SINKS.key(spec.get("type", "")) in STAGED_KINDS:
                 write_sink(df, spec)
-            else:
-                commits.append((lambda df=df, spec=spec: write_sink(df, spec), lambda: None))
+        _LATER.publication = None
+        for df, spec in direct:
+            write_sink(df, spec)
     except Exception:
-        for _, undo in commits:
-            undo()
+        if publication is not None:
+            publication.abandon()
         raise
     finally:
-        _LATER.commits = None
-    for i, (commit, _) in enumerate(commits):
-        try:
-            commit()
-        except Exception:
-            for _, undo in commits[i:]:
-                undo()
-            raise
+        _LATER.publication = None
+    if publication is not None:
+        publication.commit()
 
 
 def publish(df: DataFrame, path: str, mode: str, write) -> None:
     """Write to a staging folder beside ``path``, then swap or append; a failed write leaves the target as it was."""
+    from tidemill.sources.commits import Publication, recover
+
+    recover(df.sparkSession, path)
     target = Folder(df.sparkSession, path)
     if mode == "error_if_exists" and target.filled():
         raise PublishError(f"{path} exists already")
     staging = target.sibling()
-    held = getattr(_LATER, "commits", None)
     try:
         write(df.write, staging.path.toString())
-        if held is not None:
-            held.append((lambda: _swap(staging, target, mode), staging.delete))
-        else:
-            _swap(staging, target, mode)
-    except Exception:
-        staging.delete()
-        raise
-
-
-def _swap(staging: Folder, target: Folder, mode: str) -> None:
-    """What is staged takes the target's place, or joins it."""
-    try:
-        if mode == "append" and target.exists():
-            staging.move_files(target)
-            staging.delete()
-            return
-        old = target.sibling()
-        if target.exists():
-            target.rename(old)
-        try:
-            staging.rename(target)
-        except PublishError:
-            if old.exists():
-                old.rename(target)
-            raise
-        old.delete()
     except Exception:
         staging.delete()
         raise
+    held = getattr(_LATER, "publication", None)
+    publication = held if held is not None else Publication(df.sparkSession)
+    publication.add(staging, target, mode)
+    if held is None:
+        publication.commit()
