@@ -23,7 +23,7 @@ from tidemill.plans.spec import PipelineSpec, TaskSpec, levels
 from tidemill.plans.staging import staged
 from tidemill.plans.state import StateStore
 from tidemill.sources import read_source
-from tidemill.sources.base import publish_all
+from tidemill.sources.base import after_publishing, publish_all
 from tidemill.sources.commits import recover_all
 
 #: Sources that a second reading finds as they were; others are staged.
@@ -152,7 +152,8 @@ class Runner:
                 self.spark.sparkContext.setJobGroup(tag, f"{pipeline.name}.{task.id}", interruptOnCancel=True)
                 try:
                     if task.type == "etl":
-                        self._etl(pipeline, task, context, result, dry_run)
+                        with after_publishing(dry_run):
+                            self._etl(pipeline, task, context, result, dry_run)
                     elif task.type == "sql":
                         self._sql(task, dry_run)
                     finished = True

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,6 +93,26 @@ class Folder:
 
 
 _LATER = threading.local()
+
+
+def later(work) -> None:
+    """Do ``work`` once the task that reads has published its rows, or now outside a pipeline."""
+    held = getattr(_LATER, "after", None)
+    work() if held is None else held.append(work)
+
+
+@contextmanager
+def after_publishing(dry_run: bool = False):
+    """What :func:`later` is given inside is done at the end, unless that is an error or a dry run."""
+    _LATER.after = held = []
+    try:
+        yield
+    finally:
+        _LATER.after = None
+    for work in held if not dry_run else ():
+        work()
+
+
 #: Sinks whose data is staged before it is published.
 STAGED_KINDS = ("csv", "json", "jsonl", "ndjson", "xml", "parquet")
 

@@ -16,8 +16,8 @@ from tidemill.functions.columns import as_text, col, names_of, quoted, strip
 from tidemill.shipping import ship_package
 from tidemill.sources.base import SINKS, SOURCES, mode_of, publish
 from tidemill.sources.excel import read_workbook, workbook_bytes
-from tidemill.sources.ranges import RangedFile, files_at, range_size, reachable, splittable
-from tidemill.sources.split_csv import Grammar, SplitCsv, first_record
+from tidemill.sources.ranges import files_at, range_size, reachable, splittable
+from tidemill.sources.split_csv import Grammar, SplitCsv, first_record, opened
 
 #: Texts that a CSV cell may use for null.
 NULL_WORDS = ("", "NULL", "null", "NA", "N/A")
@@ -55,6 +55,16 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", quotechar: st
         if given:
             reader = reader.option("enforceSchema", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in given]))
         df = reader.csv(path)
+    return _cleaned(df, null_values, strip_whitespace)
+
+
+def read_csv_ranges(spark: SparkSession, path: str, size: int, login: dict, range_bytes: int, delimiter: str = ",", quotechar: str = '"', encoding: str = "utf-8", skip_rows: int = 0, columns=None, has_header: bool = True, null_values=NULL_WORDS, strip_whitespace: bool = True) -> DataFrame:
+    """A remote file of ``size`` bytes as :func:`read_csv` gives it, in ranges that tasks fetch themselves."""
+    df = _ranges(spark, [(path, size)], delimiter, quotechar, encoding, skip_rows, names_of(columns), has_header, range_bytes, login)
+    return _cleaned(df, null_values, strip_whitespace)
+
+
+def _cleaned(df: DataFrame, null_values, strip_whitespace: bool) -> DataFrame:
     words = list(null_values)
 
     def clean(name: str) -> Column:
@@ -70,11 +80,11 @@ def _named(cells: list[str]) -> list[str]:
     return [c if c and cells.count(c) == 1 else f"{c or '_c'}{i}" for i, c in enumerate(cells)]
 
 
-def _ranges(spark: SparkSession, files, delimiter: str, quotechar: str, encoding: str, skip_rows: int, given: list[str], has_header: bool, range_bytes: int) -> DataFrame:
+def _ranges(spark: SparkSession, files, delimiter: str, quotechar: str, encoding: str, skip_rows: int, given: list[str], has_header: bool, range_bytes: int, login: dict | None = None) -> DataFrame:
     grammar = Grammar(delimiter, quotechar)
     names = given
     for address, length in files if not given else ():
-        with RangedFile(address) as file:
+        with opened(address, login) as file:
             record = first_record(file, length, grammar, skip_rows).decode(encoding)
         if record.strip():
             cells = next(csv.reader([record], delimiter=delimiter, quotechar=quotechar or None))
@@ -86,7 +96,8 @@ def _ranges(spark: SparkSession, files, delimiter: str, quotechar: str, encoding
     ship_package(spark)
     spark.dataSource.register(SplitCsv)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.format(SplitCsv.name()).schema(schema).option("how", json.dumps(how)).load()
+    reader = spark.read.format(SplitCsv.name()).schema(schema).option("how", json.dumps(how))
+    return (reader.option("secret_login", json.dumps(login)) if login else reader).load()
 
 
 def _skipped(spark: SparkSession, path: str, delimiter: str, quotechar: str, encoding: str, skip_rows: int, given: list[str], has_header: bool) -> DataFrame:

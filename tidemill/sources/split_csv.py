@@ -113,13 +113,14 @@ class SplitCsvReader(DataSourceReader):
     def __init__(self, options: dict):
         self.o = json.loads(options["how"])
         self.names = self.o["names"]
+        self.login = json.loads(options["secret_login"]) if "secret_login" in options else None
 
     def partitions(self) -> list[CsvRange]:
         return [CsvRange(r) for r in plan([tuple(f) for f in self.o["files"]], self.o["range"])]
 
     def read(self, partition: CsvRange) -> Iterator:
         for address, length, first, end in partition.ranges:
-            with RangedFile(address) as file:
+            with opened(address, self.login) as file:
                 yield from self._range(file, address, length, first, end)
 
     def _range(self, file: RangedFile, address: str, length: int, first: int, end: int) -> Iterator:
@@ -136,6 +137,15 @@ class SplitCsvReader(DataSourceReader):
         yield from batches(data, self.names, o["delimiter"], o["quote"], o["encoding"])
 
 
+def opened(address: str, login: dict | None = None):
+    """A file of a file system, or of the server that ``login`` is for."""
+    if login is None:
+        return RangedFile(address)
+    from tidemill.sources.remote_parts import RemoteFile
+
+    return RemoteFile(login, address)
+
+
 def body_start(file: RangedFile, length: int, grammar: Grammar, skip_rows: int, header: bool) -> int:
     """Where the first record begins after a byte order mark, ``skip_rows`` lines and a header."""
     at = 3 if file.read(0, 3) == _MARK else 0
