@@ -334,6 +334,14 @@ def csv_multiline_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_source(spark, {"type": "csv", "path": path, "range_bytes": 1 << 18, "strip_whitespace": False, "null_values": [""]})
 
 
+@_query("json_array_ranges", "SELECT doc_id, text, lang, source FROM documents")
+def json_array_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON arrays, each of which several tasks read."""
+    path = _scratch(spark, "arrays")
+    write_sink(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), {"type": "json", "path": path, "format": "array"})
+    return read_source(spark, {"type": "json", "path": path, "range_bytes": 1 << 18})
+
+
 @_query("csv_skip_rows", "SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation UNION ALL SELECT 'key', 'name'")
 def csv_skip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lines before the header go, and a row that reads like the header stays."""

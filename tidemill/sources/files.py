@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 
 from tidemill.errors import ConfigurationError
 from tidemill.functions.columns import as_text, col, names_of, quoted, strip
+from tidemill.plans.staging import staging_dir
 from tidemill.shipping import ship_package
 from tidemill.sources.base import SINKS, SOURCES, mode_of, publish
 from tidemill.sources.excel import read_workbook, workbook_bytes
 from tidemill.sources.ranges import files_at, range_size, reachable, splittable
+from tidemill.sources.split_json import elements_frame, read_documents
 from tidemill.sources.split_csv import Grammar, SplitCsv, first_record, opened
 
 #: Texts that a CSV cell may use for null.
@@ -121,12 +123,20 @@ def _skipped(spark: SparkSession, path: str, delimiter: str, quotechar: str, enc
 
 
 @SOURCES.register("json", "jsonl", "ndjson")
-def read_json(spark: SparkSession, path: str, format: str = "auto", root: str | None = None, encoding: str = "utf-8", strict: bool = True) -> DataFrame:
-    """JSON lines, or whole documents whose array (at ``root``) holds the records; what is no object becomes ``value``."""
+def read_json(spark: SparkSession, path: str, format: str = "auto", root: str | None = None, encoding: str = "utf-8", strict: bool = True, range_bytes: int | None = None) -> DataFrame:
+    """JSON lines, or whole documents whose array (at ``root``) holds the records; what is no object becomes ``value``.
+
+    A document of over ``range_bytes`` (by default the session's size of file partitions, 32 MB
+    at most) is cut into its array's elements by many tasks (:mod:`tidemill.sources.split_json`), which are staged as lines.
+    """
     lines = format == "lines" or (format == "auto" and path.rstrip("/").rsplit(".", 1)[-1] in ("jsonl", "ndjson"))
     mode = "FAILFAST" if strict else "DROPMALFORMED"
     if lines and not root:
         return spark.read.option("mode", mode).option("encoding", encoding).json(path)
+    if not lines and encoding.lower().replace("-", "") == "utf8":
+        size, files = range_bytes or range_size(spark), files_at(spark, path)
+        if files and max(n for _, n in files) > size and all(splittable(f) for f, _ in files) and reachable(files[0][0]):
+            return elements_frame(spark, read_documents(spark, files, root, strict, size, staging_dir(spark)), strict)
     df = spark.read.option("multiLine", not lines).option("mode", mode).option("encoding", encoding).json(path)
     if not root:
         return df
