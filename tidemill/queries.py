@@ -319,6 +319,32 @@ def sql_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_source(spark, db | {"query": "SELECT o_orderstatus, count(*) AS n, 0.5 AS half FROM o WHERE o_custkey < :most GROUP BY 1", "params": {"most": 500}})
 
 
+@_query("sql_without_rowid", "SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders")
+def sql_without_rowid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that has no row ids is read by ranges of its primary key."""
+    import sqlite3
+
+    path = _database(spark)
+    with sqlite3.connect(path) as link:
+        link.execute("CREATE TABLE o (o_orderpriority TEXT, o_orderkey INTEGER, o_totalprice REAL, PRIMARY KEY (o_orderpriority, o_orderkey)) WITHOUT ROWID")
+    db = {"type": "sqlite", "database": path, "table": "o"}
+    write_sink(_table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), db)
+    return read_source(spark, db | {"num_partitions": 6})
+
+
+@_query("sql_view", "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1")
+def sql_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view is read by ranges of the column that has the most values."""
+    import sqlite3
+
+    path = _database(spark)
+    db = {"type": "sqlite", "database": path}
+    write_sink(_table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"), db | {"table": "o", "create_table": True})
+    with sqlite3.connect(path) as link:
+        link.execute("CREATE VIEW by_customer AS SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM o GROUP BY o_custkey")
+    return read_source(spark, db | {"table": "by_customer", "num_partitions": 6, "snapshot": True})
+
+
 @_query("csv_orders_round_trip", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def csv_orders_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "orders")

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
+import pickle
 import re
 import sqlite3
+import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.errors import ConfigurationError, PublishError
-from tidemill.functions.columns import col, names_of
+from tidemill.functions.columns import col, names_of, quoted
+from tidemill.plans.staging import staging_dir
 from tidemill.sources.base import SINKS, SOURCES, mode_of
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_$]*(\.[A-Za-z_][A-Za-z0-9_$]*)?")
@@ -64,12 +69,15 @@ def _jdbc(spark_io, dsn, host, port, database, user, password, driver):
 
 
 @SOURCES.register("sql", "sqlite", "postgres", "postgresql", "mysql")
-def read_sql(spark: SparkSession, dsn: str | None = None, table: str | None = None, query: str | None = None, columns=None, where: str | None = None, order_by=None, limit: int | None = None, params: dict | None = None, database: str | None = None, host: str | None = None, port: int | None = None, user: str | None = None, password: str | None = None, driver: str | None = None, fetch_size: int = 10_000, partition_column: str | None = None, lower_bound=None, upper_bound=None, num_partitions: int = 8) -> DataFrame:
-    """A table or query.
+def read_sql(spark: SparkSession, dsn: str | None = None, table: str | None = None, query: str | None = None, columns=None, where: str | None = None, order_by=None, limit: int | None = None, params: dict | None = None, database: str | None = None, host: str | None = None, port: int | None = None, user: str | None = None, password: str | None = None, driver: str | None = None, fetch_size: int = 10_000, partition_column: str | None = None, lower_bound=None, upper_bound=None, num_partitions: int = 8, snapshot: bool = False) -> DataFrame:
+    """A table, view or query.
 
     Over JDBC Spark pushes filters and columns down, and ``partition_column`` with bounds reads
-    in parallel.  A SQLite file is read by row-id ranges, one task each, from a path that all
-    executors share.
+    in parallel.  A SQLite file, at a path that all executors share, is read by ranges of a key, one task each,
+    with bounds at quantiles of a sample of its values: the row id, the primary key of a table
+    without row ids, of a view the column with the most values, or ``partition_column``, which also splits a
+    query.  All tasks read one state of the database: one that finds another state
+    fails, unless ``snapshot`` has them read a copy that is made first.
     """
     path = _sqlite_path(dsn, database)
     if partition_column and limit is not None:
@@ -82,31 +90,108 @@ def read_sql(spark: SparkSession, dsn: str | None = None, table: str | None = No
         plain = table and not (query or where or order_by or limit is not None)
         df = reader.option("dbtable", table if plain else f"({text}) source_rows").load()
         return df.select(*(col(c) for c in names_of(columns))) if columns and plain else df
+    if snapshot:
+        path = _copied(spark, path)
     select = statement(table, query, columns, where, order_by, limit)
+    state = _state(path)
     with sqlite3.connect(path) as link:
         names = [d[0] for d in link.execute(f"SELECT * FROM ({select}) LIMIT 0", params or {}).description]
         kinds = _kinds(link, select, params or {}, names)
-        span = link.execute(f"SELECT min(rowid), max(rowid) FROM {identifier(table)}").fetchone() if table and not query and not order_by and limit is None else None
+        tasks = [(select, {})]
+        if not order_by and limit is None and (partition_column or table and not query):
+            tasks = _by_ranges(link, table, query, where, select, params or {}, partition_column, num_partitions)
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
-    if span and span[0] is not None:
-        width = max(1, -(-(span[1] - span[0] + 1) // num_partitions))
-        joiner = " AND " if where else " WHERE "
-        tasks = [select + f"{joiner}rowid BETWEEN {a} AND {min(a + width - 1, span[1])}" for a in range(span[0], span[1] + 1, width)]
-    else:
-        tasks = [select]
     bound = dict(params or {})
 
     def fetch(batches):
         import pandas as pd
 
         for pdf in batches:
-            for text in pdf["statement"]:
+            for text, more in zip(pdf["statement"], pdf["bounds"]):
                 with sqlite3.connect(path) as link:
-                    cursor = link.execute(text, bound)
+                    link.execute("BEGIN")
+                    cursor = link.execute(text, bound | pickle.loads(more))
                     while rows := cursor.fetchmany(fetch_size):
                         yield pd.DataFrame([[_value(v, k) for v, k in zip(r, kinds)] for r in rows], columns=names, dtype=object)
+                    if _state(path) != state:
+                        raise PublishError(f"{path} changed while it was read; read it with snapshot=True")
+
+    rows = [(text, pickle.dumps(more)) for text, more in tasks]
+    return spark.createDataFrame(rows, "statement string, bounds binary").repartition(len(rows)).mapInPandas(fetch, schema)
+
+
+def _state(path: str) -> tuple:
+    """What changes with each transaction: the header's change counter, and the size and first bytes of a write-ahead log."""
+    def start(name: str, size: int) -> bytes:
+        try:
+            with open(name, "rb") as f:
+                return f.read(size)
+        except FileNotFoundError:
+            return b""
+
+    log = f"{path}-wal"
+    return start(path, 100)[24:28], os.path.getsize(log) if os.path.exists(log) else 0, start(log, 32)
+
 
-    return spark.createDataFrame([(t,) for t in tasks], "statement string").repartition(len(tasks)).mapInPandas(fetch, schema)
+def _copied(spark: SparkSession, path: str) -> str:
+    """A copy of the database as it is now, in the shared folder."""
+    folder = staging_dir(spark).removeprefix("file://") + "/databases"
+    os.makedirs(folder, exist_ok=True)
+    copy = f"{folder}/{uuid.uuid4().hex}.db"
+    with sqlite3.connect(path) as link:
+        link.execute("VACUUM INTO ?", (copy,))
+    return copy
+
+
+#: Keys of a sample for each range.
+_SAMPLED = 200
+
+
+def _by_ranges(link, table: str | None, query: str | None, where: str | None, select: str, params: dict, column: str | None, parts: int) -> list[tuple[str, dict]]:
+    """(statement, its further parameters) that split the rows evenly by a key; the first range has the nulls."""
+    source = f"({query})" if query else identifier(table)
+    key = identifier(column) if column else _key_of(link, table)
+    if key is None or parts <= 1:
+        return [(select, {})]
+    rest = f" WHERE ({where})" if where else ""
+    total = link.execute(f"SELECT count(*) FROM {source}{rest}", params).fetchone()[0]
+    every = max(1, total // (_SAMPLED * parts))
+    joined = f"{rest} AND" if where else " WHERE"
+    # an even share of the rows in the order of the scan, so that also a sorted table is covered
+    sample = [r[0] for r in link.execute(f"SELECT {key} FROM {source}{joined} {key} IS NOT NULL AND abs(random()) % {every} = 0 ORDER BY {key}", params)]
+    bounds = list(dict.fromkeys(sample[i * len(sample) // parts] for i in range(1, parts))) if sample else []
+    if query:
+        select, joined = f"SELECT * FROM {source}", " WHERE"
+    else:
+        joined = " AND" if where else " WHERE"
+    out = []
+    for i in range(len(bounds) + 1):
+        more = {"tm_low": bounds[i - 1]} if i else {}
+        more |= {"tm_high": bounds[i]} if i < len(bounds) else {}
+        parts_of = ([f"{key} >= :tm_low"] if i else []) + ([f"{key} < :tm_high"] if i < len(bounds) else [])
+        inside = " AND ".join(parts_of) or "1"
+        out.append((f"{select}{joined} ({inside}{'' if i else f' OR {key} IS NULL'})", more))
+    return out
+
+
+def _key_of(link, table: str) -> str | None:
+    """The column that splits a table or view; None if nothing does."""
+    columns = link.execute(f"PRAGMA table_info({identifier(table.rsplit('.', 1)[-1])})").fetchall()
+    if not columns:
+        return None
+    kind = link.execute("SELECT type FROM sqlite_master WHERE lower(name) = lower(?)", (table.rsplit(".", 1)[-1],)).fetchone()
+    if kind and kind[0] == "table":
+        try:
+            link.execute(f"SELECT rowid FROM {identifier(table)} LIMIT 0")
+            return "rowid"
+        except sqlite3.OperationalError:
+            first = min((c for c in columns if c[5]), key=lambda c: c[5])
+            return '"' + first[1].replace('"', '""') + '"'
+    names = ['"' + c[1].replace('"', '""') + '"' for c in columns]
+    asked = ", ".join(f"count(DISTINCT {n})" for n in names)
+    found = link.execute(f"SELECT {asked} FROM (SELECT * FROM {identifier(table)} LIMIT 5000)").fetchone()
+    most = max(range(len(names)), key=lambda i: found[i])
+    return names[most] if found[most] > 1 else None
 
 
 def _kinds(link, select: str, params: dict, names: list[str]) -> list[T.DataType]:
@@ -139,29 +224,39 @@ def merge_statement(url: str, table: str, staging: str, names: list[str], keys:
 
 
 def _merge_jdbc(df: DataFrame, table: str, names: list[str], keys: list[str], jdbc, chunk_size: int) -> None:
-    """Executors load a staging table, then the database merges it in one transaction."""
-    import uuid
+    """Executors load a staging table, then the database merges it; the staging table goes in any case.
 
+    Of rows with the same key the last one counts, as it would if they came one after another.
+    """
     for n in [*names, table]:
         identifier(n)  # checks the name; databases fold unquoted ones alike
     if not keys:
         raise ConfigurationError("upsert needs key_columns")
+    keyed = " AND ".join(f"{quoted(k)} IS NOT NULL" for k in keys)
+    last = df.where(keyed).withColumn("__n", F.monotonically_increasing_id()).groupBy(*(col(k) for k in keys)).agg(F.max_by(F.struct(*(col(n) for n in names)), "__n").alias("__last")).select("__last.*")
+    df = last.unionByName(df.where(f"NOT ({keyed})").select(*(col(n) for n in names)))
     staging = f"{table}_{uuid.uuid4().hex[:12]}"
     url = jdbc(_Options()).found["url"]
-    jdbc(df.write).option("dbtable", staging).option("batchsize", chunk_size).mode("errorifexists").save()
     login = jdbc(_Options()).found
     jvm = df.sparkSession.sparkContext._jvm
     properties = jvm.java.util.Properties()
     for k in ("user", "password"):
         if login.get(k):
             properties.setProperty(k, login[k])
-    link = jvm.java.sql.DriverManager.getConnection(url, properties)
     try:
-        work = link.createStatement()
-        work.execute(merge_statement(url, table, staging, names, keys))
-        work.execute(f"DROP TABLE {staging}")
+        jdbc(df.write).option("dbtable", staging).option("batchsize", chunk_size).mode("errorifexists").save()
+        _execute(jvm, url, properties, merge_statement(url, table, staging, names, keys))
     except Exception as e:
         raise PublishError(f"{table}: {e}") from e
+    finally:
+        with suppress(Exception):  # it may not be there
+            _execute(jvm, url, properties, f"DROP TABLE {staging}")
+
+
+def _execute(jvm, url: str, properties, text: str) -> None:
+    link = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        link.createStatement().execute(text)
     finally:
         link.close()
 
