@@ -48,7 +48,7 @@ def test_log_probabilities_match_dictionaries():
     counts = np.zeros((len(codes), 2))
     for k, (c, n) in enumerate(tables):
         counts[np.searchsorted(codes, c), k] = n
-    models = langid.LanguageModels(["x", "y"], alphabet, order, codes, counts)
+    models = langid.GroupedModels([langid.LanguageModels(["x", "y"], alphabet, order, codes, counts)])
 
     def ids(text):
         out = [alphabet.index(c) + 1 if c in alphabet else langid._OTHER if c.isalpha() else 0 for c in text.lower()]
@@ -80,6 +80,32 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_groups_of_languages_do_not_matter(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    labelled = docs.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
+
+    def found():
+        rows = langid.identify(docs, F.col("text"), ["doc_id"], langid.train(labelled, 40)).collect()
+        return sorted((r["doc_id"], r["lang_pred"], r["rejected"], round(r["score"], 5), r["bits_per_char"] and round(r["bits_per_char"], 5)) for r in rows)
+
+    together = found()
+    monkeypatch.setattr(langid, "GROUP_LANGUAGES", 1)
+    assert found() == together
+
+
+def test_two_thousand_languages(spark):
+    rng = random.Random(3)
+    # each language has two letters of its own among a common alphabet of many
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 4000)]
+    rows = [(i * 4 + j, "".join(rng.choice([letters[2 * i], letters[2 * i + 1], "a", "e"]) for _ in range(60)), f"l{i:04d}") for i in range(2000) for j in range(4)]
+    labelled = spark.createDataFrame(rows, "_key long, _text string, _lang string").repartition(4)
+    trained = langid.train(labelled, docs_per_lang=100)
+    assert len(trained["limits"]) == len(trained["models"].value.languages) == 2000 and len(trained["models"].value.parts) == 125
+    asked = spark.createDataFrame([(k, t, lang) for k, t, lang in rows[::80]], "_key long, _text string, _lang string")
+    found = langid.identify(asked, F.col("_text"), ["_lang"], trained).collect()
+    assert sum(r["lang_pred"] == r["_lang"] for r in found) >= 0.95 * len(found)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "_key long, _text string, _lang string")
     trained = langid.train(none)

@@ -2,15 +2,18 @@
 
 A bounded sample of labelled documents (``docs_per_lang`` for each language) is counted in
 Spark; the character n-gram counts, which the sample bounds, make one model per language.
-All models share sorted arrays of n-gram keys (16 bits a character, so that all letters of
-the sample stay apart; up to four characters) with one column of log-probabilities a language, so one
-search serves all languages.  Every whole text is scored; the language with the lowest
+The models of some languages at a time share sorted arrays of n-gram keys (16 bits a character, so that
+all letters of the sample stay apart; up to four characters) with one column of log-probabilities a
+language, so one search serves them all; with many languages there are many such groups, each
+built by a task of its own, and none has the n-grams of all languages.  Every whole text is scored; the language with the lowest
 cross-entropy per character wins.  A second part of the sample calibrates the score and,
 for each language, the cross-entropy above which a text is marked as rejected.
 """
 
 from __future__ import annotations
 
+import json
+import pickle
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +29,10 @@ _OTHER = (1 << _BITS) - 1
 #: N-grams are 64-bit keys.
 MOST_ORDER = 4
 _CHUNK_CHARS = 1 << 20
-#: Languages at most; more is an error.
-MOST_LANGUAGES = 1000
+#: Languages whose models share their arrays of n-grams.
+GROUP_LANGUAGES = 16
+#: Factors that a score may put on differences of cross-entropy.
+SCALES = [2.0**i for i in range(-1, 8)]
 
 
 @lru_cache(maxsize=4)
@@ -139,6 +144,8 @@ class LanguageModels:
     def log_probabilities(self, codes: np.ndarray, k: int) -> np.ndarray:
         """Natural logarithms for k-grams, one column a language."""
         keys = self.keys[k]
+        if not len(keys):  # languages that the sample has no text of
+            return self.log_probabilities((codes.astype(np.uint64) & _below(k - 1)).astype(_kind(k - 1)), k - 1)
         at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
         out = self.logp[k][at]
         miss = np.flatnonzero(keys[at] != codes)
@@ -151,21 +158,33 @@ class LanguageModels:
             out[miss] = gamma + self.log_probabilities(lower, k - 1)
         return out
 
+
+class GroupedModels:
+    """The models of all languages, in groups; languages are in order."""
+
+    def __init__(self, parts: list[LanguageModels]):
+        self.parts = parts
+        self.languages = [x for p in parts for x in p.languages]
+
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean negative log2-probability a symbol, one column a language; and which texts have a letter."""
+        alphabet, order = self.parts[0].alphabet, self.parts[0].order
         sums, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         letters = np.zeros(len(texts), bool)
         for first, last in _chunks(texts):
-            symbols, kept = _symbols(texts[first:last], self.alphabet, self.order)
-            codes = _grams(symbols, self.order)[_positions(kept, self.order)]
+            symbols, kept = _symbols(texts[first:last], alphabet, order)
+            codes = _grams(symbols, order)[_positions(kept, order)]
             owner = np.repeat(np.arange(first, last), kept)
             sizes[first:last] = kept
             letters[first:last] = kept > 0  # a separator stays only after a letter
             for i in range(0, len(codes), _CHUNK_CHARS // 4):
                 own = owner[i : i + _CHUNK_CHARS // 4]
                 heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                logp = self.log_probabilities(codes[i : i + _CHUNK_CHARS // 4], self.order)
-                sums[own[heads]] += np.add.reduceat(logp, heads, axis=0, dtype=np.float64)
+                at = 0
+                for part in self.parts:
+                    logp = part.log_probabilities(codes[i : i + _CHUNK_CHARS // 4], order)
+                    sums[own[heads], at : at + len(part.languages)] += np.add.reduceat(logp, heads, axis=0, dtype=np.float64)
+                    at += len(part.languages)
         return -sums / np.maximum(sizes, 1)[:, None] / np.log(2), letters
 
 
@@ -186,11 +205,9 @@ def train(labelled: DataFrame, docs_per_lang: int = 600, order: int = 4) -> dict
         raise ValueError(f"the order is 1 to {MOST_ORDER}")
     spark = labelled.sparkSession
     labelled = labelled.where("_lang is not null and _text is not null and _key is not null")
-    sizes = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().collect()}
     unit = F.pmod(F.xxhash64(F.col("_key").cast("string")), F.lit(1_000_003)) / 1_000_003
-    shares = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(docs_per_lang / n)))) if sizes else None
+    shares = F.from_json(F.lit(json.dumps({k: docs_per_lang / n for k, n in sizes.items()})), "map<string,double>")
     sample = labelled.where(unit < F.element_at(shares, F.col("_lang"))) if sizes else labelled
     sample = materialize(sample.select("_text", "_lang", (F.crc32(F.concat(F.lit("calibrate"), F.col("_key").cast("string"))) % 4 == 0).alias("_held")), "langid-sample")
     counted, held = sample.where("not _held"), sample.where("_held")
@@ -209,30 +226,38 @@ def train(labelled: DataFrame, docs_per_lang: int = 600, order: int = 4) -> dict
                     codes, n = np.unique(_grams(symbols, order)[_positions(kept, order)], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": n})
 
-    table = counted.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    codes, at = np.unique(table["code"].to_numpy(np.int64).astype(np.uint64), return_inverse=True)
-    counts = np.zeros((len(codes), len(languages)))
-    counts[at, [languages.index(x) for x in table["lang"]]] = table["n"]
-    models = LanguageModels(languages, alphabet, order, codes, counts)
+    group = {x: i // GROUP_LANGUAGES for i, x in enumerate(languages)}
+    members = [languages[i : i + GROUP_LANGUAGES] for i in range(0, len(languages), GROUP_LANGUAGES)]
+
+    def build(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        own = members[key[0]]
+        codes, at = np.unique(table["code"].to_numpy(np.int64).astype(np.uint64), return_inverse=True)
+        counts = np.zeros((len(codes), len(own)))
+        counts[at, table["lang"].map({x: i for i, x in enumerate(own)})] = table["n"]
+        return pd.DataFrame({"part": [key[0]], "model": [pickle.dumps(LanguageModels(own, alphabet, order, codes, counts))]})
+
+    number = F.element_at(F.from_json(F.lit(json.dumps(group)), "map<string,int>"), F.col("lang"))
+    table = counted.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    built = {r["part"]: r["model"] for r in table.withColumn("part", number).groupBy("part").applyInPandas(build, "part int, model binary").collect()}
+    nothing = (np.zeros(0, np.uint64), lambda own: np.zeros((0, len(own))))  # languages of which the sample has no letter
+    models = GroupedModels([pickle.loads(built[i]) if i in built else LanguageModels(own, alphabet, order, nothing[0], nothing[1](own)) for i, own in enumerate(members)])
     shared = spark.sparkContext.broadcast(models)
+    place = {x: i for i, x in enumerate(languages)}
 
     def measure(batches):
         for pdf in batches:
             bits, letters = shared.value.cross_entropies(pdf["_text"].tolist())
-            yield pd.DataFrame({"lang": pdf["_lang"], "bits": list(bits), "ok": letters}).loc[letters, ["lang", "bits"]]
+            own = bits[np.arange(len(bits)), pdf["_lang"].map(place)]
+            low = bits.min(1)
+            loss = [np.log(np.exp(-s * (bits - low[:, None])).sum(1)) + s * (own - low) for s in SCALES]
+            yield pd.DataFrame({"lang": pdf["_lang"], "own": own, "loss": list(np.stack(loss, axis=1))})[letters]
 
-    got = held.mapInPandas(measure, "lang string, bits array<double>").toPandas()
-    bits = np.array(got["bits"].tolist()).reshape(-1, len(languages))
-    true = np.array([languages.index(x) for x in got["lang"]], int)
+    got = held.mapInPandas(measure, "lang string, own double, loss array<double>").toPandas()
     scale, limits = 8.0, np.full(len(languages), np.inf)
-    if len(true):
-        rows = np.arange(len(true))
-        loss = lambda s: np.mean(np.log(np.exp(-s * (bits - bits.min(1, keepdims=True))).sum(1)) + s * (bits[rows, true] - bits.min(1)))
-        scale = float(min((2.0**i for i in range(-1, 8)), key=loss))
-        for k in range(len(languages)):
-            own = bits[(true == k), k]
-            if len(own):
-                limits[k] = np.quantile(own, 0.99) + 3 * own.std()
+    if len(got):
+        scale = SCALES[int(np.stack(got["loss"]).mean(0).argmin())]
+        for lang, own in got.groupby("lang")["own"]:
+            limits[place[lang]] = np.quantile(own, 0.99) + 3 * own.std(ddof=0)
     discard(sample)
     return {"models": shared, "scale": scale, "limits": limits.tolist()}
 
