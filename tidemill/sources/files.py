@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import re
 
@@ -15,9 +16,9 @@ from tidemill.errors import ConfigurationError
 from tidemill.functions.columns import as_text, col, names_of, quoted, strip
 from tidemill.plans.staging import staging_dir
 from tidemill.shipping import ship_package
-from tidemill.sources.base import SINKS, SOURCES, mode_of, publish
-from tidemill.sources.excel import read_workbook, workbook_bytes
-from tidemill.sources.ranges import files_at, range_size, reachable, splittable
+from tidemill.sources.base import SINKS, SOURCES, Folder, mode_of, publish
+from tidemill.sources.excel import read_workbook, write_workbook
+from tidemill.sources.ranges import RangedFile, files_at, range_size, reachable, splittable
 from tidemill.sources.split_json import elements_frame, read_documents
 from tidemill.sources.split_csv import Grammar, SplitCsv, first_record, opened
 
@@ -164,30 +165,60 @@ def read_parquet(spark: SparkSession, path: str, columns=None) -> DataFrame:
 
 @SOURCES.register("excel", "xlsx")
 def read_excel(spark: SparkSession, path: str, sheet=0, header_row: int = 1, skip_rows: int = 0, columns=None) -> DataFrame:
-    """Rows of one sheet, for each file that ``path`` matches; a workbook is read by one task.
+    """Rows of one sheet, for each file that ``path`` matches.
 
-    Columns are texts but for numbers and booleans that hold for a whole column.
+    Each workbook is read by one task, row by row.  A first pass over all workbooks finds the kinds of
+    values in each column: it is text but for numbers and booleans that hold for the whole column of all of them.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
-    names = names_of(columns)
-    head = files.limit(1).first()
-    if head is None:
+    found = files_at(spark, path)
+    if not found:
         raise ConfigurationError(f"no workbook at {path}")
-    found, sample = read_workbook(bytes(head["content"]), sheet, header_row, skip_rows)
-    names = names or found
-    kinds = [{bool: "boolean", float: "double"}.get(next(iter(k)) if len(k) == 1 else str, "string") for k in ({type(r[i]) for r in sample if i < len(r) and r[i] is not None} for i in range(len(names)))]
-    schema = ", ".join(f"{quoted(n)} {k}" for n, k in zip(names, kinds))
-
-    def rows(batches):
-        import pandas as pd
+    if reachable(found[0][0]):  # a task opens the file itself and never holds it whole
+        files = spark.createDataFrame([(f, None) for f, _ in found], "address string, content binary").repartition(len(found))
+    else:
+        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("address"), "content")
+    names = names_of(columns)
 
+    def books(batches):
         for pdf in batches:
-            for content in pdf["content"]:
-                _, body = read_workbook(bytes(content), sheet, header_row, skip_rows)
-                out = [[None if i >= len(r) or r[i] is None else r[i] if k != "string" else str(r[i]) for i, k in enumerate(kinds)] for r in body]
+            for address, content in zip(pdf["address"], pdf["content"]):
+                if content is not None:
+                    yield address, read_workbook(bytes(content), sheet, header_row, skip_rows)
+                    continue
+                with RangedFile(address) as file:
+                    yield address, read_workbook(file.stream, sheet, header_row, skip_rows)
+
+    def first_pass(batches):
+        for address, (head, body) in books(batches):
+            kinds = [set() for _ in head]
+            for row in body:
+                kinds += [set() for _ in row[len(kinds) :]]  # without a header, rows say how many columns there are
+                for k, v in zip(kinds, row):
+                    if v is not None:
+                        k.add(type(v).__name__)
+            head += [f"column_{i + 1}" for i in range(len(head), len(kinds))]
+            yield pd.DataFrame({"address": address, "at": range(len(head)), "name": head, "kinds": [sorted(k) for k in kinds]})
+
+    facts = files.mapInPandas(first_pass, "address string, at int, name string, kinds array<string>")
+    by_column = facts.groupBy("at").agg(F.min(F.struct("address", "name"))["name"].alias("name"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"))
+    held = {r["at"]: r for r in by_column.collect()}
+    if not held:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    names = names or [held[i]["name"] for i in sorted(held)]
+    kinds = [{("bool",): "boolean", ("float",): "double"}.get(tuple(held[i]["kinds"]) if i in held else (), "string") for i in range(len(names))]
+
+    def second_pass(batches):
+        for _, (_, body) in books(batches):
+            out = []
+            for r in body:
+                out.append([None if i >= len(r) or r[i] is None else r[i] if k != "string" else str(r[i]) for i, k in enumerate(kinds)])
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return files.mapInPandas(rows, schema)
+    return files.mapInPandas(second_pass, ", ".join(f"{quoted(n)} {k}" for n, k in zip(names, kinds)))
 
 
 # ---- sinks -----------------------------------------------------------------------------------
@@ -262,21 +293,57 @@ SHEET_ROWS = 1_048_576
 
 @SINKS.register("excel", "xlsx")
 def write_excel(df: DataFrame, path: str, mode: str | None = None, sheet: str = "Sheet1", columns=None, write_header: bool = True, escape_formulas: bool = True) -> None:
-    """One workbook; more rows than a sheet can hold are an error."""
-    from tidemill.sources.base import Folder
-
+    """One workbook, whose rows stream through the driver; more than a sheet can hold are an error."""
     mode = mode_of(mode, ("overwrite", "error_if_exists"))
     cells = csv_cells(df, columns, escape_formulas)
-    rows = cells.limit(SHEET_ROWS - write_header + 1).collect()
-    if len(rows) > SHEET_ROWS - write_header:
-        raise ConfigurationError(f"a sheet holds at most {SHEET_ROWS} rows")
     target = Folder(df.sparkSession, path)
     if mode == "error_if_exists" and target.exists():
         raise ConfigurationError(f"{path} exists already")
+
+    def rows():
+        if write_header:
+            yield cells.columns
+        for i, row in enumerate(cells.toLocalIterator()):
+            if i >= SHEET_ROWS - write_header:
+                raise ConfigurationError(f"a sheet holds at most {SHEET_ROWS} rows")
+            yield row
+
     staging = target.sibling()
-    stream = staging.fs.create(staging.path, True)
-    stream.write(bytearray(workbook_bytes(sheet, [cells.columns] * write_header + [list(r) for r in rows])))
-    stream.close()
+    stream = _Out(staging.fs.create(staging.path, True))
+    try:
+        write_workbook(stream, sheet, rows())
+        stream.close()
+    except Exception:
+        stream.close()
+        staging.delete()
+        raise
     if target.exists():
         target.delete()
     staging.rename(target)
+
+
+class _Out(io.BufferedIOBase):
+    """A Hadoop output stream as a Python one that only goes forward."""
+
+    def __init__(self, stream):
+        self.stream, self.held = stream, bytearray()
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.held += data
+        if len(self.held) >= 1 << 20:
+            self.flush()
+        return len(data)
+
+    def flush(self) -> None:
+        if self.held:
+            self.stream.write(self.held)
+            self.held = bytearray()
+
+    def close(self) -> None:
+        if not self.closed:
+            self.flush()
+            self.stream.close()
+        super().close()

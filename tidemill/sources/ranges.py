@@ -80,6 +80,11 @@ class RangedFile:
             fs, inner = FileSystem.from_uri(address)
             self._file = fs.open_input_file(inner)
 
+    @property
+    def stream(self):
+        """The file itself, for formats that seek on their own."""
+        return self._file
+
     def read(self, first: int, end: int) -> bytes:
         self._file.seek(first)
         held = []
