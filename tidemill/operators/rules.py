@@ -228,8 +228,8 @@ def expand_schema(schema: dict) -> list[dict]:
     return out
 
 
-def with_running_max(df: DataFrame, column: str, name: str, order_by=None) -> DataFrame:
-    """``df`` with the greatest value of ``column`` before each row.
+def with_running_max(df: DataFrame, column: str, name: str, order_by=None, least=None) -> DataFrame:
+    """``df`` with the greatest value of ``column`` before each row; ``least`` is that of earlier tables.
 
     Two passes: each range partition's own maximum, one row a partition, and a running
     maximum inside partitions that starts from those before.
@@ -240,8 +240,8 @@ def with_running_max(df: DataFrame, column: str, name: str, order_by=None) -> Da
     parts = df.sparkSession.sparkContext.defaultParallelism
     held = staged(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}))
     tops = sorted((r["__p"], r["m"]) for r in held.groupBy("__p").agg(F.max(col(column)).alias("m")).collect())
-    cases, best = [], None
     kind = df.schema[column].dataType
+    cases, best = [], None if least is None else df.sparkSession.range(1).select(F.lit(least).cast(kind)).first()[0]
     for p, top in tops:
         cases += [F.lit(p), F.lit(best).cast(kind)]
         best = top if best is None else best if top is None else max(best, top)
@@ -250,8 +250,24 @@ def with_running_max(df: DataFrame, column: str, name: str, order_by=None) -> Da
     return held.withColumn(name, F.greatest(inside, start)).drop("__p", "__i")
 
 
-def checked(df: DataFrame, rules: list[dict], schema: dict | None = None) -> DataFrame:
-    """``df`` with ``_violations``: an array of (rule, field, severity, message)."""
+class Memory:
+    """What rules with ``across_runs`` know of earlier tables; this one knows nothing."""
+
+    def flag(self, df: DataFrame, spec: dict, keys: list[str], name: str) -> DataFrame:
+        """``df`` with ``name`` also true where an earlier table has the row's key."""
+        return df
+
+    def greatest(self, spec: dict):
+        """The greatest value of a sequence's field in earlier tables."""
+        return None
+
+
+def checked(df: DataFrame, rules: list[dict], schema: dict | None = None, memory: Memory | None = None) -> DataFrame:
+    """``df`` with ``_violations``: an array of (rule, field, severity, message).
+
+    ``unique`` and ``sequence`` rules that say ``across_runs`` also go by what ``memory`` knows.
+    """
+    memory = memory or Memory()
     specs = [*(expand_schema(schema) if schema else []), *rules]
     columns = df.columns
     ordered = any(RULES.key(s["type"]) in ("unique", "distinct", "sequence", "monotonic") and not s.get("order_by") for s in specs)
@@ -259,9 +275,11 @@ def checked(df: DataFrame, rules: list[dict], schema: dict | None = None) -> Dat
         df = df.withColumn(ORDINAL, F.monotonically_increasing_id())
     for s in specs:
         if RULES.key(s["type"]) in ("sequence", "monotonic"):
-            df = with_running_max(df, s["field"], f"__before_{s['field']}", s.get("order_by"))
+            df = with_running_max(df, s["field"], f"__before_{s['field']}", s.get("order_by"), memory.greatest(s) if s.get("across_runs") else None)
         if RULES.key(s["type"]) in ("unique", "distinct"):
-            df = with_repeats(df, names_of(s.get("columns")) or [s["field"]], s.get("order_by"), _repeat_name(s))
+            keys = names_of(s.get("columns")) or [s["field"]]
+            df = with_repeats(df, keys, s.get("order_by"), _repeat_name(s))
+            df = memory.flag(df, s, keys, _repeat_name(s)) if s.get("across_runs") else df
     found = []
     for s in specs:
         for message in RULES.get(s["type"])(Check(df, s)):

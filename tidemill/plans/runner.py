@@ -21,6 +21,7 @@ from tidemill.operators.base import StepContext
 from tidemill.plans import extraction
 from tidemill.plans.spec import PipelineSpec, TaskSpec, levels
 from tidemill.plans.staging import staged
+from tidemill.plans.memory import RunMemory
 from tidemill.plans.state import StateStore
 from tidemill.sources import read_source
 from tidemill.sources.base import after_publishing, publish_all
@@ -80,6 +81,7 @@ class Runner:
         name = task.source.get("name", task.source.get("type"))
         mark_key, schema_key = ("marks", pipeline.name, task.id), ("schemas", pipeline.name, task.id, str(name))
         mark = self.state.get(*mark_key) if self.state else None
+        memory = RunMemory(self.spark, self.state, pipeline.name, task.id) if self.state else quality.Memory()
         source = self.plan(pipeline, task, context, mark)
         if self.state and task.extraction.get("drift"):
             shape = extraction.described(source)
@@ -88,6 +90,9 @@ class Runner:
             extraction.check_drift(found, task.extraction["drift"])
         if task.extraction.get("mode", "full") != "full" or str(task.source.get("type")).lower() not in _REPEATABLE:
             source = staged(source)  # so that counts, marks and rows are of one reading
+        remember = task.extraction.get("remember")
+        if task.extraction.get("mode") == "cdc" and remember and self.state:
+            source = staged(memory.first_seen(source, task.extraction.get("key_columns", []), remember))
         result.rows_in = source.count()
         check = task.validation
         before = check.get("stage") == "pre_transform"
@@ -97,7 +102,9 @@ class Runner:
             if step == "chain":
                 df = apply_steps(df, task.transformations, context)
             elif check.get("rules") or check.get("schema"):
-                held = staged(quality.checked(df, check.get("rules", []), check.get("schema")))
+                held = staged(quality.checked(df, check.get("rules", []), check.get("schema"), memory))
+                if self.state and not dry_run:
+                    memory.record_rules(held, check.get("rules", []))
                 df, bad, report = quality.split(held, check.get("on_failure", "fail"), check.get("max_errors"), check.get("max_error_rate"))
                 result.rows_rejected = report.rejected
                 result.report = {"by_rule": report.by_rule, "by_field": report.by_field, "by_severity": report.by_severity}
@@ -107,9 +114,13 @@ class Runner:
         if dry_run:
             result.rows_out = ready.count()
             return
+        if remember and task.extraction.get("mode") == "cdc" and self.state:
+            memory.record_keys(source, task.extraction.get("key_columns", []), remember)
         seen = Observation()
         publish_all([*outputs, (ready.observe(seen, F.count(F.lit(1)).alias("n")), task.destination)])
         result.rows_out = seen.get["n"]
+        if self.state:
+            memory.done()
         if self.state and task.extraction.get("mode", "full") != "full":
             top = extraction.highest(source, task.extraction["column"])
             self.state.put(extraction.later_mark(mark, top), *mark_key)

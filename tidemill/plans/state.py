@@ -35,12 +35,7 @@ class StateStore:
         stream = staging.fs.create(staging.path, True)
         stream.write(bytearray(json.dumps(value, default=str).encode()))
         stream.close()
-        # one step, so that a crash leaves the old document or the new one
-        jvm, context = file.jvm, self.spark.sparkContext
-        how = context._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
-        how[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(file.fs.makeQualified(file.path).toUri(), context._jsc.hadoopConfiguration())
-        files.rename(file.fs.makeQualified(staging.path), file.fs.makeQualified(file.path), how)
+        staging.replace(file)
 
     def forget(self, *key: str) -> None:
         self._file(key).delete()

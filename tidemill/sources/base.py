@@ -80,6 +80,15 @@ class Folder:
         if not self.fs.rename(self.path, to.path):
             raise PublishError(f"{self.path} couldn't become {to.path}")
 
+    def replace(self, file: Folder) -> None:
+        """This file takes the other's place in one step, so that a crash leaves the old one or the new one."""
+        context = SparkSession.getActiveSession().sparkContext
+        kinds = getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename")
+        how = context._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE
+        files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.makeQualified(file.path).toUri(), context._jsc.hadoopConfiguration())
+        files.rename(self.fs.makeQualified(self.path), file.fs.makeQualified(file.path), how)
+
     def move_files(self, to: Folder) -> list[str]:
         """Move the data files into another folder; gives their names there."""
         moved = []

@@ -7,6 +7,7 @@ to a table, so every step and rule works; a batch is published under its number
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from tidemill.functions.columns import col, names_of
 from tidemill.operators import apply_steps
 from tidemill.operators.base import StepContext
+from tidemill.plans.extraction import first_changes
+from tidemill.plans.seen import SeenKeys
+from tidemill.plans.staging import staged
 from tidemill.sources.base import Folder
 
 
@@ -50,6 +54,26 @@ def run_available(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, in
     return count
 
 
+def first_of_keys(write: Callable[[DataFrame, int], None], seen: SeenKeys, keys: list[str], event_time: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A writer of the first row of each key over all batches of a stream.
+
+    ``seen`` keeps the keys; with its ``ttl`` a key counts as new again after so many seconds, by
+    the batch's latest ``event_time`` or else by the clock.  A repeated batch gives the same rows.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        at = time.time()
+        if event_time is not None:
+            at = rows.agg(F.max(F.unix_micros(col(event_time).cast("timestamp")) / 1e6)).first()[0] or 0.0
+        rows = rows.withColumn("__at", F.monotonically_increasing_id())
+        fresh = staged(seen.unseen(first_changes(rows, keys, "__at"), keys, number, at).drop("__at"))
+        seen.record(fresh, keys, number, at)
+        write(fresh, number)
+        seen.compact(number, at, len(keys))
+
+    return batch
+
+
 def parquet_batches(path: str) -> Callable[[DataFrame, int], None]:
     """A writer that keeps each batch in a folder of its own, so that a repeated batch replaces itself."""
 
