@@ -489,6 +489,63 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
+def _late_events(spark: SparkSession, sf_dir: str):
+    """Hourly windows over events that come in three batches, each over the whole time; most rows of the later ones are late."""
+    from tidemill.streaming import incremental as streams
+
+    events = _table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    top = _scratch(spark, "late")
+    for part in range(3):  # files come in the order of their times
+        events.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{top}/in")
+    windows = streams.LateAwareWindows(spark, f"{top}/out", f"{top}/rest", f"{top}/state", "ts", "1 hour", ["event_type"], "2 days", n=F.count(F.lit(1)))
+    stream = streams.file_stream(spark, "parquet", f"{top}/in", events.schema, maxFilesPerTrigger=1)
+    streams.run_available(stream, f"{top}/check", windows)
+    return top
+
+
+_LATE_SQL = """
+    WITH parts AS (SELECT *, event_id % 3 AS part, date_trunc('hour', ts) + INTERVAL 1 HOUR AS ends FROM events),
+    marks AS (
+        SELECT max(CASE WHEN part = 0 THEN ts END) - INTERVAL 2 DAY AS one, max(CASE WHEN part < 2 THEN ts END) - INTERVAL 2 DAY AS two, max(ts) - INTERVAL 2 DAY AS three
+        FROM parts),
+    judged AS (SELECT p.*, three, coalesce(ends <= CASE part WHEN 1 THEN one WHEN 2 THEN two END, false) AS late FROM parts p, marks)
+"""
+
+
+@_query("stream_late_windows", _LATE_SQL + "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM judged WHERE NOT late AND ends <= three GROUP BY 1, 2")
+def stream_late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that have ended, without the rows that came too late."""
+    found = spark.read.parquet(_late_events(spark, sf_dir) + "/out")
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@_query("stream_late_rows", _LATE_SQL + "SELECT event_id, ts, event_type FROM judged WHERE late")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that came too late for their windows."""
+    found = spark.read.parquet(_late_events(spark, sf_dir) + "/rest")
+    return found.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+
+
+@_query("keys_across_runs", "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3, o_orderkey) = 1")
+def keys_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change capture over three runs: a customer's first order over all of them."""
+    from tidemill.plans.runner import Runner
+    from tidemill.plans.spec import parse_pipeline
+    from tidemill.plans.state import StateStore
+
+    top = _scratch(spark, "runs")
+    state = StateStore(spark, f"{top}/state")
+    for part in range(3):
+        _table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == part).select("o_orderkey", "o_custkey").write.parquet(f"{top}/in{part}")
+        task = {"id": "t", "source": {"type": "parquet", "path": f"{top}/in{part}"}, "destination": {"type": "parquet", "path": f"{top}/out/part={part}"}}
+        task["extraction"] = {"mode": "cdc", "column": "o_orderkey", "key_columns": "o_custkey", "order_by": "o_orderkey", "remember": True}
+        state.forget("marks", "keys", "t")  # keys alone tell what is new
+        result = Runner(spark, state).run(parse_pipeline({"name": "keys", "tasks": [task]}))
+        if result.status != "success":
+            raise RuntimeError(result.tasks["t"].error)
+    return spark.read.parquet(f"{top}/out").select("o_orderkey", "o_custkey")
+
+
 @_query("sales_by_nation", """
     SELECT n_name, round(sum(net), 2) AS revenue, count(l_orderkey) AS n_lines, count(DISTINCT o_custkey) AS customers FROM (
         SELECT n_name, l_orderkey, o_custkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem

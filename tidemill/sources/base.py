@@ -54,7 +54,8 @@ class Folder:
     """A target folder on any Hadoop file system."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.jvm = spark.sparkContext._jvm
+        self.context = spark.sparkContext
+        self.jvm = self.context._jvm
         self.path = self.jvm.org.apache.hadoop.fs.Path(path)
         self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -66,7 +67,7 @@ class Folder:
 
     def beside(self, name: str) -> Folder:
         out = object.__new__(Folder)
-        out.jvm, out.fs = self.jvm, self.fs
+        out.context, out.jvm, out.fs = self.context, self.jvm, self.fs
         out.path = self.jvm.org.apache.hadoop.fs.Path(self.path.getParent(), name)
         return out
 
@@ -82,7 +83,7 @@ class Folder:
 
     def replace(self, file: Folder) -> None:
         """This file takes the other's place in one step, so that a crash leaves the old one or the new one."""
-        context = SparkSession.getActiveSession().sparkContext
+        context = self.context
         kinds = getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename")
         how = context._gateway.new_array(kinds, 1)
         how[0] = kinds.OVERWRITE

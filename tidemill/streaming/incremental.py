@@ -19,6 +19,7 @@ from tidemill.operators.base import StepContext
 from tidemill.plans.extraction import first_changes
 from tidemill.plans.seen import SeenKeys
 from tidemill.plans.staging import staged
+from tidemill.plans.state import StateStore
 from tidemill.sources.base import Folder
 
 
@@ -88,3 +89,45 @@ def parquet_batches(path: str) -> Callable[[DataFrame, int], None]:
         staging.rename(target)
 
     return write
+
+
+class LateAwareWindows:
+    """Event-time windows in append mode, with the rows that come too late beside them.
+
+    A batch's watermark is the latest event time of the batches before it, less ``delay``.  Rows whose
+    window ends by the watermark are late and go to ``late`` as they are; others wait in ``state``.
+    A window is published once, by the first batch whose rows move the watermark to its end.  All is kept under the batch's
+    number, so a batch that is repeated, after a crash at any point, replaces what it left.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, late: str, state: str, event_time: str, length: str, keys=(), delay: str = "10 minutes", **aggregates):
+        self.spark, self.out, self.late, self.state = spark, out, late, state.rstrip("/")
+        self.event_time, self.length, self.keys, self.delay, self.aggregates = event_time, length, names_of(list(keys)), delay, aggregates
+        self.marks = StateStore(spark, f"{self.state}/marks")
+
+    def _mark(self, number: int) -> dict:
+        """The watermark after a batch, in microseconds, and the latest end of a window that each batch has rows of."""
+        found = self.marks.get(str(number)) if number >= 0 else None
+        return found or {"watermark": None, "ends": {}}
+
+    def __call__(self, rows: DataFrame, number: int) -> None:
+        before = self._mark(number - 1)
+        moment = F.window(col(self.event_time), self.length)
+        placed = staged(rows.withColumns({"__start": moment["start"], "__end": moment["end"]}).where("__end IS NOT NULL"))
+        mark = F.lit(before["watermark"]).cast("long")
+        is_late = F.coalesce(F.unix_micros("__end") <= mark, F.lit(False))
+        parquet_batches(self.late)(placed.where(is_late).drop("__start", "__end"), number)
+        parquet_batches(f"{self.state}/rows")(placed.where(~is_late), number)
+        facts = placed.agg(F.max(F.unix_micros(col(self.event_time).cast("timestamp") - F.expr(f"INTERVAL {self.delay}"))).alias("mark"), F.max(F.unix_micros(F.when(~is_late, col("__end")))).alias("end")).first()
+        after = max((m for m in (before["watermark"], facts["mark"]) if m is not None), default=None)
+        ends = before["ends"] | ({str(number): facts["end"]} if facts["end"] is not None else {})
+        # batches whose windows all ended before this one hold nothing that is open
+        open_ = {b: e for b, e in ends.items() if before["watermark"] is None or e > before["watermark"]}
+        held = self.spark.read.schema(placed.schema).parquet(*(f"{self.state}/rows/batch={b}" for b in open_)) if open_ else placed.where("false")
+        end = F.unix_micros("__end")
+        closing = held.where((end <= F.lit(after).cast("long")) & (F.lit(True) if before["watermark"] is None else end > mark))
+        grouped = closing.groupBy(F.col("__start").alias("window_start"), F.col("__end").alias("window_end"), *(col(k) for k in self.keys))
+        parquet_batches(self.out)(grouped.agg(*(c.alias(n) for n, c in self.aggregates.items())), number)
+        self.marks.put({"watermark": after, "ends": open_}, str(number))
+        for b in set(self._mark(number - 2)["ends"]) - set(before["ends"]) if number > 1 else ():
+            Folder(self.spark, f"{self.state}/rows/batch={b}").delete()  # not even the last batch, were it repeated, needs these
