@@ -234,5 +234,5 @@ class Runner:
         if self.state and not dry_run:
             if status == "success":
                 self.state.forget("resume", pipeline.name)
-            self.state.record_run(pipeline.name, {"execution_id": execution, "status": status, "seconds": sum(r.seconds for r in done.values()), "rows_out": sum(r.rows_out for r in done.values())})
+            self.state.record_run(pipeline.name, {"execution_id": execution, "status": status, "seconds": sum(r.seconds for r in done.values()), "rows_in": sum(r.rows_in for r in done.values()), "rows_out": sum(r.rows_out for r in done.values()), "rows_rejected": sum(r.rows_rejected for r in done.values())})
         return RunResult(pipeline.name, execution, status, done)

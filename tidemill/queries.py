@@ -546,6 +546,27 @@ def keys_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{top}/out").select("o_orderkey", "o_custkey")
 
 
+@_query("run_statistics", """
+    WITH runs AS (SELECT o_orderpriority AS pipeline, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'partial' ELSE 'success' END AS status,
+            o_totalprice AS seconds, o_custkey AS rows_out FROM orders),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY seconds) - 1 AS place, count(*) OVER (PARTITION BY pipeline) AS timed FROM runs WHERE seconds > 0)
+    SELECT pipeline, count(*) AS runs_total, count(*) FILTER (status = 'success') AS runs_succeeded, round(count(*) FILTER (status = 'success') / count(*), 4) AS success_rate,
+        sum(rows_out)::BIGINT AS rows_written, round(avg(seconds), 2) AS avg_seconds, round(max(seconds) FILTER (place = least(timed - 1, floor(timed * 0.95))), 3) AS p95_seconds
+    FROM placed GROUP BY 1""")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a history of runs, for which orders stand."""
+    from tidemill.plans import state
+
+    runs = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("pipeline"),
+        F.expr("CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'partial' ELSE 'success' END").alias("status"),
+        F.col("o_totalprice").alias("seconds"),
+        F.lit(0).alias("rows_in"), F.col("o_custkey").alias("rows_out"), F.lit(0).alias("rows_rejected"),
+    )
+    found = state.run_statistics(runs)
+    return found.select("pipeline", "runs_total", "runs_succeeded", "success_rate", "rows_written", F.round("avg_seconds", 2).alias("avg_seconds"), "p95_seconds")
+
+
 @_query("sales_by_nation", """
     SELECT n_name, round(sum(net), 2) AS revenue, count(l_orderkey) AS n_lines, count(DISTINCT o_custkey) AS customers FROM (
         SELECT n_name, l_orderkey, o_custkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem
