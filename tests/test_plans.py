@@ -117,3 +117,48 @@ def test_stream_of_files(spark, tmp_path):
     run = lambda: incremental.run_available(stream(), str(tmp_path / "check"), incremental.parquet_batches(str(tmp_path / "out")), [{"type": "filter", "expression": "id > 1"}])
     assert run() == 1 and run() == 0
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+
+
+def test_signals_stop_a_run_that_can_be_resumed(spark, tmp_path):
+    import os
+    import signal
+    import threading
+    import time
+
+    slow = tmp_path / "slow"
+    spark.range(4).repartition(4).write.parquet(str(slow))
+    spec = {"name": "p", "tasks": [
+        {"id": "a", "source": {"type": "inline", "records": [{"v": 1}]}, "destination": {"type": "parquet", "path": str(tmp_path / "a")}},
+        {"id": "b", "depends_on": ["a"], "source": {"type": "parquet", "path": str(slow)}, "transformations": [{"type": "wait_for_test"}], "destination": {"type": "parquet", "path": str(tmp_path / "b")}},
+        {"id": "c", "depends_on": ["a"], "source": {"type": "parquet", "path": str(slow)}, "destination": {"type": "parquet", "path": str(tmp_path / "c")}},
+    ]}
+    spec["tasks"][2]["depends_on"] = ["b"]
+    from tidemill.operators.base import STEPS
+
+    waits = {"seconds": 60}
+
+    @STEPS.register("wait_for_test")
+    def wait(df, context):
+        seconds = waits["seconds"]
+
+        def work(batches):
+            for pdf in batches:
+                time.sleep(seconds)
+                yield pdf
+
+        return df.mapInPandas(work, df.schema)
+
+    state = StateStore(spark, str(tmp_path / "s"))
+    try:
+        sent = threading.Timer(6, lambda: os.kill(os.getpid(), signal.SIGTERM))
+        handler = signal.getsignal(signal.SIGTERM)
+        began = time.time()
+        sent.start()
+        result = Runner(spark, state).run(parse_pipeline(spec))
+        assert time.time() - began < 50 and signal.getsignal(signal.SIGTERM) is handler
+        assert (result.status, result.tasks["a"].status, result.tasks["b"].status, result.tasks["c"].status) == ("failed", "success", "failed", "blocked")
+        waits["seconds"] = 0
+        again = Runner(spark, state).run(parse_pipeline(spec), resume=True)
+        assert again.status == "success" and again.tasks["a"].status == "resumed"
+    finally:
+        STEPS._found.pop("wait_for_test", None)

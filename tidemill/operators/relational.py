@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.errors import ConfigurationError
-from tidemill.functions.columns import ORDINAL, arrival, as_text, col, names_of, number
+from tidemill.functions.columns import ORDINAL, arrival, as_text, col, names_of, number, replace
 from tidemill.functions.expressions import compile_expression, failing, truthy
+from tidemill.operators.aggregates import AGGREGATES
 from tidemill.operators.base import STEPS, StepContext
 
 #: Values of ``list`` and ``concat`` in one group at most; more is an error, not a cut.
@@ -91,7 +92,8 @@ def _listed(c, order, text: bool):
 def aggregate(df: DataFrame, context: StepContext, aggregations: dict, group_by=None, order_by=None, max_groups: int | None = None) -> DataFrame:
     """One row for each group; null is a group.
 
-    Functions: sum, avg, mean, count, count_distinct, min, max, first, last, list, concat.
+    Functions: sum, avg, mean, count, count_distinct, min, max, first, last, list, concat, and
+    those registered in :mod:`tidemill.operators.aggregates`.
     Sums are over what reads as a number, rounded to ten digits, and 0.0 for none.  ``first`` and
     ``last`` go by ``order_by`` or arrival and may be null.  Over no rows there is no group.
     """
@@ -102,7 +104,7 @@ def aggregate(df: DataFrame, context: StepContext, aggregations: dict, group_by=
         held = df.withColumn(ORDINAL, F.monotonically_increasing_id())
     order = [col(c) for c in order_names] or [col(ORDINAL)]
     by = order[0] if len(order) == 1 else F.struct(*order)
-    out = []
+    out, finals = [], {}
     for name, spec in aggregations.items():
         spec = {"function": spec} if isinstance(spec, str) else spec
         column, function = spec.get("column", name), spec.get("function", "sum")
@@ -127,12 +129,14 @@ def aggregate(df: DataFrame, context: StepContext, aggregations: dict, group_by=
             if not held.groupBy(*(col(k) for k in keys)).agg(F.count(c).alias("__n")).where(col("__n") > MOST_LISTED).isEmpty():
                 raise ConfigurationError(f"{function} of {column!r}: more than {MOST_LISTED} values in one group")
             made = _listed(as_text(c, kind) if function == "concat" else c, [o.alias(f"__o{i}") for i, o in enumerate(order)], function == "concat")
-        else:
-            raise ConfigurationError(f"unknown aggregate {function!r}")
+        else:  # in two steps, its state and what follows from it
+            found = AGGREGATES.get(function)
+            made = found.partial(c, kind)
+            finals[name] = found.final(col(name))
         out.append(made.alias(name))
     if not keys:
-        return held.agg(*out, F.count(F.lit(1)).alias("__n")).where(col("__n") > 0).drop("__n")
-    grouped = held.groupBy(*(col(k) for k in keys)).agg(*out)
+        return replace(held.agg(*out, F.count(F.lit(1)).alias("__n")).where(col("__n") > 0).drop("__n"), finals)
+    grouped = replace(held.groupBy(*(col(k) for k in keys)).agg(*out), finals)
     if max_groups is not None and grouped.limit(max_groups + 1).count() > max_groups:
         raise ConfigurationError(f"aggregate makes more than {max_groups} groups")
     return grouped

@@ -102,7 +102,7 @@ def _leaves(name: str, kind: T.DataType, value, separator: str, depth: int, keep
         yield name, value
 
 
-#: Keys of a map that can become columns.
+#: Keys of a map that become columns; further ones stay in the map.
 MOST_KEYS = 4096
 
 
@@ -111,15 +111,19 @@ def flatten(df: DataFrame, context: StepContext, separator: str = ".", max_depth
     """Nested columns as columns of their own, ``max_depth`` levels down.
 
     Structs unfold by their schema.  Maps, and lists unless ``keep_lists``, need one pass over
-    the data for their keys and sizes.
+    the data for their keys and sizes.  Of a map with more than ``MOST_KEYS`` different keys the
+    first ones by name become columns, and a map with the others stays, so nothing is lost.
     """
     wanted = names_of(columns) or df.columns
     maps = [c for c in wanted if c in df.columns and isinstance(df.schema[c].dataType, T.MapType)]
     for c in maps:
-        keys = sorted(r[0] for r in df.select(F.explode(F.map_keys(col(c)))).distinct().limit(MOST_KEYS + 1).collect())
+        keys = [r[0] for r in df.select(F.explode(F.map_keys(col(c))).alias("k")).distinct().orderBy("k").limit(MOST_KEYS + 1).collect()]
+        made = F.struct(*(F.try_element_at(col(c), F.lit(k)).alias(str(k)) for k in keys[:MOST_KEYS])) if keys else F.lit(None).cast("string")
         if len(keys) > MOST_KEYS:
-            raise ConfigurationError(f"flatten: {c} has more than {MOST_KEYS} different keys")
-        made = F.struct(*(F.try_element_at(col(c), F.lit(k)).alias(k) for k in keys)) if keys else F.lit(None).cast("string")
+            rest = f"{c}{separator}rest"
+            while rest in df.columns:
+                rest += "_"
+            df = replace(df, {rest: F.map_filter(col(c), lambda k, _: k > F.lit(keys[MOST_KEYS - 1]))})
         df = replace(df, {c: made})
     sizes: dict[str, int] = {}
     if not keep_lists:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import signal
 import threading
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -195,6 +197,33 @@ class Runner:
 
     # -- a pipeline ----------------------------------------------------------------
 
+    @contextmanager
+    def _interruptible(self, execution: str, tasks: list[TaskSpec]):
+        """While inside, SIGINT and SIGTERM stop the Spark jobs of all tasks; the run then ends as a failed one that can be resumed.
+
+        A second signal does what it would do without this.  Only the main thread can take signals.
+        """
+        stopped = threading.Event()
+        if threading.current_thread() is not threading.main_thread():
+            yield stopped
+            return
+        before = {s: signal.getsignal(s) for s in (signal.SIGINT, signal.SIGTERM)}
+
+        def stop(number, frame) -> None:
+            for s, handler in before.items():
+                signal.signal(s, handler)
+            stopped.set()
+            # not in the handler itself, which may have come amid a call to the JVM
+            threading.Thread(target=lambda: [self.cancel(execution, t.id) for t in tasks], daemon=True).start()
+
+        for s in before:
+            signal.signal(s, stop)
+        try:
+            yield stopped
+        finally:
+            for s, handler in before.items():
+                signal.signal(s, handler)
+
     def cancel(self, execution_id: str, task_id: str) -> None:
         """Stop a task's Spark jobs."""
         self.spark.sparkContext.cancelJobGroup(f"{execution_id}-{task_id}")
@@ -210,6 +239,11 @@ class Runner:
             recover_all(self.spark, [spec for t in pipeline.tasks for spec in (t.destination, t.rejects) if spec])
         done: dict[str, TaskResult] = {}
         finished = set((self.state.get("resume", pipeline.name) or []) if self.state and resume else [])
+        with self._interruptible(execution, pipeline.tasks) as stopped:
+            self._run_levels(pipeline, execution, dry_run, only, done, finished, stopped)
+        return self._ended(pipeline, execution, dry_run, done)
+
+    def _run_levels(self, pipeline: PipelineSpec, execution: str, dry_run: bool, only: list[str] | None, done: dict[str, TaskResult], finished: set[str], stopped: threading.Event) -> None:
         stop = False
         for level in levels(pipeline.tasks):
             todo = []
@@ -217,7 +251,7 @@ class Runner:
                 broken = any(done[d].status in ("failed", "blocked") for d in t.depends_on if d in done)
                 if only is not None and t.id not in only or t.id in finished:
                     done[t.id] = TaskResult(t.id, "resumed" if t.id in finished else "skipped")
-                elif stop or broken:
+                elif stop or broken or stopped.is_set():
                     done[t.id] = TaskResult(t.id, "blocked")
                 else:
                     todo.append(t)
@@ -229,8 +263,11 @@ class Runner:
             finished |= {r.id for r in found if r.status == "success"}
             if self.state and not dry_run:
                 self.state.put(sorted(finished), "resume", pipeline.name)
+
+    def _ended(self, pipeline: PipelineSpec, execution: str, dry_run: bool, done: dict[str, TaskResult]) -> RunResult:
         failed = [t for t in pipeline.tasks if done[t.id].status == "failed"]
-        status = "success" if not failed else "failed" if any(t.on_failure == "fail" for t in failed) else "partial"
+        stopped = not failed and any(r.status == "blocked" for r in done.values())  # by a signal
+        status = "failed" if stopped else "success" if not failed else "failed" if any(t.on_failure == "fail" for t in failed) else "partial"
         if self.state and not dry_run:
             if status == "success":
                 self.state.forget("resume", pipeline.name)

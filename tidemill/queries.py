@@ -546,6 +546,85 @@ def keys_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{top}/out").select("o_orderkey", "o_custkey")
 
 
+@_query("resumed_run", "SELECT c_nationkey, count(*) AS n, count(*) AS again FROM customer GROUP BY 1")
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second task fails for want of a table; resuming passes over the first one, whose source is gone by then."""
+    from tidemill.plans.runner import Runner
+    from tidemill.plans.spec import parse_pipeline
+    from tidemill.plans.state import StateStore
+    from tidemill.sources.base import Folder
+
+    top = _scratch(spark, "resume")
+    _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").write.parquet(f"{top}/in")
+    first = {"id": "a", "source": {"type": "parquet", "path": f"{top}/in"}, "destination": {"type": "parquet", "path": f"{top}/a"}, "transformations": [{"type": "aggregate", "group_by": "c_nationkey", "aggregations": {"n": {"column": "c_custkey", "function": "count"}}}]}
+    second = {"id": "b", "depends_on": ["a"], "source": {"type": "parquet", "path": f"{top}/late"}, "destination": {"type": "parquet", "path": f"{top}/b"}}
+    runner, spec = Runner(spark, StateStore(spark, f"{top}/state")), parse_pipeline({"name": "resumed", "tasks": [first, second]})
+    broken = runner.run(spec)
+    Folder(spark, f"{top}/in").delete()
+    spark.read.parquet(f"{top}/a").withColumnRenamed("n", "again").write.parquet(f"{top}/late")
+    whole = runner.run(spec, resume=True)
+    if (broken.status, whole.status, whole.tasks["a"].status) != ("failed", "success", "resumed"):
+        raise RuntimeError(f"{broken} {whole}")
+    return spark.read.parquet(f"{top}/a").join(spark.read.parquet(f"{top}/b"), "c_nationkey").select("c_nationkey", "n", "again")
+
+
+@_query("dry_run_counts", "SELECT (SELECT count(*) FROM lineitem)::BIGINT AS rows_in, (SELECT count(*) FROM lineitem WHERE l_quantity > 25)::BIGINT AS rows_out, false AS published")
+def dry_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dry run reads, transforms and counts, and publishes nothing."""
+    from tidemill.plans.runner import Runner
+    from tidemill.plans.spec import parse_pipeline
+    from tidemill.sources.base import Folder
+
+    target = _scratch(spark, "dry")
+    task = {"id": "t", "source": {"type": "parquet", "path": f"{sf_dir}/lineitem.parquet"}, "transformations": [{"type": "filter", "expression": "l_quantity > 25"}], "destination": {"type": "parquet", "path": target}}
+    found = Runner(spark).run(parse_pipeline({"name": "dry", "tasks": [task]}), dry_run=True).tasks["t"]
+    return spark.createDataFrame([(found.rows_in, found.rows_out, Folder(spark, target).exists())], "rows_in long, rows_out long, published boolean")
+
+
+@_query("sql_task", "SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) > 0 AS paid FROM orders GROUP BY 1")
+def sql_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An etl task publishes files, and a SQL task writes what follows from them."""
+    from tidemill.plans.runner import Runner
+    from tidemill.plans.spec import parse_pipeline
+
+    top = _scratch(spark, "sql")
+    load = {"id": "load", "source": {"type": "parquet", "path": f"{sf_dir}/orders.parquet"}, "destination": {"type": "parquet", "path": f"{top}/orders"}}
+    text = f"INSERT OVERWRITE DIRECTORY '{top}/out' USING parquet SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) > 0 AS paid FROM parquet.`{top}/orders` GROUP BY 1"
+    result = Runner(spark).run(parse_pipeline({"name": "sql", "tasks": [load, {"id": "sum", "type": "sql", "depends_on": ["load"], "statement": text}]}))
+    if result.status != "success":
+        raise RuntimeError(str(result))
+    return spark.read.parquet(f"{top}/out")
+
+
+@_query("rollup_runs", """
+    SELECT o_orderstatus, count(o_orderkey) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderdate) AS first, max(o_totalprice) AS most, round(avg(o_totalprice), 4) AS mean,
+        true AS distinct_close, true AS median_close
+    FROM orders GROUP BY 1""")
+def rollup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored states of three runs, merged; the sketches are held against the exact values, within what they state."""
+    from tidemill.plans.rollup import Rollup
+
+    specs = {"n": {"column": "o_orderkey", "function": "count"}, "total": {"column": "o_totalprice"}, "first": {"column": "o_orderdate", "function": "min"}, "most": {"column": "o_totalprice", "function": "max"}}
+    specs |= {"mean": {"column": "o_totalprice", "function": "avg"}, "customers": {"column": "o_custkey", "function": "approx_count_distinct"}, "median": {"column": "o_totalprice", "function": "approx_median"}}
+    orders = _table(spark, sf_dir, "orders")
+    rollup = Rollup(spark, _scratch(spark, "rollup"), "o_orderstatus", specs)
+    for part in (0, 1, 2, 1):  # one run is done again
+        rollup.add(orders.where(F.col("o_orderkey") % 3 == part), part)
+    exact = orders.groupBy("o_orderstatus").agg(F.countDistinct("o_custkey").alias("d"), F.percentile("o_totalprice", F.array(F.lit(0.45), F.lit(0.55))).alias("m"))
+    found = rollup.result().join(exact, "o_orderstatus")
+    close = F.abs(F.col("customers") - F.col("d")) <= 0.07 * F.col("d")
+    return found.select("o_orderstatus", "n", F.round("total", 2).alias("total"), "first", "most", F.round("mean", 4).alias("mean"), close.alias("distinct_close"), F.col("median").between(F.col("m")[0], F.col("m")[1]).alias("median_close"))
+
+
+@_query("sessions", """
+    WITH gaps AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 1 DAY AS apart FROM events)
+    SELECT user_id, event_id, (count(*) FILTER (apart) OVER (PARTITION BY user_id ORDER BY ts, event_id))::INTEGER AS session FROM gaps""")
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function numbers each user's sessions."""
+    step = {"type": "sessions", "partition_by": "user_id", "order_by": "ts, event_id", "options": {"column": "ts", "gap": 86400}}
+    return apply_steps(_table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), [step]).drop("ts")
+
+
 @_query("run_statistics", """
     WITH runs AS (SELECT o_orderpriority AS pipeline, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'partial' ELSE 'success' END AS status,
             o_totalprice AS seconds, o_custkey AS rows_out FROM orders),

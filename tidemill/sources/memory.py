@@ -114,3 +114,19 @@ def write_null(df: DataFrame, mode: str | None = None) -> int:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
     return seen.get["n"]
+
+
+@SOURCES.register("spark")
+def read_format(spark: SparkSession, format: str, path: str | None = None, schema: str | None = None, **options) -> DataFrame:
+    """Any data source that Spark has, built in, from a jar or registered in Python."""
+    reader = spark.read.format(format).options(**options)
+    reader = reader.schema(schema) if schema else reader
+    return reader.load(path) if path else reader.load()
+
+
+@SINKS.register("spark")
+def write_format(df: DataFrame, format: str, path: str | None = None, mode: str | None = None, **options) -> None:
+    """Any data source that Spark can write to."""
+    mode = mode_of(mode, ("append", "overwrite", "error_if_exists"))
+    writer = df.write.format(format).options(**options).mode("error" if mode == "error_if_exists" else mode)
+    writer.save(path) if path else writer.save()
