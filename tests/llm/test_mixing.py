@@ -56,3 +56,17 @@ def test_many_cells_give_the_same(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.sample_mixture(docs, [F.col("source")], [None], F.length("text"), 0.5).collect() == []
+
+
+def test_raking_as_a_table_ends_once_marginals_are_met(spark, monkeypatch):
+    from tidemill.llm import mixing
+
+    cells = {(a, b): float(3 + a * 7 + b * 5) for a in range(3) for b in range(4)}
+    targets = [{"0": 0.5, "1": 0.3, "2": 0.2}, {str(b): 0.25 for b in range(4)}]
+    plain = mixing.rake({(str(a), str(b)): n for (a, b), n in cells.items()}, targets, 60)
+    written = []
+    original = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: written.append(name) or original(df, name))
+    table = spark.createDataFrame([(str(a), str(b), n) for (a, b), n in cells.items()], "a string, b string, _size double")
+    found = {(r["a"], r["b"]): r["_weight"] for r in mixing.rake_table(table, ["a", "b"], targets, 60).collect()}
+    assert all(abs(found[k] - plain[k]) < 1e-10 for k in plain) and written.count("mix-weights") < 60

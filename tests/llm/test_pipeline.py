@@ -51,3 +51,60 @@ def test_stages_take_odd_rows(spark):
             if name != "sentencepiece":
                 assert found.columns == start.columns, name
         assert (found.count() > 0) == (not start.isEmpty())
+
+
+def test_mixture_stage_matches_a_plain_version(spark):
+    """Raking with dictionaries, then each document by the MD5 of its id."""
+    import hashlib
+    from collections import defaultdict
+
+    from tidemill.llm import queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [r.asDict() for r in docs.selectExpr("*", f"{queries.TOPIC} AS topic").collect()]
+    words = {r["doc_id"]: r["text"].count(" ") + 1 for r in rows}
+    cells = defaultdict(float)
+    for r in rows:
+        cells[r["source"], r["lang"], r["topic"]] += words[r["doc_id"]]
+    weight = dict.fromkeys(cells, 1.0)
+    shares = [queries.SOURCE_SHARES, queries.LANG_SHARES, queries.TOPIC_SHARES]
+    had = [defaultdict(float) for _ in shares]
+    for k, n in cells.items():
+        for h, v in zip(had, k):
+            h[v] += n
+    for _ in range(queries.MIX_ROUNDS):
+        for i, share in enumerate(shares):
+            known = [v for v in had[i] if v in share]
+            whole, parts = sum(had[i][v] for v in known), sum(share[v] for v in known)
+            now = defaultdict(float)
+            for k, n in cells.items():
+                now[k[i]] += n * weight[k]
+            for k in cells:
+                if k[i] in share and now[k[i]]:
+                    weight[k] *= share[k[i]] / parts * whole / now[k[i]]
+    budget, sure = corpus_pipeline.MIXTURE_SHARE * sum(cells.values()), set()
+    while True:
+        factor = (budget - sum(cells[k] for k in sure)) / sum(cells[k] * weight[k] for k in cells if k not in sure)
+        more = {k for k in cells if k not in sure and factor * weight[k] >= 1}
+        if not more:
+            break
+        sure |= more
+    chance = {k: 1.0 if k in sure else factor * weight[k] for k in cells}
+    draw = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32  # noqa: E731, S324
+    want = sorted(r["doc_id"] for r in rows if draw(r["doc_id"]) < chance[r["source"], r["lang"], r["topic"]])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.mixture_stage(spark, docs, SF).collect()) == want
+
+
+def test_token_stage_matches_the_library(spark):
+    import hashlib
+
+    from sentencepiece import SentencePieceProcessor
+
+    from tidemill.llm import queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = SentencePieceProcessor(model_file=queries.PIECES)
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.token_stage(spark, docs, SF).collect()}
+    for r in docs.collect():
+        ids = model.encode(r["text"])
+        assert found[r["doc_id"]] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())

@@ -62,3 +62,48 @@ def test_scorer_takes_the_whole_sample_and_all_rounds():
     x = rng.normal(size=(200, quality.BUCKETS)).astype(np.float32)
     target = (x[:, 0] > 0).astype(float)
     assert np.array_equal(quality.fit_scorer(x, target), quality.fit_scorer(x, target, rounds=300))
+
+
+def plain_em(patterns, rounds=100):
+    """Expectation-maximisation one vote at a time; the votes of each pattern and its count."""
+    likely = [0.1 if quality.BAD in votes else 0.95 for votes, _ in patterns]
+    for _ in range(rounds):
+        weight = [sum((p if c else 1 - p) * n for p, (_, n) in zip(likely, patterns)) for c in (0, 1)]
+        prior = [(w + 1) / (sum(weight) + 2) for w in weight]
+        table = {}
+        for c in (0, 1):
+            for k in range(len(quality.LABELLERS)):
+                seen = {v: 0.5 + sum((p if c else 1 - p) * n for p, (votes, n) in zip(likely, patterns) if votes[k] == v) for v in (quality.BAD, quality.GOOD)}
+                for v, x in seen.items():
+                    table[c, k, v] = x / sum(seen.values())
+        for i, (votes, _) in enumerate(patterns):
+            odds = list(prior)
+            for c in (0, 1):
+                for k, v in enumerate(votes):
+                    odds[c] *= table[c, k, v] if v != quality.ABSTAIN else 1.0
+            likely[i] = odds[1] / sum(odds)
+    return likely
+
+
+def test_training_on_documents_matches_plain_versions(spark):
+    """The posterior by EM one vote at a time, and a fit in double precision, over all documents."""
+    from collections import Counter
+
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    stats, grams = quality.statistics([(t or "").encode() for t in rows])
+    votes = quality.votes(stats)
+    counts = Counter(map(tuple, votes.tolist()))
+    want = dict(zip(counts, plain_em(list(counts.items()))))
+    model = quality.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    for pattern, likely in want.items():
+        assert abs(model["posterior"][int(np.dot(pattern, quality._BASE))] - likely) < 1e-6
+    x = np.concatenate([quality.features(stats, grams).astype(np.float16).astype(np.float64), np.ones((len(rows), 1))], axis=1)
+    target = np.array([want[tuple(v)] for v in votes.tolist()])
+    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    for i in range(1, 301):
+        g = x.T @ (1 / (1 + np.exp(-(x @ w))) - target) / len(x) + 1e-5 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
+    scores = 1 / (1 + np.exp(-(x @ w)))
+    ours = 1 / (1 + np.exp(-(x @ model["weights"])))
+    assert np.abs(scores - ours).max() < 5e-3 and ((scores >= 0.5) == (ours >= 0.5)).mean() > 0.995

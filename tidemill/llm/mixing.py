@@ -84,8 +84,15 @@ def _cells(docs: DataFrame, parts: list[Column], names: list[str], tokens: Colum
     return sized.groupBy(*names).agg(F.sum("_size").alias("_size"))
 
 
+#: A round that moves no marginal by more than this share changes nothing that a probability shows.
+SETTLED = 1e-13
+
+
 def rake_table(cells: DataFrame, names: list[str], targets: list[dict | None], rounds: int = 60) -> DataFrame:
-    """``cells`` (names and ``_size``) with ``_weight``: what :func:`rake` gives, by joins and aggregates; each round is staged."""
+    """``cells`` (names and ``_size``) with ``_weight``: what :func:`rake` gives, by joins and aggregates.
+
+    Each step is staged; raking ends early once all marginals are met.
+    """
     spark, goals = cells.sparkSession, []
     for name, target in zip(names, targets):
         if target is None:
@@ -99,14 +106,17 @@ def rake_table(cells: DataFrame, names: list[str], targets: list[dict | None], r
             goals.append((name, given.select(name, (F.col("_share") * free / sums["s"]).alias("_goal"))))
     table = cells.withColumn("_weight", F.lit(1.0))
     for _ in range(rounds):
-        before = table
+        before, moved = table, 0.0
         for name, goal in goals:
             have = table.groupBy(name).agg(F.sum(F.col("_size") * F.col("_weight")).alias("_have")).where("_have > 0")
-            scale = have.join(goal, name).select(name, (F.col("_goal") / F.col("_have")).alias("_scale"))
+            scale = materialize(have.join(goal, name).select(name, (F.col("_goal") / F.col("_have")).alias("_scale")), "mix-scales")
+            moved = max(moved, scale.agg(F.max(F.abs(F.col("_scale") - 1))).first()[0] or 0.0)
             table = table.join(scale, name, "left").withColumn("_weight", F.col("_weight") * F.coalesce("_scale", F.lit(1.0)))
             table = materialize(table.select(*names, "_size", "_weight"), "mix-weights")
-            discard(before)
+            discard(before, scale)
             before = table
+        if moved <= SETTLED:
+            break
     return table
 
 
