@@ -162,3 +162,17 @@ def test_signals_stop_a_run_that_can_be_resumed(spark, tmp_path):
         assert again.status == "success" and again.tasks["a"].status == "resumed"
     finally:
         STEPS._found.pop("wait_for_test", None)
+
+
+def test_what_a_task_stages_goes_with_it(spark, tmp_path, monkeypatch):
+    from tidemill.plans import staging
+
+    monkeypatch.setattr(staging, "staging_dir", lambda _: str(tmp_path / "stage"))
+    source = {"type": "inline", "records": [{"v": 1}, {"v": 2}, {"v": 2}]}
+    checks = {"rules": [{"type": "unique", "field": "v"}], "on_failure": "drop"}
+    for sink in ({"type": "parquet", "path": str(tmp_path / "t")}, {"type": "memory", "dataset": "kept_for_test"}):
+        spec = {"name": "p", "tasks": [{"id": "t", "source": source, "validation": checks, "destination": sink}]}
+        assert Runner(spark).run(parse_pipeline(spec)).status == "success"
+        left = list((tmp_path / "stage" / "staged").iterdir())
+        assert len(left) == (sink["type"] == "memory")
+    assert read_source(spark, {"type": "memory", "dataset": "kept_for_test"}).count() == 2

@@ -237,7 +237,8 @@ def with_running_max(df: DataFrame, column: str, name: str, order_by=None, least
     from tidemill.plans.staging import staged
 
     order = [col(c) for c in names_of(order_by)] or [col(ORDINAL)]
-    parts = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = staged(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}))
     tops = sorted((r["__p"], r["m"]) for r in held.groupBy("__p").agg(F.max(col(column)).alias("m")).collect())
     kind = df.schema[column].dataType

@@ -179,7 +179,8 @@ def numbered(df: DataFrame, name: str, order_by=None) -> DataFrame:
         df = staged(df.withColumn(ORDINAL, F.monotonically_increasing_id()))
         return numbered(df, name, ORDINAL).drop(ORDINAL)
     keys = arrival(df, order_by)
-    parts = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     held = staged(ordered.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id() % (1 << 33)}))
     sizes = {r["__p"]: r["n"] for r in held.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}

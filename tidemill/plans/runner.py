@@ -22,7 +22,7 @@ from tidemill.operators import rules as quality
 from tidemill.operators.base import StepContext
 from tidemill.plans import extraction
 from tidemill.plans.spec import PipelineSpec, TaskSpec, levels
-from tidemill.plans.staging import staged
+from tidemill.plans.staging import scratch, staged
 from tidemill.plans.memory import RunMemory
 from tidemill.plans.state import StateStore
 from tidemill.sources import read_source
@@ -165,7 +165,7 @@ class Runner:
                 self.spark.sparkContext.setJobGroup(tag, f"{pipeline.name}.{task.id}", interruptOnCancel=True)
                 try:
                     if task.type == "etl":
-                        with after_publishing(dry_run):
+                        with scratch(self.spark), after_publishing(dry_run):
                             self._etl(pipeline, task, context, result, dry_run)
                     elif task.type == "sql":
                         self._sql(task, dry_run)

@@ -100,7 +100,7 @@ def write_memory(df: DataFrame, dataset: str = "default", mode: str | None = Non
 
     mode = mode_of(mode, ("append", "overwrite"))
     spark = df.sparkSession
-    held = staged(df)
+    held = staged(df, keep=True)
     if mode == "append" and spark.catalog.tableExists(_view(dataset)):
         held = spark.table(_view(dataset)).unionByName(held, allowMissingColumns=True)
     held.createOrReplaceTempView(_view(dataset))

@@ -18,7 +18,7 @@ from tidemill.operators import apply_steps
 from tidemill.operators.base import StepContext
 from tidemill.plans.extraction import first_changes
 from tidemill.plans.seen import SeenKeys
-from tidemill.plans.staging import staged
+from tidemill.plans.staging import scratch, staged
 from tidemill.plans.state import StateStore
 from tidemill.sources.base import Folder
 
@@ -67,9 +67,10 @@ def first_of_keys(write: Callable[[DataFrame, int], None], seen: SeenKeys, keys:
         if event_time is not None:
             at = rows.agg(F.max(F.unix_micros(col(event_time).cast("timestamp")) / 1e6)).first()[0] or 0.0
         rows = rows.withColumn("__at", F.monotonically_increasing_id())
-        fresh = staged(seen.unseen(first_changes(rows, keys, "__at"), keys, number, at).drop("__at"))
-        seen.record(fresh, keys, number, at)
-        write(fresh, number)
+        with scratch(rows.sparkSession):
+            fresh = staged(seen.unseen(first_changes(rows, keys, "__at"), keys, number, at).drop("__at"))
+            seen.record(fresh, keys, number, at)
+            write(fresh, number)
         seen.compact(number, at, len(keys))
 
     return batch
@@ -111,6 +112,10 @@ class LateAwareWindows:
         return found or {"watermark": None, "ends": {}}
 
     def __call__(self, rows: DataFrame, number: int) -> None:
+        with scratch(self.spark):
+            self._batch(rows, number)
+
+    def _batch(self, rows: DataFrame, number: int) -> None:
         before = self._mark(number - 1)
         moment = F.window(col(self.event_time), self.length)
         placed = staged(rows.withColumns({"__start": moment["start"], "__end": moment["end"]}).where("__end IS NOT NULL"))
