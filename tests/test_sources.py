@@ -217,15 +217,12 @@ def test_sftp_both_ways(spark, monkeypatch):
 
 
 def test_limits_that_are_counted_first(spark, monkeypatch):
-    from tidemill.operators import relational, shape
+    from tidemill.operators import relational
 
     monkeypatch.setattr(relational, "MOST_LISTED", 3)
     df = spark.createDataFrame([(1, i) for i in range(4)], "k long, v long")
     with pytest.raises(ConfigurationError):
         apply_step(df, {"type": "aggregate", "group_by": "k", "aggregations": {"v": "list"}})
-    monkeypatch.setattr(shape, "MOST_KEYS", 2)
-    with pytest.raises(ConfigurationError):
-        apply_step(spark.createDataFrame([({str(i): 1},) for i in range(3)], "m map<string,long>"), {"type": "flatten"})
 
 
 def test_unique_with_one_key_for_most_rows(spark):
