@@ -21,6 +21,7 @@ Only entries, candidates and decisions move; texts stay in a table bucketed by i
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -164,12 +165,13 @@ def _summed(frames, keys: list[str]):
         yield at, total
 
 
-def _word_sketch(docs: DataFrame, bits: int) -> np.ndarray:
-    """The level of each hash slot, over all documents.
+def _word_sketch(docs: DataFrame, bits: int, parts: int = _BLOCKS) -> np.ndarray:
+    """The level of each hash slot, over all documents, which come in about ``parts`` tasks.
 
-    Tasks' counts are summed in two steps, first those of some tasks for each block of slots, so
-    that no worker gets the payloads of all tasks.
+    Tasks' counts are summed in two steps, for each block of slots first those of about the root of
+    their number, so that no worker gets the payloads of all tasks.
     """
+    together = max(1, math.isqrt(parts))
     slots = 1 << bits
     shift = np.uint64(64 - bits)
     step = slots // _BLOCKS
@@ -179,7 +181,7 @@ def _word_sketch(docs: DataFrame, bits: int) -> np.ndarray:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        some = pa.array([TaskContext.get().partitionId() % _BLOCKS], pa.int32())
+        some = pa.array([TaskContext.get().partitionId() % together], pa.int32())
 
         sketch = np.zeros(slots, np.uint32)
         seen = False
@@ -648,7 +650,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = table.where("_id is not null").select("_id", F.coalesce(F.col("_row." + quoted(text_col)), F.lit("")).alias("_text"))
     copies = later_copies(table, ["_digest"])
     bits, hot = _sketch_shape(size)
-    shared = docs.sparkSession.sparkContext.broadcast(_word_sketch(whole, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(_word_sketch(whole, bits, parts))
     texts = whole.join(copies.hint("shuffle_hash"), "_id", "left_anti")
     gone = _decided(whole, _candidates(_entries(texts, shared, hot, threshold, least_words), parts, threshold), threshold)
     nothing = F.lit(None).cast("array<long>").alias("_gone")
