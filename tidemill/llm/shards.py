@@ -2,12 +2,13 @@
 
 Rows are dealt to shards by a hash of their id and vector, so shards are even whatever ids,
 labels or copies there are.  Each shard becomes one payload (an index over its rows), each
-block of queries another one; a task searches some pairs of shard and block and keeps the best
+block of queries another one; a task searches a tile of shards and blocks and keeps the best
 of each query, so that what later shards must beat is known.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable
 
@@ -20,6 +21,8 @@ from tidemill.llm.common import bound_batches, materialize
 
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
+#: Tasks for each core of the cluster, so that slow ones don't hold up the others.
+_TASKS_A_CORE = 8
 
 #: Longs that scores beyond a long count as.
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -67,31 +70,70 @@ def deal(rows: DataFrame, most: int, name: str, work: Callable[[pd.DataFrame], o
     return materialize(dealt.groupBy("dim", "part").applyInPandas(made, "dim int, part int, payload binary"), name), parts
 
 
+#: Shards, and blocks of queries, that meet in one task at most.
+MOST_SIDE = 16
+
+
+def tiled(shards: dict[int, int], counts: dict[int, int], wanted: int) -> dict[int, tuple[int, int, int, int, int]]:
+    """For each dim (first tile, rows and columns of tiles, shards and blocks of a tile at most): about ``wanted`` tiles of all, or as many as there are pairs.
+
+    Shards are some times as large as blocks, so tiles are wider than high.
+    """
+    out, first = {}, 0
+    pairs = sum(n * shards.get(d, 0) for d, n in counts.items())
+    each = max(1, pairs // max(wanted, 1))
+    for d, n in counts.items():
+        if not n or not shards.get(d):
+            continue
+        wide = min(n, MOST_SIDE, max(1, math.isqrt(3 * each) if each > 1 else 1))
+        high = min(shards[d], MOST_SIDE, max(1, each // wide))
+        down, across = -(-shards[d] // high), -(-n // wide)
+        out[d] = (first, down, across, high, wide)
+        first += down * across
+    return out
+
+
 def meet(index: DataFrame, shards: dict[int, int], blocks: DataFrame, counts: dict[int, int], search: Callable, schema: str) -> DataFrame:
     """What ``search`` finds where every block meets every shard of vectors as long as its own.
 
     ``search(shard, block, held)`` may put what it has found so far for a block into the dict
     ``held``; ``search(None, block, held)`` ends a block and returns a frame of ``schema``.
+
+    A task takes a tile of some blocks and shards: it holds the blocks, and the shards pass by.
+    Payloads go to tiles by one shuffle and never to the driver.
     """
-    number = F.coalesce(*(F.when(F.col("dim") == d, F.lit(n)) for d, n in shards.items()), F.lit(1))
-    asked = blocks.select("dim", F.explode(F.sequence(F.lit(0), number - 1)).alias("part"), F.col("part").alias("block"), F.col("payload").alias("asked"))
-    pairs = index.join(asked, ["dim", "part"]).select("dim", "block", "payload", "asked")
-    tasks = sum(n * shards.get(d, 0) for d, n in counts.items())
-    bound_batches(index.sparkSession)
+    spark = index.sparkSession
+    tiles = tiled(shards, counts, _TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    bound_batches(spark)
+    by_dim = lambda i: F.coalesce(*(F.when(F.col("dim") == d, F.lit(t[i])) for d, t in tiles.items()), F.lit(1))
+    first, down, across, high, wide = (by_dim(i) for i in range(5))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    whole = lambda n: n.cast("int")
+    met = F.col("dim").isin(*tiles) if tiles else F.lit(False)
+    rows = index.where(met).select("dim", "part", "payload", each(across).alias("other"))
+    rows = rows.select(whole(first + F.floor(F.col("part") / high) * across + F.col("other")).alias("tile"), F.lit(1).alias("kind"), "part", "payload")
+    columns = blocks.where(met).select("dim", "part", "payload", each(down).alias("other"))
+    columns = columns.select(whole(first + F.col("other") * across + F.floor(F.col("part") / wide)).alias("tile"), F.lit(0).alias("kind"), "part", "payload")
+    number = max(sum(t[1] * t[2] for t in tiles.values()), 1)
 
     def run(batches):
-        at, block, held = None, None, {}
+        at, asked = None, []  # the tile's blocks, each with what it has found
         for pdf in batches:
-            for dim, number, shard, raw in zip(pdf["dim"], pdf["block"], pdf["payload"], pdf["asked"]):
-                if at != (dim, number):
-                    if at is not None:
+            for tile, kind, raw in zip(pdf["tile"], pdf["kind"], pdf["payload"]):
+                if at != tile:
+                    for block, held in asked:
                         yield search(None, block, held)
-                    at, block, held = (dim, number), pickle.loads(raw), {}
-                search(pickle.loads(shard), block, held)
-        if at is not None:
+                    at, asked = tile, []
+                payload = pickle.loads(raw)
+                if kind == 0:
+                    asked.append((payload, {}))
+                    continue
+                for block, held in asked:
+                    search(payload, block, held)
+        for block, held in asked:
             yield search(None, block, held)
 
-    return pairs.repartition(max(tasks, 1)).sortWithinPartitions("dim", "block").mapInPandas(run, schema)
+    return columns.unionAll(rows).repartitionById(number, "tile").sortWithinPartitions("tile", "kind", "part").mapInPandas(run, schema)
 
 
 def merged(held: dict, found: list[tuple[int, int, int]], k: int) -> None:
