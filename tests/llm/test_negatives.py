@@ -66,3 +66,11 @@ def test_bounds_hold_all_rows_of_a_cluster():
     assert len(lists.radii) > 5 and sorted(lists.ids) == list(range(500))
     for c, (a, b) in enumerate(zip(lists.heads, lists.heads[1:])):
         assert (np.linalg.norm(lists.values[a:b] - lists.centroids[c], axis=1) <= lists.radii[c] + 1e-6).all()
+
+
+def test_no_block_of_queries_is_broadcast(spark):
+    rng = np.random.default_rng(13)
+    df = spark.createDataFrame([(i, single(rng.normal(size=4)), i % 3) for i in range(200)], "vec_id long, embedding array<float>, label int")
+    found = negatives.hard_negatives(df, F.col("vec_id") % 10 == 0, shard_rows=40)
+    plan = found._jdf.queryExecution().toString()
+    assert "payload" in plan and "Broadcast" not in plan
