@@ -2,6 +2,8 @@ import sqlite3
 
 import pytest
 
+from tidemill.errors import PublishError
+from tidemill.sources import databases
 from tidemill.sources.base import read_source, write_sink
 
 
@@ -73,3 +75,31 @@ def test_a_failed_merge_leaves_no_staging_table(spark, tmp_path):
         write_sink(twice.withColumnRenamed("NAME", "OTHER"), at | {"mode": "upsert", "key_columns": "ID"})
     names = read_source(spark, {"type": "sql", "dsn": at["dsn"], "query": "SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'"})
     assert [r[0] for r in names.collect()] == ["T"]
+
+
+def test_rows_reach_sqlite_without_the_driver(spark, tmp_path, monkeypatch):
+    rows = spark.range(1000, numPartitions=6).where("id NOT BETWEEN 400 AND 600")
+    odd = rows.selectExpr("id", "IF(id % 7 = 0, NULL, id / 4) AS half", "CAST(id AS DECIMAL(9,2)) AS d", "DATE'2020-01-01' AS day", "TIMESTAMP_NTZ'2020-01-01 01:02:03' AS at", "named_struct('a', id) AS s", "CAST('x' AS BINARY) AS b", "'é\n' AS t", "id > 5 AS yes")
+    db = {"type": "sqlite", "database": str(tmp_path / "y.db"), "table": "t"}
+    monkeypatch.setattr(databases, "staging_dir", lambda _: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(type(rows), "toLocalIterator", lambda *_: pytest.fail("rows were sent to the driver"))
+    write_sink(odd, db | {"create_table": True})
+    with sqlite3.connect(db["database"]) as link:
+        found = link.execute("SELECT * FROM t ORDER BY rowid").fetchall()
+    ids = [i for i in range(1000) if not 400 <= i <= 600]
+    assert [r[0] for r in found] == ids  # in the order of the rows
+    plain = [c for c in odd.columns if c != "s"]
+    at = [odd.columns.index(c) for c in plain]
+    assert [tuple(r[i] for i in at) for r in found] == [tuple(databases._stored(r)) for r in odd.select(*plain).collect()] and found[1][5] == '{"a":1}'
+    assert [r[1] for r in found] == [None if i % 7 == 0 else i / 4 for i in ids]
+    # of rows with one key the last counts, and a failure leaves all as it was
+    up = {"type": "sqlite", "database": db["database"], "table": "u", "key_columns": "k"}
+    write_sink(spark.range(100, numPartitions=5).selectExpr("id % 10 AS k", "id AS v"), up | {"create_table": True, "mode": "upsert"})
+    bad = spark.range(50, numPartitions=3).selectExpr("id + 100 AS k", "IF(id = 49, raise_error('no'), id) AS v")
+    twice = spark.range(50, numPartitions=3).selectExpr("id % 49 + 100 AS k", "id AS v")
+    for wrong in (bad, twice):
+        with pytest.raises(PublishError):
+            write_sink(wrong, up | {"mode": "append"})
+    assert not list((tmp_path / "shared" / "loads").iterdir())
+    with sqlite3.connect(db["database"]) as link:
+        assert sorted(link.execute("SELECT * FROM u").fetchall()) == [(k, 90 + k) for k in range(10)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import pickle
 import re
+import shutil
 import sqlite3
 import uuid
 from contextlib import suppress
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 from tidemill.errors import ConfigurationError, PublishError
 from tidemill.functions.columns import col, names_of, quoted
 from tidemill.plans.staging import staging_dir
+from tidemill.shipping import ship_package
 from tidemill.sources.base import SINKS, SOURCES, mode_of
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_$]*(\.[A-Za-z_][A-Za-z0-9_$]*)?")
@@ -279,12 +282,62 @@ class _Options:
 _DDL = {T.LongType: "BIGINT", T.IntegerType: "BIGINT", T.DoubleType: "DOUBLE PRECISION", T.BooleanType: "BOOLEAN", T.TimestampNTZType: "TIMESTAMP", T.TimestampType: "TIMESTAMP", T.DateType: "DATE"}
 
 
+def _stored(row) -> list:
+    """The values of a row as SQLite holds them."""
+    return [v if isinstance(v, (int, float, str, type(None))) else v.isoformat() if hasattr(v, "isoformat") else json.dumps(v, default=str) for v in row]
+
+
+def _parts_folder(spark: SparkSession) -> str | None:
+    """A new folder that tasks and driver open by the same path, if there is one."""
+    try:
+        top = re.sub("^file:(//)?", "", staging_dir(spark))
+    except ConfigurationError:
+        return None
+    return f"{top}/loads/{uuid.uuid4().hex}" if top.startswith("/") else None
+
+
+def _store_parts(df: DataFrame, folder: str) -> list[str]:
+    """Files with the rows of each partition, in order."""
+    os.makedirs(folder)
+    ship_package(df.sparkSession)
+    marks = ", ".join("?" * len(df.columns))
+    names = ", ".join(f"c{i}" for i in range(len(df.columns)))
+
+    def store(number, rows):
+        rows = map(_stored, rows)
+        if (first := next(rows, None)) is None:
+            return
+        path = f"{folder}/{number}-{uuid.uuid4().hex}.db"  # an attempt of a task has its own
+        link = sqlite3.connect(path, isolation_level=None)
+        link.execute("PRAGMA journal_mode = OFF")
+        link.execute("PRAGMA synchronous = OFF")
+        link.execute("BEGIN")
+        link.execute(f"CREATE TABLE part ({names})")
+        link.executemany(f"INSERT INTO part VALUES ({marks})", itertools.chain([first], rows))
+        link.execute("COMMIT")
+        link.close()
+        yield number, path
+
+    return [path for _, path in sorted(df.rdd.mapPartitionsWithIndex(store).collect())]
+
+
+def _from_parts(paths: list[str]):
+    """For each file its rows in order, one at a time."""
+    for path in paths:
+        link = sqlite3.connect(path)
+        yield link.execute("SELECT * FROM part ORDER BY rowid")
+        link.close()
+        os.remove(path)
+
+
 @SINKS.register("sql", "sqlite", "postgres", "postgresql", "mysql")
 def write_sql(df: DataFrame, table: str, dsn: str | None = None, database: str | None = None, mode: str | None = None, columns=None, key_columns=None, create_table: bool = False, chunk_size: int = 1000, host: str | None = None, port: int | None = None, user: str | None = None, password: str | None = None, driver: str | None = None) -> None:
     """Append, overwrite, upsert or fill a table.
 
-    A SQLite load is one transaction: rows stream to the driver a partition at a time and a
-    failure leaves the table as it was.  Over JDBC, Spark appends or truncates and fills; an
+    A SQLite load is one transaction, and a failure leaves the table as it was: tasks store their
+    rows as SQLite files in the shared folder, from which the file's one writer loads them in the
+    order of the partitions.  Rows are sent to the driver only if that folder is no path of a file system
+    or there is none.  Over JDBC, Spark appends or truncates and fills; an
     upsert loads a staging table that the database merges.
     """
     mode = mode_of(mode, ("append", "overwrite", "upsert", "error_if_exists"))
@@ -306,8 +359,10 @@ def write_sql(df: DataFrame, table: str, dsn: str | None = None, database: str |
         rest = [c for c in names if c not in keys]
         action = "UPDATE SET " + ", ".join(f"{identifier(c)} = excluded.{identifier(c)}" for c in rest) if rest else "NOTHING"
         insert += f" ON CONFLICT ({', '.join(map(identifier, keys))}) DO {action}"
+    folder = _parts_folder(flat.sparkSession)
     link = sqlite3.connect(path, isolation_level=None)
     try:
+        loads = _from_parts(_store_parts(flat, folder)) if folder else [map(_stored, flat.toLocalIterator())]
         link.execute("BEGIN IMMEDIATE")
         if create_table:
             typed = ", ".join(f"{identifier(f.name)} {_DDL.get(type(f.dataType), 'TEXT')}" for f in flat.schema.fields)
@@ -317,16 +372,14 @@ def write_sql(df: DataFrame, table: str, dsn: str | None = None, database: str |
             raise PublishError(f"{table} has rows already")
         if mode == "overwrite":
             link.execute(f"DELETE FROM {target}")
-        held = []
-        for row in flat.toLocalIterator():
-            held.append([v if isinstance(v, (int, float, str, type(None))) else v.isoformat() if hasattr(v, "isoformat") else json.dumps(v, default=str) for v in row])
-            if len(held) >= chunk_size:
-                link.executemany(insert, held)
-                held = []
-        link.executemany(insert, held)
+        for rows in loads:
+            link.executemany(insert, rows)
         link.execute("COMMIT")
     except Exception as e:
-        link.execute("ROLLBACK")
+        if link.in_transaction:
+            link.execute("ROLLBACK")
         raise e if isinstance(e, (ConfigurationError, PublishError)) else PublishError(f"{table}: {e}") from e
     finally:
         link.close()
+        if folder:
+            shutil.rmtree(folder, ignore_errors=True)
