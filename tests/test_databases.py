@@ -103,3 +103,14 @@ def test_rows_reach_sqlite_without_the_driver(spark, tmp_path, monkeypatch):
     assert not list((tmp_path / "shared" / "loads").iterdir())
     with sqlite3.connect(db["database"]) as link:
         assert sorted(link.execute("SELECT * FROM u").fetchall()) == [(k, 90 + k) for k in range(10)]
+
+
+@pytest.mark.parametrize("name", ["sql_without_rowid", "sql_query", "sql_view", "sql_where"])
+def test_queries_send_no_rows_to_the_driver(spark, monkeypatch, name):
+    from pyspark.sql import DataFrame
+
+    from tidemill.queries import queries
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("rows were sent to the driver"))
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *_: pytest.fail("rows were sent to the driver"))
+    assert queries()[name](spark, "/root/testdata/sf0.001").count()
