@@ -88,3 +88,24 @@ def test_source_over_spark(spark, tmp_path):
     (tmp_path / "two" / "a.json").write_text(json.dumps(rows))
     (tmp_path / "two" / "b.json").write_text(json.dumps(rows[0]))
     assert read_source(spark, {"type": "json", "path": str(tmp_path / "two"), "range_bytes": 20_000}).count() == 2001
+
+
+def test_many_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(split_json, "TASKS_A_CORE", 2)
+    want, files = [], []
+    for k in range(3):
+        rows = [{"id": f"{k}-{i}", "t": "x[{,\\" * rng.randrange(60)} for i in range(2000)]
+        path = tmp_path / f"a{k}.json"
+        path.write_text(json.dumps(rows))
+        files.append((str(path), path.stat().st_size))
+        want += rows
+    size = 1 << 10
+    path = split_json.read_documents(spark, files, None, True, size, str(tmp_path))
+    parts = [p for p in (tmp_path / "documents").rglob("part-*") if p.suffix == ".txt"]
+    ranges = sum(-(-n // size) for _, n in files)
+    assert ranges > 300 and len(parts) <= 2 * 2 * spark.sparkContext.defaultParallelism + 3
+    got = [json.loads(r["value"]) for r in spark.read.text(path).collect()]
+    key = lambda r: r["id"]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert split_json.ranges_of_a_task(20, 1 << 18, 12) == 1 and split_json.ranges_of_a_task(10**6, 1 << 18, 12) == 128

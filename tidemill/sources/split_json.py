@@ -20,6 +20,7 @@ from tidemill.shipping import ship_package
 from tidemill.sources.ranges import RangedFile
 
 _BLOCK = 1 << 20
+_BEYOND = 1 << 16
 _QUOTE, _BACK, _COMMA = 34, 92, 44
 _DEPTH = np.zeros(256, np.int64)
 _DEPTH[[ord("["), ord("{")]] = 1
@@ -27,6 +28,9 @@ _DEPTH[[ord("]"), ord("}")]] = -1
 _STRUCTURE = _DEPTH != 0
 _STRUCTURE[_COMMA] = True
 _BLANK = b" \t\r\n"
+#: Bytes of the ranges of one task at most (one range at least), and tasks for each core while there are ranges enough.
+TASK_BYTES = 32 << 20
+TASKS_A_CORE = 8
 #: Bytes at a document's start that are searched for the array.
 MOST_HEAD = 64 << 20
 
@@ -56,13 +60,15 @@ def _before(file, first: int) -> bytes:
         size *= 4
 
 
-def _blocks(file, first: int, end: int):
-    """(first byte, data, bytes before) of blocks."""
-    before = _before(file, first)
-    for at in range(first, end, _BLOCK):
-        data = file.read(at, min(at + _BLOCK, end))
+def _blocks(file, first: int, end: int, own: int | None = None):
+    """(first byte, data, bytes before) of blocks; those beyond ``own`` are small, as few bytes matter there."""
+    before, at = _before(file, first), first
+    while at < end:
+        size = _BLOCK if own is None else min(_BLOCK, own - at) if at < own else _BEYOND
+        data = file.read(at, min(at + size, end))
         yield at, np.frombuffer(data, np.uint8), before
         before = data if data.rstrip(b"\\") else before + data
+        at += size
 
 
 def survey(file, first: int, end: int) -> list[tuple[bool, int, int]]:
@@ -163,7 +169,7 @@ def elements(file, length: int, first: int, end: int, inside: bool, depth: int,
             return None
         return bytes(text).replace(b"\n", b" ").replace(b"\r", b" ")
 
-    for place, data, before in _blocks(file, at, length):
+    for place, data, before in _blocks(file, at, length, end):
         quotes, marks = structure(data, before)
         outside = (np.searchsorted(quotes, marks) + inside) % 2 == 0
         real = marks[outside]
@@ -224,21 +230,24 @@ def read_documents(spark: SparkSession, files: list[tuple[str, int]], root: str
     """
     ship_package(spark)
     ranges = [(i, a, min(a + range_bytes, n)) for i, (_, n) in enumerate(files) for a in range(0, max(n, 1), range_bytes)]
+    together = ranges_of_a_task(len(ranges), range_bytes, spark.sparkContext.defaultParallelism)
     starts = {}
 
     def first_pass(batches):
         import pandas as pd
 
         for pdf in batches:
+            rows = []
             for i, a, b in pdf[["file", "first", "end"]].itertuples(index=False):
                 address, length = files[i]
                 with RangedFile(address) as file:
                     found = survey(file, a, b)
                     start = array_start(file, length, root) if a == 0 and length else None
-                flat = [int(x) for s in found for x in s]
-                yield pd.DataFrame([[i, a, *flat, *(start or (-1, -1))]], columns=["file", "first", *"abcdef", "start", "level"])
+                rows.append([i, a, *(int(x) for s in found for x in s), *(start or (-1, -1))])
+            yield pd.DataFrame(rows, columns=["file", "first", *"abcdef", "start", "level"])
 
-    table = spark.createDataFrame(ranges, "file int, first long, end long").repartition(len(ranges))
+    table = spark.createDataFrame([(*r, n // together) for n, r in enumerate(ranges)], "file int, first long, end long, task int")
+    table = table.repartitionById(max(-(-len(ranges) // together), 1), "task")
     rows = table.mapInPandas(first_pass, "file int, first long, a int, b long, c long, d int, e long, f long, start long, level long").collect()
     work = []
     known = {(r["file"], r["first"]): r for r in rows}
@@ -253,7 +262,10 @@ def read_documents(spark: SparkSession, files: list[tuple[str, int]], root: str
                 work.append((i, 0, files[i][1], False, 0, -1, 0))
             continue
         if alive and b > start:
-            work.append((i, a, b, bool(inside), depth, start, level))
+            if work and work[-1][0] == i and work[-1][2] == a and a - work[-1][1] < (together - 1) * range_bytes + 1:
+                work[-1] = (*work[-1][:2], b, *work[-1][3:])  # one longer range, which the state at its start does for
+            else:
+                work.append((i, a, b, bool(inside), depth, start, level))
         ends, change, lowest = (r["a"], r["b"], r["c"]) if not inside else (r["d"], r["e"], r["f"])
         if a > start and depth + lowest < level:  # the array has ended; the range of its bracket sees to that itself
             alive = False
@@ -283,11 +295,22 @@ def read_documents(spark: SparkSession, files: list[tuple[str, int]], root: str
                         yield pd.DataFrame({"value": held})
 
     path = f"{folder}/documents/{uuid.uuid4().hex}"
-    todo = spark.createDataFrame(work, "file int, first long, end long, inside boolean, depth long, start long, level long")
-    todo.repartition(max(len(work), 1)).mapInPandas(second_pass, "value string").write.text(path)
+    numbers, held, task = [], 0, -1
+    for w in work:  # short ones go to a task together
+        if task < 0 or together == 1 or held + w[2] - w[1] > together * range_bytes:
+            task, held = task + 1, 0
+        held += w[2] - w[1]
+        numbers.append(task)
+    todo = spark.createDataFrame([(*w, n) for w, n in zip(work, numbers)], "file int, first long, end long, inside boolean, depth long, start long, level long, task int")
+    todo.repartitionById(max(task + 1, 1), "task").drop("task").mapInPandas(second_pass, "value string").write.text(path)
     return path
 
 
+def ranges_of_a_task(count: int, range_bytes: int, cores: int) -> int:
+    """How many of ``count`` ranges a task takes: one while they are few, more before the tasks get many."""
+    return max(1, min(TASK_BYTES // range_bytes, count // (TASKS_A_CORE * cores)))
+
+
 def whole_document(data: bytes, root: str | None, strict: bool) -> bytes | None:
     """A document that is no array, or what stands at ``root`` of it, as one line."""
     try:
