@@ -99,3 +99,11 @@ def test_odd_rows_and_copies(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_no_block_of_queries_is_broadcast(spark):
+    rng = np.random.default_rng(14)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(300, 4)).tolist())], "vec_id long, embedding array<float>")
+    found = ann.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=100)
+    plan = found._jdf.queryExecution().toString()
+    assert "payload" in plan and "Broadcast" not in plan

@@ -281,7 +281,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     blocks, counts = pack(asked, BLOCK_QUERIES, "ann-queries", lambda pdf: pickle.dumps((pdf["id"].to_numpy(), _stacked(pdf["vector"]))))
     number = F.coalesce(*(F.when(F.col("dim") == d, F.lit(n)) for d, n in shards.items()), F.lit(1))
     asked_of = F.explode(F.sequence(F.lit(0), number - 1)).alias("part")
-    pairs = index.join(blocks.select("dim", asked_of, F.col("payload").alias("asked")), ["dim", "part"])
+    # a merge join, as a broadcast of the blocks, one copy for each shard, would grow with queries times shards
+    pairs = blocks.select("dim", asked_of, F.col("payload").alias("asked")).join(index.hint("merge"), ["dim", "part"])
     tasks = sum(n * shards.get(d, 0) for d, n in counts.items())
 
     def search(batches):
