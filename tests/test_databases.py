@@ -114,3 +114,33 @@ def test_queries_send_no_rows_to_the_driver(spark, monkeypatch, name):
     monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("rows were sent to the driver"))
     monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *_: pytest.fail("rows were sent to the driver"))
     assert queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("partitions", [3, 21])
+@pytest.mark.parametrize("more", ["", "CAST(id AS DECIMAL(9,2)) AS d"])
+def test_sqlite_copies_parts_itself(spark, tmp_path, monkeypatch, partitions, more):
+    class Link(sqlite3.Connection):
+        def executemany(self, *_):
+            pytest.fail("rows were loaded one by one in the driver's process")
+
+    monkeypatch.setattr(databases, "staging_dir", lambda _: f"file://{tmp_path}/shared")
+    plain = ["id", "CAST(id AS SMALLINT) AS s", "CAST(id / 7 AS FLOAT) AS f", "IF(id % 3 = 0, double('NaN'), id / 7) AS h", "DATE'2020-01-01' AS day", "TIMESTAMP_NTZ'2020-01-01 01:02:03.5' AS at", "IF(id % 7 = 0, NULL, 'é\n\0x') AS t", "id > 5 AS yes"]
+    rows = spark.range(500, numPartitions=partitions).where("id NOT BETWEEN 100 AND 200").selectExpr(*plain, *([more] if more else []))
+    db = {"type": "sqlite", "database": str(tmp_path / "z.db")}
+    up = spark.range(500, numPartitions=partitions).selectExpr("id % 10 AS k", "id AS v")
+    connect = sqlite3.connect
+    with connect(db["database"]) as link:
+        link.execute(f"CREATE TABLE t ({', '.join(rows.columns)})")  # without types, so values stay as they are
+    with monkeypatch.context() as m:
+        m.setattr(sqlite3, "connect", lambda *a, **k: connect(*a, factory=Link, **k))
+        write_sink(rows, db | {"table": "t"})
+        write_sink(up, db | {"table": "u", "create_table": True, "mode": "upsert", "key_columns": "k"})
+        with pytest.raises(PublishError):
+            write_sink(up, db | {"table": "u", "mode": "append"})
+        with pytest.raises(PublishError):
+            write_sink(up, db | {"table": "missing"})
+    with sqlite3.connect(db["database"]) as link:
+        nan = [tuple(None if v != v else v for v in databases._stored(r)) for r in rows.collect()]
+        assert link.execute("SELECT * FROM t ORDER BY rowid").fetchall() == nan
+        assert sorted(link.execute("SELECT * FROM u").fetchall()) == [(k, 490 + k) for k in range(10)]
+    assert not list((tmp_path / "shared" / "loads").iterdir())

@@ -12,6 +12,7 @@ import sqlite3
 import uuid
 from contextlib import suppress
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -296,38 +297,71 @@ def _parts_folder(spark: SparkSession) -> str | None:
     return f"{top}/loads/{uuid.uuid4().hex}" if top.startswith("/") else None
 
 
+#: Types whose values are the same Python objects in Arrow batches and in rows.
+_ALIKE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.BooleanType, T.DateType, T.TimestampNTZType)
+#: The table of a part; no valid name of a target is like it.
+_PART = '"a part"'
+#: SQLite attaches ten files at most.
+_ATTACHED = 8
+
+
+def _new_part(folder: str, width: int):
+    """A new part file and its connection; an attempt of a task has its own."""
+    path = f"{folder}/{uuid.uuid4().hex}.db"
+    link = sqlite3.connect(path, isolation_level=None)
+    link.execute("PRAGMA journal_mode = OFF")
+    link.execute("PRAGMA synchronous = OFF")
+    link.execute(f"CREATE TABLE {_PART} ({', '.join(f'c{i}' for i in range(width))})")
+    return path, link
+
+
 def _store_parts(df: DataFrame, folder: str) -> list[str]:
-    """Files with the rows of each partition, in order."""
+    """At most ``_ATTACHED`` files with the rows of all partitions, in order."""
     os.makedirs(folder)
     ship_package(df.sparkSession)
-    marks = ", ".join("?" * len(df.columns))
-    names = ", ".join(f"c{i}" for i in range(len(df.columns)))
+    width = len(df.columns)
 
     def store(number, rows):
         rows = map(_stored, rows)
         if (first := next(rows, None)) is None:
             return
-        path = f"{folder}/{number}-{uuid.uuid4().hex}.db"  # an attempt of a task has its own
-        link = sqlite3.connect(path, isolation_level=None)
-        link.execute("PRAGMA journal_mode = OFF")
-        link.execute("PRAGMA synchronous = OFF")
+        path, link = _new_part(folder, width)
         link.execute("BEGIN")
-        link.execute(f"CREATE TABLE part ({names})")
-        link.executemany(f"INSERT INTO part VALUES ({marks})", itertools.chain([first], rows))
+        link.executemany(f"INSERT INTO {_PART} VALUES ({', '.join('?' * width)})", itertools.chain([first], rows))
         link.execute("COMMIT")
         link.close()
         yield number, path
 
-    return [path for _, path in sorted(df.rdd.mapPartitionsWithIndex(store).collect())]
+    def store_batches(batches):
+        import pyarrow as pa
 
+        rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+        for number, path in store(TaskContext.get().partitionId(), rows):
+            yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "path": [path]})
 
-def _from_parts(paths: list[str]):
-    """For each file its rows in order, one at a time."""
-    for path in paths:
-        link = sqlite3.connect(path)
-        yield link.execute("SELECT * FROM part ORDER BY rowid")
+    def join(paths):
+        path, link = _new_part(folder, width)
+        for one in paths:
+            link.execute("ATTACH ? AS next", (one,))
+            link.execute(f"INSERT INTO main.{_PART} SELECT * FROM next.{_PART} ORDER BY rowid")
+            link.execute("DETACH next")
         link.close()
+        return path
+
+    if all(isinstance(f.dataType, _ALIKE) for f in df.schema.fields):
+        valid = df.select(*(F.make_valid_utf8(col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else col(f.name) for f in df.schema.fields))
+        stored = valid.mapInArrow(store_batches, "number int, path string").collect()
+    else:
+        stored = df.rdd.mapPartitionsWithIndex(store).collect()
+    paths = [path for _, path in sorted(stored)]
+    if len(paths) <= _ATTACHED:
+        return paths
+    each = -(-len(paths) // _ATTACHED)
+    runs = [paths[i : i + each] for i in range(0, len(paths), each)]
+    joined = df.sparkSession.sparkContext.parallelize(runs, len(runs)).map(join).collect()
+    for path in paths:
         os.remove(path)
+    return joined
 
 
 @SINKS.register("sql", "sqlite", "postgres", "postgresql", "mysql")
@@ -335,8 +369,8 @@ def write_sql(df: DataFrame, table: str, dsn: str | None = None, database: str |
     """Append, overwrite, upsert or fill a table.
 
     A SQLite load is one transaction, and a failure leaves the table as it was: tasks store their
-    rows as SQLite files in the shared folder, from which the file's one writer loads them in the
-    order of the partitions.  Rows are sent to the driver only if that folder is no path of a file system
+    rows as SQLite files in the shared folder, and the database, which has one writer, copies them
+    itself in the order of the partitions.  Rows are sent to the driver only if that folder is no path of a file system
     or there is none.  Over JDBC, Spark appends or truncates and fills; an
     upsert loads a staging table that the database merges.
     """
@@ -354,15 +388,17 @@ def write_sql(df: DataFrame, table: str, dsn: str | None = None, database: str |
     if mode == "upsert" and not keys:
         raise ConfigurationError("upsert needs key_columns")
     target, listed = identifier(table), ", ".join(map(identifier, names))
-    insert = f"INSERT INTO {target} ({listed}) VALUES ({', '.join('?' * len(names))})"
+    into, clash = f"INSERT INTO {target} ({listed})", ""
     if mode == "upsert":
         rest = [c for c in names if c not in keys]
         action = "UPDATE SET " + ", ".join(f"{identifier(c)} = excluded.{identifier(c)}" for c in rest) if rest else "NOTHING"
-        insert += f" ON CONFLICT ({', '.join(map(identifier, keys))}) DO {action}"
+        clash = f" ON CONFLICT ({', '.join(map(identifier, keys))}) DO {action}"
     folder = _parts_folder(flat.sparkSession)
     link = sqlite3.connect(path, isolation_level=None)
     try:
-        loads = _from_parts(_store_parts(flat, folder)) if folder else [map(_stored, flat.toLocalIterator())]
+        parts = _store_parts(flat, folder) if folder else []
+        for i, part in enumerate(parts):
+            link.execute(f'ATTACH ? AS "part {i}"', (part,))
         link.execute("BEGIN IMMEDIATE")
         if create_table:
             typed = ", ".join(f"{identifier(f.name)} {_DDL.get(type(f.dataType), 'TEXT')}" for f in flat.schema.fields)
@@ -372,8 +408,10 @@ def write_sql(df: DataFrame, table: str, dsn: str | None = None, database: str |
             raise PublishError(f"{table} has rows already")
         if mode == "overwrite":
             link.execute(f"DELETE FROM {target}")
-        for rows in loads:
-            link.executemany(insert, rows)
+        for i in range(len(parts)):
+            link.execute(f'{into} SELECT * FROM "part {i}".{_PART} WHERE true ORDER BY rowid{clash}')
+        if not folder:
+            link.executemany(f"{into} VALUES ({', '.join('?' * len(names))}){clash}", map(_stored, flat.toLocalIterator()))
         link.execute("COMMIT")
     except Exception as e:
         if link.in_transaction:
