@@ -74,3 +74,19 @@ def test_no_block_of_queries_is_broadcast(spark):
     found = negatives.hard_negatives(df, F.col("vec_id") % 10 == 0, shard_rows=40)
     plan = found._jdf.queryExecution().toString()
     assert "payload" in plan and "Broadcast" not in plan
+
+
+def test_no_anchor_is_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    df = spark.createDataFrame([(i, single(rng.normal(size=4)), i % 3) for i in range(200)], "vec_id long, embedding array<float>, label int")
+    plans, deal = {}, shards.deal
+
+    def noted(rows, most, name, work):
+        out = deal(rows, most, name, work)
+        plans[name] = rows._jdf.queryExecution().toString()
+        return out
+
+    monkeypatch.setattr(shards, "deal", noted)
+    found = negatives.hard_negatives(df, F.col("vec_id") % 10 == 0, shard_rows=40)
+    assert found.count() and "SortMergeJoin" in plans["window-blocks"]
+    assert not any("BroadcastExchange" in p for p in plans.values())

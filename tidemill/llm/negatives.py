@@ -177,7 +177,7 @@ def hard_negatives(
     # bounds of the window in whole numbers; decimals don't overflow
     per_cent = lambda share: F.col("score").cast("decimal(20,0)") * F.lit(share).cast("decimal(10,0)") / 100
     windows = best.select("id", F.col("rank").alias("nth"), F.col("vec_id").alias("positive"), F.col("score").alias("reached"), F.ceil(per_cent(least)).cast("long").alias("low"), F.floor(per_cent(most)).cast("long").alias("high"))
-    windows = asked.join(windows.where("low <= high"), "id")
+    windows = asked.hint("merge").join(windows.where("low <= high"), "id")  # a file's size, small for copied vectors, mustn't decide on a broadcast
     keys = ["id", "nth", "positive", "reached"]
     out = found(windows, "window-blocks", False, negatives, keys, "id long, nth int, positive long, reached long")
     discard(asked)
