@@ -116,6 +116,26 @@ def test_queries_send_no_rows_to_the_driver(spark, monkeypatch, name):
     assert queries()[name](spark, "/root/testdata/sf0.001").count()
 
 
+@pytest.mark.parametrize("name", ["sql_query", "sql_view"])
+def test_what_tasks_send_to_the_driver_does_not_grow(spark, name):
+    from tidemill.queries import queries
+
+    def sent(size):
+        """Bytes of results of all tasks, and the rows of the query."""
+        sc = spark.sparkContext
+        none = sc._gateway.new_array(sc._jvm.double, 0)
+        stages = lambda: {(s.stageId(), s.attemptId()): s.resultSize() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList()))}
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before = stages()
+        rows = queries()[name](spark, f"/root/testdata/{size}").count()
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(n for k, n in stages().items() if k not in before), rows
+
+    (small, some), (large, more) = sent("sf0.001"), sent("sf0.01")
+    assert 0 < large < 1.5 * small, (small, large)  # orders are ten times as many
+    assert 0 < some <= more
+
+
 @pytest.mark.parametrize("partitions", [3, 21])
 @pytest.mark.parametrize("more", ["", "CAST(id AS DECIMAL(9,2)) AS d"])
 def test_sqlite_copies_parts_itself(spark, tmp_path, monkeypatch, partitions, more):
