@@ -164,3 +164,29 @@ def test_sqlite_copies_parts_itself(spark, tmp_path, monkeypatch, partitions, mo
         assert link.execute("SELECT * FROM t ORDER BY rowid").fetchall() == nan
         assert sorted(link.execute("SELECT * FROM u").fetchall()) == [(k, 490 + k) for k in range(10)]
     assert not list((tmp_path / "shared" / "loads").iterdir())
+
+
+@pytest.mark.parametrize("partitions", [3, 21])
+@pytest.mark.parametrize("more", ["", "CAST(id AS DECIMAL(9,2)) AS d"])
+def test_what_a_load_sends_to_the_driver_does_not_grow(spark, tmp_path, monkeypatch, partitions, more):
+    monkeypatch.setattr(databases, "staging_dir", lambda _: f"file://{tmp_path}/shared")
+    sc = spark.sparkContext
+    context, none = sc._jsc.sc(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        found = context.statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.resultSize() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(found)}
+
+    def sent(rows):
+        """Bytes of results of all tasks of a load into a table that is new or has to be kept up to date."""
+        db, before = {"type": "sqlite", "database": str(tmp_path / f"{rows}.db"), "table": "t", "create_table": True}, stages()
+        df = spark.range(rows, numPartitions=partitions).selectExpr("id", "id / 7 AS x", "sha2(string(id), 256) AS t", *([more] if more else []))
+        write_sink(df, db)
+        write_sink(df.select("id", "t"), db | {"table": "u", "mode": "upsert", "key_columns": "id"})
+        with sqlite3.connect(db["database"]) as link:
+            assert link.execute("SELECT (SELECT count(*) FROM t), (SELECT count(DISTINCT id) FROM u)").fetchone() == (rows, rows)
+        return sum(n for k, n in stages().items() if k not in before)
+
+    small, large = sent(1000), sent(20_000)
+    assert 0 < large < 1.2 * small, (small, large)
